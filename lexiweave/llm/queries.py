@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .exact_dedup import OP9_SQL, op9_exact_dedup
+from .mixing import op7_mixing
 from .packing import op1_best_fit_packing
 from .quality_rules import op4_quality_rules
 from .sharding import op8_sharding
 from .simhash import op10_simhash_near_dedup
+from .toxicity import op6_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_quality_rules, op8_sharding, op9_exact_dedup, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_quality_rules, op6_toxicity, op7_mixing, op8_sharding, op9_exact_dedup, op10_simhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {"op9_exact_dedup": OP9_SQL}
