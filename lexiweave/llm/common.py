@@ -24,6 +24,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def arrow_function(ddl: str):
+    """An Arrow UDF made when it is first applied, so that importing needs no session."""
+
+    def wrap(f):
+        return lambda *columns: F.arrow_udf(f, ddl)(*columns)
+
+    return wrap
+
+
 def fresh(name: str) -> str:
     """A column name that no input column can clash with."""
     return f"__{name}_{uuid.uuid4().hex[:8]}"

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, keep_rows, row_key, table
+from .common import arrow_function, checkpoint, keep_rows, row_key, table
 
 PRIMES, BASES = (2147483647, 2147483629), (1103515245, 1664525)
 CHUNK = 1 << 18  # code points
@@ -48,7 +48,7 @@ def polynomial(data: bytes, base: int, prime: int) -> int:
     return total % prime
 
 
-@F.arrow_udf("struct<a:bigint,b:bigint>")
+@arrow_function("struct<a:bigint,b:bigint>")
 def _shifted(chunks: pa.Array, offsets: pa.Array) -> pa.Array:
     """Both polynomials of each chunk, times base to the power of the bytes before it."""
     at = offsets.to_numpy(zero_copy_only=False)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, row_key, table, utf8
+from .common import arrow_function, checkpoint, row_key, table, utf8
 
 BUCKETS = 2048
 #: Domains of the labelled rows, by (toxic, quality).
@@ -77,7 +77,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, ste
     return model
 
 
-@F.arrow_udf("array<struct<i:int,v:float>>")
+@arrow_function("array<struct<i:int,v:float>>")
 def _hashed_sparse(texts: pa.Array) -> pa.Array:
     out = []
     for t in texts:

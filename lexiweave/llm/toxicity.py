@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table
+from .common import arrow_function, checkpoint, table
 
 TOKEN = re.compile(r"[^\W_]+")
 BEGINNINGS = (4, 5, 6)
@@ -217,7 +217,7 @@ def _seeds(picked: DataFrame, rounds: int = 8) -> list[str]:
     return seeds
 
 
-@F.arrow_udf("array<bigint>")
+@arrow_function("array<bigint>")
 def _sketch(texts: pa.Array) -> pa.Array:
     """Four min-hashes of a text's five-word shingles."""
     import xxhash
