@@ -70,9 +70,22 @@ class Model:
                 lines.append((start, end))
         return lines
 
-    def marginals(self, unary: np.ndarray) -> np.ndarray:
-        """P(tag 1) of each token of a chain, from its scores of tag 1 over tag 0."""
-        return chain_marginals(unary[None, :], np.array([len(unary)]), np.array(self.transition))[0][0]
+    def marginals(self, unary: list[float]) -> list[float]:
+        """P(tag 1) of each token of a chain, from its scores of tag 1 over tag 0: forward-backward on scaled odds."""
+        t00, t01, t10, t11 = (math.exp(v) for v in self.transition)
+        u = [math.exp(max(-50.0, min(50.0, v))) for v in unary]
+        ahead, f = [], None
+        for x in u:  # f: odds of tag 1 from the left, this token's own score in
+            f = x if f is None else x * (t01 + f * t11) / (t00 + f * t10)
+            ahead.append(f)
+        out, b = [], 1.0
+        for i in range(len(u) - 1, -1, -1):  # b: odds of tag 1 from the right
+            odds = ahead[i] * b
+            out.append(odds / (1 + odds))
+            v = u[i] * b
+            b = (t10 + v * t11) / (t00 + v * t01)
+        out.reverse()
+        return out
 
     def tag(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """Sum of the marginals; (start, end, marginal) of the offending tokens, in code points."""
@@ -84,7 +97,7 @@ class Model:
         total, spans = 0.0, []
         for start, end in self.active_lines(low):
             tokens = [(m.start(), m.end()) for m in TOKEN.finditer(low, start, end)]
-            unary = np.full(len(tokens), self.bias)
+            unary = [self.bias] * len(tokens)
             active = False
             for i, (s, e) in enumerate(tokens):
                 known = [w for f in token_features(low[s:e]) if (w := self.weights.get(f)) is not None]
@@ -93,8 +106,8 @@ class Model:
                     active = True
             if active:
                 p = self.marginals(unary)
-                total += float(p.sum())
-                spans += [(*tokens[i], float(p[i])) for i in np.flatnonzero(p >= 0.5)]
+                total += sum(p)
+                spans += [(*at, q) for at, q in zip(tokens, p) if q >= 0.5]
         return total, spans
 
     def score(self, total: float) -> float:
