@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from importlib import import_module
+
+MODULES = ("text_queries",)
+FLAGSHIP = "p01_normalize_space"
+
+
+def _all() -> dict:
+    out: dict = {}
+    for m in MODULES:
+        out |= import_module(f"lexiweave.plans.{m}").QUERIES
+    return out
 
 
 def queries() -> dict:
-    return {}
+    return {name: run for name, (run, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
