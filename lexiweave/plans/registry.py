@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("text_queries",)
-FLAGSHIP = "p01_normalize_space"
+MODULES = ("text_queries", "consistency_queries")
+FLAGSHIP = "g09_summary_metrics"
 
 
 def _all() -> dict:
