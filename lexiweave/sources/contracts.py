@@ -52,7 +52,7 @@ CTES = {
     CAST(1 + o_orderkey % 9 / 2.0 AS DOUBLE) AS baseline_fidelity, CAST(1 + (o_orderkey * 7) % 9 / 2.0 AS DOUBLE) AS controlled_fidelity,
     CAST(1 + (o_orderkey * 3) % 9 / 2.0 AS DOUBLE) AS baseline_quality, CAST(1 + (o_orderkey * 5) % 9 / 2.0 AS DOUBLE) AS controlled_quality,
     o_orderkey % 13 = 0 AS baseline_omission, o_orderkey % 17 = 0 AS controlled_omission, o_orderkey % 19 = 0 AS position_disagreement,
-    CAST(o_totalprice / 500000 AS DOUBLE) AS confidence, CAST(o_orderkey % 700 AS BIGINT) AS prompt_tokens, CAST(o_orderkey % 90 AS BIGINT) AS completion_tokens
+    CAST(o_orderkey % 1000 AS DOUBLE) / 1000 AS confidence, CAST(o_orderkey % 700 AS BIGINT) AS prompt_tokens, CAST(o_orderkey % 90 AS BIGINT) AS completion_tokens
   FROM orders
 )""",
 }
