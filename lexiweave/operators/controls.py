@@ -19,10 +19,11 @@ def placeholder(term_id: Column) -> Column:
 def route(occurrences: DataFrame) -> DataFrame:
     """HARD and SOFT occurrences (no eligibility counts as HARD); SOFT ones over a HARD one are left out."""
     rows = occurrences.withColumn("control", F.upper(F.coalesce("control_eligibility", F.lit("HARD")))).filter("control in ('HARD', 'SOFT')")
-    hard = rows.filter("control = 'HARD'").select("document_id", "paragraph_id", F.col("char_start").alias("s"), F.col("char_end").alias("e"))
-    soft = rows.filter("control = 'SOFT'")
-    over = (soft.document_id == hard.document_id) & (soft.paragraph_id == hard.paragraph_id) & (hard.s < soft.char_end) & (soft.char_start < hard.e)
-    return rows.filter("control = 'HARD'").union(soft.join(hard, over, "left_anti"))
+    # A paragraph's hard spans are few, so an array beside each row replaces a range join.
+    span = F.when(F.col("control") == "HARD", F.struct(F.col("char_start").alias("s"), F.col("char_end").alias("e")))
+    rows = rows.withColumn("_hard", F.collect_list(span).over(Window.partitionBy("document_id", "paragraph_id")))
+    over = F.exists("_hard", lambda h: (h["s"] < F.col("char_end")) & (F.col("char_start") < h["e"]))
+    return rows.filter((F.col("control") == "HARD") | ~over).drop("_hard")
 
 
 def number_placeholders(spans: DataFrame) -> DataFrame:

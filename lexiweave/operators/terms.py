@@ -140,7 +140,7 @@ def classify_uses(occurrences: DataFrame) -> DataFrame:
     other = F.when(~F.rlike("_after", lit("^[A-Za-z0-9_]")), F.when(low(term) == "code", code).when((low(term) == "act") & (c("surface") == "Act"), act))
     r = r.withColumn("_other", F.concat(other, "surface"))
     inside = F.filter(match_spans(c("text"), lit(JOB_TITLE)), lambda m: (m["start"] <= c("char_start")) & (m["end"] >= c("char_end")) & (m["end"] - m["start"] > c("char_end") - c("char_start")))
-    r = r.withColumn("_title", F.get(F.transform(inside, lambda m: m["match"]), lit(0)))
+    r = r.withColumn("_title", F.when(F.rlike("text", lit(JOB_TITLE)), F.get(F.transform(inside, lambda m: m["match"]), lit(0))))
     instrument = low(c("_r")).isin(*INSTRUMENTS) & ~F.array_contains(F.transform(words, F.lower), low(c("_r")))
     suffix = low(c("_r")).isin(*NAME_SUFFIXES)
     full_name = suffix | low(term).isin(*NAME_SUFFIXES) & c("_l").isNotNull() & capital(c("_l")) & ~owner
@@ -175,7 +175,7 @@ def classify_uses(occurrences: DataFrame) -> DataFrame:
         .when(capital(c("_l")) | capital(c("_r")), out("POSSIBLY_NESTED_USAGE", "SOFT", "ADJACENT_CAPITALISED_MODIFIER", "POSSIBLY_NESTED", 0.72, "AMBIGUOUS_CAPITALISED_COMPOUND", join(capital(c("_l")), capital(c("_r")))))
         .otherwise(out("DEFINED_TERM_USAGE", "HARD", "EXACT_CASE_STANDALONE_MATCH", "OTHER", 0.98))
     )
-    r = r.withColumn("_rule", rules)
+    r = r.withColumn("_rule", F.explode(F.array(rules)))  # a generator is not merged into later projections: the rules run once a row
     return r.select(*occurrences.columns, "surface" if "surface" not in occurrences.columns else F.lit(0).alias("_none"), "_rule.*").drop("_none")
 
 
