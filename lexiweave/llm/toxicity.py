@@ -191,16 +191,20 @@ def _count(known: frozenset):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], ["f", "n"])
+            seen.clear()
+
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found = {f for w in set(TOKEN.findall(text.lower())) for f in token_features(w)}
+            for text in batch.column(0):
+                found = {f for w in set(TOKEN.findall(text.as_py().lower())) for f in token_features(w)}
                 if known.isdisjoint(found):
                     seen.update(found)
                     seen[""] += 1
-        names = list(seen)
-        for i in range(0, len(names), 50_000):
-            part = names[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([seen[f] for f in part], pa.int64())], ["f", "n"])
+                if len(seen) > 100_000:  # the counts are added up after the shuffle, so a part may go out early
+                    yield from flush()
+        yield from flush()
 
     return run
 
@@ -252,7 +256,7 @@ def _segments(ids: dict[str, int]):
 
         for batch in batches:
             rows = []
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text, toxic in zip((x.as_py() for x in batch.column(0)), batch.column(1).to_pylist()):
                 for no, line in enumerate(text.lower().split("\n")):
                     words = TOKEN.findall(line)
                     for i in range(0, len(words), SEGMENT):
