@@ -65,8 +65,8 @@ SCALARS = {
     "p19_plain_spaces": (lambda: t.plain_spaces(F.col("rough")), r"regexp_replace(rough, '\p{Zs}', ' ', 'g')"),
     "p20_separator_only": (lambda: t.separator_only(F.when(F.col("doc_id") % 5 == 0, "__ * \t_").otherwise(F.col("text"))), "CASE WHEN doc_id % 5 = 0 THEN true ELSE regexp_matches(text, '^[\\s_*]+$') AND regexp_matches(text, '[_*]') END"),
     "p23_output_budget": (
-        lambda: t.smaller_output_budget(F.concat(F.lit("This model's maximum context length is 8192 tokens. You requested "), (F.col("n_chars") % 5000).cast("string"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" output tokens and your prompt contains at least "), F.col("n_chars").cast("string"), F.lit(" input tokens"))).when(F.col("doc_id") % 3 == 1, F.lit(" output tokens; the prompt contains 99 characters")).otherwise("")), (F.col("n_chars") % 5000).cast("int")),
-        "CASE doc_id % 3 WHEN 0 THEN greatest(256, least(8192 - length(text) - 64, length(text) % 5000 - 1024)) WHEN 1 THEN greatest(256, length(text) % 5000 - 1024) END",
+        lambda: F.coalesce(t.smaller_output_budget(F.concat(F.lit("This model's maximum context length is 8192 tokens. You requested "), (F.col("n_chars") % 5000).cast("string"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" output tokens and your prompt contains at least "), F.col("n_chars").cast("string"), F.lit(" input tokens"))).when(F.col("doc_id") % 3 == 1, F.lit(" output tokens; the prompt contains 99 characters")).otherwise("")), (F.col("n_chars") % 5000).cast("int")), F.lit(-1)),
+        "CASE doc_id % 3 WHEN 0 THEN greatest(256, least(8192 - length(text) - 64, length(text) % 5000 - 1024)) WHEN 1 THEN greatest(256, length(text) % 5000 - 1024) ELSE -1 END",
     ),
     "p25_token_estimate": (lambda: t.token_estimate(F.concat("text", F.lit("术语一致性"))), r"5 + CAST(ceil(length(text) / 4.0) AS BIGINT)"),
     "p26_safe_slug": (lambda: t.safe_slug(F.col("text")), rf"coalesce(nullif(left(trim(regexp_replace(regexp_replace(text, '^{WS}+|{WS}+$', '', 'g'), '[^A-Za-z0-9._-]+', '_', 'g'), '._'), 180), ''), 'experiment')"),
