@@ -56,7 +56,8 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, ste
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 0)
     sample = labels.select(F.col(id_col).alias("id"), domain.alias("domain")).filter("id is not null and domain is not null").orderBy(F.xxhash64("id"), "id").limit(max_rows).dropDuplicates(["id"])
     # At most max_rows ids, so they can be sent to every task.
-    rows = docs.filter(F.col(text_col).isNotNull()).join(F.broadcast(sample), docs[id_col] == F.col("id")).select(_hashed_sparse(utf8(text_col)).alias("x"), "domain").collect()
+    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).filter("text is not null")
+    rows = texts.join(F.broadcast(sample), F.col("doc") == F.col("id")).select(_hashed_sparse(utf8("text")).alias("x"), "domain").collect()
     k = len(DOMAINS)
     rows.sort(key=lambda r: (r["domain"], r["x"]["v"]))
     w, b = np.zeros((BUCKETS + 3, k), np.float32), np.zeros(k, np.float32)

@@ -283,7 +283,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 4000, max_clean: in
     of = lambda label, n: known.filter(F.col("toxic") == label).orderBy(F.xxhash64("id"), "id").limit(n)
     sample = of(1, max_toxic).union(of(0, max_clean)).dropDuplicates(["id"])
     # At most max_toxic + max_clean ids, so they can be sent to every task.
-    picked = docs.filter(F.col(text_col).isNotNull()).join(F.broadcast(sample), docs[id_col] == F.col("id")).select(F.col(text_col).alias("text"), "toxic")
+    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).filter("text is not null")
+    picked = texts.join(F.broadcast(sample), F.col("doc") == F.col("id")).select("text", "toxic")
     picked = checkpoint(picked.withColumn("h", _sketch("text")))
     for i in range(4):  # copies and most near copies of a sampled text say nothing new
         picked = picked.withColumn("m", F.get("h", F.lit(i))).dropDuplicates(["m"])
