@@ -208,7 +208,7 @@ def test_passages(spark, docs, texts, odd, nothing):
     word = lambda: f"w{rng.randrange(10**6)}"
     shared = [word() for _ in range(70)]
     near = [*shared[:35], "changed", *shared[36:]]
-    rows = [(i, " ".join([*[word() for _ in range(100)], *part, *[word() for _ in range(80)]])) for i, part in enumerate([shared, near, shared[:45], []])]
+    rows = [(i, " ".join([*[word() for _ in range(100)], *part, *[word() for _ in range(80)]])) for i, part in enumerate([shared, near, shared[:38], []])]
     small = {r.doc_id: r for r in passage_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [small[i].class_id for i in range(4)] == [0, 0, 2, 3] and [small[i].repeated for i in range(4)] == [True, True, False, False]
     span = small[0].spans[0]
