@@ -167,7 +167,7 @@ QUERIES = {
     "g21_variant_evidence": (lambda s, f: relation(s, f, "reviews").withColumn("v", t.normalize_variant(F.col("rendering"))).filter("v is not null").groupBy("term_id", "v").agg(F.count("*").alias("n"), F.count_distinct("experiment").alias("experiments")).withColumn("place", F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("term_id").orderBy(F.desc("n"), "v"))).filter("place <= 2"), f"{R}, x AS (SELECT term_id, {NV} AS v, count(*) AS n, count(DISTINCT experiment) AS experiments FROM reviews GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY term_id ORDER BY n DESC, v) AS INT) AS place FROM x WHERE v IS NOT NULL QUALIFY place <= 2"),
     "g23_status_audit": (lambda s, f: relation(s, f, "reviews").groupBy("experiment", "extraction_status").agg(F.count("*").alias("n"), F.round(F.avg("extraction_confidence"), 6).alias("confidence")), f"{R} SELECT experiment, extraction_status, count(*) AS n, round(avg(extraction_confidence), 6) AS confidence FROM reviews GROUP BY ALL"),
     "g25_subset_wins": (lambda s, f: relation(s, f, "evaluations").filter("paragraph_id % 6 = 0").groupBy("winner").agg(F.count("*").alias("n"), F.round(F.avg(F.col("controlled_quality") - F.col("baseline_quality")), 6).alias("delta")), f"{E} SELECT winner, count(*) AS n, round(avg(controlled_quality - baseline_quality), 6) AS delta FROM evaluations WHERE paragraph_id % 6 = 0 GROUP BY 1"),
-    "j15_paired_documents": (lambda s, f: cons.aggregate(relation(s, f, "reviews"), ["experiment", "term_id"]).groupBy("term_id").pivot("experiment", ["aya__placeholder", "qwen__glossary"]).agg(F.first("dominant_translation_ratio")).dropna(), f"{R}, i AS (SELECT *, {NV} AS v FROM reviews WHERE include_in_consistency IS NULL OR include_in_consistency), d AS (SELECT experiment, term_id, round(max(n) / sum(n), 6) AS dtr FROM (SELECT experiment, term_id, v, count(*) AS n FROM i WHERE v IS NOT NULL GROUP BY ALL) GROUP BY ALL) SELECT a.term_id, a.dtr AS aya__placeholder, b.dtr AS qwen__glossary FROM d a JOIN d b ON a.term_id = b.term_id AND a.experiment LIKE 'aya%' AND b.experiment LIKE 'qwen%'"),
+    "j15_paired_documents": (lambda s, f: cons.aggregate(relation(s, f, "reviews"), ["experiment", "term_id"]).groupBy("term_id").pivot("experiment", ["large__placeholder", "small__glossary"]).agg(F.first("dominant_translation_ratio")).dropna(), f"{R}, i AS (SELECT *, {NV} AS v FROM reviews WHERE include_in_consistency IS NULL OR include_in_consistency), d AS (SELECT experiment, term_id, round(max(n) / sum(n), 6) AS dtr FROM (SELECT experiment, term_id, v, count(*) AS n FROM i WHERE v IS NOT NULL GROUP BY ALL) GROUP BY ALL) SELECT a.term_id, a.dtr AS large__placeholder, b.dtr AS small__glossary FROM d a JOIN d b ON a.term_id = b.term_id AND a.experiment LIKE 'large%' AND b.experiment LIKE 'small%'"),
     "k04_sign_test": (lambda s, f: s.range(0, 60).select("id", F.round(k.sign_test(F.col("id") % 12, (F.col("id") / 5).cast("long")), 9).alias("p")), "WITH x AS (SELECT i AS id, i % 12 AS a, i // 5 AS b FROM (SELECT unnest(generate_series(0, 59)) AS i)), c AS (SELECT id, a + b AS n, least(a, b) AS m, unnest(generate_series(0, least(a, b))) AS k FROM x) SELECT id, round(CASE WHEN any_value(n) = 0 THEN 1 ELSE least(1, 2 * sum(factorial(CAST(n AS INT))::DOUBLE / (factorial(CAST(k AS INT))::DOUBLE * factorial(CAST(n - k AS INT))::DOUBLE)) / power(2, any_value(n))) END, 9) AS p FROM c GROUP BY id"),
     "k08_consensus": (ratings, f"{E}, x AS (SELECT winner, CASE WHEN winner = 'tie' THEN 'TIE' WHEN winner = 'baseline' THEN 'A' ELSE 'B' END AS one, paragraph_id FROM evaluations WHERE paragraph_id % 10 = 1), y AS (SELECT *, CASE WHEN paragraph_id % 3 = 0 THEN 'TIE' ELSE one END AS two, paragraph_id % 4 = 1 AS sw FROM x), z AS (SELECT winner, CASE WHEN one <> two THEN 'no consensus' WHEN one = 'TIE' THEN 'tie' WHEN (one = 'A') <> sw THEN 'baseline' ELSE 'controlled' END AS consensus FROM y) SELECT consensus, count(*) AS n, count(*) FILTER (consensus = winner) AS model_agrees FROM z GROUP BY 1"),
 }

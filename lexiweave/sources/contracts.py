@@ -44,7 +44,7 @@ CTES = {
     CASE WHEN l_tax > 0.07 THEN false WHEN l_tax > 0.06 THEN CAST(NULL AS BOOLEAN) ELSE true END AS include_in_consistency,
     CASE WHEN l_partkey % 5 = 0 THEN 'CRITICAL' WHEN l_partkey % 5 = 1 THEN 'IMPORTANT' WHEN l_partkey % 5 = 2 THEN 'AUXILIARY' WHEN l_partkey % 5 = 3 THEN 'EXCLUDED' ELSE 'OTHER' END AS criticality,
     CAST(l_discount AS DOUBLE) * 10 AS extraction_confidence, l_shipmode_stub AS experiment
-  FROM (SELECT *, CASE WHEN l_suppkey % 2 = 0 THEN 'qwen__glossary' ELSE 'aya__placeholder' END AS l_shipmode_stub FROM lineitem) l
+  FROM (SELECT *, CASE WHEN l_suppkey % 2 = 0 THEN 'small__glossary' ELSE 'large__placeholder' END AS l_shipmode_stub FROM lineitem) l
 )""",
     "evaluations": """evaluations AS (
   SELECT CAST(o_custkey % 40 AS VARCHAR(10)) AS document_id, CAST(o_orderkey AS INT) AS paragraph_id, o_custkey % 3 <> 0 AS has_terms,
