@@ -153,8 +153,9 @@ def fit_rates(members: DataFrame, targets: dict[str, float], floor: float = 0.0,
     for _ in range(max_steps):
         got = _sum(members, steps) / total
         steps.history.append(got - goal)
-        if abs(steps.history[-1]).max() < tolerance:
-            break
+        last = steps.history[-4:]
+        if abs(last[-1]).max() < tolerance or len(last) == 4 and max(abs(a - last[-1]).max() for a in last) < tolerance:
+            break  # met, or as near as the floor lets it come
     return steps, {"total": total, "goal": dict(zip(DOMAINS, goal * total)), "before": dict(zip(DOMAINS, now)), "after": dict(zip(DOMAINS, _sum(members, steps, True)))}
 
 
