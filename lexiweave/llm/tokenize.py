@@ -29,7 +29,7 @@ def _byte_of_symbol() -> dict[str, int]:
 class WordBpe:
     """encode(text): little-endian unsigned 32-bit ids as bytes."""
 
-    def __init__(self, path: str, cache_limit: int = 500_000):
+    def __init__(self, path: str, cache_limit: int = 150_000):
         import tiktoken
         from tokenizers import Tokenizer
 
