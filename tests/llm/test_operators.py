@@ -216,6 +216,27 @@ def test_passages(spark, docs, texts, odd, nothing):
     assert passage_dedup.passages(odd).count() == len(ODD) and passage_dedup.passages(nothing).count() == 0
 
 
+def test_similar_starts_are_tried_at_every_place():
+    """A word put in, or left out, at any place of a passage in unrelated text: all starts against sets built anew."""
+    rng, width = np.random.default_rng(6), passage_dedup.WIDTH
+    word = lambda n: " ".join(f"w{v}" for v in rng.integers(0, 10**6, n))
+    found = 0
+    for trial in range(60):
+        shared = word(54 + trial % 7).split()
+        cut = 15 + trial % 25
+        other = shared[:cut] + (["extra"] if trial % 2 else []) + shared[cut + 1 - trial % 2 :]
+        x, y = (passage_dedup.shingles(" ".join([word(70), *p, word(70)]).encode()) for p in (shared, other))
+        for by in (0, -1 if trial % 2 == 0 else 1):  # laid side by side before the change, and after it
+            p, q = x[max(0, -by) :], y[max(0, by) :]
+            sets = [(set(p[s : s + width].tolist()), set(q[s : s + width].tolist())) for s in range(min(len(p), len(q)) - width + 1)]
+            want = [s for s, (a, b) in enumerate(sets) if len(a & b) >= 0.8 * len(a | b)]
+            assert passage_dedup.similar_starts(p, q, width).tolist() == want
+            found += bool(want)
+    assert found >= 60
+    again = np.tile(np.arange(5), 30)  # repeated shingles count once
+    assert passage_dedup.distinct(again, 46).tolist() == [5] * (len(again) - 45)
+
+
 def test_compact_windows():
     """Every passage of the width is in exactly one run of starts, whose place is its minimum."""
     h = np.random.default_rng(2).integers(0, 1 << 62, 5000).astype(np.uint64)
