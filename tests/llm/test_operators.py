@@ -216,6 +216,23 @@ def test_passages(spark, docs, texts, odd, nothing):
     assert passage_dedup.passages(odd).count() == len(ODD) and passage_dedup.passages(nothing).count() == 0
 
 
+def test_equal_passages_behind_a_frequent_phrase(spark):
+    """Two texts share 50 words, whose first 44 stand in 30 others too: these are similar to neither."""
+    rng = random.Random(8)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, pairs = [], []
+    for _ in range(20):
+        phrase, rest = some(44), some(6)
+        pairs.append((len(rows), len(rows) + 1))
+        rows += [" ".join([*some(60), *phrase, *(rest if i < 2 else some(6)), *some(40)]) for i in range(32)]
+    got = {r.doc_id: r for r in passage_dedup.passages(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert [got[a].class_id == got[b].class_id and got[a].repeated and got[b].repeated for a, b in pairs] == [True] * len(pairs)
+    assert sum(r.repeated for r in got.values()) == 2 * len(pairs)
+    x = np.random.default_rng(1).integers(0, 1 << 62, 300).astype(np.uint64)
+    h = passage_dedup.window_hashes(np.concatenate([x[:100], x[20:120], x]), 46)
+    assert (h[100:135] == h[20:55]).all() and (h[200:] == passage_dedup.window_hashes(x, 46)).all() and len(np.unique(h[200:])) == 255
+
+
 def test_similar_starts_are_tried_at_every_place():
     """A word put in, or left out, at any place of a passage in unrelated text: all starts against sets built anew."""
     rng, width = np.random.default_rng(6), passage_dedup.WIDTH
