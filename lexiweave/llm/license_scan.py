@@ -1,13 +1,14 @@
 """Licence notices by conditional compression.
 
-Candidate blocks (sentences of a line, and whole lines, with a word of licensing in them) are compressed alone and
-with each template as a zstandard raw dictionary. Templates are ranked by the share of the size that the dictionary saves;
+Candidate blocks (sentences of a line, and whole lines, with a word of licensing in them, and runs of neighbouring
+sentences and lines around one that could be a template's wording) are compressed alone and with each template as a zstandard raw dictionary. Templates are ranked by the share of the size that the dictionary saves;
 the winner is confirmed by the exact differences of its wording: words missing, added, or changed.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -43,7 +44,8 @@ CUES = ("licen", "copyright", "permission", "redistribut", "public domain", "une
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 #: A winner must save this share of the block's size, and have at most this share of the longer wording different.
 MIN_SAVED, MAX_DIFFERENT = 0.3, 0.25
-LONG_BLOCK = 2000  # code points; longer lines are looked at sentence by sentence only
+LONG_BLOCK = 2000  # code points; longer lines are looked at by sentences and runs of them only
+BREAK = re.compile(r"\s*\n[\s#*/;%>-]*")  # a line's end, and what marks the next one as a comment
 
 
 class Scanner:
@@ -51,27 +53,74 @@ class Scanner:
         import zstandard as z
 
         self.words = {k: WORD.findall(t.lower()) for k, t in templates.items()}
+        # A confirmed block lacks at most a third of its template's words, so of any larger part of them it holds one.
+        bare = [w for k, w in self.words.items() if not any(c in templates[k].lower() for c in CUES)]
+        self.cues = (*CUES, *dict.fromkeys(v for w in bare for v in sorted(w, key=len, reverse=True)[: len(w) // 3 + 1]))
+        self.most = max(map(len, self.words.values()), default=0) / (1 - MAX_DIFFERENT)
+        self.having: dict[str, list[tuple[str, int]]] = {}
+        for k, w in self.words.items():
+            for v, n in Counter(w).items():
+                self.having.setdefault(v, []).append((k, n))
         self.plain = z.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
         self.given = {k: z.ZstdCompressor(level=3, dict_data=z.ZstdCompressionDict(t.lower().encode(), dict_type=z.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False) for k, t in templates.items()}
 
+    def has_cue(self, text: str) -> bool:
+        low = text.lower()
+        return any(c in low for c in self.cues)
+
     def blocks(self, text: str) -> list[tuple[int, int]]:
-        """Spans of the candidate blocks: sentences that hold a cue, and lines of more than one sentence that do."""
-        low, out, at = text.lower(), [], 0
-        if not any(c in low for c in CUES):
+        """Spans of the candidate blocks: sentences that hold a cue, lines of more than one sentence that do, and runs of sentences around a cue."""
+        out, units, at = [], [], 0
+        if not self.has_cue(text):
             return out
         for line in text.split("\n"):
-            if any(c in line.lower() for c in CUES):
-                end = at + len(line)
-                cuts = [at, *(m.end() + at for m in re.finditer(r"[.;:!?]\s+", line)), end]
-                spans = [(s, e) for s, e in zip(cuts, cuts[1:]) if any(c in text[s:e].lower() for c in CUES)]
+            end = at + len(line)
+            cuts = [at, *(m.end() + at for m in re.finditer(r"[.;:!?]\s+", line)), end]
+            if self.has_cue(line):
+                spans = [(s, e) for s, e in zip(cuts, cuts[1:]) if self.has_cue(text[s:e])]
                 if len(cuts) > 2 and len(line) <= LONG_BLOCK:
                     spans.append((at, end))
-                out += [(s, e) for s, e in dict.fromkeys(spans) if text[s:e].strip()]
-            at += len(line) + 1
+                out += [(s, e) for s, e in spans if text[s:e].strip()]
+            units += [(s, e) for s, e in zip(cuts, cuts[1:]) if text[s:e].strip()]
+            at = end + 1
+        return list(dict.fromkeys(out + self.runs(text, units)))
+
+    def runs(self, text: str, units: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Runs of two units or more around one with a cue whose words, in whatever order, are near enough to a template's."""
+        out, words = [], {}
+        cues = [i for i, (s, e) in enumerate(units) if self.has_cue(text[s:e])]
+
+        def of(i: int) -> list[str]:
+            if i not in words:
+                words[i] = WORD.findall(text[slice(*units[i])].lower())
+            return words[i]
+
+        starts: dict[int, int] = {}  # of a start: the first unit with a cue from there on
+        for c in cues:
+            i, n = c, len(of(c))
+            while i >= 0 and n <= self.most and i not in starts:
+                starts[i] = c
+                i -= 1
+                n += len(of(i)) if i >= 0 else 0
+        for i, c in starts.items():
+            if not of(i):
+                continue
+            used, common, n = Counter(), Counter(), 0
+            for j in range(i, len(units)):
+                n += len(of(j))
+                if n > self.most:
+                    break
+                for w in of(j):
+                    used[w] += 1
+                    for k, most in self.having.get(w, ()):
+                        common[k] += used[w] <= most
+                if j > i and j >= c and of(j) and any(n + len(self.words[k]) - 2 * m <= MAX_DIFFERENT * max(n, len(self.words[k])) for k, m in common.items()):
+                    out.append((units[i][0], units[j][1]))
         return out
 
     def match(self, block: str) -> dict:
         """The best template of a block with its saving, the runner-up, and the differences in wording."""
+        block = BREAK.sub(" ", block)
         data = block.strip().lower().encode()
         alone = len(self.plain.compress(data))
         words = WORD.findall(block.lower())
@@ -92,8 +141,9 @@ class Scanner:
 
     def scan(self, text: str) -> list[dict]:
         found = [{"start": s, "end": e, **self.match(text[s:e])} for s, e in self.blocks(text)]
-        best: list[dict] = []  # of overlapping blocks the confirmed, then the closest in wording
-        for f in sorted(found, key=lambda f: (not f["confirmed"], len(f["missing"]) + len(f["added"]), f["start"], -f["end"])):
+        best: list[dict] = []  # of overlapping blocks the confirmed with most of a template, then the closest in wording
+        differ = lambda f: len(f["missing"]) + len(f["added"])
+        for f in sorted(found, key=lambda f: (not f["confirmed"], differ(f) - (len(self.words[f["license"]]) - len(f["missing"])) * f["confirmed"], f["start"], -f["end"])):
             if all(f["end"] <= g["start"] or f["start"] >= g["end"] for g in best):
                 best.append(f)
         return sorted(best, key=lambda f: f["start"])

@@ -166,6 +166,26 @@ def test_licenses(spark, odd, nothing):
     assert license_scan.scan(odd).count() == 0 and license_scan.scan(nothing).count() == 0
 
 
+def test_wrapped_licenses():
+    """Notices of several lines (comments too) or sentences, in other text, in long lines, and a template without a cue."""
+    import textwrap
+
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    for name in ("Apache-2.0", "MIT", "ISC", "GPL-3.0-notice", "BSD-3-Clause"):
+        notice = license_scan.TEMPLATES[name]
+        for width, mark in ((70, ""), (78, "# "), (60, " * "), (40, "// ")):
+            wrapped = "\n".join(mark + x for x in textwrap.wrap(notice, width))
+            text = f"import this\n\n{wrapped}\n\ndef f(): pass\nand more of it"
+            got = scanner.scan(text)
+            assert [(f["license"], f["confirmed"]) for f in got if f["confirmed"]] == [(name, True)], (name, width, got)
+            f = next(f for f in got if f["confirmed"])
+            assert text[f["start"] : f["end"]].strip("\n") == wrapped
+        long = "Some other words stand here. " * 100 + notice + " And so it goes on. " * 40
+        assert [f["license"] for f in scanner.scan(long) if f["confirmed"]] == [name]
+    bare = license_scan.Scanner({"beer": "As long as you retain this notice you can do whatever you want with this stuff"})
+    assert [f["confirmed"] for f in bare.scan("x y\nAs long as you retain this notice\nyou can do whatever you want with this stuff\nz")] == [True]
+
+
 def counts(t):
     w = re.findall("[^\x20\x09-\x0d]+", t or "")
     three = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
