@@ -1,7 +1,8 @@
 """Toxicity by a linear-chain conditional random field over the tokens of a line.
 
 Labels are of documents, so tokens get theirs from features (whole words and word beginnings) that occur in toxic
-labelled documents and hardly in others: such a token in a toxic document is tagged 1, all others 0. The field
+labelled documents and hardly in others: such a token in a toxic document is tagged 1 as far as its feature is
+believed (by its likelihood ratio, against one telling feature among all tried), all others 0. The field
 learns a weight for each feature, a bias and the four transitions from segments of labelled documents. In a
 text, forward-backward runs over each line that holds an active feature; the other lines hold only background
 tokens, whose marginals are taken as 0. The marginals' sum over the text gives its score through a fitted
@@ -30,6 +31,8 @@ BEGINNINGS = (4, 5, 6)
 SEGMENT, MAX_SEGMENTS, MAX_FEATURES = 32, 6000, 20_000
 THRESHOLD = 0.3
 HELD_OUT = 2
+#: Beside features that pass, those whose likelihood ratio (a logarithm) falls short by this at most are believed a little.
+NEARLY = 2.0
 
 
 def token_features(word: str) -> list[str]:
@@ -141,18 +144,19 @@ def chain_marginals(unary: np.ndarray, lengths: np.ndarray, transition: np.ndarr
     return p, moves, z
 
 
-def fit_chains(segments: list[tuple[int, list[int], list[int], list[int]]], n_features: int, steps: int = 200, decay: float = 1e-3) -> tuple[np.ndarray, float, np.ndarray]:
-    """Weights, bias and transitions of greatest likelihood (Adam). A segment: length, positions and ids of features, tagged positions."""
+def fit_chains(segments: list[tuple[int, list[int], list[int], list[int], list[float]]], n_features: int, steps: int = 200, decay: float = 1e-3) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights, bias and transitions of greatest likelihood (Adam). A segment: length, positions and ids of features, tagged positions and how far each is believed."""
     n, lengths = len(segments), np.array([s[0] for s in segments])
     width = int(lengths.max())
     row = np.repeat(np.arange(n), [len(s[1]) for s in segments])
     col, ids = (np.array([x for s in segments for x in s[k]], np.int64) for k in (1, 2))
     gold = np.zeros((n, width))
     for i, s in enumerate(segments):
-        gold[i, s[3]] = 1
+        gold[i, s[3]] = s[4]
     inside = np.arange(width) < lengths[:, None]
     both = inside[:, 1:]
-    want = np.array([(((gold[:, :-1] == x) & (gold[:, 1:] == y)) & both).sum() for x in (0, 1) for y in (0, 1)], float)
+    tag = (1 - gold, gold)
+    want = np.array([(tag[x][:, :-1] * tag[y][:, 1:] * both).sum() for x in (0, 1) for y in (0, 1)])
     theta = np.zeros(n_features + 5)
     theta[n_features] = -4.0
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
@@ -209,28 +213,38 @@ def _count(known: frozenset):
     return run
 
 
-def _seeds(picked: DataFrame, rounds: int = 8) -> list[str]:
-    """Features whose documents are toxic beyond chance: their likelihood ratio over the base rate passes the log of the
-    number of features tried. A round takes those within a quarter of the best; the next looks only at toxic documents that
+def _seeds(picked: DataFrame, rounds: int = 8) -> dict[str, float]:
+    """Features whose documents are toxic beyond chance, and how far each is believed: 1 where its likelihood ratio over
+    the base rate passes the log of the number of features tried, so that few labelled rows give weaker features, not none.
+    While any pass, only those are taken, and then the best of the rest if they come near, or if there are no others. A round takes those within a quarter of the best; the next looks only at toxic documents that
     hold none of them, so words that merely stand beside a telling one (in near copies, say) explain nothing more."""
     count = lambda toxic, known, name: picked.filter(F.col("toxic") == toxic).select("text").mapInArrow(_count(frozenset(known)), "f string, n long").groupBy("f").agg(F.sum("n").alias(name))
     clean = checkpoint(count(0, (), "c"))
     c_all = clean.filter("f = ''").first()["c"]
-    seeds: list[str] = []
+    seeds: dict[str, float] = {}
     for _ in range(rounds):
         seen = checkpoint(count(1, seeds, "t").join(clean, "f", "left").fillna(0, ["c"]))
         total = seen.filter("f = ''").first()
-        if total is None or total["t"] < 3:
+        if total is None:
             break
         t_all, tried = total["t"], seen.count()
         q, n = t_all / (t_all + c_all), F.col("t") + F.col("c")
         ratio = F.col("t") * F.log(F.col("t") / (n * q)) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / (n * (1 - q)))).otherwise(0)
         precise = F.col("t") / t_all / (F.col("t") / t_all + F.col("c") / c_all)
-        good = seen.filter((F.col("f") != "") & (F.col("t") >= 3) & ((precise >= 0.985) | (F.col("c") <= 1) & (precise >= 0.9))).withColumn("g", ratio).filter(F.col("g") >= math.log(tried))
-        best = good.agg(F.max("g")).first()[0]
-        if best is None:
+        held = seen.filter((F.col("f") != "") & (F.col("t") >= min(2, t_all))).withColumn("g", ratio)
+        good = held.filter((precise >= 0.985) | (F.col("c") <= 1) & (precise >= 0.9))
+        enough = math.log(tried)
+        best, strict = good.agg(F.max("g"), F.max(F.when((F.col("t") >= 3) & (F.col("g") >= enough), F.col("g")))).first()
+        if strict is not None:
+            good = good.filter((F.col("t") >= 3) & (F.col("g") >= max(enough, 0.25 * strict)))
+        elif best is not None and (best >= enough - NEARLY or not seeds):
+            good = good.filter(F.col("g") >= 0.9 * best)
+        elif not seeds:  # no feature is even nearly toxic alone: the most telling ones there are
+            good = seen.filter((F.col("f") != "") & (F.col("t") > 0)).withColumn("g", ratio).orderBy(F.desc(precise), F.desc("g"), "f").limit(20)
+        else:
             break
-        seeds += [r["f"] for r in good.filter(F.col("g") >= 0.25 * best).orderBy(F.desc("g"), "f").limit(MAX_FEATURES // rounds).select("f").collect()]
+        for r in good.orderBy(F.desc("g"), "f").limit(MAX_FEATURES // rounds).select("f", "g").collect():
+            seeds[r["f"]] = 1.0 if strict is not None else 1 / (1 + math.exp(min(500.0, max(0.0, enough - r["g"]))))
     return seeds
 
 
@@ -248,8 +262,8 @@ def _sketch(texts: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.int64()))
 
 
-def _segments(ids: dict[str, int]):
-    schema = pa.schema([("n", pa.int32()), ("at", pa.list_(pa.int32())), ("ids", pa.list_(pa.int32())), ("tags", pa.list_(pa.int32())), ("r", pa.int64())])
+def _segments(ids: dict[str, int], belief: dict[str, float]):
+    schema = pa.schema([("n", pa.int32()), ("at", pa.list_(pa.int32())), ("ids", pa.list_(pa.int32())), ("tags", pa.list_(pa.int32())), ("told", pa.list_(pa.float64())), ("r", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -264,7 +278,8 @@ def _segments(ids: dict[str, int]):
                         hits = [(k, ids[f]) for k, w in enumerate(part) for f in token_features(w) if f in ids]
                         r = xxhash.xxh64_intdigest(f"{no} {i} {' '.join(part)}") >> 2
                         if hits or r % 16 == 0:  # background segments: one in sixteen, by hash
-                            rows.append({"n": len(part), "at": [k for k, _ in hits], "ids": [f for _, f in hits], "tags": sorted({k for k, _ in hits}) if toxic else [], "r": r + (0 if hits else 1 << 62)})
+                            told = {k: max(belief.get(f, 0.0) for f in token_features(part[k])) for k, _ in hits} if toxic else {}
+                            rows.append({"n": len(part), "at": [k for k, _ in hits], "ids": [f for _, f in hits], "tags": list(told), "told": list(told.values()), "r": r + (0 if hits else 1 << 62)})
             yield _batches(rows, schema)
 
     return run
@@ -293,12 +308,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 4000, max_clean: in
     n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1 or not n0:
         return Model()
-    ids = {f: i for i, f in enumerate(_seeds(picked))}
+    belief = _seeds(picked)
+    ids = {f: i for i, f in enumerate(belief)}
     if not ids:
         return Model()
-    cut = picked.mapInArrow(_segments(ids), "n int, at array<int>, ids array<int>, tags array<int>, r long")
+    cut = picked.mapInArrow(_segments(ids, belief), "n int, at array<int>, ids array<int>, tags array<int>, told array<double>, r long")
     rows = cut.filter(f"r < {1 << 62}").orderBy("r").limit(MAX_SEGMENTS * 2 // 3).collect() + cut.filter(f"r >= {1 << 62}").orderBy("r").limit(MAX_SEGMENTS // 3).collect()
-    weights, bias, moves = fit_chains([(r["n"], r["at"], r["ids"], r["tags"]) for r in rows], len(ids))
+    weights, bias, moves = fit_chains([(r["n"], r["at"], r["ids"], r["tags"], r["told"]) for r in rows], len(ids))
     model = Model({f: float(weights[i]) for f, i in ids.items()}, bias, tuple(float(v) for v in moves))
     raw = picked.select(_tag(model)("text")["total"].alias("x"), "toxic").toPandas()  # two numbers for each of the sample's rows
     y = raw["toxic"].to_numpy(float)

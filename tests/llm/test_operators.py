@@ -324,6 +324,20 @@ def test_toxicity(spark, toxic_docs, odd, nothing):
     assert {x.predicted for x in toxicity.score(odd, toxicity.fit(odd, labels.limit(0))).collect()} == {0}
 
 
+def test_toxicity_from_few_labels(spark, docs, toxic_docs):
+    """Few toxic rows still give a model: words seen in four of them, in no clean one; and never an empty one."""
+    labels = table(spark, SMALL, "labels")
+    model = toxicity.fit(docs, labels)
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    rows = [r for r in toxicity.score(docs, model).collect() if truth.get(r.doc_id) is not None]
+    caught = [r.predicted for r in rows if truth[r.doc_id] == 1]
+    wrong = [r.predicted for r in rows if truth[r.doc_id] == 0]
+    assert model.weights and sum(caught) >= 0.5 * len(caught) and sum(wrong) <= 0.05 * len(wrong)
+    assert toxicity.reject(docs, model).count() < docs.count()
+    few = toxic_docs.filter("doc_id < 9").selectExpr("doc_id", "truth as toxic")
+    assert toxicity.fit(toxic_docs.drop("truth"), few).weights
+
+
 def test_mixing(spark, docs, odd, nothing):
     labels = table(spark, SMALL, "labels")
     model = mixing.fit_classifier(docs, labels)
