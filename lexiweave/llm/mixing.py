@@ -2,14 +2,14 @@
 
 A softmax classifier over hashed words, fitted to labelled rows, gives every document posteriors over the labels'
 domains. Rates r >= floor minimise sum_k (sum_d a_dk r_d - t_k)^2 + decay * sum_d w_d (r_d - 1)^2, with a_dk the
-document's share of all tokens times its posterior, t_k the target share and w_d its share of tokens, by accelerated
-projected gradient steps. A document's gradient depends only on its posteriors and the K residuals of each step, so
-a step is one pass that sums K numbers; a document's rate is replayed from the residuals' history, and nothing but
-K sums a step reaches the driver.
+document's share of all tokens times its posterior, t_k the target share and w_d its share of tokens. At the minimum
+r_d = max(floor, 1 - sum_k p_dk mu_k) for one mu_k a domain; Newton steps on the dual find these K numbers. A step is one
+pass that sums the K shares, the function and its K x K second derivatives, and nothing but these sums reaches the driver.
 """
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -101,68 +101,84 @@ def membership(model: Classifier, column):
 
 @dataclass
 class Steps:
-    """The residuals of the steps so far, from which any document's rate follows."""
+    """A number for each domain, from which any document's rate follows."""
 
-    history: list[np.ndarray]
+    mu: np.ndarray
     floor: float = 0.0
-    decay: float = 1e-3
 
-    def points(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of documents with posteriors p: the rates after the last step, and the point where the next gradient is taken."""
-        rate = point = np.full(len(p), max(1.0, self.floor))
-        t = 1.0
-        for g in self.history:
-            new = np.maximum(self.floor, point - (p @ g + self.decay * (point - 1)) / (1 + self.decay))
-            t, before = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
-            rate, point = new, new + (before - 1) / t * (new - rate)
-        return rate, point
+    def rate(self, p: np.ndarray) -> np.ndarray:
+        return np.maximum(self.floor, 1 - p @ self.mu)
 
 
-def _totals(steps: Steps, of_rate: bool):
+def _totals(steps: Steps):
+    """Of a part: sums of tokens times rate by domain, of the function that is minimised, and of its second derivatives."""
+    k = len(DOMAINS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(DOMAINS))
+        total = np.zeros(k + 1 + k * k)
         for batch in batches:
             if batch.num_rows:
-                p = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-                rate = steps.points(p)[0 if of_rate else 1]
-                total += (batch.column(0).to_numpy() * rate) @ p
+                n, p = batch.column(0).to_numpy().astype(float), batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+                u, f = p @ steps.mu, steps.floor
+                free = 1 - u > f
+                total[:k] += (n * steps.rate(p)) @ p
+                total[k] += n @ np.where(free, (1 - u) ** 2 / 2, f - f * u - f * f / 2)
+                total[k + 1 :] += ((p * (n * free)[:, None]).T @ p).ravel()
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["t"])
 
     return run
 
 
-def _sum(members: DataFrame, steps: Steps, of_rate: bool = False) -> np.ndarray:
-    parts = members.select("tokens", "p").mapInArrow(_totals(steps, of_rate), "t array<double>")
-    row = parts.agg(*[F.sum(F.get("t", F.lit(k))) for k in range(len(DOMAINS))]).first()
+def _sum(members: DataFrame, steps: Steps) -> np.ndarray:
+    k = len(DOMAINS)
+    parts = members.select("tokens", "p").mapInArrow(_totals(steps), "t array<double>")
+    row = parts.agg(*[F.sum(F.get("t", F.lit(i))) for i in range(k + 1 + k * k)]).first()
     return np.array([float(v or 0.0) for v in row])
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float], floor: float = 0.0, max_steps: int = 60, tolerance: float = 1e-4) -> tuple[Steps, dict]:
-    """members: tokens, p. Steps that give the rates, and a report of the domains' shares before and after.
+def fit_rates(members: DataFrame, targets: dict[str, float], floor: float = 0.0, max_steps: int = 100, tolerance: float = 1e-6, decay: float = 1e-3) -> tuple[Steps, dict]:
+    """members: tokens, p. What gives the rates, and a report of the domains' shares before and after.
 
     Targets are shares of the tokens now there; with a floor of 1 (no document may go) the mix grows to the least total at
-    which no domain has to shrink.
+    which no domain has to shrink. Newton steps until the gradient is zero (an error if it is not); a goal that is then
+    missed is out of reach, and a warning says by how much. decay is scaled by the rarest wanted domain's share.
     """
-    steps, want = Steps([], floor), np.array([max(0.0, targets.get(d, 0.0)) for d in DOMAINS])
-    now = _sum(members, Steps([], 0.0))
+    k, want = len(DOMAINS), np.array([max(0.0, targets.get(d, 0.0)) for d in DOMAINS])
+    steps = Steps(np.zeros(k), floor)
+    got = _sum(members, steps)
+    now = _sum(members, Steps(np.zeros(k)))[:k] if floor > 1 else got[:k]
     total = float(now.sum())
     if not total or not want.sum():
         return steps, {"total": total}
     share = want / want.sum()
     goal = share * (1.0 if floor < 1 else max(1.0, float((now[share > 0] / total / share[share > 0]).max())))
+    decay *= max(1e-6, min(1.0, float((now[share > 0] / total).min())))
+    value = lambda s, t: decay / 2 * s.mu @ s.mu + goal @ s.mu + t[k] / total
     for _ in range(max_steps):
-        got = _sum(members, steps) / total
-        steps.history.append(got - goal)
-        last = steps.history[-4:]
-        if abs(last[-1]).max() < tolerance or len(last) == 4 and max(abs(a - last[-1]).max() for a in last) < tolerance:
-            break  # met, or as near as the floor lets it come
-    return steps, {"total": total, "goal": dict(zip(DOMAINS, goal * total)), "before": dict(zip(DOMAINS, now)), "after": dict(zip(DOMAINS, _sum(members, steps, True)))}
+        slope = goal + decay * steps.mu - got[:k] / total
+        if abs(slope).max() < tolerance:
+            break
+        move = -np.linalg.solve(got[k + 1 :].reshape(k, k) / total + decay * np.eye(k), slope)
+        size = 1.0
+        while True:  # halve the step until the function falls as it should
+            new = Steps(steps.mu + size * move, floor)
+            there = _sum(members, new)
+            if value(new, there) <= value(steps, got) + 1e-4 * size * (slope @ move) + 1e-12 or size < 1e-6:
+                break
+            size /= 2
+        steps, got = new, there
+    else:
+        raise RuntimeError(f"mixing did not settle: gradient {slope}")
+    missed = got[:k] / total - goal
+    if abs(missed).max() > 1e-3:
+        warnings.warn(f"mixing targets out of reach, in shares of all tokens: {dict(zip(DOMAINS, missed.round(6).tolist()))}", stacklevel=2)
+    return steps, {"total": total, "goal": dict(zip(DOMAINS, goal * total)), "before": dict(zip(DOMAINS, now)), "after": dict(zip(DOMAINS, got[:k])), "missed": dict(zip(DOMAINS, missed))}
 
 
 def rates(steps: Steps, column):
     @F.arrow_udf("double")
     def of(p: pa.Array) -> pa.Array:
-        return pa.array(steps.points(p.flatten().to_numpy().reshape(len(p), -1))[0] if len(p) else np.empty(0))
+        return pa.array(steps.rate(p.flatten().to_numpy().reshape(len(p), -1)) if len(p) else np.empty(0))
 
     return of(column)
 

@@ -357,6 +357,19 @@ def test_mixing(spark, docs, odd, nothing):
     assert mixing.remix(nothing, model, targets).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.003, 0.001, 0.0003])
+def test_mixing_meets_the_target_of_a_rare_domain(spark, share):
+    rng, n = np.random.default_rng(3), 20_000
+    kind = np.where(np.arange(n) < share * n, 2, np.where(np.arange(n) % 5 == 0, 1, 0))
+    p = 0.99998 * np.eye(3)[kind] + 0.00002 / 3
+    members = spark.createDataFrame([(int(t), q.tolist()) for t, q in zip(rng.integers(50, 500, n), p)], "tokens long, p array<double>")
+    for floor in (0.0, 1.0):
+        _, report = mixing.fit_rates(members, {"high": 0.90, "low": 0.07, "toxic": 0.03}, floor)
+        goal, after = report["goal"], report["after"]
+        assert all(abs(after[d] - goal[d]) < 0.001 * report["total"] for d in goal)
+        assert abs(after["toxic"] / sum(after.values()) - 0.03) < 0.001
+
+
 def test_sharding(docs, texts, odd, nothing):
     def check(rows, law_bytes):
         shards = collections.defaultdict(list)
