@@ -248,40 +248,104 @@ def test_equal_passages_behind_a_frequent_phrase(spark):
     got = {r.doc_id: r for r in passage_dedup.passages(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
     assert [got[a].class_id == got[b].class_id and got[a].repeated and got[b].repeated for a, b in pairs] == [True] * len(pairs)
     assert sum(r.repeated for r in got.values()) == 2 * len(pairs)
-    x = np.random.default_rng(1).integers(0, 1 << 62, 300).astype(np.uint64)
-    h = passage_dedup.window_hashes(np.concatenate([x[:100], x[20:120], x]), 46)
-    assert (h[100:135] == h[20:55]).all() and (h[200:] == passage_dedup.window_hashes(x, 46)).all() and len(np.unique(h[200:])) == 255
 
 
-def test_similar_starts_are_tried_at_every_place():
+def brute_links(texts):
+    """Pairs of texts with similar passages, by the sets of all their windows."""
+    width = passage_dedup.WIDTH
+    words = [t.split() for t in texts]
+    wins = [[frozenset(map(tuple, (w[i : i + 5] for i in range(s, s + width)))) for s in range(len(w) - 4 - width + 1)] for w in words]
+    whole = [frozenset().union(*w) for w in wins]
+    near = [(i, j) for j in range(len(texts)) for i in range(j) if len(whole[i] & whole[j]) >= passage_dedup.COMMON]
+    return [(i, j) for i, j in near if any(len(a & b) >= 0.8 * len(a | b) for a in wins[i] for b in wins[j])]
+
+
+@pytest.mark.parametrize("few, many", [(24, 20_000), (4, 20_000), (1, 8)])  # pair by pair, by common keys, by keys through a shuffle
+def test_near_passages_against_brute_force(spark, few, many):
+    """A group of variants that are mostly unlike one another, and pairs with one word changed, put in or left out."""
+    rng = random.Random(5)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    base, texts = some(60), []
+    for _ in range(60):
+        part = list(base)
+        for _ in range(2):
+            part[rng.randrange(60)] = some(1)[0]
+        texts.append(" ".join([*some(40), *part, *some(40)]))
+    for i in range(60):
+        part = some(52 + i % 9)
+        other, at = list(part), rng.randrange(5, len(part) - 5)
+        other[at : at + (i % 3 != 1)] = [[f"x{i}"], [f"x{i}"], []][i % 3]
+        texts += [" ".join([*some(30), *part, *some(30)]), " ".join([*some(33), *other, *some(30)])]
+    links = brute_links(texts)
+    parent = list(range(len(texts)))
+
+    def find(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for a, b in links:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    got = {r.doc_id: r for r in passage_dedup.passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), few=few, many=many).collect()}
+    same = [got[a].class_id == got[b].class_id for a, b in links]
+    pairs = [(a, b) for b in range(len(texts)) for a in range(b) if find(a) == find(b)]
+    assert len(links) > 150 and sum(same) >= 0.95 * len(same) and sum(got[a].class_id == got[b].class_id for a, b in pairs) >= 0.9 * len(pairs)
+    linked = {v for pair in links for v in pair}
+    assert not [d for d, r in got.items() if r.repeated and d not in linked]
+
+
+def test_passages_of_odd_rows(odd, nothing):
+    """Nulls, empty texts, repeated rows and columns with clashing names, column by column."""
+    got = sorted(((r.doc_id, r.class_id, r.repeated, r.n_repeat_words) for r in passage_dedup.passages(odd).collect()), key=str)
+    want = [(d, d, False, 0) for d, _, _ in ODD if d not in (7, 8)] + [(7, 7, True, 9000), (8, 7, True, 9001)]
+    assert [(*g[:3],) for g in got] == [(*w[:3],) for w in sorted(want, key=str)]
+    assert {g[0]: g[3] for g in got if g[2]} == {7: 9000, 8: 9000}
+    assert passage_dedup.passages(nothing).count() == 0
+
+
+def test_similarity_at_every_start():
     """A word put in, or left out, at any place of a passage in unrelated text: all starts against sets built anew."""
-    rng, width = np.random.default_rng(6), passage_dedup.WIDTH
+    rng, width, side = np.random.default_rng(6), passage_dedup.WIDTH, passage_dedup.SIDE
     word = lambda n: " ".join(f"w{v}" for v in rng.integers(0, 10**6, n))
     found = 0
     for trial in range(60):
         shared = word(54 + trial % 7).split()
         cut = 15 + trial % 25
         other = shared[:cut] + (["extra"] if trial % 2 else []) + shared[cut + 1 - trial % 2 :]
-        x, y = (passage_dedup.shingles(" ".join([word(70), *p, word(70)]).encode()) for p in (shared, other))
-        for by in (0, -1 if trial % 2 == 0 else 1):  # laid side by side before the change, and after it
-            p, q = x[max(0, -by) :], y[max(0, by) :]
-            sets = [(set(p[s : s + width].tolist()), set(q[s : s + width].tolist())) for s in range(min(len(p), len(q)) - width + 1)]
-            want = [s for s, (a, b) in enumerate(sets) if len(a & b) >= 0.8 * len(a | b)]
-            assert passage_dedup.similar_starts(p, q, width).tolist() == want
-            found += bool(want)
-    assert found >= 60
-    again = np.tile(np.arange(5), 30)  # repeated shingles count once
-    assert passage_dedup.distinct(again, 46).tolist() == [5] * (len(again) - 45)
+        x, y = (passage_dedup.shingles([" ".join([word(70), *p, word(70)]).encode()])[0].astype(np.uint32) for p in (shared, other))
+        at = 70 + (4 if cut > 25 else 46)  # the anchor, before the change or after it
+        by = 0 if cut > 25 else len(other) - len(shared)
+        rows = [(0, n, a, a - side, z[a - side : a + side + 1].tobytes()) for n, a, z in ((0, at, x), (1, at + by, y))]
+        got = np.flatnonzero(passage_dedup.similar(passage_dedup.Laid(rows), np.array([0]), np.array([1]))[0])
+        sets = [(set(x[s : s + width].tolist()), set(y[s + by : s + by + width].tolist())) for s in range(at - side, at + 1)]
+        want = [s for s, (a, b) in enumerate(sets) if len(a & b) >= 0.8 * len(a | b)]
+        assert got.tolist() == want
+        found += bool(want)
+    assert found >= 40
+    again = np.tile(np.arange(5), 30)[None]  # repeated shingles count once
+    assert passage_dedup.distinct(again, 46)[0].tolist() == [5] * (again.size - 45)
 
 
 def test_compact_windows():
-    """Every passage of the width is in exactly one run of starts, whose place is its minimum."""
-    h = np.random.default_rng(2).integers(0, 1 << 62, 5000).astype(np.uint64)
-    first, at = passage_dedup.runs(h, 46)
-    ends = np.append(first[1:], len(h) - 45)
-    for f, e, c in zip(first, ends, at):
-        for s in {f, (f + e - 1) // 2, e - 1}:
-            assert h[s : s + 46].argmin() + s == c
+    """The minima are the nodes of the Cartesian tree that hold a passage, each with the starts of its compact window."""
+    h, width = np.random.default_rng(2).integers(0, 1 << 62, 3000).astype(np.uint64), 46
+    want, todo = np.empty(len(h) - width + 1, np.int64), [(0, len(h))]
+    while todo:
+        left, right = todo.pop()
+        if right - left >= width:
+            c = left + int(h[left:right].argmin())
+            want[max(left, c - width + 1) : min(c, right - width) + 1] = c
+            todo += [(left, c), (c + 1, right)]
+    assert (passage_dedup.minima(h, width) == want).all()
+
+
+def test_shingles_do_not_hang_on_their_neighbours(monkeypatch):
+    texts = [b"", b"a b c d", b"A b\tc d  e f", b"\n", b"x y z a b c d e f", "é b c d e".encode()]
+    alone = [passage_dedup.shingles([t])[0].tolist() for t in texts]
+    for size in (1 << 20, 3):
+        monkeypatch.setattr(passage_dedup, "SLICE", size)
+        x, n = passage_dedup.shingles(texts)
+        assert n.tolist() == [0, 0, 2, 0, 5, 1] and x.tolist() == sum(alone, []) and alone[2] == alone[4][-2:]
 
 
 def test_marginals_against_all_taggings():
