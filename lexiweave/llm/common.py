@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
+import time
 import uuid
 from contextlib import contextmanager
 
@@ -38,13 +41,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder that spark.checkpoint.dir names (a local one only where it is unset)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lexiweave-"))
+    """Cut the lineage through the folder that spark.checkpoint.dir names; see checkpoint_folder()."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset, a temporary one if all runs on this machine, else an error."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lexiweave-"))
+    return sc.getCheckpointDir()
+
+
+def release(spark: SparkSession) -> None:
+    """Let the shuffle files of plans that a checkpoint has cut go now: Spark removes them once the driver's garbage is collected."""
+    for _ in range(2):  # the plans first, what they held then
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
 def arrow_function(ddl: str):
     """An Arrow UDF made when it is first applied, so that importing needs no session."""
 
