@@ -3,12 +3,13 @@
 Labels are of documents, so tokens get theirs from features (whole words and word beginnings) that occur in toxic
 labelled documents and hardly in others: such a token in a toxic document is tagged 1 as far as its feature is
 believed (by its likelihood ratio, against one telling feature among all tried), all others 0. The field
-learns a weight for each feature, a bias and the four transitions from segments of labelled documents. In a
-text, forward-backward runs over each line that holds an active feature; the other lines hold only background
-tokens, whose marginals are taken as 0. The marginals' sum over the text gives its score through a fitted
-logistic curve; tokens with a marginal of a half or more are its offending spans.
+learns a weight for each such feature of a token, for the words and telling features of its neighbours, a bias and the four
+transitions from segments of labelled documents. In a text, forward-backward runs over each line that holds a telling feature; the
+other lines hold only background tokens, whose marginals are taken as 0 (the bias makes them so small that a long clean text's would
+add up to nothing but its length). The marginals' sum over the text gives its score through a fitted logistic curve; tokens with a
+marginal of a half or more are its offending spans.
 
-Training reads at most `max_toxic` and `max_clean` labelled rows, the first by a hash of their id.
+Training reads at most `max_toxic` and `max_clean` labelled rows, the first by a hash of their id, and of these `max_segments` segments.
 """
 
 from __future__ import annotations
@@ -21,14 +22,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_function, checkpoint, table
 
 TOKEN = re.compile(r"[^\W_]+")
 BEGINNINGS = (4, 5, 6)
-SEGMENT, MAX_SEGMENTS, MAX_FEATURES = 32, 6000, 20_000
+SEGMENT = 32
 THRESHOLD = 0.3
 HELD_OUT = 2
 #: Beside features that pass, those whose likelihood ratio (a logarithm) falls short by this at most are believed a little.
@@ -40,11 +41,22 @@ def token_features(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n)]
 
 
+def neighbours(words: list[str], own: list[list[str]], i: int) -> list[str]:
+    """Features of token i from the tokens beside it: their words and their telling features (own)."""
+    out = []
+    if i:
+        out += ["<" + words[i - 1], *("<<" + f for f in own[i - 1])]
+    if i + 1 < len(words):
+        out += [">" + words[i + 1], *(">>" + f for f in own[i + 1])]
+    return out
+
+
 @dataclass
 class Model:
     weights: dict[str, float] = field(default_factory=dict)
     bias: float = -8.0
     transition: tuple = (0.0, 0.0, 0.0, 0.0)  # 00, 01, 10, 11
+    context: dict[str, float] = field(default_factory=dict)  # of neighbours: words and telling features, marked < and >
     slope: float = 1.0
     offset: float = -20.0
 
@@ -100,14 +112,11 @@ class Model:
         total, spans = 0.0, []
         for start, end in self.active_lines(low):
             tokens = [(m.start(), m.end()) for m in TOKEN.finditer(low, start, end)]
-            unary = [self.bias] * len(tokens)
-            active = False
-            for i, (s, e) in enumerate(tokens):
-                known = [w for f in token_features(low[s:e]) if (w := self.weights.get(f)) is not None]
-                if known:
-                    unary[i] += sum(known)
-                    active = True
-            if active:
+            words = [low[s:e] for s, e in tokens]
+            own = [[f for f in token_features(w) if f in self.weights] for w in words]
+            if any(own):
+                weigh = lambda i: sum(map(self.weights.__getitem__, own[i])) + sum(self.context.get(f, 0.0) for f in neighbours(words, own, i))
+                unary = [self.bias + weigh(i) for i in range(len(words))]
                 p = self.marginals(unary)
                 total += sum(p)
                 spans += [(*at, q) for at, q in zip(tokens, p) if q >= 0.5]
@@ -162,7 +171,7 @@ def fit_chains(segments: list[tuple[int, list[int], list[int], list[int], list[f
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
         unary = np.full((n, width), theta[n_features])
-        np.add.at(unary, (row, col), theta[ids])
+        unary += np.bincount(row * width + col, theta[ids], n * width).reshape(n, width)
         p, moves, _ = chain_marginals(unary, lengths, theta[n_features + 1 :])
         d = (gold - p) * inside
         grad = np.concatenate([np.bincount(ids, d[row, col], n_features), [d.sum()], want - moves]) / n - decay * theta
@@ -172,16 +181,20 @@ def fit_chains(segments: list[tuple[int, list[int], list[int], list[int], list[f
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, decay: float = 0.02) -> tuple[float, float]:
-    """Slope and offset of a weighted logistic curve by Newton's method, slope held back a little."""
+    """Slope and offset of a weighted logistic curve by damped Newton steps, slope held back a little."""
     c = float(np.average(x, weights=w))
     a, b = np.column_stack([x - c, np.ones_like(x)]), np.zeros(2)
     ridge = np.diag([decay, 1e-6]) * len(x) / 100
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
-        h = (a * (w * p * (1 - p))[:, None]).T @ a + ridge
-        move = np.linalg.solve(h, a.T @ (w * (y - p)) - ridge @ b)
-        b += np.clip(move, -2, 2)
-        if abs(move).max() < 1e-6:
+    loss = lambda b: float(w @ (np.logaddexp(0, a @ b) - y * (a @ b)) + b @ ridge @ b / 2)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(a @ b, -500, 500)))
+        slope = a.T @ (w * (y - p)) - ridge @ b
+        move = np.linalg.solve((a * (w * p * (1 - p))[:, None]).T @ a + ridge, slope)
+        size = 1.0
+        while loss(b + size * move) > loss(b) - 1e-4 * size * (slope @ move) and size > 1e-9:  # halved until the loss falls as it should
+            size /= 2
+        b = b + size * move
+        if abs(size * move).max() < 1e-7:
             break
     return float(b[0]), float(b[1] - b[0] * c)
 
@@ -213,7 +226,7 @@ def _count(known: frozenset):
     return run
 
 
-def _seeds(picked: DataFrame, rounds: int = 8) -> dict[str, float]:
+def _seeds(picked: DataFrame, max_features: int, rounds: int = 8) -> dict[str, float]:
     """Features whose documents are toxic beyond chance, and how far each is believed: 1 where its likelihood ratio over
     the base rate passes the log of the number of features tried, so that few labelled rows give weaker features, not none.
     While any pass, only those are taken, and then the best of the rest if they come near, or if there are no others. A round takes those within a quarter of the best; the next looks only at toxic documents that
@@ -243,7 +256,7 @@ def _seeds(picked: DataFrame, rounds: int = 8) -> dict[str, float]:
             good = seen.filter((F.col("f") != "") & (F.col("t") > 0)).withColumn("g", ratio).orderBy(F.desc(precise), F.desc("g"), "f").limit(20)
         else:
             break
-        for r in good.orderBy(F.desc("g"), "f").limit(MAX_FEATURES // rounds).select("f", "g").collect():
+        for r in good.orderBy(F.desc("g"), "f").limit(max_features // rounds).select("f", "g").collect():
             seeds[r["f"]] = 1.0 if strict is not None else 1 / (1 + math.exp(min(500.0, max(0.0, enough - r["g"]))))
     return seeds
 
@@ -262,8 +275,9 @@ def _sketch(texts: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.int64()))
 
 
-def _segments(ids: dict[str, int], belief: dict[str, float]):
-    schema = pa.schema([("n", pa.int32()), ("at", pa.list_(pa.int32())), ("ids", pa.list_(pa.int32())), ("tags", pa.list_(pa.int32())), ("told", pa.list_(pa.float64())), ("r", pa.int64())])
+def _segments(belief: dict[str, float], background: int):
+    """Segments with a telling feature, and one in `background` of the others, by hash: words, tagged places and how far each is believed."""
+    schema = pa.schema([("words", pa.list_(pa.string())), ("tags", pa.list_(pa.int32())), ("told", pa.list_(pa.float64())), ("hit", pa.bool_()), ("r", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -275,11 +289,11 @@ def _segments(ids: dict[str, int], belief: dict[str, float]):
                     words = TOKEN.findall(line)
                     for i in range(0, len(words), SEGMENT):
                         part = words[i : i + SEGMENT]
-                        hits = [(k, ids[f]) for k, w in enumerate(part) for f in token_features(w) if f in ids]
-                        r = xxhash.xxh64_intdigest(f"{no} {i} {' '.join(part)}") >> 2
-                        if hits or r % 16 == 0:  # background segments: one in sixteen, by hash
-                            told = {k: max(belief.get(f, 0.0) for f in token_features(part[k])) for k, _ in hits} if toxic else {}
-                            rows.append({"n": len(part), "at": [k for k, _ in hits], "ids": [f for _, f in hits], "tags": list(told), "told": list(told.values()), "r": r + (0 if hits else 1 << 62)})
+                        known = [max((belief.get(f, 0.0) for f in token_features(w)), default=0.0) for w in part]
+                        tags = [k for k, v in enumerate(known) if v and toxic]
+                        r = xxhash.xxh64_intdigest(f"{no} {i} {' '.join(part)}") >> 1
+                        if any(known) or r % background == 0:
+                            rows.append({"words": part, "tags": tags, "told": [known[k] for k in tags], "hit": any(known), "r": r})
             yield _batches(rows, schema)
 
     return run
@@ -289,8 +303,29 @@ def held_out(id_col: str) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(4)) == HELD_OUT
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 4000, max_clean: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model from the labelled rows that are not held out. Without toxic ones (or clean ones) it scores every text near 0."""
+def fit_field(segments: list[tuple[list[str], list[int], list[float]]], telling: list[str], max_context: int) -> Model:
+    """The field of segments (words, tagged places, how far each is believed). Context features are those seen in five segments or more."""
+    own = [[[f for f in token_features(w) if f in known] for w in words] for known in (set(telling),) for words, _, _ in segments]
+    beside = [[neighbours(words, o, i) for i in range(len(words))] for (words, _, _), o in zip(segments, own)]
+    seen = Counter(f for near in beside for f in {f for at in near for f in at})
+    context = sorted((f for f, n in seen.items() if n >= 5), key=lambda f: (-seen[f], f))[:max_context]
+    ids = {f: i for i, f in enumerate([*telling, *context])}
+    rows = []
+    for (words, tags, told), o, near in zip(segments, own, beside):
+        hits = [(k, ids[f]) for k in range(len(words)) for f in (*o[k], *near[k]) if f in ids]
+        rows.append((len(words), [k for k, _ in hits], [f for _, f in hits], tags, told))
+    weights, bias, moves = fit_chains(rows, len(ids))
+    at = {f: float(weights[i]) for f, i in ids.items()}
+    return Model({f: at[f] for f in telling}, bias, tuple(float(v) for v in moves), {f: at[f] for f in context})
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 4000, max_clean: int = 6000, max_segments: int = 6000, max_features: int = 20_000, max_context: int = 4000, background: int = 16, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """A model from the labelled rows that are not held out. Without toxic ones (or clean ones) it scores every text near 0.
+
+    Bounds of training: labelled rows by label, segments (two thirds with a telling feature at most; of the others one in `background`),
+    telling features, and features of neighbours. Nulls and empty texts teach nothing; of near copies with one label the least by
+    hash and id stays, so that the model does not hang on the order of rows.
+    """
     known = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out("id"))
     counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     if not counts.get(1) or not counts.get(0):
@@ -299,24 +334,24 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 4000, max_clean: in
     sample = of(1, max_toxic).union(of(0, max_clean)).dropDuplicates(["id"])
     # At most max_toxic + max_clean ids, so they can be sent to every task.
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).filter("text is not null")
-    picked = texts.join(F.broadcast(sample), F.col("doc") == F.col("id")).select("text", "toxic")
+    picked = texts.join(F.broadcast(sample), F.col("doc") == F.col("id")).select("id", "text", "toxic", F.xxhash64("text").alias("x"))
     picked = checkpoint(picked.withColumn("h", _sketch("text")))
     for i in range(4):  # copies and most near copies of a sampled text say nothing new
-        picked = picked.withColumn("m", F.get("h", F.lit(i))).dropDuplicates(["m"])
+        first = F.row_number().over(Window.partitionBy("toxic", F.get("h", F.lit(i))).orderBy("x", "id"))
+        picked = picked.withColumn("first", first).filter("first = 1").drop("first")
     picked = checkpoint(picked.select("text", "toxic"))
     size = {r[0]: r[1] for r in picked.groupBy("toxic").count().collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1 or not n0:
         return Model()
-    belief = _seeds(picked)
-    ids = {f: i for i, f in enumerate(belief)}
-    if not ids:
+    belief = _seeds(picked, max_features)
+    if not belief:
         return Model()
-    cut = picked.mapInArrow(_segments(ids, belief), "n int, at array<int>, ids array<int>, tags array<int>, told array<double>, r long")
-    rows = cut.filter(f"r < {1 << 62}").orderBy("r").limit(MAX_SEGMENTS * 2 // 3).collect() + cut.filter(f"r >= {1 << 62}").orderBy("r").limit(MAX_SEGMENTS // 3).collect()
-    weights, bias, moves = fit_chains([(r["n"], r["at"], r["ids"], r["tags"], r["told"]) for r in rows], len(ids))
-    model = Model({f: float(weights[i]) for f, i in ids.items()}, bias, tuple(float(v) for v in moves))
-    raw = picked.select(_tag(model)("text")["total"].alias("x"), "toxic").toPandas()  # two numbers for each of the sample's rows
+    cut = picked.mapInArrow(_segments(belief, background), "words array<string>, tags array<int>, told array<double>, hit boolean, r long")
+    part = lambda hit, n: cut.filter(hit).orderBy("r", F.size("tags"), F.concat_ws(" ", "words")).limit(n).collect()
+    rows = part(F.col("hit"), max_segments * 2 // 3) + part(~F.col("hit"), max_segments // 3)
+    model = fit_field([(r["words"], r["tags"], r["told"]) for r in rows], sorted(belief), max_context)
+    raw = picked.select(_tag(model)("text")["total"].alias("x"), "toxic").toPandas().sort_values(["toxic", "x"])  # two numbers for each of the sample's rows
     y = raw["toxic"].to_numpy(float)
     w = np.where(y == 1, counts[1] / n1, counts[0] / n0)
     model.slope, model.offset = fit_logistic(np.log(raw["x"].to_numpy() + 1e-6), y, w / w.mean())
@@ -346,7 +381,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def reject(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text scores under the threshold."""
+    """The rows of docs whose text scores under the threshold, with all their columns; null and empty texts stay, repeated rows
+    stay or go alike, an empty table gives no rows."""
     return docs.filter(_tag(model)(F.col(text_col))["score"] < THRESHOLD)
 
 

@@ -73,7 +73,7 @@ def test_tokens_equal_the_library():
 
     from lexiweave.llm.tokenize import WordBpe
 
-    bpe, exact, rng = WordBpe(vocabulary(), cache_limit=50), Tokenizer.from_file(vocabulary()), random.Random(1)
+    bpe, exact, rng = WordBpe(vocabulary(), cache_bytes=4000), Tokenizer.from_file(vocabulary()), random.Random(1)
     pool = [chr(c) for c in (*range(9, 14), *range(32, 127), *range(0xA1, 0x250))] * 2 + list("日é́ \x1c\x85")
     cases = ["".join(rng.choices(pool, k=rng.randrange(50))) for _ in range(600)] + ["", "it's 'tis don't", "a <|endoftext|> b", LONG[:3000]]
     for t in cases:
@@ -360,6 +360,24 @@ def test_marginals_against_all_taggings():
     assert np.allclose(model.marginals(list(u)), ones / total)
 
 
+def test_logistic_curve_settles():
+    """Overlapping, separable and lopsided classes: the curve rises, and no other slope or offset nearby has less loss."""
+    rng = np.random.default_rng(4)
+    for gap, n1 in ((0.5, 300), (8.0, 300), (40.0, 20), (20.0, 5)):
+        x, y = np.r_[rng.normal(-gap, 1, 2000), rng.normal(0, 1, n1)], np.r_[np.zeros(2000), np.ones(n1)]
+        w = np.r_[np.full(2000, 1.1), np.full(n1, 0.4)]
+        slope, offset = toxicity.fit_logistic(x, y, w)
+        assert slope > 0
+        c = np.average(x, weights=w)
+
+        def loss(s, o):
+            z = s * x + o
+            b = o + s * c
+            return w @ (np.logaddexp(0, z) - y * z) + len(x) / 200 * (0.02 * s * s + 1e-6 * b * b)
+
+        assert all(loss(slope, offset) <= loss(slope + ds, offset + do) for ds in (-0.01, 0, 0.01) for do in (-0.01, 0, 0.01))
+
+
 @pytest.fixture(scope="module")
 def toxic_docs(spark):
     rng = random.Random(7)
@@ -389,6 +407,25 @@ def test_toxicity(spark, toxic_docs, odd, nothing):
     assert {x.predicted for x in toxicity.score(odd, toxicity.fit(odd, labels.limit(0))).collect()} == {0}
 
 
+def test_toxicity_does_not_hang_on_the_order_of_rows(spark, toxic_docs):
+    labels = toxic_docs.selectExpr("doc_id", "truth as toxic")
+    a, b = (toxicity.fit(toxic_docs.repartition(n).drop("truth"), labels.repartition(m)) for n, m in ((1, 3), (5, 2)))
+    assert a.weights == b.weights and a.context == b.context and abs(a.offset - b.offset) < 1e-9
+
+
+def test_neighbours_count():
+    """The same word is tagged beside one word and not beside another."""
+    rng, telling = random.Random(2), ["drop"]
+    words = [f"w{i}" for i in range(30)]
+    segments = []
+    for i in range(300):
+        line = rng.choices(words, k=10)
+        line[4:6] = ["you", "drop"] if i % 2 else ["the", "drop"]
+        segments.append((line, [5] if i % 2 else [], [1.0] if i % 2 else []))
+    model = toxicity.fit_field(segments, telling, 100)
+    assert len(model.tag("w1 w2 you drop w3")[1]) == 1 and not model.tag("w1 w2 the drop w3")[1]
+
+
 def test_toxicity_from_few_labels(spark, docs, toxic_docs):
     """Few toxic rows still give a model: words seen in four of them, in no clean one; and never an empty one."""
     labels = table(spark, SMALL, "labels")
