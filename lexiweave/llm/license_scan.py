@@ -44,7 +44,6 @@ CUES = ("licen", "copyright", "permission", "redistribut", "public domain", "une
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 #: A winner must save this share of the block's size, and have at most this share of the longer wording different.
 MIN_SAVED, MAX_DIFFERENT = 0.3, 0.25
-LONG_BLOCK = 2000  # code points; longer lines are looked at by sentences and runs of them only
 BREAK = re.compile(r"\s*\n[\s#*/;%>-]*")  # a line's end, and what marks the next one as a comment
 
 
@@ -78,7 +77,7 @@ class Scanner:
             cuts = [at, *(m.end() + at for m in re.finditer(r"[.;:!?]\s+", line)), end]
             if self.has_cue(line):
                 spans = [(s, e) for s, e in zip(cuts, cuts[1:]) if self.has_cue(text[s:e])]
-                if len(cuts) > 2 and len(line) <= LONG_BLOCK:
+                if len(cuts) > 2 and len(WORD.findall(line)) <= self.most:  # a longer line lacks too much of any template
                     spans.append((at, end))
                 out += [(s, e) for s, e in spans if text[s:e].strip()]
             units += [(s, e) for s, e in zip(cuts, cuts[1:]) if text[s:e].strip()]
