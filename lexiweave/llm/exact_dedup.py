@@ -2,18 +2,18 @@
 
 A text without its white space is cut into chunks; each chunk is hashed on its own, in parallel, as a polynomial
 modulo two primes and shifted by the bytes before it (times base to that power), so a document's fingerprint is the
-plain sum of its chunks' and can be put together in any order. Rows with equal fingerprints are then
-compared with their group's first row chunk by chunk; a row that differs (a collision) is grouped by its SHA-256 as well.
+plain sum of its chunks' and can be put together in any order. The chunks of rows with equal fingerprints are then
+compared place by place; a group with chunks that differ (a collision) is told apart by SHA-256 as well.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_function, checkpoint, keep_rows, row_key, table
+from .common import arrow_function, checkpoint, fresh, keep_rows, row_key, table
 
 PRIMES, BASES = (2147483647, 2147483629), (1103515245, 1664525)
 CHUNK = 1 << 18  # code points
@@ -59,14 +59,31 @@ def _shifted(chunks: pa.Array, offsets: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays(out, ["a", "b"])
 
 
-def _chunked(docs: DataFrame, *columns, chunk: int) -> DataFrame:
-    """columns, then no (chunk number) and part (the chunk's text) of column norm."""
-    last = F.greatest(F.lit(0), F.floor((F.length("norm") - 1) / chunk)).cast("int")
-    return docs.select("*", F.explode(F.sequence(F.lit(0), last)).alias("no")).withColumn("part", F.substring("norm", F.col("no") * chunk + 1, F.lit(chunk))).select(*columns, "no", "part")
+def _normal(text_col: str) -> Column:
+    return F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "[\\x20\\x09-\\x0D]+", "")
 
 
-def _normal(text_col: str):
-    return F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "[\\x20\\x09-\\x0D]+", "")
+def _chunked(rows: DataFrame, chunk: int, *columns: str) -> DataFrame:
+    """columns, then no (chunk number), part (the chunk's text) and before (bytes before it) of column norm, whose text is read once."""
+    parts, lens = F.regexp_extract_all("norm", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0)), fresh("lens")
+    parts = F.when(F.length("norm") <= chunk, F.array("norm")).otherwise(parts)
+    cut = rows.withColumn(lens, parts).select(*columns, F.transform(lens, F.octet_length).alias(lens), F.posexplode(lens).alias("no", "part"))
+    return cut.select(*columns, "no", "part", F.aggregate(F.slice(lens, F.lit(1), F.col("no")), F.lit(0).cast("long"), lambda a, v: a + v).alias("before"))
+
+
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, chunk: int) -> DataFrame:
+    """uid, doc_id, k, x, n, sha, bytes, fa, fb of each row. Texts of more than a chunk are cut, their chunks dealt to all tasks and summed up."""
+    k, x = row_key(id_col, text_col)
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), k.alias("k"), x.alias("x"), F.coalesce(F.length(text_col), F.lit(0)).alias("n"), _normal(text_col).alias("norm"), F.col(text_col).alias("raw"))
+    own = ["uid", "doc_id", "k", "x", "n"]
+    facts = [F.sha2("norm", 256).alias("sha"), F.octet_length("norm").alias("bytes")]
+    names = ["h.a", "h.b"]
+    long = F.coalesce(F.length("raw"), F.lit(0)) > chunk
+    small = rows.filter(~long).select(*own, *facts, _shifted(F.col("norm").cast("binary"), F.lit(0).cast("long")).alias("h")).select(*own, "sha", "bytes", *[F.col(n).alias(f"f{n[-1]}") for n in names])
+    large = rows.filter(long)
+    parts = _chunked(large, chunk, "uid").repartition("uid", "no").withColumn("h", _shifted(F.col("part").cast("binary"), F.col("before")))
+    sums = parts.groupBy(F.col("uid").alias("of")).agg(*[F.pmod(F.sum(n), F.lit(p)).alias(f"f{n[-1]}") for n, p in zip(names, PRIMES)])
+    return small.union(large.select(*own, *facts).join(sums, F.col("uid") == F.col("of")).select(*small.columns))
 
 
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
@@ -76,27 +93,17 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the original text stays, then the smallest doc_id (null last), then any one of rows that repeat one another.
     Null counts as empty; empty and blank texts are equal to each other; an empty table gives no rows.
     """
-    k, x = row_key(id_col, text_col)
-    norm = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), k.alias("k"), x.alias("x"), F.coalesce(F.length(text_col), F.lit(0)).alias("n"), _normal(text_col).alias("norm"))
-    parts = _chunked(norm.withColumn("sha", F.sha2("norm", 256)).withColumn("bytes", F.octet_length("norm")), "uid", "doc_id", "k", "x", "n", "sha", "bytes", F.when(F.col("no") > 0, F.octet_length(F.substring("norm", F.lit(1), F.col("no") * chunk))).otherwise(0).alias("before"), chunk=chunk)
-    hashed = parts.withColumn("h", _shifted(F.col("part").cast("binary"), F.col("before").cast("long")))
-    rows = hashed.groupBy("uid").agg(*[F.first(c).alias(c) for c in ("doc_id", "k", "x", "n", "sha", "bytes")], *[F.pmod(F.sum(f"h.{c}"), F.lit(p)).alias(f"f{c}") for c, p in zip("ab", PRIMES)])
-    rows = checkpoint(rows)
+    rows = checkpoint(fingerprints(docs, id_col, text_col, chunk))
     by = ["fa", "fb", "bytes"]
-    order = F.struct(-F.col("n"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("uid"))
-    groups = rows.groupBy(*by).agg(F.count("*").alias("size"), F.min(F.struct(order.alias("o"), "k", "x")).alias("first")).filter("size > 1")
-    # Chunk by chunk against the group's first row; only rows of such groups move on after the join.
-    member = rows.select(*by, "k", "x").distinct().join(groups.select(*by, F.col("first.k").alias("k0"), F.col("first.x").alias("x0")), by)
-    member = checkpoint(member)
+    member = rows.join(rows.groupBy(*by).count().filter("count > 1").drop("count"), by).select(*by, "k", "x").distinct()
+    # Chunk by chunk: the chunks of a place in a group are all equal if the least is the greatest; copies meet before the shuffle already.
+    k, x = row_key(id_col, text_col)
     texts = docs.select(k.alias("k"), x.alias("x"), _normal(text_col).alias("norm")).join(member, ["k", "x"])
-    chunks = _chunked(texts, *by, "k", "x", "k0", "x0", chunk=chunk)
-    first = chunks.filter("k = k0 and x = x0").dropDuplicates([*by, "no"]).select(*by, "no", F.col("part").alias("part0"))
-    others = chunks.filter("k <> k0 or x <> x0")
-    wrong = others.join(first, [*by, "no"], "left").filter("not part <=> part0").select("k", "x").distinct().withColumn("wrong", F.lit(True))
-    wrong = checkpoint(wrong)
+    places = _chunked(texts, chunk, *by).groupBy(*by, "no").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    wrong = checkpoint(places.filter("low <> high").select(*by).distinct().withColumn("wrong", F.lit(True)))
     rows = rows.withColumn("tag", F.lit(""))
     if not wrong.isEmpty():
-        rows = rows.drop("tag").join(wrong, ["k", "x"], "left").withColumn("tag", F.when(F.col("wrong"), F.col("sha")).otherwise(""))
+        rows = rows.drop("tag").join(wrong, by, "left").withColumn("tag", F.when(F.col("wrong"), F.col("sha")).otherwise(""))
     by = [*by, "tag"]
     best = rows.groupBy(*by).agg(F.count("*").alias("group_size"), F.min(F.struct(-F.col("n"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("uid").alias("uid"))).alias("b"))
     out = rows.join(best, by)
@@ -104,7 +111,7 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay; see duplicates()."""
+    """The rows of docs that stay, with all their columns, whatever their names; nulls, ties, repeated rows and empty tables as in duplicates()."""
     return keep_rows(docs, duplicates(docs, id_col, text_col).filter("kept"), id_col, text_col)
 
 

@@ -9,6 +9,7 @@ pass that sums the K shares, the function and its K x K second derivatives, and
 
 from __future__ import annotations
 
+import uuid
 import warnings
 import zlib
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_function, checkpoint, row_key, table, utf8
+from .common import arrow_function, checkpoint, checkpoint_folder, fresh, row_key, table, utf8
 
 BUCKETS = 2048
 #: Domains of the labelled rows, by (toxic, quality).
@@ -204,13 +205,18 @@ def mix(docs: DataFrame, model: Classifier, targets: dict[str, float], floor: fl
 
 
 def remix(docs: DataFrame, model: Classifier, targets: dict[str, float], floor: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with each row as often as its rate says (never dropped at a floor of 1); the texts are not shuffled."""
-    m = membership(model, utf8(text_col))
-    members = checkpoint(docs.select(m.alias("m")).select("m.tokens", "m.p"))
-    steps, _ = fit_rates(members, targets, floor)
-    names = [f"`{c}`" for c in docs.columns]
-    rate, n = "__mix_rate", "__mix_no"
-    out = docs.select(*names, rates(steps, m["p"]).alias(rate)).withColumn(n, copies(F.col(rate), *row_key(id_col, text_col)))
+    """docs with each row as often as its rate says (never dropped at a floor of 1); the texts are not shuffled.
+
+    Posteriors are written next to the rows once, as Parquet in the checkpoint folder; the steps read that column alone.
+    Rows with a null or empty text have no tokens and the posteriors of an empty one; rows that repeat one another get equally many
+    copies; columns may have any names; an empty table gives no rows.
+    """
+    spark, names = docs.sparkSession, [f"`{c}`" for c in docs.columns]
+    m, n, folder = fresh("m"), fresh("n"), f"{checkpoint_folder(docs.sparkSession)}/mixing-{uuid.uuid4().hex}"
+    docs.select(*names, membership(model, utf8(text_col)).alias(m)).write.parquet(folder)
+    rows = spark.read.parquet(folder)
+    steps, _ = fit_rates(checkpoint(rows.select(f"{m}.tokens", f"{m}.p")), targets, floor)
+    out = rows.withColumn(n, copies(rates(steps, F.col(f"{m}.p")), *row_key(id_col, text_col)))
     return out.filter(F.col(n) > 0).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*names)
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 
 import numpy as np
 
@@ -29,16 +30,15 @@ def _byte_of_symbol() -> dict[str, int]:
 class WordBpe:
     """encode(text): little-endian unsigned 32-bit ids as bytes."""
 
-    def __init__(self, path: str, cache_limit: int = 150_000):
+    def __init__(self, path: str, cache_bytes: int = 16 << 20):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
-        self.exact = Tokenizer.from_file(path)
+        self.path, self.exact = path, None
         self.cache: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        self.cache_limit = cache_limit
+        self.room = {id(self.cache): cache_bytes, id(self.words): cache_bytes // 4}
         as_byte = _byte_of_symbol()
 
         def raw(symbol: str) -> bytes:
@@ -60,16 +60,25 @@ class WordBpe:
             if ids is None:
                 four = self.four
                 ids = b"".join([four[r] for r in self.merge(word.encode() + WORD_END)])
-                if len(self.words) < self.cache_limit:
-                    self.words[word] = ids
+                self._keep(self.words, word, ids)
             out.append(ids)
         ids = b"".join(out)
-        if len(self.cache) < self.cache_limit:  # frequent chunks come early; a full cache stays as it is
-            self.cache[chunk] = ids
+        self._keep(self.cache, chunk, ids)
         return ids
 
+    def _keep(self, cache: dict[str, bytes], key: str, ids: bytes) -> None:
+        """Frequent words come early, so a full cache stays as it is."""
+        size = sys.getsizeof(key) + sys.getsizeof(ids) + 100  # about what a slot of the dictionary takes
+        if size <= self.room[id(cache)]:
+            self.room[id(cache)] -= size
+            cache[key] = ids
+
     def encode(self, text: str) -> bytes:
         if "<|" in text or not PLAIN.fullmatch(text):
+            if self.exact is None:
+                from tokenizers import Tokenizer
+
+                self.exact = Tokenizer.from_file(self.path)
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         get, cold = self.cache.get, self._cold
         return b"".join([ids if (ids := get(w)) is not None else cold(w) for w in text.lower().split()])
