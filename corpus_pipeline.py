@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from lexiweave.llm import exact_dedup, mixing, packing, simhash, toxicity
-from lexiweave.llm.common import table
+from lexiweave.llm.common import checkpoint_folder, release, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,14 +50,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STAGES over documents, each result written as Parquet under the checkpoint folder and read again."""
-    from lexiweave.llm.common import checkpoint
-
-    docs = table(spark, sf_dir, "documents")
-    checkpoint(spark.range(1))  # sets the folder where the cluster names none
-    base = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    docs, base = table(spark, sf_dir, "documents"), f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs.write.parquet(f"{base}/{i}")
             docs = spark.read.parquet(f"{base}/{i}")
+            release(spark)
     return docs
