@@ -78,17 +78,28 @@ def normalize_rendering(c: Column) -> Column:
     return F.nullif(strip_of(F.regexp_replace(c, "(?U)[\\s\\x{3000}]+", ""), RENDERING_EDGES), F.lit(""))
 
 
+#: Characters that composition (NFKC) never changes and that do not join with others: other texts alone go to Python.
+STABLE = "[\\x00-\\x7E\\x{3001}-\\x{3011}\\x{4E00}-\\x{9FFF}\\x{2018}-\\x{201D}]*"
+
+
+def composed(c: Column) -> Column:
+    """A text in its compatibility form (full-width letters, ligatures, half-width kana)."""
+    from .python_text import compose
+
+    return F.coalesce(compose(F.when(~F.rlike(c, F.lit(f"^{STABLE}$")), c)), c)
+
+
 def surface(c: Column) -> Column:
-    """White space collapsed, quotes stripped; for text already in a composed form."""
-    return strip_of(F.regexp_replace(F.coalesce(c, F.lit("")), "(?U)\\s+", " "), QUOTE_EDGES)
+    """Composed, white space collapsed, quotes stripped."""
+    return strip_of(F.regexp_replace(F.coalesce(composed(c), F.lit("")), "(?U)\\s+", " "), QUOTE_EDGES)
 
 
 def normalize_variant(c: Column) -> Column:
-    return F.nullif(strip_of(collapse(c), QUOTE_EDGES), F.lit(""))
+    return F.nullif(strip_of(collapse(composed(c)), QUOTE_EDGES), F.lit(""))
 
 
 def same_lexical(a: Column, b: Column) -> Column:
-    key = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
+    key = lambda c: F.regexp_replace(F.lower(composed(c)), "[^a-z0-9]+", "")
     return F.coalesce((key(a) != "") & (key(a) == key(b)), F.lit(False))
 
 

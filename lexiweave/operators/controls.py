@@ -26,8 +26,18 @@ def route(occurrences: DataFrame) -> DataFrame:
     return rows.filter((F.col("control") == "HARD") | ~over).drop("_hard")
 
 
+def without_overlaps(spans: DataFrame) -> DataFrame:
+    """Of overlapping spans of a paragraph the longest stay, then those that start first."""
+    size = F.col("char_end") - F.col("char_start")
+    rows = spans.groupBy("document_id", "paragraph_id").agg(F.array_sort(F.collect_list(F.struct((-size).alias("_order"), "char_start", "char_end", F.struct(*spans.columns).alias("row")))).alias("_spans"))
+    meets = lambda x: lambda y: (y["char_start"] < x["char_end"]) & (x["char_start"] < y["char_end"])
+    kept = F.aggregate("_spans", F.slice("_spans", F.lit(1), F.lit(0)), lambda acc, x: F.when(F.exists(acc, meets(x)), acc).otherwise(F.concat(acc, F.array(x))))
+    return rows.select(F.inline(F.transform(kept, lambda x: x["row"])))
+
+
 def number_placeholders(spans: DataFrame) -> DataFrame:
-    """Spans of a paragraph that do not overlap, with their tokens: numbered where a term occurs more than once."""
+    """Spans of a paragraph without overlaps, with their tokens: numbered where a term occurs more than once."""
+    spans = without_overlaps(spans)
     w = Window.partitionBy("document_id", "paragraph_id", "term_id")
     n, k = F.count("*").over(w), F.row_number().over(w.orderBy("char_start"))
     base = placeholder(F.col("term_id"))

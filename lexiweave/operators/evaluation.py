@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINNERS = ("baseline", "controlled", "tie")
-SCORES = ("fidelity", "quality")
+# The judge's score and critical-error fields, by the names of their columns.
+SCORE_FIELDS = {"fidelity": "semantic_fidelity", "legal": "legal_accuracy", "terminology": "terminology_compliance", "fluency": "fluency", "quality": "overall_quality"}
+ERROR_FIELDS = {"omission": "meaning_omission", "addition": "unsupported_addition", "polarity": "polarity_or_modality_error", "party": "party_or_role_error", "number": "number_date_or_reference_error"}
+SCORES, ERRORS = tuple(SCORE_FIELDS), tuple(ERROR_FIELDS)
 
 
 def share(condition: Column) -> Column:
@@ -21,7 +24,7 @@ def aggregate(rows: DataFrame, *keys: str) -> DataFrame:
     means = [F.round(F.avg(f"{r}_{s}"), 6).alias(f"{r}_{s}_mean") for r in WINNERS[:2] for s in SCORES]
     out = rows.groupBy(*keys).agg(
         F.count("*").alias("paragraphs"), *wins, *rates, F.coalesce(F.round(F.count_if(F.col("winner") == "controlled") / F.nullif(decisive, F.lit(0)), 6), F.lit(0.0)).alias("decisive_controlled_win_rate"),
-        *means, *[share(F.col(f"{r}_omission")).alias(f"{r}_omission_rate") for r in WINNERS[:2]], share(F.col("position_disagreement")).alias("position_disagreement_rate"),
+        *means, *[share(F.col(f"{r}_{x}")).alias(f"{r}_{x}_rate") for r in WINNERS[:2] for x in ERRORS], share(F.col("position_disagreement")).alias("position_disagreement_rate"),
     )
     return out.withColumns({f"{s}_delta": F.round(F.col(f"controlled_{s}_mean") - F.col(f"baseline_{s}_mean"), 6) for s in SCORES})
 
@@ -54,7 +57,7 @@ def combine_bidirectional(rows: DataFrame, *keys: str) -> DataFrame:
     """Two judgments of one pair, either order: mean scores, errors both report, the winner they agree on, else a tie."""
     first, last = F.min_by("winner", "swapped"), F.max_by("winner", "swapped")
     return rows.groupBy(*keys).agg(
-        *[F.round(F.avg(f"{r}_{s}"), 6).alias(f"{r}_{s}") for r in WINNERS[:2] for s in SCORES], *[F.bool_and(f"{r}_omission").alias(f"{r}_omission") for r in WINNERS[:2]],
+        *[F.round(F.avg(f"{r}_{s}"), 6).alias(f"{r}_{s}") for r in WINNERS[:2] for s in SCORES], *[F.bool_and(f"{r}_{x}").alias(f"{r}_{x}") for r in WINNERS[:2] for x in ERRORS],
         F.when(first == last, first).otherwise("tie").alias("winner"), (first != last).alias("position_disagreement"), F.round(F.avg("confidence"), 6).alias("confidence"),
     )
 
@@ -67,19 +70,27 @@ def map_roles(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"baseline": pick("score_b", "score_a"), "controlled": pick("score_a", "score_b"), "winner": winner})
 
 
-SCHEMA = "scores struct<A:struct<semantic_fidelity:double,overall_quality:double>,B:struct<semantic_fidelity:double,overall_quality:double>>, winner string, confidence double, rationale string"
+def _sides(kind: str, fields: dict[str, str]) -> str:
+    one = ",".join(f"{f}:{kind}" for f in fields.values())
+    return f"struct<A:struct<{one}>,B:struct<{one}>>"
+
+
+SCHEMA = f"scores {_sides('double', SCORE_FIELDS)}, critical_errors {_sides('boolean', ERROR_FIELDS)}, winner string, confidence double, rationale string"
 
 
 def validate_judgment(answer: Column) -> Column:
     """Why a judge's JSON answer is not usable; null if it is."""
     j = F.from_json(answer, SCHEMA)
-    scores = [j["scores"][side][field] for side in "AB" for field in ("semantic_fidelity", "overall_quality")]
-    bad = F.lit(False)
-    for s in scores:
-        bad = bad | ~F.coalesce(s.between(1, 5), F.lit(False))
+    bad, unknown = F.lit(False), F.lit(False)
+    for side in "AB":
+        for field in SCORE_FIELDS.values():
+            bad = bad | ~F.coalesce(j["scores"][side][field].between(1, 5), F.lit(False))
+        for field in ERROR_FIELDS.values():
+            unknown = unknown | j["critical_errors"][side][field].isNull()
     return (
         F.when(j.isNull() | j["winner"].isNull() & j["confidence"].isNull(), "not JSON")
         .when(bad, "score")
+        .when(unknown, "critical error")
         .when(~F.coalesce(j["winner"].isin("A", "B", "TIE"), F.lit(False)), "winner")
         .when(~F.coalesce(j["confidence"].between(0, 1), F.lit(False)), "confidence")
         .when(F.coalesce(F.btrim(j["rationale"]), F.lit("")) == "", "rationale")
@@ -91,7 +102,9 @@ def error_cases(rows: DataFrame, limit: int = 20) -> DataFrame:
     from pyspark.sql import Window
 
     delta = {s: F.col(f"controlled_{s}") - F.col(f"baseline_{s}") for s in SCORES}
-    kinds = {"fidelity_loss": -delta["fidelity"], "quality_loss": -delta["quality"], "fidelity_gain": delta["fidelity"], "quality_gain": delta["quality"], "disagreement": F.when(F.col("position_disagreement"), F.abs(delta["quality"]) + 1)}
+    errors = {r: sum((F.col(f"{r}_{x}").cast("int") for x in ERRORS), F.lit(0)) for r in WINNERS[:2]}
+    kinds = {f"{s}_loss": -delta[s] for s in SCORES} | {f"{s}_gain": delta[s] for s in SCORES}
+    kinds |= {"disagreement": F.when(F.col("position_disagreement"), F.abs(delta["quality"]) + 1), "new_errors": (errors["controlled"] - errors["baseline"]).cast("double")}
     long = rows.select("document_id", "paragraph_id", F.stack(F.lit(len(kinds)), *[x for k, v in kinds.items() for x in (F.lit(k), v)]).alias("category", "severity")).filter("severity > 0")
     rank = F.row_number().over(Window.partitionBy("category").orderBy(F.desc("severity"), "document_id", "paragraph_id"))
     return long.withColumn("rank", rank).filter(F.col("rank") <= limit)

@@ -53,11 +53,12 @@ def even_ranks(rows: DataFrame, n: int, *order: str) -> DataFrame:
 
 
 def risk_sample(rows: DataFrame, n: int, risky_share: float, seed: int) -> DataFrame:
-    """A share of risky rows, then others, in hash order."""
+    """A share of risky rows, then others, in hash order; where either are too few, the rest of the others fill up."""
     key = (F.col("document_id"), F.col("paragraph_id"))
     risky = F.row_number().over(Window.partitionBy("risky").orderBy(digest(seed, *key), *key))
     want = int(n * risky_share)
-    return rows.withColumn("_r", risky).filter((F.col("risky") & (F.col("_r") <= want)) | (~F.col("risky") & (F.col("_r") <= n - want))).drop("_r")
+    first = F.col("_r") <= F.when(F.col("risky"), want).otherwise(n - want)
+    return rows.withColumn("_r", risky).orderBy(F.desc(first), digest(seed, *key), *key).limit(n).drop("_r")
 
 
 def position_control(rows: DataFrame, mode: str, seed: int) -> DataFrame:

@@ -37,10 +37,12 @@ def sign_flip(pairs: DataFrame, permutations: int, seed: int) -> DataFrame:
 
 
 def sign_test(positive: Column, negative: Column) -> Column:
-    """Exact two-sided p of a sign test; 1 without differences."""
+    """Exact two-sided p of a sign test; 1 without differences. Binomial terms are kept as logarithms, so no number of pairs overflows."""
     n, k = positive + negative, F.least(positive, negative)
-    terms = F.aggregate(F.sequence(F.lit(0).cast("long"), k), F.struct(F.lit(1.0).alias("c"), F.lit(0.0).alias("s")), lambda a, i: F.struct((a["c"] * F.when(i < k, (n - i) / (i + 1)).otherwise(1.0)).alias("c"), (a["s"] + a["c"]).alias("s")))
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * terms["s"] * F.pow(F.lit(0.5), n)))
+    start = F.struct((-n * F.log(F.lit(2.0))).alias("log"), F.lit(0.0).alias("sum"))
+    step = lambda a, i: F.struct((a["log"] + F.when(i < k, F.log((n - i) / (i + 1))).otherwise(0.0)).alias("log"), (a["sum"] + F.exp(a["log"])).alias("sum"))
+    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), k.cast("long")), start, step, lambda a: a["sum"])
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
 def paired_table(pairs: DataFrame, *keys: str) -> DataFrame:

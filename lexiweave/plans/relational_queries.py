@@ -106,6 +106,9 @@ def versions(spark, folder):
 from .consistency_queries import sql_variants  # noqa: E402
 
 R = with_clause("reviews")
+#: Two-sided p of a sign test over counts up and down.
+SIGN_P = "CASE WHEN up + down = 0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(0, least(up, down) + 1), lambda i: exp(lgamma(up + down + 1) - lgamma(i + 1) - lgamma(up + down - i + 1) - (up + down) * ln(2))))) END"
+
 QUERIES = {
     "t01_definitions": (lambda s, f: tm.definitions(paragraphs(s, f)), f"{P}, {DEFS} SELECT document_id, paragraph_id, method, pattern, CAST(match AS INT) AS match, term FROM defs"),
     "t03_canonical_terms": (lambda s, f: tm.canonical_terms(tm.definitions(paragraphs(s, f))).withColumn("definition_paragraph_ids", F.array_join("definition_paragraph_ids", ",")), f"{P}, {TERMS} SELECT document_id, key, source_term, extraction_method, array_to_string(definition_paragraph_ids, ',') AS definition_paragraph_ids FROM terms"),
@@ -145,6 +148,6 @@ QUERIES = {
     "k03_sign_flip": (lambda s, f: k.sign_flip(diffs(s, f), 400, 2026), f"{E}, {DIFFS}, m AS (SELECT p, avg(diff * CASE WHEN {BIT.format(chr(39) + '2026|' + chr(39) + ' || p || ' + chr(39) + '|' + chr(39) + ' || document_id')} % 2 = 0 THEN 1 ELSE -1 END) AS m FROM diffs, (SELECT unnest(generate_series(0, 399)) AS p) GROUP BY p), o AS (SELECT avg(diff) AS observed FROM diffs) SELECT round(any_value(observed), 6) AS observed, count(*) FILTER (abs(m) >= abs(observed) - 1e-12) AS extreme, round((count(*) FILTER (abs(m) >= abs(observed) - 1e-12) + 1) / 401, 6) AS p_value FROM m, o"),
     "k05_wilcoxon": (lambda s, f: k.wilcoxon(relation(s, f, "evaluations").select((F.col("controlled_quality") - F.col("baseline_quality")).alias("diff"))), f"{E}, x AS (SELECT abs(controlled_quality - baseline_quality) AS d, controlled_quality > baseline_quality AS up FROM evaluations WHERE controlled_quality <> baseline_quality), r AS (SELECT up, d, avg(k) OVER (PARTITION BY d) AS rank FROM (SELECT *, row_number() OVER (ORDER BY d) AS k FROM x)), s AS (SELECT count(*) AS n, sum(rank) FILTER (up) AS w FROM r), t AS (SELECT sum(power(c, 3) - c) AS ties FROM (SELECT count(*) AS c FROM x GROUP BY d)), z AS (SELECT n, w, abs(w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM s, t) SELECT n, round(w, 6) AS w_plus, round(z, 6) AS z, round(2 * exp(-z * z / 2) / sqrt(2 * pi()) * (1 / (1 + 0.2316419 * z)) * (0.319381530 + (1 / (1 + 0.2316419 * z)) * (-0.356563782 + (1 / (1 + 0.2316419 * z)) * (1.781477937 + (1 / (1 + 0.2316419 * z)) * (-1.821255978 + (1 / (1 + 0.2316419 * z)) * 1.330274429)))), 4) AS p_value FROM z"),
     "k06_kappa": (rel("evaluations", lambda e: k.kappa(e.select(F.col("winner").alias("a"), F.when(F.col("paragraph_id") % 4 == 0, "tie").otherwise(F.col("winner")).alias("b")))), f"{E}, x AS (SELECT winner AS a, CASE WHEN paragraph_id % 4 = 0 THEN 'tie' ELSE winner END AS b FROM evaluations), n AS (SELECT count(*) AS n, avg(CAST(a = b AS INT)) AS o FROM x), e AS (SELECT sum(p.c * q.c) / any_value(n.n * n.n) AS e FROM (SELECT a, count(*)::DOUBLE AS c FROM x GROUP BY 1) p JOIN (SELECT b, count(*)::DOUBLE AS c FROM x GROUP BY 1) q ON a = b, n) SELECT n, round(o, 6) AS agreement, round((o - e) / (1 - e), 6) AS kappa FROM n, e"),
-    "k07_paired_table": (rel("evaluations", lambda e: k.paired_table(e.filter("paragraph_id % 40 = 3").select("has_terms", F.col("baseline_quality").alias("before"), F.col("controlled_quality").alias("after")), "has_terms").drop("sign_p")), f"{E}, x AS (SELECT has_terms, baseline_quality AS b, controlled_quality AS a FROM evaluations WHERE paragraph_id % 40 = 3) SELECT has_terms, count(*) AS n, round(avg(b), 6) AS mean_before, round(avg(a), 6) AS mean_after, round(avg(a - b), 6) AS mean_diff, count(*) FILTER (a > b) AS up, count(*) FILTER (a < b) AS down, round(count(*) FILTER (a > b) / count(*), 6) AS improved_fraction FROM x GROUP BY 1"),
+    "k07_paired_table": (rel("evaluations", lambda e: k.paired_table(e.select("has_terms", F.col("baseline_quality").alias("before"), F.col("controlled_quality").alias("after")), "has_terms")), f"{E}, x AS (SELECT has_terms, baseline_quality AS b, controlled_quality AS a FROM evaluations), g AS (SELECT has_terms, count(*) AS n, round(avg(b), 6) AS mean_before, round(avg(a), 6) AS mean_after, round(avg(a - b), 6) AS mean_diff, count(*) FILTER (a > b) AS up, count(*) FILTER (a < b) AS down, round(count(*) FILTER (a > b) / count(*), 6) AS improved_fraction FROM x GROUP BY 1) SELECT *, round({SIGN_P}, 6) AS sign_p FROM g"),
     "k09_document_effect": (rel("evaluations", lambda e: k.document_effect(e.select("document_id", (F.col("controlled_quality") - F.col("baseline_quality")).alias("diff")))), f"{E}, d AS (SELECT document_id, avg(controlled_quality - baseline_quality) AS m, sum(controlled_quality - baseline_quality) AS s, count(*) AS n FROM evaluations GROUP BY 1) SELECT count(*) AS documents, CAST(sum(n) AS BIGINT) AS paragraphs, round(avg(m), 6) AS macro_effect, round(sum(s) / sum(n), 6) AS weighted_effect FROM d"),
 }

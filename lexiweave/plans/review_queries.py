@@ -15,7 +15,7 @@ from ..sources import filings as fl
 from ..sources.contracts import relation, with_clause
 from ..sources.tables import table
 from .consistency_queries import NV
-from .relational_queries import FOUND, NUM, P, PG, PT, numbered, occurrences, paragraphs, uses
+from .relational_queries import FOUND, NUM, P, PG, PT, SIGN_P, numbered, occurrences, paragraphs, uses
 from .text_queries import flat
 
 R, G, E = with_clause("reviews"), with_clause("glossary"), with_clause("evaluations")
@@ -108,7 +108,7 @@ INDEX = """idx AS (SELECT CAST(o_custkey + 1000 AS VARCHAR) AS cik, 'Company ' |
 
 def ratings(spark, folder):
     """Two reviewers' preferences and the key that says which method is A."""
-    e = relation(spark, folder, "evaluations").filter("paragraph_id % 10 = 1")
+    e = relation(spark, folder, "evaluations")
     sides = e.select("document_id", "paragraph_id", F.when(F.col("winner") == "tie", "TIE").when(F.col("winner") == "baseline", "A").otherwise("B").alias("one"), (F.col("paragraph_id") % 4 == 1).alias("swapped"), "winner")
     two = F.when(F.col("paragraph_id") % 3 == 0, "TIE").otherwise(F.col("one"))
     role = lambda x: F.when(x == "TIE", "tie").when((x == "A") == ~F.col("swapped"), "baseline").otherwise("controlled")
@@ -162,12 +162,12 @@ QUERIES = {
     "c11_all_renderings": (lambda s, f: relation(s, f, "glossary").select("term_id", F.explode(c.all_renderings(F.col("canonical"), variants_of(None), F.array(F.struct(F.lit("人").alias("rendering"))))).alias("r")).select("term_id", "r.*"), f"{G} SELECT term_id, canonical AS rendering, 'canonical' AS kind FROM glossary UNION ALL SELECT term_id, unnest(['基薪', ' 基本薪资 ', '底薪']), 'allowed' FROM glossary UNION ALL SELECT term_id, '人', 'risky' FROM glossary"),
     "c13_resolution": (lambda s, f: relation(s, f, "translations").select("document_id", "paragraph_id", c.resolution(F.col("attempts"), F.col("paragraph_id") % 9 == 0, F.col("translation") == "").alias("resolution")), f"{PT} SELECT document_id, paragraph_id, CASE WHEN translation = '' THEN 'UNRESOLVED' WHEN paragraph_id % 9 = 0 THEN 'GLOSSARY_FALLBACK' WHEN attempts > 1 THEN 'REPAIRED' ELSE 'FIRST_PASS' END AS resolution FROM translations"),
     "g16_control_statistics": (lambda s, f: relation(s, f, "translations").groupBy("document_id").agg(F.count("*").alias("paragraphs"), F.count_if(F.col("attempts") > 1).alias("retried"), F.count_if(F.col("paragraph_id") % 9 == 0).alias("fallbacks"), F.sum(F.col("attempts") - 1).alias("extra_attempts")), f"{PT} SELECT document_id, count(*) AS paragraphs, count(*) FILTER (attempts > 1) AS retried, count(*) FILTER (paragraph_id % 9 = 0) AS fallbacks, CAST(sum(attempts - 1) AS BIGINT) AS extra_attempts FROM translations GROUP BY 1"),
-    "g18_document_metrics": (lambda s, f: cons.aggregate(relation(s, f, "reviews")).groupBy("document_id").agg(F.round(F.avg("dominant_translation_ratio"), 6).alias("mean_dtr"), cons.ratio(F.sum("omitted"), F.sum("occurrences")).alias("omission_rate")), f"{R}, i AS (SELECT *, {NV} AS v FROM reviews WHERE include_in_consistency IS NULL OR include_in_consistency), d AS (SELECT document_id, term_id, round(max(n) / sum(n), 6) AS dtr FROM (SELECT document_id, term_id, v, count(*) AS n FROM i WHERE v IS NOT NULL GROUP BY ALL) GROUP BY ALL) SELECT document_id, mean_dtr, omission_rate FROM (SELECT document_id, round(avg(dtr), 6) AS mean_dtr FROM d GROUP BY 1) JOIN (SELECT document_id, round(count(*) FILTER (extraction_status = 'OMITTED') / count(*), 6) AS omission_rate FROM i GROUP BY 1) USING (document_id)"),
+    "g18_document_metrics": (lambda s, f: cons.aggregate(relation(s, f, "reviews")).groupBy("document_id").agg(F.round(F.sum(F.col("dominant_translation_ratio").cast("decimal(18,6)")).cast("double") / F.count("dominant_translation_ratio"), 6).alias("mean_dtr"), cons.ratio(F.sum("omitted"), F.sum("occurrences")).alias("omission_rate")), f"{R}, i AS (SELECT *, {NV} AS v FROM reviews WHERE include_in_consistency IS NULL OR include_in_consistency), d AS (SELECT document_id, term_id, round(max(n) / sum(n), 6) AS dtr FROM (SELECT document_id, term_id, v, count(*) AS n FROM i WHERE v IS NOT NULL GROUP BY ALL) GROUP BY ALL) SELECT document_id, mean_dtr, omission_rate FROM (SELECT document_id, round(CAST(sum(CAST(dtr AS DECIMAL(18,6))) AS DOUBLE) / count(dtr), 6) AS mean_dtr FROM d GROUP BY 1) JOIN (SELECT document_id, round(count(*) FILTER (extraction_status = 'OMITTED') / count(*), 6) AS omission_rate FROM i GROUP BY 1) USING (document_id)"),
     "g19_reliability": (lambda s, f: relation(s, f, "translations").groupBy("document_id").agg(F.count("*").alias("total"), F.count_if(F.col("paragraph_id") % 9 == 0).alias("uncontrolled")).select("document_id", "total", F.greatest(F.lit(0), F.col("total") - F.col("uncontrolled")).alias("controlled"), F.round(F.try_divide("uncontrolled", "total"), 6).alias("uncontrolled_rate")), f"{PT} SELECT document_id, count(*) AS total, count(*) - count(*) FILTER (paragraph_id % 9 = 0) AS controlled, round(count(*) FILTER (paragraph_id % 9 = 0) / count(*), 6) AS uncontrolled_rate FROM translations GROUP BY 1"),
     "g21_variant_evidence": (lambda s, f: relation(s, f, "reviews").withColumn("v", t.normalize_variant(F.col("rendering"))).filter("v is not null").groupBy("term_id", "v").agg(F.count("*").alias("n"), F.count_distinct("experiment").alias("experiments")).withColumn("place", F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("term_id").orderBy(F.desc("n"), "v"))).filter("place <= 2"), f"{R}, x AS (SELECT term_id, {NV} AS v, count(*) AS n, count(DISTINCT experiment) AS experiments FROM reviews GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY term_id ORDER BY n DESC, v) AS INT) AS place FROM x WHERE v IS NOT NULL QUALIFY place <= 2"),
     "g23_status_audit": (lambda s, f: relation(s, f, "reviews").groupBy("experiment", "extraction_status").agg(F.count("*").alias("n"), F.round(F.avg("extraction_confidence"), 6).alias("confidence")), f"{R} SELECT experiment, extraction_status, count(*) AS n, round(avg(extraction_confidence), 6) AS confidence FROM reviews GROUP BY ALL"),
-    "g25_subset_wins": (lambda s, f: relation(s, f, "evaluations").filter("paragraph_id % 6 = 0").groupBy("winner").agg(F.count("*").alias("n"), F.round(F.avg(F.col("controlled_quality") - F.col("baseline_quality")), 6).alias("delta")), f"{E} SELECT winner, count(*) AS n, round(avg(controlled_quality - baseline_quality), 6) AS delta FROM evaluations WHERE paragraph_id % 6 = 0 GROUP BY 1"),
+    "g25_subset_wins": (lambda s, f: relation(s, f, "evaluations").filter("has_terms").groupBy("winner").agg(F.count("*").alias("n"), F.round(F.avg(F.col("controlled_quality") - F.col("baseline_quality")), 6).alias("delta")), f"{E} SELECT winner, count(*) AS n, round(avg(controlled_quality - baseline_quality), 6) AS delta FROM evaluations WHERE has_terms GROUP BY 1"),
     "j15_paired_documents": (lambda s, f: cons.aggregate(relation(s, f, "reviews"), ["experiment", "term_id"]).groupBy("term_id").pivot("experiment", ["large__placeholder", "small__glossary"]).agg(F.first("dominant_translation_ratio")).dropna(), f"{R}, i AS (SELECT *, {NV} AS v FROM reviews WHERE include_in_consistency IS NULL OR include_in_consistency), d AS (SELECT experiment, term_id, round(max(n) / sum(n), 6) AS dtr FROM (SELECT experiment, term_id, v, count(*) AS n FROM i WHERE v IS NOT NULL GROUP BY ALL) GROUP BY ALL) SELECT a.term_id, a.dtr AS large__placeholder, b.dtr AS small__glossary FROM d a JOIN d b ON a.term_id = b.term_id AND a.experiment LIKE 'large%' AND b.experiment LIKE 'small%'"),
-    "k04_sign_test": (lambda s, f: s.range(0, 60).select("id", F.round(k.sign_test(F.col("id") % 12, (F.col("id") / 5).cast("long")), 9).alias("p")), "WITH x AS (SELECT i AS id, i % 12 AS a, i // 5 AS b FROM (SELECT unnest(generate_series(0, 59)) AS i)), c AS (SELECT id, a + b AS n, least(a, b) AS m, unnest(generate_series(0, least(a, b))) AS k FROM x) SELECT id, round(CASE WHEN any_value(n) = 0 THEN 1 ELSE least(1, 2 * sum(factorial(CAST(n AS INT))::DOUBLE / (factorial(CAST(k AS INT))::DOUBLE * factorial(CAST(n - k AS INT))::DOUBLE)) / power(2, any_value(n))) END, 9) AS p FROM c GROUP BY id"),
-    "k08_consensus": (ratings, f"{E}, x AS (SELECT winner, CASE WHEN winner = 'tie' THEN 'TIE' WHEN winner = 'baseline' THEN 'A' ELSE 'B' END AS one, paragraph_id FROM evaluations WHERE paragraph_id % 10 = 1), y AS (SELECT *, CASE WHEN paragraph_id % 3 = 0 THEN 'TIE' ELSE one END AS two, paragraph_id % 4 = 1 AS sw FROM x), z AS (SELECT winner, CASE WHEN one <> two THEN 'no consensus' WHEN one = 'TIE' THEN 'tie' WHEN (one = 'A') <> sw THEN 'baseline' ELSE 'controlled' END AS consensus FROM y) SELECT consensus, count(*) AS n, count(*) FILTER (consensus = winner) AS model_agrees FROM z GROUP BY 1"),
+    "k04_sign_test": (lambda s, f: relation(s, f, "evaluations").groupBy("document_id").agg(F.count_if(F.col("controlled_quality") > F.col("baseline_quality")).alias("up"), F.count_if(F.col("controlled_quality") < F.col("baseline_quality")).alias("down")).withColumn("p", F.round(k.sign_test(F.col("up"), F.col("down")), 6)), f"{E}, g AS (SELECT document_id, count(*) FILTER (controlled_quality > baseline_quality) AS up, count(*) FILTER (controlled_quality < baseline_quality) AS down FROM evaluations GROUP BY 1) SELECT *, round({SIGN_P}, 6) AS p FROM g"),
+    "k08_consensus": (ratings, f"{E}, x AS (SELECT winner, CASE WHEN winner = 'tie' THEN 'TIE' WHEN winner = 'baseline' THEN 'A' ELSE 'B' END AS one, paragraph_id FROM evaluations), y AS (SELECT *, CASE WHEN paragraph_id % 3 = 0 THEN 'TIE' ELSE one END AS two, paragraph_id % 4 = 1 AS sw FROM x), z AS (SELECT winner, CASE WHEN one <> two THEN 'no consensus' WHEN one = 'TIE' THEN 'tie' WHEN (one = 'A') <> sw THEN 'baseline' ELSE 'controlled' END AS consensus FROM y) SELECT consensus, count(*) AS n, count(*) FILTER (consensus = winner) AS model_agrees FROM z GROUP BY 1"),
 }

@@ -51,7 +51,12 @@ CTES = {
     CASE o_orderstatus WHEN 'F' THEN 'baseline' WHEN 'O' THEN 'controlled' ELSE 'tie' END AS winner,
     CAST(1 + o_orderkey % 9 / 2.0 AS DOUBLE) AS baseline_fidelity, CAST(1 + (o_orderkey * 7) % 9 / 2.0 AS DOUBLE) AS controlled_fidelity,
     CAST(1 + (o_orderkey * 3) % 9 / 2.0 AS DOUBLE) AS baseline_quality, CAST(1 + (o_orderkey * 5) % 9 / 2.0 AS DOUBLE) AS controlled_quality,
-    o_orderkey % 13 = 0 AS baseline_omission, o_orderkey % 17 = 0 AS controlled_omission, o_orderkey % 19 = 0 AS position_disagreement,
+    CAST(1 + (o_orderkey * 2) % 9 / 2.0 AS DOUBLE) AS baseline_legal, CAST(1 + (o_orderkey * 4) % 9 / 2.0 AS DOUBLE) AS controlled_legal,
+    CAST(1 + (o_orderkey * 8) % 9 / 2.0 AS DOUBLE) AS baseline_terminology, CAST(1 + (o_orderkey * 10) % 7 / 2.0 AS DOUBLE) AS controlled_terminology,
+    CAST(1 + (o_orderkey * 3) % 7 / 2.0 AS DOUBLE) AS baseline_fluency, CAST(1 + (o_orderkey * 5) % 8 / 2.0 AS DOUBLE) AS controlled_fluency,
+    o_orderkey % 13 = 0 AS baseline_omission, o_orderkey % 17 = 0 AS controlled_omission, o_orderkey % 23 = 0 AS baseline_addition, o_orderkey % 29 = 0 AS controlled_addition,
+    o_orderkey % 31 = 0 AS baseline_polarity, o_orderkey % 37 = 0 AS controlled_polarity, o_orderkey % 41 = 0 AS baseline_party, o_orderkey % 43 = 0 AS controlled_party,
+    o_orderkey % 47 = 0 AS baseline_number, o_orderkey % 53 = 0 AS controlled_number, o_orderkey % 19 = 0 AS position_disagreement,
     CAST(o_orderkey % 1000 AS DOUBLE) / 1000 AS confidence, CAST(o_orderkey % 700 AS BIGINT) AS prompt_tokens, CAST(o_orderkey % 90 AS BIGINT) AS completion_tokens
   FROM orders
 )""",

@@ -109,3 +109,43 @@ def test_empty_tables(spark):
     assert terms.extract(p)[0].count() == 0
     r = spark.createDataFrame([], "document_id string, term_id string, rendering string")
     assert c.formal_metrics(c.variants(r)).count() == 0
+
+
+def test_composed_forms(spark):
+    """Full-width letters, half-width kana and ligatures are one variant with their plain forms."""
+    rows = spark.createDataFrame([("ＡＢＣ　公司", "ABC 公司"), ("ｶﾞｽ", "ガス"), ("ofﬁce", "office"), ("“协议”", "协议"), ("plain", "plain")], "a string, b string")
+    got = rows.select(t.normalize_variant(F.col("a")).alias("x"), t.normalize_variant(F.col("b")).alias("y"), t.surface(F.col("a")).alias("s"), t.same_lexical(F.col("a"), F.upper("b")).alias("same")).collect()
+    assert all(r.x == r.y for r in got) and got[0].s == "ABC 公司" and [r.same for r in got] == [True, False, True, False, True]
+
+
+def test_sign_test_of_many_pairs(spark):
+    from math import comb
+
+    from lexiweave.operators.statistics import sign_test
+
+    cases = [(0, 0), (3, 1), (600, 500), (1200, 400), (50_000, 50_400), (70_000, 70_000)]
+    got = spark.createDataFrame(cases, "a long, b long").select(sign_test(F.col("a"), F.col("b")).alias("p")).collect()
+    for (a, b), r in zip(cases[:4], got):
+        want = min(1.0, 2 * sum(comb(a + b, i) for i in range(min(a, b) + 1)) / 2 ** (a + b)) if a + b else 1.0
+        assert abs(r.p - want) < 1e-9
+    assert abs(got[4].p - 0.2075) < 0.001 and got[5].p == 1.0  # normal approximation with continuity correction
+
+
+def test_overlaps_and_refill(spark):
+    from lexiweave.operators import controls, sampling
+
+    spans = spark.createDataFrame([("d", 1, "T2", 4, 15), ("d", 1, "T1", 9, 15), ("d", 1, "T1", 20, 26), ("d", 2, "T1", 0, 6)], "document_id string, paragraph_id int, term_id string, char_start int, char_end int")
+    got = {(r.paragraph_id, r.char_start): r.placeholder for r in controls.number_placeholders(spans).collect()}
+    assert got == {(1, 4): "【术语0002】", (1, 20): "【术语0001】", (2, 0): "【术语0001】"}
+    rows = spark.createDataFrame([("d", i, i < 5) for i in range(100)], "document_id string, paragraph_id int, risky boolean")
+    some = sampling.risk_sample(rows, 50, 0.5, 7).collect()
+    assert len(some) == 50 and sum(r.risky for r in some) == 5
+
+
+def test_pieces_and_recovery():
+    text = "A first one. " * 3 + "x" * 50 + "\n\nEnd here;  and there"
+    for limit in (5, 12, 20, 33, 200):
+        pieces = pt.split_source(text, limit)
+        assert all(len(p) <= limit for p in pieces) and "".join("".join(pieces).split()) == "".join(text.split())
+    assert pt.split_source("", 5) == [""] and pt.split_source("      ab", 3) == ["   ", "ab"]
+    assert pt.recover_substring("office", "an ofﬁ ce here") == "ofﬁ ce" and pt.recover_substring("x", "abc") is None
