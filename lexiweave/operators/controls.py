@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Words that mark a rendering as informal, and the form of a token.
 INFORMAL = "(?i)非正式|口语|内部沟通|内部文件|informal|oral"
 TOKEN = "【术语[0-9]+(?:_[0-9]+)?】"
 
@@ -83,3 +84,57 @@ def all_renderings(canonical: Column, allowed: Column, risky: Column) -> Column:
 
 def resolution(attempts: Column, fallback: Column, failed: Column) -> Column:
     return F.when(failed, "UNRESOLVED").when(fallback, "GLOSSARY_FALLBACK").when(attempts > 1, "REPAIRED").otherwise("FIRST_PASS")
+
+
+def rejection_signature(stage: Column, missing: Column, duplicated: Column, unknown: Column, issues: Column, verdict: Column, error: Column) -> Column:
+    """A hash that two rejections share if the same stage found the same faults, whatever their order.
+
+    inventory: missing (array), duplicated and unknown (token to count); context and restored: issues (issue_type, term_id,
+    placeholder, side, severity), errors only; semantic: verdict, see semantic_verdict(); any other stage: error. Nulls count as none.
+    """
+    counts = lambda m: F.array_sort(F.map_entries(F.coalesce(m, F.expr("cast(map() as map<string,int>)"))))
+    names = F.array_sort(F.coalesce(missing, F.expr("cast(array() as array<string>)")))
+    text = lambda x: F.coalesce(x, F.lit(""))
+    errors = F.transform(F.filter(issues, lambda i: F.coalesce(i["severity"] == "ERROR", F.lit(False))), lambda i: F.struct(i["issue_type"].alias("a"), text(i["term_id"]).alias("b"), text(i["placeholder"]).alias("c"), text(i["side"]).alias("d")))
+    judged = F.struct(*[verdict[f].alias(f) for f in ("adequacy", "term_semantics", *FLAGS)], F.array_sort(verdict["problematic_terms"]).alias("terms"))
+    payload = (
+        F.when(stage == "inventory", F.to_json(F.struct(names.alias("m"), counts(duplicated).alias("d"), counts(unknown).alias("u"))))
+        .when(stage.isin("context", "restored"), F.to_json(F.struct(F.array_sort(errors).alias("i"))))
+        .when(stage == "semantic", F.to_json(judged))
+        .otherwise(F.to_json(F.struct(error.alias("e"))))
+    )
+    return F.sha2(F.concat_ws("\n", stage, payload), 256)
+
+
+def early_fallback(rejections: DataFrame, limit: int) -> DataFrame:
+    """Each paragraph's rejections (attempt, signature), and the attempt at which one signature came for the limit-th time.
+
+    0 where none did; a limit of 0 never gives up early.
+    """
+    k = F.row_number().over(Window.partitionBy("document_id", "paragraph_id", "signature").orderBy("attempt"))
+    rows = rejections.withColumn("_hit", F.when((k == limit) & F.lit(limit > 0), F.col("attempt")))
+    out = rows.groupBy("document_id", "paragraph_id").agg(F.count("*").alias("rejections"), F.coalesce(F.min("_hit"), F.lit(0)).alias("fallback_attempt"))
+    return out.withColumn("early_fallback", F.col("fallback_attempt") > 0)
+
+
+# The faults a semantic verifier can report.
+FLAGS = ("unsupported_addition", "meaning_omission", "unnatural_attachment", "broken_legal_logic")
+
+
+def semantic_verdict(answer: Column) -> Column:
+    """A verifier's JSON answer as a struct; passed if both judgments are PASS and no fault is set. Null without a JSON object.
+
+    A judgment left out is FAIL and a fault left out is set; null, false, zero and empty values are not set, all others are.
+    """
+    found = F.try_parse_json(answer)
+    part = lambda f, kind: F.try_variant_get(found, f"$.{f}", kind)
+    raw = lambda f: F.to_json(F.struct(part(f, "variant").alias("v")))
+    empty = '^\\{"v":(null|false|""|\\[\\]|\\{\\}|-?0(\\.0+)?([eE][-+]?[0-9]+)?)\\}$'
+    grade = lambda f: F.when(part(f, "variant").isNull(), "FAIL").otherwise(F.upper(F.coalesce(part(f, "string"), F.lit("NONE"))))
+    is_set = lambda f: part(f, "variant").isNull() | ~F.rlike(raw(f), F.lit(empty))
+    passed = (grade("adequacy") == "PASS") & (grade("term_semantics") == "PASS")
+    for f in FLAGS:
+        passed = passed & ~is_set(f)
+    terms = F.coalesce(part("problematic_terms", "array<string>"), F.expr("cast(array() as array<string>)"))
+    fields = F.struct(*[grade(f).alias(f) for f in ("adequacy", "term_semantics")], *[is_set(f).alias(f) for f in FLAGS], terms.alias("problematic_terms"), F.coalesce(part("rationale", "string"), F.lit("")).alias("rationale"), passed.alias("passed"))
+    return F.when(F.coalesce(F.startswith(F.schema_of_variant(found), F.lit("OBJECT")), F.lit(False)), fields)

@@ -57,3 +57,29 @@ def annotation_problems(rows: DataFrame) -> DataFrame:
 def signature(*columns: Column) -> Column:
     """SHA-256 of the columns as JSON in the order of their names, by which a stale result is told."""
     return F.sha2(F.to_json(F.struct(*columns)), 256)
+
+
+def paired_reviews(one: DataFrame, two: DataFrame, key: DataFrame, scores: tuple[str, ...] = ("term_correct", "legal_accuracy", "fluency")) -> DataFrame:
+    """Samples that both reviewers and the key hold: preferences by method, their consensus, the model's, and differences of scores.
+
+    Reviews: sample_id, preferred (A, B or TIE; else null), and a score of each side; key: method_A, method_B, llm_winner (null: tie).
+    """
+    named = lambda d, r: d.select("sample_id", *[F.col(c).alias(f"{r}_{c}") for c in ("preferred", *[f"{s}_{x}" for s in scores for x in "AB"])])
+    rows = key.join(named(one, "reviewer_1"), "sample_id").join(named(two, "reviewer_2"), "sample_id")
+
+    def label(r: str) -> Column:
+        p = F.upper(F.btrim(F.col(f"{r}_preferred")))
+        return F.when(p == "TIE", "tie").when(p == "A", F.col("method_A")).when(p == "B", F.col("method_B"))
+
+    def difference(r: str, s: str) -> Column:
+        a, b = (F.col(f"{r}_{s}_{x}").try_cast("double") for x in "AB")
+        of = lambda method: F.when(F.col("method_A") == method, a).otherwise(b)
+        return F.when(a.isNotNull() & b.isNotNull(), of("glossary") - of("placeholder")).alias(f"{r}_{s}_glossary_minus_placeholder")
+
+    first, second = label("reviewer_1"), label("reviewer_2")
+    agree = F.coalesce(first == second, F.lit(False))
+    model = F.coalesce("llm_winner", F.lit("tie"))
+    return rows.select(
+        "sample_id", "document_id", "paragraph_id", first.alias("reviewer_1_preference"), second.alias("reviewer_2_preference"), F.when(agree, first).otherwise("disagreement").alias("consensus"),
+        model.alias("llm_winner"), agree.alias("reviewers_agree"), F.when(agree, first == model).alias("consensus_matches_llm"), *[difference(r, s) for r in ("reviewer_1", "reviewer_2") for s in scores],
+    )

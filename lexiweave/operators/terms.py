@@ -43,9 +43,19 @@ def match_spans(text: Column, pattern: Column) -> Column:
 
 
 def candidate_occurrences(paragraphs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Every case-insensitive match of a document's terms at word boundaries."""
-    pattern = F.concat(F.lit("(?i)(?<![A-Za-z0-9])\\Q"), "source_term", F.lit("\\E(?![A-Za-z0-9])"))
-    pairs = paragraphs.join(terms, "document_id").filter(F.contains(F.lower("text"), F.col("key")))
+    """Every case-insensitive match at word boundaries of a document's terms, or, where terms has no document_id, of all of them.
+
+    Shared terms meet a paragraph through their first word, so there is no cross join, and Spark broadcasts them if they are few.
+    """
+    quoted = F.regexp_replace("source_term", "([\\\\\\[\\](){}.*+?^$|])", "\\\\$1")
+    pattern = F.concat(F.lit("(?i)(?<![A-Za-z0-9])"), quoted, F.lit("(?![A-Za-z0-9])"))
+    if "document_id" in terms.columns:
+        pairs = paragraphs.join(terms, "document_id")
+    else:
+        words = F.transform(F.split("text", "[^A-Za-z0-9]+"), F.lower)
+        rows = paragraphs.withColumn("_word", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), words))))  # "": terms without letters
+        pairs = rows.join(terms.withColumn("_word", F.lower(F.regexp_extract("source_term", "[A-Za-z0-9]+", 0))), "_word")
+    pairs = pairs.filter(F.contains(F.lower("text"), F.col("key")))
     return pairs.select("document_id", "paragraph_id", "text", "key", "source_term", F.explode(match_spans(F.col("text"), pattern)).alias("m")).select("document_id", "paragraph_id", "text", "key", "source_term", F.col("m.start").alias("char_start"), F.col("m.end").alias("char_end"), F.col("m.match").alias("surface"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import coverage as j
@@ -41,12 +42,14 @@ def numbered(spark, folder):
     return tm.extract(paragraphs(spark, folder))[0]
 
 
+def memory(spark, folder):
+    return relation(spark, folder, "glossary").select("term_id", "source_term", F.lower("source_term").alias("key"))
+
+
 def uses(spark, folder):
     """Every use of a glossary term, classified."""
-    p = paragraphs(spark, folder)
-    g = relation(spark, folder, "glossary").select("term_id", "source_term", F.lower("source_term").alias("key"))
-    pairs = tm.candidate_occurrences(p, g.join(p.select("document_id").distinct()).select("document_id", "key", "source_term"))
-    rows = pairs.withColumn("is_definition", F.rlike("text", F.concat(F.lit("“"), "source_term", F.lit("”")))).drop("surface", "key")
+    places = tm.candidate_occurrences(paragraphs(spark, folder), memory(spark, folder).drop("term_id"))
+    rows = places.withColumn("is_definition", F.rlike("text", F.concat(F.lit("“"), "source_term", F.lit("”")))).drop("surface", "key")
     return tm.classify_uses(rows).drop("text", "is_definition")
 
 
@@ -59,13 +62,17 @@ def rel(name, f, *more):
 
 
 def occurrences(spark, folder):
-    """Plain places of glossary terms, without overlaps resolved, as DuckDB finds them too."""
-    p, g = paragraphs(spark, folder), relation(spark, folder, "glossary").filter("source_term in ('Person', 'Effective Date', 'Base Salary')")
-    rows = p.join(F.broadcast(g), F.contains("text", "source_term"))  # three rows
-    return rows.select("document_id", "paragraph_id", "term_id", "source_term", F.lit(0).alias("occurrence_index"), (F.expr("locate(source_term, text)") - 1).alias("char_start"))
+    """Every place of every glossary term, overlaps resolved; occurrence_index counts a term's places in a document."""
+    m = memory(spark, folder)
+    rows = tm.longest_first(tm.candidate_occurrences(paragraphs(spark, folder), m.drop("term_id"))).join(m.select("key", "term_id"), "key")
+    place = F.row_number().over(Window.partitionBy("document_id", "term_id").orderBy("paragraph_id", "char_start")) - 1
+    return rows.select("document_id", "paragraph_id", "term_id", "source_term", place.alias("occurrence_index"), "char_start")
 
 
-FOUND = "found AS (SELECT document_id, paragraph_id, term_id, source_term, 0 AS occurrence_index, CAST(strpos(text, source_term) - 1 AS INT) AS char_start FROM paragraphs JOIN glossary ON contains(text, source_term) WHERE source_term IN ('Person', 'Effective Date', 'Base Salary'))"
+FOUND = """spots AS (SELECT document_id, paragraph_id, text, term_id, source_term, unnest(generate_series(0, length(text) - length(source_term))) AS i FROM paragraphs JOIN glossary ON contains(lower(text), lower(source_term))),
+  places AS (SELECT *, CAST(i AS INT) AS char_start, CAST(i + length(source_term) AS INT) AS char_end FROM spots WHERE lower(substr(text, CAST(i AS INT) + 1, length(source_term))) = lower(source_term) AND NOT regexp_matches(substr(text, CAST(i AS INT), CAST(least(i, 1) AS INT)), '[A-Za-z0-9]') AND NOT regexp_matches(substr(text, CAST(i AS INT) + length(source_term) + 1, 1), '[A-Za-z0-9]')),
+  found AS (SELECT document_id, paragraph_id, term_id, source_term, CAST(row_number() OVER (PARTITION BY document_id, term_id ORDER BY paragraph_id, char_start) - 1 AS INT) AS occurrence_index, char_start FROM places a
+    WHERE NOT EXISTS (SELECT 1 FROM places b WHERE a.document_id = b.document_id AND a.paragraph_id = b.paragraph_id AND length(b.source_term) > length(a.source_term) AND b.char_end > a.char_start AND a.char_end > b.char_start))"""
 
 
 def diffs(spark, folder):
@@ -115,7 +122,7 @@ QUERIES = {
     "t05_link_occurrences": (linked, f"{P}, {OCC} SELECT document_id, paragraph_id, key, source_term, char_start, char_end, surface, {CTX} FROM occ"),
     "t07_number_terms": (lambda s, f: numbered(s, f).select("document_id", "key", "term_id", "occurrences"), f"{P}, {NUM} SELECT document_id, key, term_id, occurrences FROM numbered"),
     "t08_document_statistics": (lambda s, f: tm.document_statistics(paragraphs(s, f), numbered(s, f)), f"{P}, {NUM} SELECT * FROM (SELECT document_id, count(*) AS paragraph_count, CAST(sum(length(text)) AS BIGINT) AS character_count FROM paragraphs GROUP BY 1) JOIN (SELECT document_id, count(*) AS term_count, CAST(sum(occurrences) AS BIGINT) AS occurrence_count FROM numbered GROUP BY 1) USING (document_id)"),
-    "t09_containing_longer": (lambda s, f: tm.containing_longer(tm.candidate_occurrences(paragraphs(s, f), relation(s, f, "glossary").select("source_term", F.lower("source_term").alias("key")).join(paragraphs(s, f).select("document_id").distinct()))), f"{PG}, spots AS (SELECT document_id, paragraph_id, source_term, unnest(generate_series(0, length(text) - length(source_term))) AS i, text FROM paragraphs JOIN glossary ON contains(lower(text), lower(source_term))), c AS (SELECT document_id, paragraph_id, source_term, CAST(i AS INT) AS char_start, CAST(i + length(source_term) AS INT) AS char_end FROM spots WHERE lower(substr(text, CAST(i AS INT) + 1, length(source_term))) = lower(source_term) AND NOT regexp_matches(substr(text, CAST(i AS INT), CAST(least(i, 1) AS INT)), '[A-Za-z0-9]') AND NOT regexp_matches(substr(text, CAST(i AS INT) + length(source_term) + 1, 1), '[A-Za-z0-9]')) SELECT a.document_id, a.paragraph_id, a.source_term, a.char_start, a.char_end, arg_max(b.source_term, (b.char_end - b.char_start, b.source_term)) AS container FROM c a JOIN c b ON a.document_id = b.document_id AND a.paragraph_id = b.paragraph_id AND b.char_start <= a.char_start AND b.char_end >= a.char_end AND b.char_end - b.char_start > a.char_end - a.char_start GROUP BY ALL"),
+    "t09_containing_longer": (lambda s, f: tm.containing_longer(tm.candidate_occurrences(paragraphs(s, f), memory(s, f).drop("term_id"))), f"{PG}, spots AS (SELECT document_id, paragraph_id, source_term, unnest(generate_series(0, length(text) - length(source_term))) AS i, text FROM paragraphs JOIN glossary ON contains(lower(text), lower(source_term))), c AS (SELECT document_id, paragraph_id, source_term, CAST(i AS INT) AS char_start, CAST(i + length(source_term) AS INT) AS char_end FROM spots WHERE lower(substr(text, CAST(i AS INT) + 1, length(source_term))) = lower(source_term) AND NOT regexp_matches(substr(text, CAST(i AS INT), CAST(least(i, 1) AS INT)), '[A-Za-z0-9]') AND NOT regexp_matches(substr(text, CAST(i AS INT) + length(source_term) + 1, 1), '[A-Za-z0-9]')) SELECT a.document_id, a.paragraph_id, a.source_term, a.char_start, a.char_end, arg_max(b.source_term, (b.char_end - b.char_start, b.source_term)) AS container FROM c a JOIN c b ON a.document_id = b.document_id AND a.paragraph_id = b.paragraph_id AND b.char_start <= a.char_start AND b.char_end >= a.char_end AND b.char_end - b.char_start > a.char_end - a.char_start GROUP BY ALL"),
     "t18_classify_uses": (uses, None),
     "t19_validation_counts": (lambda s, f: uses(s, f).groupBy("document_id", "control_eligibility", "usage_status", "reason").agg(F.count("*").alias("n")), None),
     "t20_occurrences_by_paragraph": (lambda s, f: occurrences(s, f).groupBy("document_id", "paragraph_id").agg(F.array_join(F.array_sort(F.collect_list("term_id")), ",").alias("terms")), f"{PG}, {FOUND} SELECT document_id, paragraph_id, string_agg(term_id, ',' ORDER BY term_id) AS terms FROM found GROUP BY ALL"),

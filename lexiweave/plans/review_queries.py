@@ -76,7 +76,8 @@ def spans(spark, folder):
     return c.number_placeholders(o.withColumn("char_end", F.col("char_start") + F.length("source_term")))
 
 
-SPANS = f"{FOUND}, spans AS (SELECT f.*, canonical, char_start + length(f.source_term) AS char_end, '【术语' || lpad(regexp_replace(f.term_id, '\\D', '', 'g'), 4, '0') || '】' AS placeholder FROM found f JOIN glossary USING (term_id))"
+SPANS = f"""{FOUND}, named AS (SELECT f.*, canonical, char_start + length(f.source_term) AS char_end, '【术语' || lpad(regexp_replace(f.term_id, '\\D', '', 'g'), 4, '0') AS name, count(*) OVER w AS n, row_number() OVER (w ORDER BY char_start) AS k FROM found f JOIN glossary USING (term_id) WINDOW w AS (PARTITION BY document_id, paragraph_id, f.term_id)),
+  spans AS (SELECT *, name || CASE WHEN n > 1 THEN '_' || lpad(CAST(k AS VARCHAR), 2, '0') ELSE '' END || '】' AS placeholder FROM named)"""
 
 
 def round_trip(spark, folder):

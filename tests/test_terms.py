@@ -149,3 +149,24 @@ def test_pieces_and_recovery():
         assert all(len(p) <= limit for p in pieces) and "".join("".join(pieces).split()) == "".join(text.split())
     assert pt.split_source("", 5) == [""] and pt.split_source("      ab", 3) == ["   ", "ab"]
     assert pt.recover_substring("office", "an ofﬁ ce here") == "ofﬁ ce" and pt.recover_substring("x", "abc") is None
+
+
+def test_shared_terms(spark):
+    """Terms of all documents: every place, any characters, terms without letters; repeated paragraphs stay apart from other documents'."""
+    p = spark.createDataFrame([("a", 1, "A (Plan), a plan; planned C++ and §§ by U.S. Person"), ("b", 1, "Person\\E"), ("b", 2, "")], "document_id string, paragraph_id int, text string")
+    names = ["Plan", "(Plan)", "C++", "§§", "U.S. Person", "Person", "Person\\E"]
+    m = spark.createDataFrame([(n, n.lower()) for n in names], "source_term string, key string")
+    got = {(r.document_id, r.source_term, r.char_start, r.surface) for r in terms.candidate_occurrences(p, m).collect()}
+    assert got == {("a", "Plan", 3, "Plan"), ("a", "(Plan)", 2, "(Plan)"), ("a", "Plan", 12, "plan"), ("a", "C++", 26, "C++"), ("a", "§§", 34, "§§"), ("a", "U.S. Person", 40, "U.S. Person"), ("a", "Person", 45, "Person"), ("b", "Person", 0, "Person"), ("b", "Person\\E", 0, "Person\\E")}
+
+
+def test_semantic_verdict(spark):
+    from lexiweave.operators import controls
+
+    good = '{"adequacy": "Pass", "term_semantics": "PASS", "unsupported_addition": false, "meaning_omission": 0, "unnatural_attachment": null, "broken_legal_logic": ""'
+    rows = [(0, good + "}"), (1, good.replace("0", "0.0") + ', "problematic_terms": ["a"]}'), (2, good.replace("null", '"false"') + "}"), (3, '{"adequacy": "PASS", "term_semantics": "PASS"}'), (4, "{}"), (5, "no"), (6, "[1]"), (7, None)]
+    d = spark.createDataFrame(rows, "i int, answer string")
+    got = {r.i: r.v for r in d.select("i", controls.semantic_verdict(F.col("answer")).alias("v")).collect()}
+    assert [got[i].passed for i in range(5)] == [True, True, False, False, False]
+    assert got[1].problematic_terms == ["a"] and got[4].adequacy == "FAIL" and got[4].meaning_omission
+    assert got[5] is None and got[6] is None and got[7] is None
