@@ -108,3 +108,13 @@ def error_cases(rows: DataFrame, limit: int = 20) -> DataFrame:
     long = rows.select("document_id", "paragraph_id", F.stack(F.lit(len(kinds)), *[x for k, v in kinds.items() for x in (F.lit(k), v)]).alias("category", "severity")).filter("severity > 0")
     rank = F.row_number().over(Window.partitionBy("category").orderBy(F.desc("severity"), "document_id", "paragraph_id"))
     return long.withColumn("rank", rank).filter(F.col("rank") <= limit)
+
+
+def direct_wins(rows: DataFrame) -> DataFrame:
+    """Wins and rates of a direct comparison (winner, has_terms): of all paragraphs, with and without terms. A winner not known is a tie."""
+    subset = F.array(F.lit("overall"), F.when(F.coalesce("has_terms", F.lit(False)), "term_bearing").otherwise("non_term_bearing"))
+    won = {side: F.count_if(F.col("winner") == side) for side in ("baseline", "controlled")}
+    g = rows.select("winner", F.explode(subset).alias("subset")).groupBy("subset").agg(F.count("*").alias("paragraphs"), *[n.alias(f"{side}_wins") for side, n in won.items()])
+    decisive = F.col("baseline_wins") + F.col("controlled_wins")
+    rates = [F.round(F.col(f"{side}_wins") / F.col("paragraphs"), 6).alias(f"{side}_win_rate") for side in won]
+    return g.select("*", (F.col("paragraphs") - decisive).alias("ties"), *rates, F.round(F.try_divide("baseline_wins", decisive), 6).alias("decisive_baseline_win_rate"))

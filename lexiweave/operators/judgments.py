@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.python_text import recover_substring_of
 
 # Fixed values.
 VARIANT_LABELS = ("ACCEPTABLE_VARIANT", "LEGAL_INCONSISTENCY", "UNRESOLVED")
@@ -83,3 +84,32 @@ def paired_reviews(one: DataFrame, two: DataFrame, key: DataFrame, scores: tuple
         "sample_id", "document_id", "paragraph_id", first.alias("reviewer_1_preference"), second.alias("reviewer_2_preference"), F.when(agree, first).otherwise("disagreement").alias("consensus"),
         model.alias("llm_winner"), agree.alias("reviewers_agree"), F.when(agree, first == model).alias("consensus_matches_llm"), *[difference(r, s) for r in ("reviewer_1", "reviewer_2") for s in scores],
     )
+
+
+# What a repair can end in, and the endings that need a rendering.
+REPAIRED = ("FOUND_MINIMAL", "OMITTED", "IMPLICIT", "AMBIGUOUS", "UNTRANSLATED", "RETAIN_ORIGINAL_REVIEW")
+WITH_RENDERING = ("FOUND_MINIMAL", "UNTRANSLATED")
+
+
+def validate_repairs(rows: DataFrame, answers: DataFrame) -> DataFrame:
+    """Each row (occurrence_id, rendering, target_paragraph) with its answer (occurrence_id, status, rendering, confidence, rationale), checked.
+
+    A rendering must stand in its paragraph, white space and compatibility forms aside, and is given as it stands there; problem
+    is null for a good answer. Rows without an answer and answers without a row have the problem occurrence_id.
+    """
+    got = answers.select("occurrence_id", "status", F.col("rendering").alias("_answer"), "confidence", F.btrim("rationale").alias("rationale"), F.lit(True).alias("_got"))
+    both = rows.select("occurrence_id", F.col("rendering").alias("_old"), F.coalesce("target_paragraph", F.lit("")).alias("_target"), F.lit(True).alias("_row")).join(got, "occurrence_id", "full_outer")
+    needs = F.col("status").isin(*WITH_RENDERING)
+    there = F.contains("_target", F.col("_answer"))
+    # Only renderings that are not in their paragraph word for word go to Python.
+    both = both.withColumn("_found", recover_substring_of(F.when(needs & ~there, F.col("_answer")), F.col("_target")))
+    rendering = F.when(needs, F.when(there, F.col("_answer")).otherwise(F.col("_found"))).when(F.col("status") == "RETAIN_ORIGINAL_REVIEW", F.nullif("_old", F.lit("")))
+    problem = (
+        F.when(F.col("_row").isNull() | F.col("_got").isNull(), "occurrence_id")
+        .when(~F.coalesce(F.col("status").isin(*REPAIRED), F.lit(False)), "status")
+        .when(~F.coalesce(F.col("confidence").between(0, 1), F.lit(False)), "confidence")
+        .when(F.coalesce("rationale", F.lit("")) == "", "rationale")
+        .when(needs & (F.coalesce("_answer", F.lit("")) == ""), "rendering is missing")
+        .when(needs & rendering.isNull(), "rendering is not in the paragraph")
+    )
+    return both.select("occurrence_id", F.when(problem.isNull(), rendering).alias("rendering"), "status", "confidence", "rationale", problem.alias("problem"))

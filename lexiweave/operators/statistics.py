@@ -72,13 +72,12 @@ def normal_cdf(z: Column) -> Column:
 
 def kappa(ratings: DataFrame) -> DataFrame:
     """Cohen's kappa and raw agreement of two raters (columns a, b); 1 where chance agreement is complete."""
-    n = ratings.count()
-    same = F.sum(F.col("n") * (F.col("a") == F.col("b")).cast("int"))
     table = ratings.groupBy("a", "b").agg(F.count("*").alias("n"))
     left, right = table.groupBy("a").agg(F.sum("n").alias("x")), table.groupBy("b").agg(F.sum("n").alias("y"))
-    chance = left.join(right, left.a == right.b).agg((F.sum(F.col("x") * F.col("y")) / F.lit(float(n * n) or 1.0)).alias("e"))
-    both = table.agg((same / F.lit(n or 1)).alias("o")).join(F.broadcast(chance))
-    return both.select(F.lit(n).cast("long").alias("n"), F.round("o", 6).alias("agreement"), F.round(F.when(F.col("e") == 1, 1.0).otherwise((F.col("o") - F.col("e")) / (1 - F.col("e"))), 6).alias("kappa"))
+    chance = left.join(right, left.a == right.b).agg(F.sum(F.col("x").cast("double") * F.col("y")).alias("c"))
+    same = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("s"))
+    both = same.join(F.broadcast(chance)).select("n", F.try_divide("s", "n").alias("o"), F.try_divide(F.coalesce("c", F.lit(0.0)), F.col("n").cast("double") * F.col("n")).alias("e"))  # one row each
+    return both.select("n", F.round("o", 6).alias("agreement"), F.round(F.when(F.col("e") == 1, 1.0).otherwise((F.col("o") - F.col("e")) / (1 - F.col("e"))), 6).alias("kappa"))
 
 
 def document_effect(rows: DataFrame) -> DataFrame:

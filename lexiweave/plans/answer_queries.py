@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import controls as c
+from ..operators import evaluation as ev
 from ..operators import judgments as jd
 from ..sources.contracts import relation, with_clause
 
@@ -68,8 +69,31 @@ REVIEWS = f"""{E}, one AS (SELECT {', '.join(ONE)} FROM evaluations), two AS (SE
   y AS (SELECT *, coalesce(reviewer_1_preference = reviewer_2_preference, false) AS reviewers_agree FROM x)
   SELECT *, CASE WHEN reviewers_agree THEN reviewer_1_preference ELSE 'disagreement' END AS consensus, CASE WHEN reviewers_agree THEN reviewer_1_preference = llm_winner END AS consensus_matches_llm FROM y"""
 
+#: Repairs of the paragraphs' renderings: some with other spaces, some not there, some without an answer or a reason.
+PT = with_clause("translations")
+TARGET = "CASE WHEN paragraph_id % 2 = 0 THEN '本 主体 同意。' ELSE '任何主体' END"
+STATUS = "CASE paragraph_id % 7 WHEN 0 THEN 'FOUND_MINIMAL' WHEN 1 THEN 'UNTRANSLATED' WHEN 2 THEN 'OMITTED' WHEN 3 THEN 'RETAIN_ORIGINAL_REVIEW' WHEN 4 THEN 'UNSURE' ELSE 'FOUND_MINIMAL' END"
+ANSWERED = "CASE paragraph_id % 3 WHEN 0 THEN '主体' WHEN 1 THEN '本主体' ELSE '' END"
+
+
+def repairs(spark, folder):
+    t = relation(spark, folder, "translations").selectExpr("CAST(paragraph_id AS STRING) AS occurrence_id", "paragraph_id", "'旧' AS rendering", f"{TARGET} AS target_paragraph")
+    a = t.filter("paragraph_id % 13 > 0").selectExpr("occurrence_id", f"{STATUS} AS status", f"{ANSWERED} AS rendering", "(paragraph_id % 12) / 10.0D AS confidence", "CASE WHEN paragraph_id % 19 > 0 THEN ' why ' ELSE ' ' END AS rationale")
+    return jd.validate_repairs(t, a)
+
+
+REPAIRS = f"""{PT}, a AS (SELECT CAST(paragraph_id AS VARCHAR) AS occurrence_id, paragraph_id % 13 > 0 AS got, {TARGET} AS target, CASE WHEN got THEN {STATUS} END AS status, {ANSWERED} AS answer, CASE WHEN got THEN (paragraph_id % 12) / 10.0::DOUBLE END AS confidence, CASE WHEN got THEN CASE WHEN paragraph_id % 19 > 0 THEN 'why' ELSE '' END END AS rationale FROM translations),
+  b AS (SELECT *, status IN ('FOUND_MINIMAL', 'UNTRANSLATED') AS needs, CASE WHEN contains(target, answer) THEN answer WHEN contains(replace(target, ' ', ''), answer) THEN '本 主体' END AS found FROM a),
+  c AS (SELECT *, CASE WHEN NOT got THEN 'occurrence_id' WHEN status NOT IN ('FOUND_MINIMAL', 'OMITTED', 'IMPLICIT', 'AMBIGUOUS', 'UNTRANSLATED', 'RETAIN_ORIGINAL_REVIEW') THEN 'status' WHEN confidence > 1 THEN 'confidence' WHEN rationale = '' THEN 'rationale' WHEN needs AND answer = '' THEN 'rendering is missing' WHEN needs AND found IS NULL THEN 'rendering is not in the paragraph' END AS problem FROM b)
+  SELECT occurrence_id, CASE WHEN problem IS NULL THEN CASE WHEN needs THEN found WHEN status = 'RETAIN_ORIGINAL_REVIEW' THEN '旧' END END AS rendering, status, confidence, rationale, problem FROM c"""
+
+WINS = f"""{E}, x AS (SELECT winner, unnest(['overall', CASE WHEN has_terms THEN 'term_bearing' ELSE 'non_term_bearing' END]) AS subset FROM evaluations), g AS (SELECT subset, count(*) AS paragraphs, count(*) FILTER (winner = 'baseline') AS baseline_wins, count(*) FILTER (winner = 'controlled') AS controlled_wins FROM x GROUP BY 1)
+  SELECT *, paragraphs - baseline_wins - controlled_wins AS ties, round(baseline_wins / paragraphs, 6) AS baseline_win_rate, round(controlled_wins / paragraphs, 6) AS controlled_win_rate, round(baseline_wins / nullif(baseline_wins + controlled_wins, 0), 6) AS decisive_baseline_win_rate FROM g"""
+
 QUERIES = {
     "c12_early_fallback": (lambda s, f: c.early_fallback(rejections(s, f), 2), REJECTIONS),
     "c15_semantic_verdict": (verdicts, f"{E}, a AS (SELECT paragraph_id, {ANSWER} AS answer FROM evaluations), v AS (SELECT paragraph_id, CASE WHEN json_extract(answer, '$.adequacy') IS NULL THEN 'FAIL' ELSE upper(coalesce(json_extract_string(answer, '$.adequacy'), 'NONE')) END AS adequacy, upper(json_extract_string(answer, '$.term_semantics')) = 'PASS' AS meant, {', '.join(map(SET, c.FLAGS))} FROM a) SELECT * EXCLUDE (meant), adequacy = 'PASS' AND meant AND NOT ({' OR '.join(c.FLAGS)}) AS passed FROM v"),
     "j07_paired_reviews": (reviews, REVIEWS),
+    "k10_direct_wins": (lambda s, f: ev.direct_wins(relation(s, f, "evaluations")), WINS),
+    "v09_validate_repairs": (repairs, REPAIRS),
 }

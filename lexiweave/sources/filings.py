@@ -5,7 +5,7 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Where indexes stand, what an index line holds, words of an agreement, files that are no documents.
@@ -116,6 +116,46 @@ def unique_documents(documents: DataFrame) -> DataFrame:
     return documents.join(checked, "document_id").filter("_ok is null").drop("_ok")
 
 
+def json_files(spark: SparkSession, folder: str, glob: str = "*.json") -> DataFrame:
+    """file_name and value (the whole text) of each file, folders below included."""
+    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(folder)
+    return rows.select(F.col("_metadata.file_name").alias("file_name"), F.btrim("value", F.lit(" \t\r\n")).alias("value"))
+
+
+# Endings of files beside reviews that are no reviews.
+NO_REVIEWS = ("manifest.json", ".audit.json", ".checkpoint.json", ".metrics.json", ".aggregated.json", ".judgments.json")
+REVIEW = "occurrence_id string, document_id string, term_id string, source_term string, paragraph_id int, target_paragraph string, rendering string, extraction_status string, extraction_confidence double, notes string"
+
+
+def read_review_files(spark: SparkSession, folder: str, schema: str = REVIEW) -> DataFrame:
+    """The objects of JSON arrays of which one at least has an occurrence_id; other files and malformed ones are left out."""
+    files = json_files(spark, folder).filter(F.startswith("value", F.lit("[")))
+    for ending in NO_REVIEWS:
+        files = files.filter(~F.col("file_name").endswith(ending))
+    items = F.filter(F.from_json("value", "array<string>"), lambda x: F.startswith(x, F.lit("{")))
+    files = files.withColumn("rows", F.transform(items, lambda x: F.from_json(x, schema)))
+    return files.filter(F.exists("rows", lambda r: r["occurrence_id"].isNotNull())).select("file_name", F.explode("rows").alias("r")).select("file_name", "r.*")
+
+
+SIDE = "struct<fidelity:double,legal:double,terminology:double,fluency:double,quality:double>"
+JUDGED = f"struct<paragraph_id:string,has_benchmark_terms:boolean,judgment:struct<winner:string,confidence:double,scores:struct<baseline:{SIDE},controlled:{SIDE}>>>"
+
+
+def read_evaluations(spark: SparkSession, folder: str, row: str = JUDGED, error: str = "struct<paragraph_id:string,error:string>") -> tuple[DataFrame, DataFrame]:
+    """(evaluations, errors) of the evaluation files, a row each with its document_id (else the file's name).
+
+    Evaluations without a paragraph_id are left out; two of one paragraph make the query fail.
+    """
+    schema = f"document_id string, evaluations array<{row}>, errors array<{error}>"
+    files = json_files(spark, folder, "*.translation-evaluation.json").filter(F.startswith("value", F.lit("{"))).withColumn("d", F.from_json("value", schema))
+    name = F.coalesce(F.nullif(F.col("d.document_id"), F.lit("")), F.regexp_replace("file_name", "\\.json$", "")).alias("document_id")
+    found = files.select(name, F.explode("d.evaluations").alias("r")).select("document_id", "r.*").filter("paragraph_id is not null")
+    n = F.count("*").over(Window.partitionBy("document_id", "paragraph_id"))
+    twice = F.raise_error(F.concat(F.lit("duplicate evaluation row "), F.concat_ws("/", "document_id", "paragraph_id")))
+    checked = found.withColumn("_n", n).filter(F.when(F.col("_n") > 1, twice.cast("boolean")).otherwise(F.lit(True))).drop("_n")
+    return checked, files.select(name, F.explode("d.errors").alias("r")).filter("r is not null").select("document_id", "r.*")
+
+
 def synthesize_ids(reviews: DataFrame) -> DataFrame:
     made = F.concat_ws("::", "document_id", "term_id", F.col("occurrence_index").cast("string"), F.col("paragraph_id").cast("string"))
     return reviews.withColumn("occurrence_id", F.coalesce(F.nullif(F.col("occurrence_id"), F.lit("")), made))

@@ -23,6 +23,29 @@ def test_read_documents(spark, tmp_path):
         filings.unique_documents(docs.union(docs)).collect()
 
 
+def test_review_files(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep/r.json").write_text(json.dumps([{"occurrence_id": "o1", "rendering": "x"}, 5, {"rendering": "y"}]))
+    (tmp_path / "other.json").write_text(json.dumps([{"rendering": "z"}]))
+    (tmp_path / "object.json").write_text(json.dumps({"occurrence_id": "o2"}))
+    (tmp_path / "r.audit.json").write_text(json.dumps([{"occurrence_id": "o3"}]))
+    (tmp_path / "broken.json").write_text('[{"occurrence_id": ')
+    assert sorted((r.occurrence_id or "", r.rendering) for r in filings.read_review_files(spark, str(tmp_path)).collect()) == [("", "y"), ("o1", "x")]
+
+
+def test_evaluation_files(spark, tmp_path):
+    row = {"paragraph_id": 3, "has_benchmark_terms": True, "judgment": {"winner": "tie", "scores": {"baseline": {"fluency": 4}}}}
+    (tmp_path / "a.translation-evaluation.json").write_text(json.dumps({"document_id": "d", "evaluations": [row, {"judgment": None}], "errors": [{"paragraph_id": 9, "error": "late"}]}))
+    (tmp_path / "b.translation-evaluation.json").write_text(json.dumps({"evaluations": [row]}))
+    (tmp_path / "c.translation-evaluation.json").write_text("[]")
+    rows, errors = filings.read_evaluations(spark, str(tmp_path))
+    assert sorted((r.document_id, r.paragraph_id, r.judgment.scores.baseline.fluency) for r in rows.collect()) == [("b.translation-evaluation", "3", 4.0), ("d", "3", 4.0)]
+    assert [(r.document_id, r.paragraph_id, r.error) for r in errors.collect()] == [("d", "9", "late")]
+    (tmp_path / "e.translation-evaluation.json").write_text(json.dumps({"document_id": "d", "evaluations": [row]}))
+    with pytest.raises(Exception, match="duplicate evaluation row"):
+        filings.read_evaluations(spark, str(tmp_path))[0].collect()
+
+
 def test_review_csv(spark, tmp_path):
     path = tmp_path / "r.csv"
     path.write_text("﻿" + ",".join(filings.REVIEW_COLUMNS) + "\n" + ",".join(f"v{i}" for i in range(14)) + "\n", encoding="utf-8")
