@@ -60,7 +60,19 @@ def stale_reviews(terms: DataFrame, review: DataFrame) -> DataFrame:
 
 
 def annotation_statistics(annotated: DataFrame) -> DataFrame:
-    return annotated.groupBy("document_id").agg(F.count("*").alias("terms"), F.count_if(F.col("include")).alias("benchmark_terms"), F.count_if(F.col("criticality") == "CRITICAL").alias("critical"), F.count_distinct("term_type").alias("types"))
+    return annotated.groupBy("document_id").agg(F.count("*").alias("terms"), F.count("term_type").alias("reviewed"), F.count_if(F.col("include")).alias("benchmark_terms"), F.count_if(F.col("criticality") == "CRITICAL").alias("critical"), F.count_distinct("term_type").alias("types"))
+
+
+def annotation_counts(annotated: DataFrame) -> DataFrame:
+    """Reviewed terms of each document by type and by criticality: a row for each value (field, value, terms)."""
+    pair = lambda f: F.struct(F.lit(f).alias("field"), F.col(f).alias("value"))
+    rows = annotated.filter("term_type is not null").select("document_id", F.explode(F.array(pair("term_type"), pair("criticality"))).alias("x"))
+    return rows.groupBy("document_id", "x.field", "x.value").agg(F.count("*").alias("terms"))
+
+
+def benchmark_terms(annotated: DataFrame) -> DataFrame:
+    """Annotated terms that are included and not EXCLUDED; without an annotation none."""
+    return annotated.filter("include and criticality <> 'EXCLUDED'")
 
 
 def validate_renderings(rows: DataFrame) -> DataFrame:

@@ -81,19 +81,19 @@ def auto_judgment(groups: DataFrame) -> DataFrame:
     return groups.withColumn("group_label", F.when(k == 0, "NO_EXPLICIT_RENDERING").when(k == 1, "EXACT_CONSISTENT"))
 
 
-def judged_metrics(reviews: DataFrame, judgments: DataFrame) -> DataFrame:
-    """Groups with their label counts, consistency and risk. judgments: document_id, term_id, variant_id, label.
+def judged_metrics(reviews: DataFrame, judgments: DataFrame, keys: list[str] = GROUP) -> DataFrame:
+    """Groups with their label counts, consistency and risk. judgments: the keys, variant_id, label.
 
     A variant without a judgment, or with an unknown label, counts as unresolved.
     """
     included = reviews.filter("not include_in_consistency <=> false")
-    ranked = variants(included)
-    errors = included.withColumn("variant", t.normalize_variant(F.col("rendering"))).filter("extraction_status = 'TRANSLATION_ERROR' and variant is not null").groupBy(*GROUP, "variant").agg(F.count("*").alias("errors"))
+    ranked = variants(included, keys=keys)
+    errors = included.withColumn("variant", t.normalize_variant(F.col("rendering"))).filter("extraction_status = 'TRANSLATION_ERROR' and variant is not null").groupBy(*keys, "variant").agg(F.count("*").alias("errors"))
     label = F.when(F.col("label").isin(*LABELS), F.col("label")).otherwise("UNRESOLVED")
-    rows = ranked.join(judgments, [*GROUP, "variant_id"], "left").join(errors, [*GROUP, "variant"], "left").withColumn("label", label)
+    rows = ranked.join(judgments, [*keys, "variant_id"], "left").join(errors, [*keys, "variant"], "left").withColumn("label", label)
     of = lambda name: F.sum(F.when(F.col("label") == name, F.col("n")).otherwise(0))
-    labels = rows.groupBy(*GROUP).agg(of("EXACT_CONSISTENT").alias("exact"), of("ACCEPTABLE_VARIANT").alias("acceptable"), of("LEGAL_INCONSISTENCY").alias("inconsistent"), of("UNRESOLVED").alias("unresolved"), F.sum(F.when(F.col("label") == "LEGAL_INCONSISTENCY", F.coalesce("errors", F.lit(0))).otherwise(0)).alias("errors_inside"))
-    g = aggregate(reviews).join(labels, GROUP, "left").fillna(0, ["exact", "acceptable", "inconsistent", "unresolved", "errors_inside"])
+    labels = rows.groupBy(*keys).agg(of("EXACT_CONSISTENT").alias("exact"), of("ACCEPTABLE_VARIANT").alias("acceptable"), of("LEGAL_INCONSISTENCY").alias("inconsistent"), of("UNRESOLVED").alias("unresolved"), F.sum(F.when(F.col("label") == "LEGAL_INCONSISTENCY", F.coalesce("errors", F.lit(0))).otherwise(0)).alias("errors_inside"))
+    g = aggregate(reviews, keys).join(labels, keys, "left").fillna(0, ["exact", "acceptable", "inconsistent", "unresolved", "errors_inside"])
     resolved = F.col("exact") + F.col("acceptable") + F.col("inconsistent")
     risk = F.col("inconsistent") + F.col("omitted") + F.greatest(F.lit(0), F.col("translation_error") - F.col("errors_inside"))
     base = F.greatest(F.lit(0), F.col("occurrences") - F.col("implicit") - F.col("ambiguous") - F.col("unresolved"))
@@ -101,18 +101,24 @@ def judged_metrics(reviews: DataFrame, judgments: DataFrame) -> DataFrame:
     return g.withColumns({"consistency_rate": ratio(F.col("exact") + F.col("acceptable"), F.col("resolved")), "inconsistency_rate": ratio(F.col("inconsistent"), F.col("resolved")), "omission_rate": ratio(F.col("omitted"), F.col("occurrences")), "risk_rate": ratio(F.col("risk"), F.col("risk_base"))})
 
 
-def summary(judged: DataFrame) -> DataFrame:
-    """One row: macro means, micro ratios, critical terms' rates, and the weighted score."""
+def summary(judged: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """A row for each of by (one for all without): macro means, micro ratios, critical terms' rates, and the weighted score."""
     s = F.sum
     weight = F.coalesce(F.get(F.array(*[F.lit(w) for w in WEIGHTS.values()]), F.array_position(F.array(*[F.lit(k) for k in WEIGHTS]), F.coalesce("criticality", F.lit(""))).cast("int") - 1), F.lit(1.0))
     at = judged.withColumn("w", F.when((F.col("risk_base") > 0), weight).otherwise(0.0))
     critical = lambda c: s(F.when(F.col("criticality") == "CRITICAL", F.col(c)).otherwise(0))
-    return at.agg(
-        F.count("*").alias("term_groups"), F.round(F.avg("dominant_translation_ratio"), 6).alias("dtr_macro"), ratio(s(F.round(F.col("dominant_translation_ratio") * F.col("explicit_occurrences"))), s("explicit_occurrences")).alias("dtr_micro"),
-        F.round(F.avg("translation_variation_rate"), 6).alias("tvr_macro"), F.round(F.avg("entropy_bits"), 6).alias("entropy_macro_bits"),
+    return at.groupBy(*by).agg(
+        F.count("*").alias("term_groups"), s("occurrences").alias("occurrences"), F.round(F.avg("dominant_translation_ratio"), 6).alias("dtr_macro"), ratio(s(F.round(F.col("dominant_translation_ratio") * F.col("explicit_occurrences"))), s("explicit_occurrences")).alias("dtr_micro"),
+        F.round(F.avg("translation_variation_rate"), 6).alias("tvr_macro"), F.round(F.avg("entropy_bits"), 6).alias("entropy_macro_bits"), F.round(F.avg("normalized_entropy"), 6).alias("normalized_entropy_macro"),
         ratio(s(F.col("exact") + F.col("acceptable")), s("resolved")).alias("consistency_micro"), ratio(s("inconsistent"), s("resolved")).alias("inconsistency_micro"), ratio(s("omitted"), s("occurrences")).alias("omission_micro"),
         ratio(s("explicit_occurrences"), s("occurrences")).alias("explicit_coverage"), ratio(s("excluded_occurrences"), s("raw_occurrences")).alias("exclusion_rate"),
         ratio(s(F.col("implicit") + F.col("ambiguous") + F.col("unresolved")), s("occurrences")).alias("unresolved_rate"),
         ratio(critical("inconsistent"), critical("resolved")).alias("critical_inconsistency"), ratio(critical("risk"), critical("risk_base")).alias("critical_risk"),
         F.round(1 - s(F.col("w") * F.col("risk")) / F.nullif(s(F.col("w") * F.col("risk_base")), F.lit(0.0)), 6).alias("weighted_score"),
     )
+
+
+def compare_models(judged: DataFrame, model: str = "experiment") -> DataFrame:
+    """The summary of each model with its place: the most consistent first, without a rate last, then by name. Models are few."""
+    place = F.row_number().over(Window.orderBy(F.desc_nulls_last("consistency_micro"), model))
+    return summary(judged, [model]).withColumn("place", place)

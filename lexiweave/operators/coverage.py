@@ -106,6 +106,30 @@ def presence_rates(found: DataFrame) -> DataFrame:
     return out
 
 
+def presence_by_method(occurrences: DataFrame, translations: DataFrame, memory: DataFrame, methods: list[str]) -> DataFrame:
+    """Each occurrence under each method: whether its paragraph is translated and holds a canonical, acceptable or risky rendering.
+
+    translations has a column method; memory has source_term, canonical, allowed and risky (arrays). White space does not
+    count, empty renderings are never present, and a paragraph that a method has not translated holds none.
+    """
+    bare = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "(?U)\\s+", "")
+    known = memory.select("source_term", F.array(bare(F.col("canonical"))).alias("_c"), F.concat(F.array(bare(F.col("canonical"))), F.transform("allowed", bare)).alias("_a"), F.transform("risky", bare).alias("_r"))
+    rows = occurrences.withColumn("method", F.explode(F.array(*[F.lit(m) for m in methods]))).join(translations.select(*KEY, "method", bare(F.col("translation")).alias("_t")), [*KEY, "method"], "left").join(known, "source_term")
+    target = F.coalesce("_t", F.lit(""))
+    holds = lambda names: F.exists(names, lambda r: (r != "") & F.contains(target, r))
+    return rows.select("method", *KEY, "source_term", "char_start", (target != "").alias("translated"), holds("_c").alias("canonical"), holds("_a").alias("acceptable"), holds("_r").alias("risky"))
+
+
+def method_rates(found: DataFrame) -> DataFrame:
+    """A row for each method: coverage, micro rates, and the shares of terms, documents and paragraphs whose occurrences all pass."""
+    rate = lambda c: F.round(F.avg(F.col(c).cast("int")), 6)
+    out = found.groupBy("method").agg(F.count("*").alias("occurrences"), *[rate(c).alias(f"{c}_rate") for c in ("translated", "canonical", "acceptable", "risky")])
+    for name, keys in (("term", ["document_id", "source_term"]), ("document", ["document_id"]), ("paragraph", KEY)):
+        every = found.groupBy("method", *keys).agg(F.bool_and("canonical").alias("c"), F.bool_and("acceptable").alias("a"))
+        out = out.join(every.groupBy("method").agg(F.count("*").alias(f"{name}s"), rate("c").alias(f"all_canonical_{name}_rate"), rate("a").alias(f"all_acceptable_{name}_rate")), "method")
+    return out
+
+
 def translation_statistics(translations: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """Non-empty, empty, remaining paragraphs, attempts and latency of each document."""
     full = F.btrim("translation") != ""

@@ -36,24 +36,29 @@ def sql_groups(keys: str = "document_id, term_id") -> str:
 
 
 #: Labels as a judge would give them, from the variant's place.
-JUDGMENTS = "judgments AS (SELECT document_id, term_id, variant_id, CASE variant_id WHEN 'V000' THEN 'EXACT_CONSISTENT' WHEN 'V001' THEN CASE WHEN length(term_id) % 2 = n % 2 THEN 'ACCEPTABLE_VARIANT' ELSE 'LEGAL_INCONSISTENCY' END ELSE 'DUNNO' END AS label FROM var)"
+def sql_judgments(keys: str = "document_id, term_id") -> str:
+    return f"judgments AS (SELECT {keys}, variant_id, CASE variant_id WHEN 'V000' THEN 'EXACT_CONSISTENT' WHEN 'V001' THEN CASE WHEN length(term_id) % 2 = n % 2 THEN 'ACCEPTABLE_VARIANT' ELSE 'LEGAL_INCONSISTENCY' END ELSE 'DUNNO' END AS label FROM var)"
 
 
-def judgments(reviews):
-    ranked = c.variants(reviews.filter("not include_in_consistency <=> false"))
+def judgments(reviews, keys=c.GROUP):
+    ranked = c.variants(reviews.filter("not include_in_consistency <=> false"), keys=keys)
     label = F.when(F.col("variant_id") == "V000", "EXACT_CONSISTENT").when(F.col("variant_id") == "V001", F.when(F.length("term_id") % 2 == F.col("n") % 2, "ACCEPTABLE_VARIANT").otherwise("LEGAL_INCONSISTENCY")).otherwise("DUNNO")
-    return ranked.select("document_id", "term_id", "variant_id", label.alias("label"))
+    return ranked.select(*keys, "variant_id", label.alias("label"))
 
 
-JUDGED = f"""{sql_groups()}, {JUDGMENTS},
-  err AS (SELECT document_id, term_id, {NV} AS variant, count(*) AS errors FROM inc WHERE extraction_status = 'TRANSLATION_ERROR' GROUP BY ALL),
-  lab AS (SELECT v.document_id, v.term_id, v.n, coalesce(e.errors, 0) AS errors, CASE WHEN j.label IN ('EXACT_CONSISTENT', 'ACCEPTABLE_VARIANT', 'LEGAL_INCONSISTENCY') THEN j.label ELSE 'UNRESOLVED' END AS label FROM var v LEFT JOIN judgments j USING (document_id, term_id, variant_id) LEFT JOIN err e USING (document_id, term_id, variant)),
-  sums AS (SELECT document_id, term_id, sum(CASE WHEN label = 'EXACT_CONSISTENT' THEN n ELSE 0 END) AS exact, sum(CASE WHEN label = 'ACCEPTABLE_VARIANT' THEN n ELSE 0 END) AS acceptable, sum(CASE WHEN label = 'LEGAL_INCONSISTENCY' THEN n ELSE 0 END) AS inconsistent, sum(CASE WHEN label = 'UNRESOLVED' THEN n ELSE 0 END) AS unresolved, sum(CASE WHEN label = 'LEGAL_INCONSISTENCY' THEN errors ELSE 0 END) AS errors_inside FROM lab GROUP BY ALL),
-  base AS (SELECT g.*, CAST(coalesce(exact, 0) AS BIGINT) AS exact, CAST(coalesce(acceptable, 0) AS BIGINT) AS acceptable, CAST(coalesce(inconsistent, 0) AS BIGINT) AS inconsistent, CAST(coalesce(unresolved, 0) AS BIGINT) AS unresolved, CAST(coalesce(errors_inside, 0) AS BIGINT) AS errors_inside FROM groups g LEFT JOIN sums USING (document_id, term_id)),
+def sql_judged(keys: str = "document_id, term_id") -> str:
+    of = ", ".join(f"v.{k}" for k in keys.split(", "))
+    return f"""{sql_groups(keys)}, {sql_judgments(keys)},
+  err AS (SELECT {keys}, {NV} AS variant, count(*) AS errors FROM inc WHERE extraction_status = 'TRANSLATION_ERROR' GROUP BY ALL),
+  lab AS (SELECT {of}, v.n, coalesce(e.errors, 0) AS errors, CASE WHEN j.label IN ('EXACT_CONSISTENT', 'ACCEPTABLE_VARIANT', 'LEGAL_INCONSISTENCY') THEN j.label ELSE 'UNRESOLVED' END AS label FROM var v LEFT JOIN judgments j USING ({keys}, variant_id) LEFT JOIN err e USING ({keys}, variant)),
+  sums AS (SELECT {keys}, sum(CASE WHEN label = 'EXACT_CONSISTENT' THEN n ELSE 0 END) AS exact, sum(CASE WHEN label = 'ACCEPTABLE_VARIANT' THEN n ELSE 0 END) AS acceptable, sum(CASE WHEN label = 'LEGAL_INCONSISTENCY' THEN n ELSE 0 END) AS inconsistent, sum(CASE WHEN label = 'UNRESOLVED' THEN n ELSE 0 END) AS unresolved, sum(CASE WHEN label = 'LEGAL_INCONSISTENCY' THEN errors ELSE 0 END) AS errors_inside FROM lab GROUP BY ALL),
+  base AS (SELECT g.*, CAST(coalesce(exact, 0) AS BIGINT) AS exact, CAST(coalesce(acceptable, 0) AS BIGINT) AS acceptable, CAST(coalesce(inconsistent, 0) AS BIGINT) AS inconsistent, CAST(coalesce(unresolved, 0) AS BIGINT) AS unresolved, CAST(coalesce(errors_inside, 0) AS BIGINT) AS errors_inside FROM groups g LEFT JOIN sums USING ({keys})),
   risks AS (SELECT *, exact + acceptable + inconsistent AS resolved, inconsistent + omitted + greatest(0, translation_error - errors_inside) AS risk, greatest(0, occurrences - implicit - ambiguous - unresolved) AS risk_base FROM base),
   judged AS (SELECT *, round((exact + acceptable) / nullif(resolved, 0), 6) AS consistency_rate, round(inconsistent / nullif(resolved, 0), 6) AS inconsistency_rate, round(omitted / nullif(occurrences, 0), 6) AS omission_rate, round(risk / nullif(risk_base, 0), 6) AS risk_rate FROM risks)"""
 
-SUMMARY = """SELECT count(*) AS term_groups, round(avg(dominant_translation_ratio), 6) AS dtr_macro, round(sum(round(dominant_translation_ratio * explicit_occurrences)) / nullif(sum(explicit_occurrences), 0), 6) AS dtr_micro, round(avg(translation_variation_rate), 6) AS tvr_macro, round(avg(entropy_bits), 6) AS entropy_macro_bits,
+
+JUDGMENTS, JUDGED = sql_judgments(), sql_judged()
+SUMMARY = """SELECT count(*) AS term_groups, CAST(sum(occurrences) AS BIGINT) AS occurrences, round(avg(dominant_translation_ratio), 6) AS dtr_macro, round(sum(round(dominant_translation_ratio * explicit_occurrences)) / nullif(sum(explicit_occurrences), 0), 6) AS dtr_micro, round(avg(translation_variation_rate), 6) AS tvr_macro, round(avg(entropy_bits), 6) AS entropy_macro_bits, round(avg(normalized_entropy), 6) AS normalized_entropy_macro,
   round(sum(exact + acceptable) / nullif(sum(resolved), 0), 6) AS consistency_micro, round(sum(inconsistent) / nullif(sum(resolved), 0), 6) AS inconsistency_micro, round(sum(omitted) / nullif(sum(occurrences), 0), 6) AS omission_micro, round(sum(explicit_occurrences) / nullif(sum(occurrences), 0), 6) AS explicit_coverage, round(sum(excluded_occurrences) / nullif(sum(raw_occurrences), 0), 6) AS exclusion_rate,
   round(sum(implicit + ambiguous + unresolved) / nullif(sum(occurrences), 0), 6) AS unresolved_rate, round(sum(inconsistent) FILTER (criticality = 'CRITICAL') / nullif(sum(resolved) FILTER (criticality = 'CRITICAL'), 0), 6) AS critical_inconsistency, round(sum(risk) FILTER (criticality = 'CRITICAL') / nullif(sum(risk_base) FILTER (criticality = 'CRITICAL'), 0), 6) AS critical_risk,
   round(1 - sum(w * risk) / nullif(sum(w * risk_base), 0), 6) AS weighted_score
@@ -64,8 +69,8 @@ def on(f):
     return lambda spark, folder: f(relation(spark, folder, "reviews"))
 
 
-def judged(r):
-    return c.judged_metrics(r, judgments(r))
+def judged(r, keys=c.GROUP):
+    return c.judged_metrics(r, judgments(r, keys), keys)
 
 
 EXP = ["experiment", "document_id", "term_id"]
@@ -81,5 +86,5 @@ QUERIES = {
     "g09_summary_metrics": (on(lambda r: c.summary(judged(r))), f"{R}, {JUDGED} {SUMMARY}"),
     "g10_missing_judgments": (on(lambda r: c.aggregate(r).join(judgments(r).filter("term_id <> 'T1007'"), ["document_id", "term_id"], "left_anti").select("document_id", "term_id")), f"{R}, {sql_groups()}, {JUDGMENTS} SELECT document_id, term_id FROM groups g WHERE NOT EXISTS (SELECT 1 FROM judgments j WHERE j.document_id = g.document_id AND j.term_id = g.term_id AND j.term_id <> 'T1007')"),
     "v01_auto_judgment": (on(lambda r: c.auto_judgment(c.aggregate(r)).select("document_id", "term_id", "variant_count", "group_label")), f"{R}, {sql_groups()} SELECT document_id, term_id, variant_count, CASE variant_count WHEN 0 THEN 'NO_EXPLICIT_RENDERING' WHEN 1 THEN 'EXACT_CONSISTENT' END AS group_label FROM groups"),
-    "w09_compare_models": (on(lambda r: judged(r).groupBy("criticality").agg(c.ratio(F.sum(F.col("exact") + F.col("acceptable")), F.sum("resolved")).alias("consistency"), F.sum("risk").alias("risk")).withColumn("place", F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy(F.desc_nulls_last("consistency"), "criticality")))), f"{R}, {JUDGED}, s AS (SELECT criticality, round(sum(exact + acceptable) / nullif(sum(resolved), 0), 6) AS consistency, CAST(sum(risk) AS BIGINT) AS risk FROM judged GROUP BY 1) SELECT *, CAST(row_number() OVER (ORDER BY consistency DESC NULLS LAST, criticality) AS INT) AS place FROM s"),
+    "w09_compare_models": (on(lambda r: c.compare_models(judged(r, EXP))), f"{R}, {sql_judged(', '.join(EXP))}, s AS ({SUMMARY.replace('SELECT count', 'SELECT experiment, count', 1)} GROUP BY experiment) SELECT *, CAST(row_number() OVER (ORDER BY consistency_micro DESC NULLS LAST, experiment) AS INT) AS place FROM s"),
 }

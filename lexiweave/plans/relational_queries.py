@@ -75,6 +75,27 @@ FOUND = """spots AS (SELECT document_id, paragraph_id, text, term_id, source_ter
     WHERE NOT EXISTS (SELECT 1 FROM places b WHERE a.document_id = b.document_id AND a.paragraph_id = b.paragraph_id AND length(b.source_term) > length(a.source_term) AND b.char_end > a.char_start AND a.char_end > b.char_start))"""
 
 
+#: Two methods: the translations, and a baseline that leaves some paragraphs out and renders a few terms otherwise.
+BASELINE = "SELECT document_id, paragraph_id, 'baseline' AS method, replace(translation, '基本薪资', '基 薪') AS translation FROM translations WHERE paragraph_id % 6 > 0"
+METHODS = f"SELECT document_id, paragraph_id, 'controlled' AS method, translation FROM translations UNION ALL {BASELINE}"
+
+
+def by_method(spark, folder):
+    relation(spark, folder, "translations").createOrReplaceTempView("lw_translations")
+    pick = lambda term, *v: F.when(F.col("term_id") == term, F.array(*[F.lit(x) for x in v])).otherwise(F.expr("cast(array() as array<string>)"))
+    m = relation(spark, folder, "glossary").select("term_id", "source_term", "canonical").withColumns({"allowed": pick("T0007", "基薪", " "), "risky": pick("T0003", "生效", "")})
+    return j.method_rates(j.presence_by_method(occurrences(spark, folder), spark.sql(METHODS.replace("FROM translations", "FROM lw_translations")), m, ["baseline", "controlled"]))
+
+
+RATE = lambda c: f"round(avg(CAST({c} AS INT)), 6)"
+GRAIN = lambda name, keys: f"{name} AS (SELECT method, count(*) AS {name}s, {RATE('c')} AS all_canonical_{name}_rate, {RATE('a')} AS all_acceptable_{name}_rate FROM (SELECT method, bool_and(canonical) AS c, bool_and(acceptable) AS a FROM p GROUP BY method, {keys}) GROUP BY 1)"
+METHOD_RATES = f"""{PG}, {FOUND}, m AS ({METHODS}), p AS (SELECT w.method, document_id, paragraph_id, f.source_term, coalesce(x, '') <> '' AS translated, contains(coalesce(x, ''), canonical) AS canonical,
+    contains(coalesce(x, ''), canonical) OR (f.term_id = 'T0007' AND contains(coalesce(x, ''), '基薪')) AS acceptable, f.term_id = 'T0003' AND contains(coalesce(x, ''), '生效') AS risky
+    FROM found f CROSS JOIN (VALUES ('baseline'), ('controlled')) AS w(method) LEFT JOIN (SELECT * RENAME (translation AS t), regexp_replace(translation, '\\s+', '', 'g') AS x FROM m) USING (document_id, paragraph_id, method) JOIN glossary g ON g.term_id = f.term_id),
+  total AS (SELECT method, count(*) AS occurrences, {', '.join(f"{RATE(c)} AS {c}_rate" for c in ('translated', 'canonical', 'acceptable', 'risky'))} FROM p GROUP BY 1), {GRAIN('term', 'document_id, source_term')}, {GRAIN('document', 'document_id')}, {GRAIN('paragraph', 'document_id, paragraph_id')}
+  SELECT * FROM total JOIN term USING (method) JOIN document USING (method) JOIN paragraph USING (method)"""
+
+
 def diffs(spark, folder):
     return relation(spark, folder, "evaluations").groupBy("document_id").agg(F.avg(F.col("controlled_quality") - F.col("baseline_quality")).alias("diff"))
 
@@ -138,6 +159,7 @@ QUERIES = {
     "j13_subset": (rel("paragraphs", lambda p, t: p.join(t.filter("attempts = 2").select("document_id", "paragraph_id"), ["document_id", "paragraph_id"], "left_semi"), "translations"), f"{PT} SELECT * FROM paragraphs WHERE (document_id, paragraph_id) IN (SELECT (document_id, paragraph_id) FROM translations WHERE attempts = 2)"),
     "j14_paired_cases": (rel("evaluations", lambda e: j.paired_cases(e.select("document_id", "paragraph_id", F.col("baseline_quality").alias("quality"), F.col("baseline_fidelity").alias("fidelity")), e.filter("paragraph_id % 3 > 0").select("document_id", "paragraph_id", F.col("controlled_quality").alias("quality"), F.col("controlled_fidelity").alias("fidelity")), ["quality", "fidelity"])), f"{E} SELECT document_id, paragraph_id, baseline_quality AS quality_left, baseline_fidelity AS fidelity_left, controlled_quality AS quality_right, controlled_fidelity AS fidelity_right, controlled_quality - baseline_quality AS quality_delta, controlled_fidelity - baseline_fidelity AS fidelity_delta, CASE WHEN controlled_quality > baseline_quality THEN 'right' WHEN controlled_quality < baseline_quality THEN 'left' ELSE 'none' END AS advantage FROM evaluations WHERE paragraph_id % 3 > 0"),
     "g15_translation_statistics": (lambda s, f: j.translation_statistics(relation(s, f, "translations"), paragraphs(s, f)), f"{PT} SELECT document_id, count(*) AS paragraphs, count(*) FILTER (trim(translation) <> '') AS nonempty, count(*) FILTER (trim(translation) = '') AS empty, CAST(coalesce(sum(attempts), 0) AS BIGINT) AS attempts, round(avg(latency_seconds), 6) AS mean_latency, greatest(0, count(*) - count(*) FILTER (trim(translation) <> '')) AS remaining FROM paragraphs LEFT JOIN translations USING (document_id, paragraph_id) GROUP BY 1"),
+    "g17_method_rates": (by_method, METHOD_RATES),
     "g17_presence_rates": (lambda s, f: j.presence_rates(j.presence(occurrences(s, f), relation(s, f, "translations"), relation(s, f, "glossary"))), f"{PG}, {FOUND}, p AS (SELECT document_id, paragraph_id, source_term, contains(regexp_replace(translation, '\\s+', '', 'g'), canonical) AS present FROM found JOIN translations USING (document_id, paragraph_id) JOIN glossary USING (source_term)) SELECT (SELECT count(*) FROM p) AS occurrences, (SELECT round(avg(CAST(present AS INT)), 6) FROM p) AS micro_rate, " + ", ".join(f"(SELECT round(avg(CAST(a AS INT)), 6) FROM (SELECT bool_and(present) AS a FROM p GROUP BY {g})) AS strict_{n}_rate" for n, g in (("term", "document_id, source_term"), ("paragraph", "document_id, paragraph_id"), ("document", "document_id")))),
     "g22_canonical_collisions": (rel("glossary", lambda g: j.canonical_collisions(g.withColumn("canonical", F.when(F.col("term_id") > "T0006", "计划").otherwise(F.col("canonical"))))), f"{with_clause('glossary')} SELECT canonical, count(DISTINCT term_id) AS terms, count(DISTINCT source_term) AS source_terms FROM (SELECT * REPLACE (CASE WHEN term_id > 'T0006' THEN '计划' ELSE canonical END AS canonical) FROM glossary) GROUP BY 1 HAVING count(DISTINCT term_id) > 1"),
     "g24_complexity": (lambda s, f: j.complexity(occurrences(s, f), paragraphs(s, f)), f"{PG}, {FOUND} SELECT document_id, paragraphs, coalesce(term_paragraphs, 0) AS term_paragraphs, coalesce(occurrences, 0) AS occurrences FROM (SELECT document_id, count(*) AS paragraphs FROM paragraphs GROUP BY 1) LEFT JOIN (SELECT document_id, count(DISTINCT paragraph_id) AS term_paragraphs, count(*) AS occurrences FROM found GROUP BY 1) USING (document_id)"),

@@ -129,6 +129,7 @@ def exhibit_pages(spark, folder):
     return page.select("id", F.concat(F.lit("<table><tr><th>Seq</th><th>Description</th><th>Document</th><th>Type</th></tr>"), "body", F.lit("</table>")).alias("html"))
 
 
+REVIEWED = f"{P}, {NUM}, {suggestion_sql('numbered', 'source_term')}, r AS (SELECT document_id, term_id, CASE WHEN term_id <> 'T0003' THEN split_part(sug, ' ', 1) END AS t, CASE term_id WHEN 'T0002' THEN 'EXCLUDED' WHEN 'T0003' THEN NULL ELSE split_part(sug, ' ', 2) END AS c, term_id NOT IN ('T0002', 'T0003') AND split_part(sug, ' ', 3) = 'true' AS i FROM s)"
 QUERIES = {
     "s01_parse_index": (lambda s, f: fl.parse_index(index_text(s, f)), f"WITH {INDEX} SELECT * FROM filings"),
     "s02_quarter_url": (lambda s, f: table(s, f, "orders").select("o_orderkey", fl.quarter_index_url(F.year("o_orderdate"), (F.col("o_orderkey") % 6).cast("int")).alias("url")), "SELECT o_orderkey, CASE WHEN o_orderkey % 6 BETWEEN 1 AND 4 THEN 'https://www.sec.gov/Archives/edgar/full-index/' || year(o_orderdate) || '/QTR' || o_orderkey % 6 || '/master.idx' END AS url FROM orders"),
@@ -146,8 +147,9 @@ QUERIES = {
     "a01_export_review": (lambda s, f: a.export_review(numbered(s, f), paragraphs(s, f)), f"{P}, {NUM}, ctx AS (SELECT document_id, term_id, string_agg(text, ' || ' ORDER BY paragraph_id) AS c FROM (SELECT document_id, term_id, unnest(definition_paragraph_ids) AS paragraph_id FROM numbered) JOIN paragraphs USING (document_id, paragraph_id) GROUP BY ALL), {suggestion_sql('numbered', 'source_term')} SELECT document_id, term_id, source_term, occurrences AS frequency, extraction_method, array_to_string(definition_paragraph_ids, ';') AS definition_paragraph_ids, CASE WHEN length({flat('c')}) <= 500 THEN {flat('c')} ELSE left({flat('c')}, 499) || '…' END AS definition_context, split_part(sug, ' ', 1) AS suggested_term_type, split_part(sug, ' ', 2) AS suggested_criticality, split_part(sug, ' ', 3) AS suggested_include, '' AS term_type, '' AS criticality, '' AS include_in_benchmark, '' AS reviewer_notes FROM s JOIN ctx USING (document_id, term_id)"),
     "a02_suggest_annotation": (lambda s, f: names(s, f).withColumn("s", a.suggest(F.col("term"))).select("c_custkey", "term", F.concat_ws(" ", "s.term_type", "s.criticality", F.col("s.include").cast("string")).alias("suggestion")), f"WITH {NAMES}, {suggestion_sql('names', 'term')} SELECT c_custkey, term, sug AS suggestion FROM s"),
     "a03_apply_review": (reviewed, f"{P}, {NUM}, {suggestion_sql('numbered', 'source_term')} SELECT document_id, term_id, source_term, CASE WHEN term_id <> 'T0003' THEN split_part(sug, ' ', 1) END AS term_type, CASE term_id WHEN 'T0002' THEN 'EXCLUDED' WHEN 'T0003' THEN NULL ELSE split_part(sug, ' ', 2) END AS criticality, CASE term_id WHEN 'T0002' THEN false WHEN 'T0003' THEN NULL ELSE split_part(sug, ' ', 3) = 'true' END AS include, CASE WHEN term_id = 'T0003' THEN 'missing' END AS problem FROM s"),
-    "a04_annotation_statistics": (lambda s, f: a.annotation_statistics(reviewed(s, f)), f"{P}, {NUM}, {suggestion_sql('numbered', 'source_term')}, r AS (SELECT document_id, CASE WHEN term_id <> 'T0003' THEN split_part(sug, ' ', 1) END AS t, CASE term_id WHEN 'T0002' THEN 'EXCLUDED' WHEN 'T0003' THEN NULL ELSE split_part(sug, ' ', 2) END AS c, term_id NOT IN ('T0002', 'T0003') AND split_part(sug, ' ', 3) = 'true' AS i FROM s) SELECT document_id, count(*) AS terms, count(*) FILTER (i) AS benchmark_terms, count(*) FILTER (c = 'CRITICAL') AS critical, count(DISTINCT t) AS types FROM r GROUP BY 1"),
-    "a05_benchmark_terms": (lambda s, f: relation(s, f, "glossary").filter("criticality <> 'EXCLUDED'").select("term_id"), f"{G} SELECT term_id FROM glossary WHERE criticality <> 'EXCLUDED'"),
+    "a04_annotation_statistics": (lambda s, f: a.annotation_statistics(reviewed(s, f)), f"{P}, {NUM}, {suggestion_sql('numbered', 'source_term')}, r AS (SELECT document_id, CASE WHEN term_id <> 'T0003' THEN split_part(sug, ' ', 1) END AS t, CASE term_id WHEN 'T0002' THEN 'EXCLUDED' WHEN 'T0003' THEN NULL ELSE split_part(sug, ' ', 2) END AS c, term_id NOT IN ('T0002', 'T0003') AND split_part(sug, ' ', 3) = 'true' AS i FROM s) SELECT document_id, count(*) AS terms, count(t) AS reviewed, count(*) FILTER (i) AS benchmark_terms, count(*) FILTER (c = 'CRITICAL') AS critical, count(DISTINCT t) AS types FROM r GROUP BY 1"),
+    "a04_annotation_counts": (lambda s, f: a.annotation_counts(reviewed(s, f)), f"{REVIEWED} SELECT document_id, 'term_type' AS field, t AS value, count(*) AS terms FROM r WHERE t IS NOT NULL GROUP BY ALL UNION ALL SELECT document_id, 'criticality', c, count(*) FROM r WHERE t IS NOT NULL GROUP BY ALL"),
+    "a05_benchmark_terms": (lambda s, f: a.benchmark_terms(reviewed(s, f)).select("document_id", "term_id", "term_type", "criticality"), f"{REVIEWED} SELECT document_id, term_id, t AS term_type, c AS criticality FROM r WHERE i AND c <> 'EXCLUDED'"),
     "a08_merge_saved": (lambda s, f: a.merge_saved(relation(s, f, "reviews").select("occurrence", "rendering", "extraction_status"), relation(s, f, "reviews").filter("occurrence % 4 = 0").select("occurrence", F.lit("旧").alias("rendering"), F.lit(None).cast("string").alias("extraction_status")).distinct(), "occurrence", ["rendering", "extraction_status"]), f"{R} SELECT occurrence, CASE WHEN occurrence % 4 = 0 THEN '旧' ELSE rendering END AS rendering, extraction_status FROM reviews"),
     "a09_low_confidence": (lambda s, f: a.flag_low_confidence(relation(s, f, "reviews").select("occurrence", "extraction_confidence", F.when(F.col("occurrence") % 3 == 0, "Low confidence.").when(F.col("occurrence") % 3 == 1, "see A").alias("notes")), 0.35, "Low confidence."), f"{R}, x AS (SELECT occurrence, extraction_confidence, extraction_confidence < 0.35 AS low_confidence FROM reviews) SELECT *, CASE occurrence % 3 WHEN 0 THEN 'Low confidence.' WHEN 1 THEN CASE WHEN low_confidence THEN 'see A Low confidence.' ELSE 'see A' END ELSE CASE WHEN low_confidence THEN 'Low confidence.' END END AS notes FROM x"),
     "a10_validate_renderings": (validated, f"{R}, {VALID} SELECT * FROM x"),
