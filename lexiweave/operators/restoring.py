@@ -10,6 +10,10 @@ from .controls import TOKEN
 
 CONTEXT = 28
 
+# Words that introduce a definition, and a sentence end before a quotation mark.
+DEFINITION_CUE = "(?i)(?:shall\\s+mean|means?|是指|指的是|应指|含义|以下简称|下称)"
+QUOTE_AFTER_STOP = "[。.;；：:]\\s*[‘’'\"“”]"
+
 # Names of the counts of a run, with the column that each sums.
 SUMS = {
     "controlled_term_occurrences": "controlled_term_occurrence_count", "hard_controlled_term_occurrences": "hard_controlled_term_occurrence_count",
@@ -96,6 +100,70 @@ def restore_with_spans(text: Column, constraints: Column, strict: bool = False)
     return F.struct(out.alias("text"), spans.alias("spans"), problem.alias("problem"))
 
 
+def between(text: Column, start: Column, end: Column) -> Column:
+    """Characters from start to end, both held inside the text."""
+    a = F.greatest(F.lit(0), start)
+    return F.substring(text, a + 1, F.greatest(F.lit(0), F.least(F.length(text), end) - a))
+
+
+def restored_issues(text: Column, spans: Column, renderings: Column, window: int = CONTEXT) -> Column:
+    """Faults of a restored text around the spans that restore_with_spans() reports, each once.
+
+    A canonical rendering that touches a span but is not a span itself, two spans of a term that touch (white space aside),
+    title marks in title marks, a risky rendering beside a span, and as a warning 期 before 期间; a token that stayed.
+    renderings: array of (term_id, rendering, kind); only those of kind risky count. Null text or spans: null.
+    """
+    touch = lambda a, b: F.rlike(between(text, a["end"], b["start"]), F.lit("(?U)^\\s*$")) & (a["end"] <= b["start"])
+    near = lambda a, b: touch(a, b) | touch(b, a)
+    around = lambda a, b: between(text, F.least(a["start"], b["start"]) - window, F.greatest(a["end"], b["end"]) + window)
+
+    def places(s: Column) -> Column:
+        """Where the canonical rendering of a span stands, overlaps left out: from the lengths of the pieces between."""
+        size = F.length(s["canonical"])
+        lengths = F.transform(F.slice(pieces(text, s["canonical"]), 1, F.greatest(F.lit(0), F.size(pieces(text, s["canonical"])) - 1)), F.length)
+        last = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0))
+        step = lambda acc, n: F.concat(acc, F.array(F.struct((last(acc) + n).alias("start"), (last(acc) + n + size).alias("end"))))
+        return F.aggregate(lengths, F.expr("cast(array() as array<struct<start:int,end:int>>)"), step)
+
+    def of(s: Column) -> Column:
+        none = F.lit(None).cast("string")
+        issue = lambda name, local, rendering=none, severity="ERROR": F.struct(F.lit(severity).alias("severity"), F.lit(name).alias("issue_type"), s["term_id"].alias("term_id"), s["placeholder"].alias("placeholder"), rendering.alias("rendering"), local.alias("local_context"))
+        same = F.filter(spans, lambda o: (o["term_id"] == s["term_id"]) & (o["canonical"] == s["canonical"]))
+        left, right = between(text, s["start"] - window, s["start"]), between(text, s["end"], s["end"] + window)
+        a, b, here = t.compact(left), t.compact(right), between(text, s["start"] - window, s["end"] + window)
+        extra = F.filter(places(s), lambda p: ~F.exists(same, lambda o: (p["start"] < o["end"]) & (o["start"] < p["end"])))
+        own = t.compact(s["canonical"])
+        risky = F.transform(F.filter(renderings, lambda r: (r["kind"] == "risky") & (r["term_id"] == s["term_id"])), lambda r: r["rendering"])
+        beside = F.filter(risky, lambda r: (t.compact(r) != "") & (own != "") & (t.compact(r) != own) & (F.endswith(a, t.compact(r)) | F.startswith(b, t.compact(r))))
+        titled = F.startswith(s["canonical"], F.lit("《")) & F.endswith(s["canonical"], F.lit("》")) & (F.rlike(left, F.lit("(?U)《\\s*$")) | F.rlike(right, F.lit("(?U)^\\s*》")))
+        once = lambda condition, x: F.filter(F.array(x), lambda _: condition)
+        found = F.concat(
+            F.transform(F.slice(F.filter(extra, lambda p: near(p, s)), 1, 1), lambda p: issue("DUPLICATED_CANONICAL_RENDERING", around(p, s), s["canonical"])),
+            F.transform(F.slice(F.filter(same, lambda o: (o["start"] != s["start"]) & near(o, s)), 1, 1), lambda o: issue("ADJACENT_RESTORED_CANONICAL_DUPLICATION", around(o, s), s["canonical"])),
+            once(titled, issue("NESTED_TITLE_MARKS", here)),
+            F.transform(F.slice(beside, 1, 1), lambda r: issue("RISKY_AND_CANONICAL_ADJACENCY", here, r)),
+            once(F.endswith(s["canonical"], F.lit("期")) & F.startswith(right, F.lit("期间")), issue("POSSIBLE_PERIOD_SUFFIX_REDUNDANCY", here, severity="WARNING")),
+        )
+        return F.when(s["canonical"] != "", found).otherwise(F.slice(found, 1, 0))
+
+    none = F.lit(None).cast("string")
+    token = F.regexp_substr(text, F.lit(TOKEN))
+    stayed = F.struct(F.lit("ERROR").alias("severity"), F.lit("UNRESTORED_PLACEHOLDER").alias("issue_type"), none.alias("term_id"), none.alias("placeholder"), none.alias("rendering"), token.alias("local_context"))
+    return F.array_distinct(F.concat(F.filter(F.array(stayed), lambda x: x["local_context"].isNotNull()), F.flatten(F.transform(spans, of))))
+
+
+def definition_repetitions(text: Column, spans: Column, window: int = CONTEXT) -> Column:
+    """Neighbouring spans of a term that a definition explains: a defining word around them, or a sentence's end and a quotation between."""
+    reach = max(96, 4 * window)
+
+    def of(s: Column) -> Column:
+        later = F.filter(spans, lambda o: (o["term_id"] == s["term_id"]) & (o["canonical"] == s["canonical"]) & (o["start"] >= s["end"]))
+        pair = F.transform(F.slice(F.sort_array(F.transform(later, lambda o: F.struct(o["start"].alias("start"), o["end"].alias("end"), o["placeholder"].alias("placeholder")))), 1, 1), lambda o: F.struct(s["term_id"].alias("term_id"), s["placeholder"].alias("left_placeholder"), o["placeholder"].alias("right_placeholder"), between(text, s["start"] - 12, o["end"] + 40).alias("local_context"), between(text, s["end"], o["start"]).alias("gap")))
+        return F.filter(pair, lambda p: (F.length(p["gap"]) <= reach) & (F.rlike(p["local_context"], F.lit(DEFINITION_CUE)) | F.rlike(p["gap"], F.lit(QUOTE_AFTER_STOP))))
+
+    return F.flatten(F.transform(F.filter(spans, lambda s: s["canonical"] != ""), of))
+
+
 def control_statistics(paragraphs: DataFrame, translations: DataFrame, errors: DataFrame, keys: list[str]) -> DataFrame:
     """Counts of a controlled run, a row for each of the keys in paragraphs.
 

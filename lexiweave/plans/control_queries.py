@@ -57,6 +57,33 @@ def restored(spark, folder):
 #: Places of the tokens by their lengths before and after: a text holds 0003 once or twice, then 0007_01 at its end.
 RESTORED = f"""o AS ({OUTPUT}), x AS (SELECT *, replace(replace(output, '【术语0003】', '{TITLED}'), '【术语0007_01】', '基本薪资') AS restored, strpos(output, '【术语0003】') - 1 AS a, length('{TITLED}') AS n FROM o)"""
 
+#: The same texts with the canonical or a risky rendering put before the last token.
+TAIL = "CASE paragraph_id % 4 WHEN 0 THEN '基本薪资 ' WHEN 1 THEN '薪水，' ELSE '；' END"
+FAULTY = f"SELECT document_id, paragraph_id, replace(output, '；【术语0007_01】', concat({TAIL}, '【术语0007_01】')) AS output FROM o"
+
+
+def faults(spark, folder):
+    output(spark, folder).createOrReplaceTempView("lw_output")
+    rows = spark.sql(FAULTY.replace("FROM o", "FROM lw_output")).withColumn("r", rs.restore_with_spans(F.col("output"), constraints()))
+    known = F.array(F.struct(F.lit("T0007").alias("term_id"), F.lit("薪水").alias("rendering"), F.lit("risky").alias("kind")))
+    found = rows.select("document_id", "paragraph_id", F.explode(rs.restored_issues(F.col("r.text"), F.col("r.spans"), known)).alias("i"))
+    return found.select("document_id", "paragraph_id", "i.severity", "i.issue_type", "i.term_id", "i.placeholder", "i.rendering", "i.local_context")
+
+
+FAULTS = f"""o AS ({OUTPUT}), faulty AS ({FAULTY}), y AS (SELECT document_id, paragraph_id, output, replace(replace(output, '【术语0003】', '{TITLED}'), '【术语0007_01】', '基本薪资') AS text, strpos(output, '【术语0003】') - 1 AS a, 6 AS n FROM faulty),
+  sp AS (SELECT document_id, paragraph_id, text, 'T0003' AS term_id, '【术语0003】' AS placeholder, '{TITLED}' AS canonical, a AS st, a + n AS en FROM y UNION ALL SELECT document_id, paragraph_id, text, 'T0003', '【术语0003】', '{TITLED}', a + n, a + 2 * n FROM y WHERE paragraph_id % 7 = 2
+    UNION ALL SELECT document_id, paragraph_id, text, 'T0007', '【术语0007_01】', '基本薪资', length(text) - 4, length(text) FROM y),
+  pl AS (SELECT * FROM (SELECT *, unnest(generate_series(0, length(text) - length(canonical))) AS ps FROM sp) WHERE substr(text, CAST(ps AS INT) + 1, length(canonical)) = canonical),
+  ex AS (SELECT *, ps + length(canonical) AS pe FROM pl WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.document_id = pl.document_id AND sp.paragraph_id = pl.paragraph_id AND sp.term_id = pl.term_id AND pl.ps < sp.en AND sp.st < pl.ps + length(pl.canonical))),
+  ot AS (SELECT s.*, q.st AS ps, q.en AS pe FROM sp s JOIN sp q ON s.document_id = q.document_id AND s.paragraph_id = q.paragraph_id AND s.term_id = q.term_id AND s.st <> q.st),
+  nb AS (SELECT 'DUPLICATED_CANONICAL_RENDERING' AS issue_type, * FROM ex UNION ALL SELECT 'ADJACENT_RESTORED_CANONICAL_DUPLICATION', * FROM ot),
+  ad AS (SELECT *, CAST(least(st, ps) AS INT) AS lo, CAST(greatest(en, pe) AS INT) AS hi FROM nb WHERE trim(CASE WHEN pe <= st THEN substr(text, CAST(pe AS INT) + 1, CAST(st - pe AS INT)) ELSE substr(text, CAST(en AS INT) + 1, CAST(ps - en AS INT)) END) = '' QUALIFY row_number() OVER (PARTITION BY document_id, paragraph_id, issue_type, term_id, st ORDER BY ps) = 1),
+  cx AS (SELECT *, CAST(greatest(st - 28, 0) AS INT) AS lo, CAST(en + 28 AS INT) AS hi, substr(text, CAST(greatest(st - 28, 0) AS INT) + 1, CAST(st - greatest(st - 28, 0) AS INT)) AS l, substr(text, CAST(en AS INT) + 1, 28) AS r FROM sp),
+  all_issues AS (SELECT document_id, paragraph_id, issue_type, term_id, placeholder, canonical AS rendering, substr(text, greatest(lo - 28, 0) + 1, hi + 28 - greatest(lo - 28, 0)) AS local_context FROM ad
+    UNION ALL SELECT document_id, paragraph_id, 'NESTED_TITLE_MARKS', term_id, placeholder, NULL, substr(text, lo + 1, hi - lo) FROM cx WHERE term_id = 'T0003' AND (ends_with(rtrim(l), '《') OR starts_with(ltrim(r), '》'))
+    UNION ALL SELECT document_id, paragraph_id, 'RISKY_AND_CANONICAL_ADJACENCY', term_id, placeholder, '薪水', substr(text, lo + 1, hi - lo) FROM cx WHERE term_id = 'T0007' AND (ends_with({COMPACT('l')}, '薪水') OR starts_with({COMPACT('r')}, '薪水'))
+    UNION ALL SELECT document_id, paragraph_id, 'UNRESTORED_PLACEHOLDER', NULL, NULL, NULL, '【术语0009】' FROM y WHERE contains(text, '【术语0009】'))"""
+
 #: Columns of a run's paragraphs as numbers and names made from the paragraph's number.
 RUN_NUMBERS = {c: i for i, c in enumerate(sorted(set(rs.SUMS.values())))}
 STRATEGY = "CASE paragraph_id % 6 WHEN 0 THEN 'placeholder_exact' WHEN 1 THEN 'placeholder_retry_exact' WHEN 2 THEN 'placeholder_repaired' WHEN 3 THEN 'conditional_glossary' WHEN 4 THEN 'uncontrolled' END"
@@ -113,6 +140,7 @@ VAR = f"{R}, var AS ({sql_variants('reviews', NV)})"
 QUERIES = {
     "c06_context_issues": (diagnosed, f"{PT}, {ISSUES} SELECT document_id, paragraph_id, CAST(row_number() OVER (PARTITION BY document_id, paragraph_id ORDER BY k, m) - 1 AS INT) AS place, issue_type, token AS placeholder, rendering, kind AS rendering_kind, side, l || token || r AS local_context FROM issues"),
     "c07_restored_spans": (restored, f"{PT}, {RESTORED} SELECT document_id, paragraph_id, restored, 'T0003:' || a || ':' || a + n || CASE WHEN paragraph_id % 7 = 2 THEN '|T0003:' || a + n || ':' || a + 2 * n ELSE '' END || '|T0007:' || length(restored) - 4 || ':' || length(restored) AS spans, CASE WHEN paragraph_id % 7 = 3 THEN 'LEFTOVER' END AS problem FROM x"),
+    "c08_restored_issues": (faults, f"{PT}, {FAULTS} SELECT DISTINCT document_id, paragraph_id, 'ERROR' AS severity, issue_type, term_id, placeholder, rendering, local_context FROM all_issues"),
     "g16_run_statistics": (control_run, run_sql()),
     "v02_judge_payloads": (lambda s, f: jg.judge_payloads(reviewed_variants(s, f)), f"""{VAR}, g AS (SELECT document_id, term_id, list({{'variant_id': variant_id, 'rendering': variant, 'count': n, 'is_dominant': variant_id = 'V000'}} ORDER BY variant_id) AS v, list(variant_id ORDER BY variant_id) FILTER (variant_id <> 'V000') AS q, max(variant) FILTER (variant_id = 'V000') AS d FROM var GROUP BY ALL HAVING count(*) > 1),
       b AS (SELECT *, CAST((row_number() OVER (PARTITION BY document_id ORDER BY term_id) - 1) // 4 AS INT) AS batch FROM g)

@@ -74,3 +74,41 @@ def test_answers_that_cannot_be_used(spark):
     a = spark.createDataFrame([("d", *x) for x in said], "document_id string, term_id string, variant_id string, label string, confidence double")
     got = {r.term_id: (r.group_label, r.fallbacks, r.confidence) for r in judging.merge_variant_answers(v, a).collect()}
     assert got == {"A": ("LEGAL_INCONSISTENCY", 0, 0.7), "B": ("ACCEPTABLE_VARIATION", 0, 0.5), "C": ("UNRESOLVED", 2, 0.0)}
+
+
+SPAN = "array<struct<placeholder:string,term_id:string,canonical:string,start:int,end:int>>"
+
+
+def faults(spark, text, marked, canonical="主体", risky=()):
+    """The text with its spans marked by ^ before each."""
+    places, at = [], 0
+    for i, part in enumerate(text.split("^")):
+        at += len(part)
+        places += [(f"【术语000{i + 1}】", "T1", canonical, at, at + len(canonical))]
+    df = spark.createDataFrame([(text.replace("^", ""), places[:-1], [("T1", r, "risky") for r in risky])], f"text string, spans {SPAN}, known array<struct<term_id:string,rendering:string,kind:string>>")
+    r = df.select(restoring.restored_issues(F.col("text"), F.col("spans"), F.col("known")).alias("i"), restoring.definition_repetitions(F.col("text"), F.col("spans")).alias("d")).collect()[0]
+    assert [i.issue_type.split("_")[0] for i in r.i] == marked
+    return r
+
+
+def test_faults_of_a_restored_text(spark):
+    assert faults(spark, "任何^主体主体可", ["DUPLICATED"]).i[0].local_context == "任何主体主体可"
+    faults(spark, "任何主体 ^主体可", ["DUPLICATED"])
+    faults(spark, "主体和^主体可", [])
+    assert faults(spark, "^主体 ^主体", ["ADJACENT", "ADJACENT"]).i[1].placeholder == "【术语0002】"
+    faults(spark, "见《^《协议》", ["NESTED"], "《协议》")
+    faults(spark, "见^《协议》 》", ["NESTED"], "《协议》")
+    faults(spark, "见^《协议》", [], "《协议》")
+    assert faults(spark, "人，^主体", ["RISKY"], risky=("实体", "人")).i[0].rendering == "人"
+    faults(spark, "^主体", [], risky=("主体", "，"))
+    got = faults(spark, "在^宽限期期间", ["POSSIBLE"], "宽限期").i[0]
+    assert got.severity == "WARNING"
+    faults(spark, "^主体【术语0009】", ["UNRESTORED"])
+    faults(spark, "", [])
+
+
+def test_repetitions_that_a_definition_explains(spark):
+    assert len(faults(spark, "^主体。“^主体”应遵守", []).d) == 1
+    assert len(faults(spark, "“^主体”是指任何^主体", []).d) == 1
+    assert len(faults(spark, "^主体可以通知^主体", []).d) == 0
+    assert len(faults(spark, "^主体是指" + "甲" * 200 + "^主体", []).d) == 0
