@@ -10,7 +10,9 @@ from .controls import TOKEN
 
 CONTEXT = 28
 
-# Words that introduce a definition, and a sentence end before a quotation mark.
+# Words before an alias, quotation marks, words that introduce a definition, and a sentence end before a quotation mark.
+ALIAS_WORD = "(?:即|即为|简称|下称|以下简称|称为)?"
+QUOTES = "[‘’'\"“”]*"
 DEFINITION_CUE = "(?i)(?:shall\\s+mean|means?|是指|指的是|应指|含义|以下简称|下称)"
 QUOTE_AFTER_STOP = "[。.;；：:]\\s*[‘’'\"“”]"
 
@@ -45,6 +47,60 @@ def pieces(text: Column, token: Column) -> Column:
     return F.split(text, F.concat(F.lit("\\Q"), token, F.lit("\\E")), -1)
 
 
+def alias_rules(constraints: Column) -> Column:
+    """What collapse_aliases() tries, in order: the pass, the token, its approved renderings from the longest, both directions.
+
+    Each rule has a pattern whose groups are the text before, the match, the rendering with its title marks, and the text after.
+    """
+    quoted = lambda x: F.concat(F.lit("\\Q"), x, F.lit("\\E"))
+    whole = lambda *parts: F.concat(F.lit("(?sU)^(.*?)("), *[F.lit(p) if isinstance(p, str) else p for p in parts], F.lit(")(.*)$"))
+    defined = F.transform(F.filter(constraints, lambda c: c["usage"] == "DEFINIENDUM"), lambda c: c["term_id"])
+    titled = lambda r: F.startswith(r["rendering"], F.lit("《")) & F.endswith(r["rendering"], F.lit("》"))
+    name = lambda r: F.upper(F.when(r["kind"] == "canonical", "canonical").otherwise("allowed_variant"))
+    gap, opened, closed = "\\s*", "\\s*[（(]\\s*" + ALIAS_WORD + "\\s*" + QUOTES + "\\s*", "\\s*" + QUOTES + "\\s*[）)]"
+
+    def of(step: int, keep, forms) -> Column:
+        def rules(c: Column) -> Column:
+            known = F.array_sort(F.filter(c["renderings"], lambda r: (r["kind"] != "risky") & (r["rendering"] != "") & keep(r)), lambda a, b: F.length(b["rendering"]) - F.length(a["rendering"]))
+
+            def pair(r: Column) -> Column:
+                body = quoted(r["rendering"])
+                full = F.concat(F.lit("("), F.when(titled(r), body).otherwise(F.concat(F.lit("《\\s*"), body, F.lit("\\s*》|"), body)), F.lit(")"))
+                made = [F.struct(F.lit(step).alias("step"), c["placeholder"].alias("placeholder"), c["term_id"].alias("term_id"), r["rendering"].alias("rendering"), label.alias("pattern"), pattern.alias("regex")) for label, pattern in forms(full, quoted(c["placeholder"]), name(r))]
+                return F.array(*made)
+
+            return F.flatten(F.transform(known, pair))
+
+        wanted = F.filter(constraints, lambda c: F.array_contains(defined, c["term_id"])) if step == 1 else constraints
+        return F.flatten(F.transform(wanted, rules))
+
+    every = lambda r: F.lit(True)
+    wrapped = lambda f, t, n: [(F.concat(n, F.lit("_THEN_ALIAS")), whole(f, opened, t, closed)), (F.concat(F.lit("ALIAS_THEN_"), n), whole(t, opened, f, closed))]
+    sibling = lambda f, t, n: [(F.concat(F.lit("SIBLING_ALIAS_BEFORE_"), n), whole(t, gap, f)), (F.concat(F.lit("SIBLING_ALIAS_AFTER_"), n), whole(f, gap, t))]
+    marked = lambda f, t, n: [(F.concat(F.lit("TITLE_MARKED_"), n, F.lit("_BEFORE_PLACEHOLDER")), whole(f, gap, t)), (F.concat(F.lit("PLACEHOLDER_BEFORE_TITLE_MARKED_"), n), whole(t, gap, f))]
+    return F.concat(of(1, every, wrapped), of(2, every, sibling), of(3, titled, marked))
+
+
+def collapse_aliases(text: Column, constraints: Column) -> Column:
+    """The text without tokens that only repeat a rendering written out beside them, and an event for each token taken out.
+
+    constraints: array of (placeholder, term_id, usage, renderings). Tokens of a term that is defined here go where a rendering
+    and the token stand as full form and alias in brackets; then further tokens of such a term right beside a rendering; then
+    tokens beside a rendering that has its own title marks. A token is taken out once. One fold over alias_rules().
+    """
+    start = F.struct(text.alias("text"), F.expr("cast(array() as array<struct<placeholder:string,term_id:string,rendering:string,pattern:string,context:string>>)").alias("events"))
+
+    def step(acc: Column, r: Column) -> Column:
+        done = F.exists(acc["events"], lambda e: e["placeholder"] == r["placeholder"])
+        settled = (r["step"] != 2) | F.exists(acc["events"], lambda e: e["term_id"] == r["term_id"])
+        part = lambda k: F.call_function("regexp_extract", acc["text"], r["regex"], F.lit(k))
+        event = F.struct(r["placeholder"].alias("placeholder"), r["term_id"].alias("term_id"), r["rendering"].alias("rendering"), r["pattern"].alias("pattern"), F.concat(F.right(part(1), F.lit(24)), part(2), F.left(part(4), F.lit(24))).alias("context"))
+        after = F.struct(F.concat(part(1), part(3), part(4)).alias("text"), F.concat(acc["events"], F.array(event)).alias("events"))
+        return F.when(~done & settled & F.rlike(acc["text"], r["regex"]), after).otherwise(acc)
+
+    return F.aggregate(alias_rules(constraints), start, step)
+
+
 def context_issues(text: Column, constraints: Column, window: int = CONTEXT) -> Column:
     """Faults beside the tokens that a text holds exactly once, in the order of constraints.
 

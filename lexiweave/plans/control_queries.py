@@ -48,6 +48,42 @@ ISSUES = f"""o AS ({OUTPUT}), c AS (SELECT * FROM (VALUES (0, '【术语0003】'
     UNION ALL SELECT document_id, paragraph_id, k, 1, 'REDUNDANT_TITLE_MARK_WRAPPER', token, NULL, NULL, NULL, l, r FROM ctx WHERE canonical LIKE '《%》' AND ends_with(rtrim(l), '《') AND starts_with(ltrim(r), '》'))"""
 
 
+#: Tokens beside renderings: aliases in brackets on either side, a second token of the term, title marks, and none.
+DEFINED = (("【术语0003】", "T0003", "DEFINIENDUM", ("生效日期", "起算日")), ("【术语0003_02】", "T0003", "USE", ("生效日期", "起算日")), ("【术语0009】", "T0009", "USE", ("《激励计划》",)))
+FORMS = ("《生效日期》（“【术语0003】”）", "【术语0003】（以下简称“起算日”）", "生效日期(【术语0003】)自【术语0003_02】 起算日", "起算日【术语0003_02】，【术语0003】", "见《激励计划》【术语0009】", "【术语0009】 《激励计划》与《【术语0003】》", "【术语0003】（生效日期）生效日期【术语0003_02】")
+ALIASES = f"SELECT document_id, paragraph_id, concat(left(translation, 30), CASE paragraph_id % 8 {' '.join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(FORMS))} ELSE '' END, '起。') AS output FROM translations"
+
+
+def collapsed(spark, folder):
+    relation(spark, folder, "translations").createOrReplaceTempView("lw_translations")
+    known = lambda names: F.array(*[F.struct(F.lit(x).alias("rendering"), F.lit("allowed" if i else "canonical").alias("kind")) for i, x in enumerate(names)])
+    items = F.array(*[F.struct(F.lit(p).alias("placeholder"), F.lit(t_).alias("term_id"), F.lit(u).alias("usage"), known(names).alias("renderings")) for p, t_, u, names in DEFINED])
+    rows = spark.sql(ALIASES.replace("FROM translations", "FROM lw_translations")).withColumn("r", rs.collapse_aliases(F.col("output"), items))
+    return rows.select("document_id", "paragraph_id", F.col("r.text").alias("text"), F.array_join(F.transform("r.events", lambda e: F.concat(e["placeholder"], F.lit(" "), e["pattern"])), "|").alias("events"))
+
+
+def aliases_sql() -> str:
+    """One step for each rule: tried where its token is still there to take and, for second tokens, the term has lost one."""
+    rules, gap = [], r"\s*"
+    opened, closed = r"\s*[（(]\s*" + rs.ALIAS_WORD + gap + rs.QUOTES.replace("'", "''") + gap, gap + rs.QUOTES.replace("'", "''") + r"\s*[）)]"
+    for which in (1, 2, 3):
+        for token, term, _, names in DEFINED:
+            for i, x in enumerate(names):
+                kind, marked = ("ALLOWED_VARIANT" if i else "CANONICAL"), x.startswith("《")
+                full = f"({x})" if marked else f"(《\\s*{x}\\s*》|{x})"
+                if which == 1 and term == "T0003":
+                    rules += [(token, "true", full + opened + token + closed, f"{kind}_THEN_ALIAS"), (token, "true", token + opened + full + closed, f"ALIAS_THEN_{kind}")]
+                elif which == 2:
+                    rules += [(token, f"contains(events, '{token[:7]}')", token + gap + full, f"SIBLING_ALIAS_BEFORE_{kind}"), (token, f"contains(events, '{token[:7]}')", full + gap + token, f"SIBLING_ALIAS_AFTER_{kind}")]
+                elif which == 3 and marked:
+                    rules += [(token, "true", full + gap + token, f"TITLE_MARKED_{kind}_BEFORE_PLACEHOLDER"), (token, "true", token + gap + full, f"PLACEHOLDER_BEFORE_TITLE_MARKED_{kind}")]
+    steps = [f"s0 AS (SELECT document_id, paragraph_id, output AS text, '' AS events FROM ({ALIASES}))"]
+    for i, (token, when, pattern, label) in enumerate(rules):
+        hit = f"(NOT contains(events, '{token} ') AND {when} AND regexp_matches(text, '{pattern}'))"
+        steps.append(f"s{i + 1} AS (SELECT document_id, paragraph_id, CASE WHEN {hit} THEN regexp_replace(text, '{pattern}', '\\1') ELSE text END AS text, CASE WHEN {hit} THEN events || CASE WHEN events = '' THEN '' ELSE '|' END || '{token} {label}' ELSE events END AS events FROM s{i})")
+    return f"{PT}, {', '.join(steps)} SELECT * FROM s{len(rules)}"
+
+
 def restored(spark, folder):
     rows = output(spark, folder).withColumn("r", rs.restore_with_spans(F.col("output"), constraints()))
     spans = F.array_join(F.transform("r.spans", lambda s: F.concat_ws(":", s["term_id"], s["start"].cast("string"), s["end"].cast("string"))), "|")
@@ -138,6 +174,7 @@ def merged(spark, folder):
 
 VAR = f"{R}, var AS ({sql_variants('reviews', NV)})"
 QUERIES = {
+    "c05_collapsed_aliases": (collapsed, aliases_sql()),
     "c06_context_issues": (diagnosed, f"{PT}, {ISSUES} SELECT document_id, paragraph_id, CAST(row_number() OVER (PARTITION BY document_id, paragraph_id ORDER BY k, m) - 1 AS INT) AS place, issue_type, token AS placeholder, rendering, kind AS rendering_kind, side, l || token || r AS local_context FROM issues"),
     "c07_restored_spans": (restored, f"{PT}, {RESTORED} SELECT document_id, paragraph_id, restored, 'T0003:' || a || ':' || a + n || CASE WHEN paragraph_id % 7 = 2 THEN '|T0003:' || a + n || ':' || a + 2 * n ELSE '' END || '|T0007:' || length(restored) - 4 || ':' || length(restored) AS spans, CASE WHEN paragraph_id % 7 = 3 THEN 'LEFTOVER' END AS problem FROM x"),
     "c08_restored_issues": (faults, f"{PT}, {FAULTS} SELECT DISTINCT document_id, paragraph_id, 'ERROR' AS severity, issue_type, term_id, placeholder, rendering, local_context FROM all_issues"),

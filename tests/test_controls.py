@@ -112,3 +112,24 @@ def test_repetitions_that_a_definition_explains(spark):
     assert len(faults(spark, "“^主体”是指任何^主体", []).d) == 1
     assert len(faults(spark, "^主体可以通知^主体", []).d) == 0
     assert len(faults(spark, "^主体是指" + "甲" * 200 + "^主体", []).d) == 0
+
+
+def collapsed(spark, text, *items):
+    ddl = "text string, c array<struct<placeholder:string,term_id:string,usage:string,renderings:array<struct<rendering:string,kind:string>>>>"
+    r = spark.createDataFrame([(text, [(f"【{p}】", t, u, [(x, k) for x, k in known]) for p, t, u, known in items])], ddl).select(restoring.collapse_aliases(F.col("text"), F.col("c")).alias("r")).collect()[0].r
+    return r.text, [(e.placeholder[1:-1], e.pattern) for e in r.events]
+
+
+def test_tokens_that_repeat_a_rendering(spark):
+    law = [("联邦存款保险法", "canonical"), ("存保法", "allowed"), ("保险", "risky")]
+    one, two = ("术语0019", "T19", "DEFINIENDUM", law), ("术语0019_02", "T19", "USE", law)
+    assert collapsed(spark, "见《联邦存款保险法》（“【术语0019】”）规定", one) == ("见《联邦存款保险法》规定", [("术语0019", "CANONICAL_THEN_ALIAS")])
+    assert collapsed(spark, "【术语0019】（以下简称“存保法”）规定", one) == ("存保法规定", [("术语0019", "ALIAS_THEN_ALLOWED_VARIANT")])
+    assert collapsed(spark, "保险（【术语0019】）", one) == ("保险（【术语0019】）", [])
+    assert collapsed(spark, "存保法（【术语0019】）", ("术语0019", "T19", "USE", law)) == ("存保法（【术语0019】）", [])
+    text, events = collapsed(spark, "存保法（【术语0019】）是指【术语0019_02】 联邦存款保险法", one, two)
+    assert (text, events) == ("存保法是指联邦存款保险法", [("术语0019", "ALLOWED_VARIANT_THEN_ALIAS"), ("术语0019_02", "SIBLING_ALIAS_BEFORE_CANONICAL")])
+    assert collapsed(spark, "甲【术语0019_02】联邦存款保险法", two) == ("甲【术语0019_02】联邦存款保险法", [])
+    code = ("术语0006_01", "T6", "USE", [("《国内税收法典》", "canonical")])
+    assert collapsed(spark, "《国内税收法典》【术语0006_01】第280G条", code) == ("《国内税收法典》第280G条", [("术语0006_01", "TITLE_MARKED_CANONICAL_BEFORE_PLACEHOLDER")])
+    assert collapsed(spark, "《【术语0006_01】》", code)[1] == [] and collapsed(spark, "", code) == ("", [])
