@@ -30,15 +30,14 @@ def _byte_of_symbol() -> dict[str, int]:
 class WordBpe:
     """encode(text): little-endian unsigned 32-bit ids as bytes."""
 
-    def __init__(self, path: str, cache_bytes: int = 16 << 20):
+    def __init__(self, path: str, cache_bytes: int = 20 << 20):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         self.path, self.exact = path, None
-        self.cache: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.room = {id(self.cache): cache_bytes, id(self.words): cache_bytes // 4}
+        self.cache: dict[str, bytes] = {}  # chunks and the words in them alike: a word by itself is a chunk of one
+        self.room = cache_bytes
         as_byte = _byte_of_symbol()
 
         def raw(symbol: str) -> bytes:
@@ -53,25 +52,31 @@ class WordBpe:
         self.four = [vocab.get(token, 0).to_bytes(4, "little") for token in order]
         self.merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
+    def _word(self, word: str) -> bytes:
+        four = self.four
+        ids = b"".join([four[r] for r in self.merge(word.encode() + WORD_END)])
+        if self.room > 0:
+            self._keep(word, ids)
+        return ids
+
     def _cold(self, chunk: str) -> bytes:
-        out = []
-        for word in PIECES.findall(chunk):
-            ids = self.words.get(word)
-            if ids is None:
-                four = self.four
-                ids = b"".join([four[r] for r in self.merge(word.encode() + WORD_END)])
-                self._keep(self.words, word, ids)
-            out.append(ids)
-        ids = b"".join(out)
-        self._keep(self.cache, chunk, ids)
+        if chunk.isalpha():
+            return self._word(chunk)
+        get, merged = self.cache.get, self._word
+        words = PIECES.findall(chunk)
+        ids = b"".join([ids if (ids := get(w)) is not None else merged(w) for w in words])
+        if self.room > 0 and len(words) > 1:
+            self._keep(chunk, ids)
         return ids
 
-    def _keep(self, cache: dict[str, bytes], key: str, ids: bytes) -> None:
+    def _keep(self, key: str, ids: bytes) -> None:
         """Frequent words come early, so a full cache stays as it is."""
         size = sys.getsizeof(key) + sys.getsizeof(ids) + 100  # about what a slot of the dictionary takes
-        if size <= self.room[id(cache)]:
-            self.room[id(cache)] -= size
-            cache[key] = ids
+        if size <= self.room:
+            self.room -= size
+            self.cache[key] = ids
+        elif size < 1000:
+            self.room = 0
 
     def encode(self, text: str) -> bytes:
         if "<|" in text or not PLAIN.fullmatch(text):
