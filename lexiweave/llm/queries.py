@@ -14,6 +14,7 @@ from .sharding import op8_sharding
 from .simhash import op10_simhash_near_dedup
 from .toxicity import op6_toxicity
 from .url_filter import op2_url_filter
+from .whitening import op12_whitening
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filter, op3_license_scan, op4_quality_rules, op5_passage_dedup, op6_toxicity, op7_mixing, op8_sharding, op9_exact_dedup, op10_simhash_near_dedup, op11_bpe_chunks)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filter, op3_license_scan, op4_quality_rules, op5_passage_dedup, op6_toxicity, op7_mixing, op8_sharding, op9_exact_dedup, op10_simhash_near_dedup, op11_bpe_chunks, op12_whitening)}
 ORACLE_SQL: dict[str, str] = {"op4_quality_rules": OP4_SQL, "op8_sharding": OP8_SQL, "op9_exact_dedup": OP9_SQL}
