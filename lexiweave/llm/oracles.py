@@ -49,3 +49,27 @@ WITH t AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (rate - {HOST_DEVIATIONS} * sqrt(rate * (1 - rate) / (weight + 1)) > {HOST_LIMIT}) AS kept, round(rate, 6) AS host_rate
 FROM j JOIN v USING (host)
 """
+
+#: Prefixes as lists of turns; subtrees through each node's prefixes. CRC-32 as above, of the digits of conv_id.
+OP13_SQL = r"""
+WITH tab AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), own AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), h AS (
+  SELECT conv_id, turns, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(CAST(conv_id AS VARCHAR))), lambda k: CAST(ascii(substr(CAST(conv_id AS VARCHAR), CAST(k + 1 AS INT), 1)) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 4 AS h FROM own, tab
+), built AS (
+  SELECT h.conv_id, list_concat(coalesce(b.turns, [])[:h.h], h.turns[h.h + 1:]) AS path FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 20
+), member AS (
+  SELECT conv_id, path, unnest(range(len(path) + 1)) AS depth FROM built
+), node AS (
+  SELECT path[:depth] AS p, depth, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(path) = depth), '')) AS ends_sha256 FROM member GROUP BY ALL
+), counted AS (
+  SELECT n.*, coalesce(k.n_children, 0) AS n_children, CASE WHEN n.depth = 0 THEN 0 ELSE (n.n_convs - 1) * len(list_filter(string_split_regex(p[n.depth].text, '[\x20\x09-\x0D]+'), lambda w: w <> '')) END AS own_saved
+  FROM node n LEFT JOIN (SELECT p[:depth - 1] AS q, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY 1) k ON k.q = n.p
+), up AS (
+  SELECT p[:d] AS q, count(*) FILTER (n_children = 0) AS n_leaves, sum(own_saved) AS saved_tokens FROM (SELECT *, unnest(range(depth + 1)) AS d FROM counted) GROUP BY 1
+)
+SELECT c.conv_id, c.depth, parent.conv_id AS parent_conv_id, c.n_convs, c.n_children, up.n_leaves, CAST(up.saved_tokens AS BIGINT) AS saved_tokens, c.ends_sha256
+FROM counted c JOIN up ON up.q = c.p LEFT JOIN node parent ON c.depth > 0 AND parent.p = c.p[:c.depth - 1]
+"""
