@@ -1,10 +1,12 @@
 """Mixing to target weights with soft membership.
 
 A softmax classifier over hashed words, fitted to labelled rows, gives every document posteriors over the labels'
-domains. Rates r >= floor minimise sum_k (sum_d a_dk r_d - t_k)^2 + decay * sum_d w_d (r_d - 1)^2, with a_dk the
-document's share of all tokens times its posterior, t_k the target share and w_d its share of tokens. At the minimum
-r_d = max(floor, 1 - sum_k p_dk mu_k) for one mu_k a domain; Newton steps on the dual find these K numbers. A step is one
-pass that sums the K shares, the function and its K x K second derivatives, and nothing but these sums reaches the driver.
+domains. Rates r >= floor minimise the least squares sum_k (sum_d a_dk r_d - t_k)^2, with a_dk the document's share of all
+tokens times its posterior and t_k the target share, by projected gradient steps from rates of 1: r <- max(floor, r - p.g),
+with one number g_k a domain. g is the residual, scaled by the inverse of the K x K second moments of the posteriors of
+documents above the floor, so that it falls alike in all directions; where such steps stop helping (a target out of
+reach), plain accelerated ones follow until the residual no longer falls. A step is one pass that sums K shares and K x K
+moments; a document's rate follows from its posteriors and the few vectors g, and nothing but these sums reaches the driver.
 """
 
 from __future__ import annotations
@@ -102,78 +104,95 @@ def membership(model: Classifier, column):
 
 @dataclass
 class Steps:
-    """A number for each domain, from which any document's rate follows."""
+    """Projected gradient steps (momentum, a number for each domain), from which any document's rate follows."""
 
-    mu: np.ndarray
+    moves: list[tuple[float, np.ndarray]]
     floor: float = 0.0
 
     def rate(self, p: np.ndarray) -> np.ndarray:
-        return np.maximum(self.floor, 1 - p @ self.mu)
+        r = last = np.maximum(self.floor, np.ones(len(p)))
+        for momentum, g in self.moves:
+            r, last = np.maximum(self.floor, r + momentum * (r - last) - p @ g), r
+        return r
 
 
-def _totals(steps: Steps):
-    """Of a part: sums of tokens times rate by domain, of the function that is minimised, and of its second derivatives."""
+def _totals(trials: list[Steps]):
+    """Of a part and each trial: sums of tokens times rate by domain, and of the second moments of posteriors: of documents above the floor, of all."""
     k = len(DOMAINS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(k + 1 + k * k)
+        total = np.zeros((len(trials), k + 2 * k * k))
         for batch in batches:
             if batch.num_rows:
                 n, p = batch.column(0).to_numpy().astype(float), batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-                u, f = p @ steps.mu, steps.floor
-                free = 1 - u > f
-                total[:k] += (n * steps.rate(p)) @ p
-                total[k] += n @ np.where(free, (1 - u) ** 2 / 2, f - f * u - f * f / 2)
-                total[k + 1 :] += ((p * (n * free)[:, None]).T @ p).ravel()
-        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["t"])
+                every = ((p * n[:, None]).T @ p).ravel()
+                for row, steps in zip(total, trials):
+                    r = steps.rate(p)
+                    row[:k] += (n * r) @ p
+                    row[k : k + k * k] += ((p * (n * (r > steps.floor))[:, None]).T @ p).ravel()
+                    row[k + k * k :] += every
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["t"])
 
     return run
 
 
-def _sum(members: DataFrame, steps: Steps) -> np.ndarray:
+def _sum(members: DataFrame, trials: list[Steps]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each trial: tokens by domain at its rates; moments of documents above the floor; moments of all."""
     k = len(DOMAINS)
-    parts = members.select("tokens", "p").mapInArrow(_totals(steps), "t array<double>")
-    row = parts.agg(*[F.sum(F.get("t", F.lit(i))) for i in range(k + 1 + k * k)]).first()
-    return np.array([float(v or 0.0) for v in row])
+    width = k + 2 * k * k
+    parts = members.select("tokens", "p").mapInArrow(_totals(trials), "t array<double>")
+    row = parts.agg(*[F.sum(F.get("t", F.lit(i))) for i in range(width * len(trials))]).first()
+    t = np.array([float(v or 0.0) for v in row]).reshape(len(trials), width)
+    return [(x[:k], x[k : k + k * k].reshape(k, k), x[k + k * k :].reshape(k, k)) for x in t]
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float], floor: float = 0.0, max_steps: int = 100, tolerance: float = 1e-6, decay: float = 1e-3) -> tuple[Steps, dict]:
+def fit_rates(members: DataFrame, targets: dict[str, float], floor: float = 0.0, max_steps: int = 60, tolerance: float = 1e-6, least_fall: float = 0.05) -> tuple[Steps, dict]:
     """members: tokens, p. What gives the rates, and a report of the domains' shares before and after.
 
     Targets are shares of the tokens now there; with a floor of 1 (no document may go) the mix grows to the least total at
-    which no domain has to shrink. Newton steps until the gradient is zero (an error if it is not); a goal that is then
-    missed is out of reach, and a warning says by how much. decay is scaled by the rarest wanted domain's share.
+    which no domain has to shrink. Steps end once every domain is within the tolerance, a share of all tokens. A target
+    that is out of reach ends them where five steps together lower the residual by less than least_fall of it, and a warning says
+    by how much it is missed: the exact minimum would put all its weight on a few extreme documents.
     """
     k, want = len(DOMAINS), np.array([max(0.0, targets.get(d, 0.0)) for d in DOMAINS])
-    steps = Steps(np.zeros(k), floor)
-    got = _sum(members, steps)
-    now = _sum(members, Steps(np.zeros(k)))[:k] if floor > 1 else got[:k]
+    steps = Steps([], floor)
+    got, free, every = _sum(members, [steps])[0]
+    now = _sum(members, [Steps([])])[0][0] if floor > 1 else got
     total = float(now.sum())
     if not total or not want.sum():
         return steps, {"total": total}
     share = want / want.sum()
     goal = share * (1.0 if floor < 1 else max(1.0, float((now[share > 0] / total / share[share > 0]).max())))
-    decay *= max(1e-6, min(1.0, float((now[share > 0] / total).min())))
-    value = lambda s, t: decay / 2 * s.mu @ s.mu + goal @ s.mu + t[k] / total
-    for _ in range(max_steps):
-        slope = goal + decay * steps.mu - got[:k] / total
-        if abs(slope).max() < tolerance:
+    missed, passes = got / total - goal, 1
+    norm = lambda t: np.linalg.norm(t[0] / total - goal)
+    while abs(missed).max() > tolerance and len(steps.moves) < max_steps:  # scaled steps: of four lengths, tried in one pass, the best
+        moments = (free if np.trace(free) > 1e-6 * np.trace(every) else every) / total
+        g = np.linalg.solve(moments + 1e-9 * np.trace(every) / total * np.eye(k), missed)
+        trials = [Steps([*steps.moves, (0.0, g / 2**i)], floor) for i in range(4)]
+        there, new = min(zip(_sum(members, trials), trials), key=lambda x: norm(x[0]))
+        passes += 1
+        if norm(there) > 0.98 * np.linalg.norm(missed):
             break
-        move = -np.linalg.solve(got[k + 1 :].reshape(k, k) / total + decay * np.eye(k), slope)
-        size = 1.0
-        while True:  # halve the step until the function falls as it should
-            new = Steps(steps.mu + size * move, floor)
-            there = _sum(members, new)
-            if value(new, there) <= value(steps, got) + 1e-4 * size * (slope @ move) + 1e-12 or size < 1e-6:
-                break
-            size /= 2
-        steps, got = new, there
-    else:
-        raise RuntimeError(f"mixing did not settle: gradient {slope}")
-    missed = got[:k] / total - goal
-    if abs(missed).max() > 1e-3:
+        steps, (got, free, every) = new, there
+        missed = got / total - goal
+    length, theta, before, history = 1 / max(np.linalg.eigvalsh(every / total)[-1], 1e-12), 1.0, missed, [np.linalg.norm(missed)]
+    for _ in range(max_steps):  # plain ones, accelerated; a step that does not help starts the acceleration anew
+        if abs(missed).max() <= tolerance or len(history) > 5 and history[-1] > (1 - least_fall) * history[-6]:
+            break
+        ahead = (1 + (1 + 4 * theta * theta) ** 0.5) / 2
+        momentum = (theta - 1) / ahead
+        new = Steps([*steps.moves, (momentum, length * (missed + momentum * (missed - before)))], floor)
+        there = _sum(members, [new])[0]
+        passes += 1
+        if momentum and norm(there) > np.linalg.norm(missed):
+            theta, before = 1.0, missed
+            continue
+        steps, got, theta, before = new, there[0], ahead, missed
+        missed = got / total - goal
+        history.append(np.linalg.norm(missed))
+    if abs(missed).max() > 1e-4:
         warnings.warn(f"mixing targets out of reach, in shares of all tokens: {dict(zip(DOMAINS, missed.round(6).tolist()))}", stacklevel=2)
-    return steps, {"total": total, "goal": dict(zip(DOMAINS, goal * total)), "before": dict(zip(DOMAINS, now)), "after": dict(zip(DOMAINS, got[:k])), "missed": dict(zip(DOMAINS, missed))}
+    return steps, {"total": total, "passes": passes, "goal": dict(zip(DOMAINS, goal * total)), "before": dict(zip(DOMAINS, now)), "after": dict(zip(DOMAINS, got)), "missed": dict(zip(DOMAINS, missed))}
 
 
 def rates(steps: Steps, column):

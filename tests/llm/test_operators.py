@@ -7,6 +7,7 @@ import hashlib
 import random
 import re
 import sys
+import warnings
 import zlib
 from pathlib import Path
 
@@ -472,6 +473,39 @@ def test_mixing_meets_the_target_of_a_rare_domain(spark, share):
         assert abs(after["toxic"] / sum(after.values()) - 0.03) < 0.001
 
 
+@pytest.mark.parametrize("share", [0.1, 0.3])
+def test_mixing_pushes_a_common_domain_down(spark, share):
+    """Reachable targets are met as by least squares without any other term, whose minimum is zero here; and nothing warns."""
+    rng, n = np.random.default_rng(5), 6000
+    kind = np.where(np.arange(n) < share * n, 2, np.where(np.arange(n) % 9 == 0, 1, 0))
+    p = rng.dirichlet([0.3, 0.3, 0.3], n) * 0.3 + 0.7 * np.eye(3)[kind]
+    tokens = rng.integers(50, 500, n)
+    members = spark.createDataFrame([(int(t), q.tolist()) for t, q in zip(tokens, p)], "tokens long, p array<double>")
+    targets = {"high": 0.75, "low": 0.18, "toxic": 0.07}
+    w, r, lead = tokens / tokens.sum(), np.ones(n), np.ones(n)
+    for i in range(20000):  # the same least squares in memory, with momentum
+        new = np.maximum(0, lead - p @ ((w * lead) @ p - list(targets.values())))
+        lead, r = new + i / (i + 3) * (new - r), new
+    assert np.abs((w * r) @ p - list(targets.values())).max() < 1e-4
+    with warnings.catch_warnings():
+        warnings.filterwarnings("error", message="mixing")
+        steps, report = mixing.fit_rates(members, targets)
+    assert max(map(abs, report["missed"].values())) < 1e-5 and report["passes"] <= 20
+    assert np.abs((w * steps.rate(p)) @ p - (w * r) @ p).max() < 1e-4
+
+
+def test_mixing_says_what_is_out_of_reach(spark):
+    p = [[0.5, 0.3, 0.2]] * 50 + [[0.6, 0.2, 0.2]] * 50
+    members = spark.createDataFrame([(10, q) for q in p], "tokens long, p array<double>")
+    with pytest.warns(UserWarning, match="out of reach"):
+        steps, report = mixing.fit_rates(members, {"high": 0.9, "low": 0.1})
+    w, r = np.full(100, 0.01), np.ones(100)
+    for _ in range(5000):
+        r = np.maximum(0, r - np.array(p) @ ((w * r) @ np.array(p) - [0.9, 0.1, 0]))
+    least = np.linalg.norm((w * r) @ np.array(p) - [0.9, 0.1, 0])
+    assert np.linalg.norm([*report["missed"].values()]) <= 1.02 * least
+
+
 def test_sharding(docs, texts, odd, nothing):
     def check(rows, law_bytes):
         shards = collections.defaultdict(list)
