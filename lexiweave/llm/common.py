@@ -24,15 +24,17 @@ def small_batches(spark: SparkSession) -> None:
 
 
 @contextmanager
-def batch_rows(spark: SparkSession, n: int):
-    """Arrow batches of n rows for what is run inside: where a row carries a whole text and more."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key, "10000")
-    spark.conf.set(key, str(n))
+def batch_rows(spark: SparkSession, n: int, size: str | None = None):
+    """Arrow batches of n rows, and of a size in bytes, for what is run inside: where a row carries a whole text and more."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(n), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {key: spark.conf.get(key, None) for key, value in wanted.items() if value}
+    for key in before:
+        spark.conf.set(key, wanted[key])
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,8 @@ h, the bin gap (or the new bin) with the least change of sum N(h)^2 is taken, th
 
 Pieces are dealt by hash into groups of bounded expected size, packed in parallel, longest first. Sequences that
 stay under `refill` full are opened again and their pieces, a small part, packed again with those of other
-groups, until one group is left; so the waste does not grow with the number of groups.
+groups, until one group is left; so the waste does not grow with the number of groups. In the last group sequences with
+room are opened again by the same rule in other orders, until there are as few as its tokens need at the least.
 """
 
 from __future__ import annotations
@@ -19,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table, utf8
+from .common import batch_rows, checkpoint, table, utf8
 from .tokenize import WordBpe
 
 VOCABULARY = "word_bpe_49k.json"
 GROUP_PIECES = 8192
+REOPEN = 40  # rounds
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,11 +85,43 @@ def pieces_of(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: in
     return cut.select("doc_id", "piece", "p.start", "p.length", "p.ids_crc32")
 
 
+def reopen(sizes: np.ndarray, where: np.ndarray, capacity: int, rounds: int = REOPEN, refill: float = 0.995) -> np.ndarray:
+    """The bin of each size after some bins are emptied and packed again, in orders that mix sizes; never more bins than before."""
+    rng, least = np.random.default_rng(len(sizes)), -(-int(sizes.sum()) // capacity)
+    for i in range(rounds):
+        full = np.bincount(where, sizes)
+        if len(full) <= least:
+            break
+        opened = full < (capacity if i % 2 == 0 else refill * capacity)
+        some = np.flatnonzero(opened[where])
+        blur = rng.random(len(some))
+        some = some[np.argsort(blur if i % 3 == 0 else -sizes[some] * (1 + 0.3 * blur), kind="stable")]
+        again, _ = sum_of_squares(sizes[some], capacity)
+        if len(some) and again.max() < opened.sum():
+            kept = np.cumsum(~opened) - 1
+            where = np.where(opened[where], 0, kept[where])
+            where[some] = (~opened).sum() + again
+    return where
+
+
+def offsets(sizes: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """Places one after another in each bin."""
+    order = np.argsort(where, kind="stable")
+    upto = np.cumsum(sizes[order]) - sizes[order]
+    first = np.r_[True, where[order][1:] != where[order][:-1]]
+    out = np.empty(len(sizes), np.int64)
+    out[order] = upto - np.maximum.accumulate(np.where(first, upto, 0))
+    return out
+
+
 def _pack_group(capacity: int, refill: float, last: bool):
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "uid"], ascending=[False, True], ignore_index=True)
         sizes = pdf["length"].to_numpy()
         where, offset = sum_of_squares(sizes, capacity)
+        if last:
+            where = reopen(sizes, where, capacity)
+            offset = offsets(sizes, where)
         full = np.bincount(where, sizes)
         pdf["bin"], pdf["offset"] = where, offset
         pdf["done"] = last | (full >= refill * capacity)[where]
@@ -98,7 +132,8 @@ def _pack_group(capacity: int, refill: float, last: bool):
 
 def pack(pieces: DataFrame, capacity: int = 4096, group_pieces: int = GROUP_PIECES, refill: float = 0.995) -> DataFrame:
     """pieces (any columns, with length up to the capacity) with sequence_id and offset."""
-    rows = checkpoint(pieces.withColumn("uid", F.monotonically_increasing_id()))
+    with batch_rows(pieces.sparkSession, 256, "2m"):  # texts of any length go through the encoder here
+        rows = checkpoint(pieces.withColumn("uid", F.monotonically_increasing_id()))
     todo, done, level = rows.select("uid", "length").filter(F.col("length") < capacity), None, 0
     placed = rows.filter(F.col("length") >= capacity).select("uid", (2 * F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     left, before = todo.count(), None

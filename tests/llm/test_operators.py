@@ -105,6 +105,7 @@ def check_packing(rows, rest):
 
 def test_packing(spark, docs, texts, odd, nothing):
     n, total = check_packing(packing.pack_documents(docs, vocabulary()).collect(), texts)
+    assert n == -(-total // 4096)
     assert n <= 1.03 * -(-total // 4096) + 1
     rows = packing.pack_documents(odd, vocabulary()).collect()
     assert collections.Counter(r.doc_id for r in rows)[5] == 2 and sum(r.doc_id is None for r in rows) == 2
@@ -115,6 +116,19 @@ def test_packing(spark, docs, texts, odd, nothing):
     assert max(r[1] for r in many) <= 4096 and len({r[0] for r in many}) <= 1.03 * sum(r[1] for r in many) / 4096
 
 
+def test_reopened_bins():
+    rng = np.random.default_rng(4)
+    for n, low in ((400, 1), (300, 900), (50, 2100), (1, 1), (0, 1)):
+        sizes = rng.integers(low, 4096, n)
+        before, _ = packing.sum_of_squares(sizes, 4096)
+        where = packing.reopen(sizes, before, 4096)
+        offset = packing.offsets(sizes, where)
+        assert len(np.unique(where)) <= len(np.unique(before))
+        for b in np.unique(where):
+            at = np.argsort(offset[where == b])
+            assert offset[where == b][at].tolist() == (np.cumsum(sizes[where == b][at]) - sizes[where == b][at]).tolist() and sizes[where == b].sum() <= 4096
+
+
 def test_sum_of_squares_rule():
     """Each placement against the rule written out: squared counts of open bins, all choices tried."""
     rng, cap = random.Random(3), 20
