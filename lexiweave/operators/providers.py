@@ -35,3 +35,23 @@ def ask(requests: DataFrame, provider: Provider, prompt: str = "prompt") -> Data
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(answers, pa.string())], [*names, "answer"])
 
     return requests.mapInArrow(run, StructType([*requests.schema.fields, StructField("answer", StringType())]))
+
+
+class ChatProvider(Protocol):
+    def reply(self, requests: list[str], max_tokens: list[int]) -> list[tuple[str | None, str | None]]:
+        """(answer, error) for each request, in their order. The error "truncated" says that max_tokens cut the answer off."""
+
+
+def converse(requests: DataFrame, provider: ChatProvider, request: str = "request", max_tokens: str = "max_tokens") -> DataFrame:
+    """requests with columns answer and error; rows without a request are not asked. Write the result before using it twice."""
+    names = requests.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, limits = b.column(names.index(request)).to_pylist(), b.column(names.index(max_tokens)).to_pylist()
+            at = [i for i, x in enumerate(texts) if x is not None]
+            got = dict(zip(at, provider.reply([texts[i] for i in at], [limits[i] for i in at]))) if at else {}
+            pairs = [got.get(i, (None, None)) for i in range(len(texts))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([a for a, _ in pairs], pa.string()), pa.array([e for _, e in pairs], pa.string())], [*names, "answer", "error"])
+
+    return requests.mapInArrow(run, StructType([*requests.schema.fields, StructField("answer", StringType()), StructField("error", StringType())]))
