@@ -122,3 +122,24 @@ def compare_models(judged: DataFrame, model: str = "experiment") -> DataFrame:
     """The summary of each model with its place: the most consistent first, without a rate last, then by name. Models are few."""
     place = F.row_number().over(Window.orderBy(F.desc_nulls_last("consistency_micro"), model))
     return summary(judged, [model]).withColumn("place", place)
+
+
+def document_metrics(judged: DataFrame, *more: str) -> DataFrame:
+    """A row a document: mean dominant ratio of its terms, and its consistency (slcr), inconsistency (lir) and omission rates; null where undefined."""
+    s = F.sum
+    mean = F.sum(F.col("dominant_translation_ratio").cast("decimal(18,6)")).cast("double") / F.count("dominant_translation_ratio")
+    return judged.groupBy(*more, "document_id").agg(
+        F.round(mean, 6).alias("dtr_macro"), ratio(s(F.col("exact") + F.col("acceptable")), s("resolved")).alias("slcr"), ratio(s("inconsistent"), s("resolved")).alias("lir"), ratio(s("omitted"), s("occurrences")).alias("omission_rate"),
+    )
+
+
+def require_judgments(groups: DataFrame, judgments: DataFrame, keys: list[str] = GROUP) -> DataFrame:
+    """groups, unless one with a rendering has no judgment: then the query fails. See missing_judgments() for which."""
+    found = judgments.select(*keys).distinct().withColumn("_there", F.lit(True))
+    missing = F.col("_there").isNull() & (F.col("variant_count") > 0)
+    stop = F.raise_error(F.concat(F.lit("no judgment for "), F.concat_ws("/", *keys))).cast("boolean")
+    return groups.join(found, keys, "left").filter(F.when(missing, stop).otherwise(F.lit(True))).drop("_there")
+
+
+def missing_judgments(groups: DataFrame, judgments: DataFrame, keys: list[str] = GROUP) -> DataFrame:
+    return groups.join(judgments, keys, "left_anti").select(*keys)

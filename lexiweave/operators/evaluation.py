@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .inference import paired_inference
+
 WINNERS = ("baseline", "controlled", "tie")
 # The judge's score and critical-error fields, by the names of their columns.
 SCORE_FIELDS = {"fidelity": "semantic_fidelity", "legal": "legal_accuracy", "terminology": "terminology_compliance", "fluency": "fluency", "quality": "overall_quality"}
@@ -118,3 +120,59 @@ def direct_wins(rows: DataFrame) -> DataFrame:
     decisive = F.col("baseline_wins") + F.col("controlled_wins")
     rates = [F.round(F.col(f"{side}_wins") / F.col("paragraphs"), 6).alias(f"{side}_win_rate") for side in won]
     return g.select("*", (F.col("paragraphs") - decisive).alias("ties"), *rates, F.round(F.try_divide("baseline_wins", decisive), 6).alias("decisive_baseline_win_rate"))
+
+
+SUBSETS = ("overall", "term_bearing", "non_term_bearing")
+
+
+def by_subset(rows: DataFrame) -> DataFrame:
+    """rows (has_terms) once for all paragraphs and once for their subset."""
+    return rows.withColumn("subset", F.explode(F.array(F.lit("overall"), F.when(F.coalesce("has_terms", F.lit(False)), "term_bearing").otherwise("non_term_bearing"))))
+
+
+def stacked(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, metric, stream, value: a row a score, value being what differences() made of it. stream numbers the groups of subset and metric."""
+    each = F.stack(F.lit(len(SCORES)), *[x for i, s in enumerate(SCORES) for x in (F.lit(s), F.lit(i), F.col(f"delta_{s}"))])
+    long = rows.select(*keys, each.alias("metric", "_i", "diff"))
+    place = F.array_position(F.array(*[F.lit(s) for s in SUBSETS]), F.col("subset")).cast("int") - 1
+    return long.withColumn("stream", 100 * place + F.col("_i")).drop("_i")
+
+
+def direct_effects(rows: DataFrame, resamples: int = 10_000, permutations: int = 50_000, seed: int = 2026) -> DataFrame:
+    """Baseline less controlled for each subset and score, with intervals and p values over documents; and the subset's wins."""
+    deltas = rows.withColumns({f"delta_{s}": F.col(f"baseline_{s}") - F.col(f"controlled_{s}") for s in SCORES})
+    found = paired_inference(stacked(by_subset(deltas), "subset", "document_id"), ["subset", "metric"], resamples, permutations, seed)
+    return found.join(direct_wins(rows).drop("paragraphs"), "subset")  # three rows
+
+
+def method_table(rows: DataFrame) -> DataFrame:
+    """Wins, rates and mean gains over the baseline, a row a subset and method. rows: method, winner, has_terms, scores."""
+    won = {side: F.count_if(F.col("winner") == side) for side in WINNERS[:2]}
+    g = by_subset(rows).groupBy("subset", "method").agg(F.count("*").alias("paragraphs"), *[n.alias(f"{side}_wins") for side, n in won.items()], *[F.round(F.avg(F.col(f"controlled_{s}") - F.col(f"baseline_{s}")), 6).alias(f"delta_{s}") for s in SCORES])
+    decisive = F.col("baseline_wins") + F.col("controlled_wins")
+    return g.withColumns({"ties": F.col("paragraphs") - decisive, "controlled_win_rate": F.round(F.col("controlled_wins") / F.col("paragraphs"), 6), "decisive_controlled_win_rate": F.round(F.try_divide("controlled_wins", decisive), 6)})
+
+
+def common(rows: DataFrame, methods: tuple[str, str]) -> DataFrame:
+    """rows of paragraphs that both methods have; has_terms is the first method's."""
+    key = ["document_id", "paragraph_id"]
+    both = rows.filter(F.col("method").isin(*methods)).groupBy(*key).agg(F.count_distinct("method").alias("_m"), F.max(F.when(F.col("method") == methods[0], F.col("has_terms"))).alias("_t")).filter("_m = 2")
+    return rows.drop("has_terms").join(both.select(*key, F.col("_t").alias("has_terms")), key)
+
+
+def significance(rows: DataFrame, methods: tuple[str, str], resamples: int = 10_000, permutations: int = 50_000, seed: int = 2026) -> DataFrame:
+    """The first method's gain less the second's, paired by paragraph, for each subset and score; documents have equal weight."""
+    key = ["document_id", "paragraph_id", "has_terms"]
+    sign = F.when(F.col("method") == methods[0], 1.0).otherwise(-1.0)
+    paired = common(rows, methods).groupBy(*key).agg(*[F.sum(sign * (F.col(f"controlled_{s}") - F.col(f"baseline_{s}"))).alias(f"delta_{s}") for s in SCORES])
+    found = paired_inference(stacked(by_subset(paired), "subset", "document_id"), ["subset", "metric"], resamples, permutations, seed)
+    return found.withColumn("significant", F.col("sign_flip_p") < 0.05)
+
+
+def reliability(run: DataFrame, *keys: str) -> DataFrame:
+    """Rates of a controlled run from its counts (restoring.control_statistics()): of paragraphs that are controlled at all."""
+    controlled = F.greatest(F.lit(0), F.col("total_paragraphs") - F.col("uncontrolled_paragraphs"))
+    exact, retried = F.col("placeholder_exact_paragraphs"), F.col("placeholder_retry_success_paragraphs")
+    rates = {"first_pass_rate": exact, "retry_recovery_rate": retried, "placeholder_path_success_rate": exact + retried, "fallback_rate": F.col("placeholder_fallback_paragraphs"), "unresolved_rate": F.col("unresolved_paragraphs")}
+    out = run.select(*keys, "total_paragraphs", controlled.alias("controlled_paragraphs"), F.col("placeholder_semantic_verifier_calls").alias("verifier_calls"), *[F.round(F.try_divide(x, controlled), 6).alias(n) for n, x in rates.items()])
+    return out.withColumn("final_compliance_rate", F.round(1 - F.col("unresolved_rate"), 6))

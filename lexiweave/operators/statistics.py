@@ -7,33 +7,29 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .inference import paired_inference
 
-def bit(seed: int, *columns: Column) -> Column:
-    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in columns]), 256), 1, 7), 16, 10).cast("long")
 
+def one_group(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("stream", F.lit(0))
 
-def bootstrap(pairs: DataFrame, resamples: int, seed: int) -> DataFrame:
-    """Mean difference with its percentile interval. pairs: document_id, diff. Draws are hashes of (resample, place).
 
-    Documents are numbered once; a resample's rows are made by its hash and joined to them by number, so the work
-    is resamples times documents, spread over all executors.
-    """
-    numbered = pairs.select("diff", (F.row_number().over(Window.orderBy("document_id")) - 1).alias("i"))
-    n = pairs.agg(F.count("*").alias("n"), F.avg("diff").alias("mean"))
-    draws = pairs.sparkSession.range(resamples).withColumnRenamed("id", "b").join(F.broadcast(n)).select("b", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
-    draws = draws.select("b", F.pmod(bit(seed, F.col("b"), F.col("k")), F.col("n")).alias("i"))
-    means = draws.join(numbered, "i").groupBy("b").agg(F.avg("diff").alias("m"))
-    return means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high")).join(F.broadcast(n)).select("n", F.round("mean", 6).alias("mean"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+def bootstrap(pairs: DataFrame, resamples: int = 10_000, seed: int = 2026) -> DataFrame:
+    """Mean of document means with its percentile interval. pairs: document_id, diff."""
+    got = paired_inference(one_group(pairs), [], resamples, 0, seed)
+    return got.select(F.col("documents").alias("n"), F.col("macro_effect").alias("mean"), F.col("macro_low").alias("low"), F.col("macro_high").alias("high"))
+
+
+def cluster_ratio(pairs: DataFrame, resamples: int = 10_000, seed: int = 2026) -> DataFrame:
+    """Mean of all differences with the interval from documents resampled whole: a replicate is its sums over its counts."""
+    got = paired_inference(one_group(pairs), [], resamples, 0, seed)
+    return got.select("documents", "paragraphs", F.col("weighted_effect").alias("effect"), F.col("weighted_low").alias("low"), F.col("weighted_high").alias("high"))
 
 
-def sign_flip(pairs: DataFrame, permutations: int, seed: int) -> DataFrame:
-    """Two-sided p of the mean difference under random signs: (extreme + 1) / (permutations + 1)."""
-    seen = pairs.agg(F.avg("diff").alias("observed"))
-    flips = pairs.select("document_id", "diff", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("p"))
-    sign = F.when(bit(seed, F.col("p"), F.col("document_id")) % 2 == 0, 1.0).otherwise(-1.0)
-    means = flips.groupBy("p").agg(F.avg(F.col("diff") * sign).alias("m")).join(F.broadcast(seen))
-    extreme = F.count_if(F.abs("m") >= F.abs("observed") - 1e-12)
-    return means.agg(F.round(F.first("observed"), 6).alias("observed"), extreme.alias("extreme"), F.round((extreme + 1) / (permutations + 1), 6).alias("p_value"))
+def sign_flip(pairs: DataFrame, permutations: int = 50_000, seed: int = 2026) -> DataFrame:
+    """Two-sided p of the mean of document means under random signs: (extreme + 1) / (permutations + 1)."""
+    got = paired_inference(one_group(pairs), [], 0, permutations, seed)
+    return got.select(F.col("macro_effect").alias("observed"), F.col("sign_flip_p").alias("p_value"))
 
 
 def sign_test(positive: Column, negative: Column) -> Column:
@@ -52,6 +48,28 @@ def paired_table(pairs: DataFrame, *keys: str) -> DataFrame:
     return g.withColumn("improved_fraction", F.round(F.col("up") / F.col("n"), 6)).withColumn("sign_p", F.round(sign_test(F.col("up"), F.col("down")), 6))
 
 
+#: Measures of which less is better.
+LESS_IS_BETTER = ("lir", "omission_rate")
+
+
+def paired_documents(rows: DataFrame, baseline: str, metrics: list[str], resamples: int = 10_000, seed: int = 2026) -> DataFrame:
+    """A row for each method and metric against the baseline: documents that have both, means, difference with its interval, improved share, sign test.
+
+    rows: document_id, method and the metrics. A document improves by less of a metric in LESS_IS_BETTER, by more of any
+    other. A document without the metric (null) in either method is left out of that metric.
+    """
+    long = rows.select("document_id", "method", F.stack(F.lit(len(metrics)), *[x for i, m in enumerate(metrics) for x in (F.lit(m), F.lit(i), F.col(m))]).alias("metric", "_i", "value")).filter("value is not null")
+    before = long.filter(F.col("method") == baseline).select("document_id", "metric", F.col("value").alias("before"))
+    both = long.filter(F.col("method") != baseline).join(before, ["document_id", "metric"]).withColumn("diff", F.col("value") - F.col("before"))
+    better = F.when(F.col("metric").isin(*LESS_IS_BETTER), -F.col("diff")).otherwise(F.col("diff"))
+    up, down = F.count_if(F.col("diff") > 0), F.count_if(F.col("diff") < 0)
+    keys = ["method", "metric"]
+    stream = F.col("_i") + 100 * F.pmod(F.crc32(F.col("method").cast("binary")), F.lit(1 << 20)).cast("int")
+    limits = paired_inference(both.withColumn("stream", stream), keys, resamples, 0, seed).select(*keys, F.col("macro_low").alias("low"), F.col("macro_high").alias("high"))
+    table = both.groupBy(*keys).agg(F.count("*").alias("documents"), F.round(F.avg("before"), 6).alias("mean_before"), F.round(F.avg("value"), 6).alias("mean_after"), F.round(F.avg("diff"), 6).alias("mean_diff"), F.round(F.count_if(better > 0) / F.count("*"), 6).alias("improved_fraction"), up.alias("up"), down.alias("down"))
+    return table.withColumn("sign_p", F.round(sign_test(F.col("up"), F.col("down")), 6)).join(limits, keys)
+
+
 def wilcoxon(pairs: DataFrame) -> DataFrame:
     """Signed-rank statistic with mid-ranks, zeros dropped, and its two-sided p by the normal approximation with ties."""
     rows = pairs.filter("diff <> 0").groupBy(F.abs("diff").alias("d")).agg(F.count("*").alias("t"), F.count_if(F.col("diff") > 0).alias("up"))

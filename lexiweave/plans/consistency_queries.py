@@ -84,7 +84,7 @@ QUERIES = {
     "g07_aggregate_by_experiment": (on(lambda r: c.aggregate(r, EXP)), f"{R}, {sql_groups('experiment, document_id, term_id')} SELECT * FROM groups"),
     "g08_judged_metrics": (on(judged), f"{R}, {JUDGED} SELECT * FROM judged"),
     "g09_summary_metrics": (on(lambda r: c.summary(judged(r))), f"{R}, {JUDGED} {SUMMARY}"),
-    "g10_missing_judgments": (on(lambda r: c.aggregate(r).join(judgments(r).filter("term_id <> 'T1007'"), ["document_id", "term_id"], "left_anti").select("document_id", "term_id")), f"{R}, {sql_groups()}, {JUDGMENTS} SELECT document_id, term_id FROM groups g WHERE NOT EXISTS (SELECT 1 FROM judgments j WHERE j.document_id = g.document_id AND j.term_id = g.term_id AND j.term_id <> 'T1007')"),
+    "g10_missing_judgments": (on(lambda r: c.missing_judgments(c.aggregate(r), judgments(r).filter("term_id <> 'T1007'"))), f"{R}, {sql_groups()}, {JUDGMENTS} SELECT document_id, term_id FROM groups g WHERE NOT EXISTS (SELECT 1 FROM judgments j WHERE j.document_id = g.document_id AND j.term_id = g.term_id AND j.term_id <> 'T1007')"),
     "v01_auto_judgment": (on(lambda r: c.auto_judgment(c.aggregate(r)).select("document_id", "term_id", "variant_count", "group_label")), f"{R}, {sql_groups()} SELECT document_id, term_id, variant_count, CASE variant_count WHEN 0 THEN 'NO_EXPLICIT_RENDERING' WHEN 1 THEN 'EXACT_CONSISTENT' END AS group_label FROM groups"),
     "w09_compare_models": (on(lambda r: c.compare_models(judged(r, EXP))), f"{R}, {sql_judged(', '.join(EXP))}, s AS ({SUMMARY.replace('SELECT count', 'SELECT experiment, count', 1)} GROUP BY experiment) SELECT *, CAST(row_number() OVER (ORDER BY consistency_micro DESC NULLS LAST, experiment) AS INT) AS place FROM s"),
 }

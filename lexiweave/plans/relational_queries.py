@@ -96,12 +96,6 @@ METHOD_RATES = f"""{PG}, {FOUND}, m AS ({METHODS}), p AS (SELECT w.method, docum
   SELECT * FROM total JOIN term USING (method) JOIN document USING (method) JOIN paragraph USING (method)"""
 
 
-def diffs(spark, folder):
-    return relation(spark, folder, "evaluations").groupBy("document_id").agg(F.avg(F.col("controlled_quality") - F.col("baseline_quality")).alias("diff"))
-
-
-DIFFS = "diffs AS (SELECT document_id, avg(controlled_quality - baseline_quality) AS diff FROM evaluations GROUP BY 1)"
-BIT = "CAST(('0x' || left(sha256({}), 7)) AS BIGINT)"
 DIG = "sha256('{}' || chr(0) || document_id || chr(0) || CAST(paragraph_id AS VARCHAR))"
 
 
@@ -173,8 +167,6 @@ QUERIES = {
     "w12_position_control": (rel("evaluations", lambda e: w.position_control(e, "hashed", 3).select("document_id", "paragraph_id", "swapped")), f"{E} SELECT document_id, paragraph_id, CAST(('0x' || left({DIG.format(3)}, 2)) AS INT) % 2 = 1 AS swapped FROM evaluations"),
     "w13_limits": (rel("evaluations", lambda e: w.limits(e, 10, 5).select("document_id", "paragraph_id")), f"{E}, d AS (SELECT DISTINCT document_id FROM evaluations ORDER BY 1 LIMIT 10) SELECT document_id, paragraph_id FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY paragraph_id) AS k FROM evaluations WHERE document_id IN (SELECT document_id FROM d)) WHERE k <= 5"),
     "k01_percentiles": (rel("evaluations", lambda e: e.groupBy("document_id").agg(*[F.round(F.percentile("confidence", F.lit(q)), 9).alias(f"q{int(q * 1000)}") for q in (0.025, 0.5, 0.975)])), f"{E} SELECT document_id, " + ", ".join(f"round(quantile_cont(confidence, {q}), 9) AS q{int(q * 1000)}" for q in (0.025, 0.5, 0.975)) + " FROM evaluations GROUP BY 1"),
-    "k02_bootstrap": (lambda s, f: k.bootstrap(diffs(s, f), 400, 2026), f"{E}, {DIFFS}, n AS (SELECT diff, row_number() OVER (ORDER BY document_id) - 1 AS i FROM diffs), c AS (SELECT count(*) AS n, avg(diff) AS mean FROM diffs), draws AS (SELECT b, k FROM (SELECT unnest(generate_series(0, 399)) AS b), (SELECT unnest(generate_series(0, (SELECT n FROM c) - 1)) AS k)), m AS (SELECT b, avg(diff) AS m FROM draws JOIN n ON i = {BIT.format(chr(39) + '2026|' + chr(39) + ' || b || ' + chr(39) + '|' + chr(39) + ' || k')} % (SELECT n FROM c) GROUP BY b) SELECT n, round(mean, 6) AS mean, (SELECT round(quantile_cont(m, 0.025), 6) FROM m) AS low, (SELECT round(quantile_cont(m, 0.975), 6) FROM m) AS high FROM c"),
-    "k03_sign_flip": (lambda s, f: k.sign_flip(diffs(s, f), 400, 2026), f"{E}, {DIFFS}, m AS (SELECT p, avg(diff * CASE WHEN {BIT.format(chr(39) + '2026|' + chr(39) + ' || p || ' + chr(39) + '|' + chr(39) + ' || document_id')} % 2 = 0 THEN 1 ELSE -1 END) AS m FROM diffs, (SELECT unnest(generate_series(0, 399)) AS p) GROUP BY p), o AS (SELECT avg(diff) AS observed FROM diffs) SELECT round(any_value(observed), 6) AS observed, count(*) FILTER (abs(m) >= abs(observed) - 1e-12) AS extreme, round((count(*) FILTER (abs(m) >= abs(observed) - 1e-12) + 1) / 401, 6) AS p_value FROM m, o"),
     "k05_wilcoxon": (lambda s, f: k.wilcoxon(relation(s, f, "evaluations").select((F.col("controlled_quality") - F.col("baseline_quality")).alias("diff"))), f"{E}, x AS (SELECT abs(controlled_quality - baseline_quality) AS d, controlled_quality > baseline_quality AS up FROM evaluations WHERE controlled_quality <> baseline_quality), r AS (SELECT up, d, avg(k) OVER (PARTITION BY d) AS rank FROM (SELECT *, row_number() OVER (ORDER BY d) AS k FROM x)), s AS (SELECT count(*) AS n, sum(rank) FILTER (up) AS w FROM r), t AS (SELECT sum(power(c, 3) - c) AS ties FROM (SELECT count(*) AS c FROM x GROUP BY d)), z AS (SELECT n, w, abs(w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM s, t) SELECT n, round(w, 6) AS w_plus, round(z, 6) AS z, round(2 * exp(-z * z / 2) / sqrt(2 * pi()) * (1 / (1 + 0.2316419 * z)) * (0.319381530 + (1 / (1 + 0.2316419 * z)) * (-0.356563782 + (1 / (1 + 0.2316419 * z)) * (1.781477937 + (1 / (1 + 0.2316419 * z)) * (-1.821255978 + (1 / (1 + 0.2316419 * z)) * 1.330274429)))), 4) AS p_value FROM z"),
     "k06_kappa": (rel("evaluations", lambda e: k.kappa(e.select(F.col("winner").alias("a"), F.when(F.col("paragraph_id") % 4 == 0, "tie").otherwise(F.col("winner")).alias("b")))), f"{E}, x AS (SELECT winner AS a, CASE WHEN paragraph_id % 4 = 0 THEN 'tie' ELSE winner END AS b FROM evaluations), n AS (SELECT count(*) AS n, avg(CAST(a = b AS INT)) AS o FROM x), e AS (SELECT sum(p.c * q.c) / any_value(n.n * n.n) AS e FROM (SELECT a, count(*)::DOUBLE AS c FROM x GROUP BY 1) p JOIN (SELECT b, count(*)::DOUBLE AS c FROM x GROUP BY 1) q ON a = b, n) SELECT n, round(o, 6) AS agreement, round((o - e) / (1 - e), 6) AS kappa FROM n, e"),
     "k07_paired_table": (rel("evaluations", lambda e: k.paired_table(e.select("has_terms", F.col("baseline_quality").alias("before"), F.col("controlled_quality").alias("after")), "has_terms")), f"{E}, x AS (SELECT has_terms, baseline_quality AS b, controlled_quality AS a FROM evaluations), g AS (SELECT has_terms, count(*) AS n, round(avg(b), 6) AS mean_before, round(avg(a), 6) AS mean_after, round(avg(a - b), 6) AS mean_diff, count(*) FILTER (a > b) AS up, count(*) FILTER (a < b) AS down, round(count(*) FILTER (a > b) / count(*), 6) AS improved_fraction FROM x GROUP BY 1) SELECT *, round({SIGN_P}, 6) AS sign_p FROM g"),
