@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import digest_fraction
+from .ranking import require_enough, running, top_of_each
 
 
 def digest(seed: int, *columns: Column) -> Column:
@@ -19,21 +20,32 @@ def evaluation_selection(rows: DataFrame, scope: str, rate: float, seed: int) ->
     return rows.filter(keep)
 
 
-def top_by_digest(rows: DataFrame, sizes: dict, stratum: str, seed: int) -> DataFrame:
-    """The first rows of each stratum in the order of their digests: a row number a stratum, so the hash order is total."""
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(digest(seed, F.col("document_id"), F.col("paragraph_id")), "document_id", "paragraph_id"))
-    limit = F.lit(0)
-    for value, n in sizes.items():
-        limit = F.when(F.col(stratum) == value, n).otherwise(limit)
-    return rows.withColumn("rank", rank).filter(F.col("rank") <= limit)
+KEY = ("document_id", "paragraph_id")
+
+
+def by_digest(seed: int) -> list[Column]:
+    return [digest(seed, *map(F.col, KEY)), *map(F.col, KEY)]
+
+
+def top_by_digest(rows: DataFrame, sizes: dict, stratum: str, seed: int, enough: bool = False) -> DataFrame:
+    """The first rows of each stratum in the order of their digests, with rank. enough: a stratum that is too small fails the query."""
+    picked = top_of_each(rows, stratum, sizes, by_digest(seed))
+    return require_enough(picked, rows, stratum, sizes) if enough else picked
+
+
+def _filled(rows: DataFrame, first: DataFrame, n: int, seed: int) -> DataFrame:
+    """n rows: those of first, in the order of a digest, then others. Both sides are bounded by n before they meet."""
+    order = by_digest(seed)
+    rest = rows.join(F.broadcast(first.select(*KEY)), list(KEY), "left_anti").orderBy(*order).limit(n)  # first: a few times n rows at most
+    both = first.withColumn("_first", F.lit(1)).unionByName(rest.withColumn("_first", F.lit(0)))
+    return both.orderBy(F.desc("_first"), *order).limit(n).drop("_first")
 
 
 def balanced(rows: DataFrame, n: int, seed: int) -> DataFrame:
     """n rows, a third of each winner by digest, filled up from the rest by another digest."""
-    key = (F.col("document_id"), F.col("paragraph_id"))
-    rank = F.row_number().over(Window.partitionBy("winner").orderBy(digest(seed, *key), *key))
-    marked = rows.withColumn("_first", (rank <= n // 3).cast("int"))
-    return marked.orderBy(F.desc("_first"), digest(seed + 999, *key), *key).limit(n).drop("_first")
+    rank = F.row_number().over(Window.partitionBy("winner").orderBy(*by_digest(seed)))
+    first = rows.withColumn("_r", rank).filter(F.col("_r") <= n // 3).drop("_r")
+    return _filled(rows, first, n, seed + 999)
 
 
 def blind(rows: DataFrame, seed: int) -> DataFrame:
@@ -45,20 +57,22 @@ def blind(rows: DataFrame, seed: int) -> DataFrame:
 
 
 def even_ranks(rows: DataFrame, n: int, *order: str) -> DataFrame:
-    """n rows at even distances in an order, the ends included, each once. Ranks come from one small window over documents."""
-    ranked = rows.withColumn("_i", F.row_number().over(Window.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(Window.partitionBy()))
-    step = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    places = rows.agg(F.count("*").alias("_n")).select(step.alias("_k"), "_n").select(F.bround(F.col("_k") * (F.col("_n") - 1) / (n - 1)).cast("int").alias("_i")).distinct()
-    return ranked.drop("_n").join(F.broadcast(places), "_i").drop("_i")
+    """n rows (all, if there are fewer) at even distances in an order, the ends included, each once; places that fall together are filled up from the end."""
+    ranked = running(rows, list(order), name="_i")
+    total = ranked.agg(F.count("*").alias("_n"))
+    step = F.explode(F.sequence(F.lit(0), F.least(F.lit(n).cast("long"), F.col("_n")) - 1))
+    least = F.greatest(F.lit(1).cast("long"), F.least(F.lit(n).cast("long"), F.col("_n")) - 1)
+    even = total.filter("_n > 0").select(step.alias("_k"), "_n", least.alias("_d")).select(F.bround(F.col("_k") * (F.col("_n") - 1) / F.col("_d")).cast("long").alias("_i")).distinct()
+    late = total.filter("_n > 0").select(F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(2 * n).cast("long"), F.col("_n")))).alias("_k"), "_n").select((F.col("_n") - F.col("_k")).alias("_i"))
+    places = even.withColumn("_late", F.lit(0)).unionByName(late.join(even, "_i", "left_anti").withColumn("_late", F.lit(1))).orderBy("_late", F.desc("_i")).limit(n)
+    return ranked.join(F.broadcast(places.select("_i")), "_i").drop("_i")  # n places
 
 
 def risk_sample(rows: DataFrame, n: int, risky_share: float, seed: int) -> DataFrame:
     """A share of risky rows, then others, in hash order; where either are too few, the rest of the others fill up."""
-    key = (F.col("document_id"), F.col("paragraph_id"))
-    risky = F.row_number().over(Window.partitionBy("risky").orderBy(digest(seed, *key), *key))
     want = int(n * risky_share)
-    first = F.col("_r") <= F.when(F.col("risky"), want).otherwise(n - want)
-    return rows.withColumn("_r", risky).orderBy(F.desc(first), digest(seed, *key), *key).limit(n).drop("_r")
+    first = top_of_each(rows, "risky", {True: want, False: n - want}, by_digest(seed)).drop("rank")
+    return _filled(rows, first, n, seed)
 
 
 def position_control(rows: DataFrame, mode: str, seed: int) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .inference import paired_inference
+from .ranking import running
 
 
 def one_group(pairs: DataFrame) -> DataFrame:
@@ -73,8 +74,7 @@ def paired_documents(rows: DataFrame, baseline: str, metrics: list[str], resampl
 def wilcoxon(pairs: DataFrame) -> DataFrame:
     """Signed-rank statistic with mid-ranks, zeros dropped, and its two-sided p by the normal approximation with ties."""
     rows = pairs.filter("diff <> 0").groupBy(F.abs("diff").alias("d")).agg(F.count("*").alias("t"), F.count_if(F.col("diff") > 0).alias("up"))
-    before = F.coalesce(F.sum("t").over(Window.orderBy("d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = rows.withColumn("rank", before + (F.col("t") + 1) / 2)
+    ranked = running(rows, ["d"], F.col("t")).withColumn("rank", F.col("before") + (F.col("t") + 1) / 2)
     s = ranked.agg(F.sum("t").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
     n, w = F.col("n"), F.col("w_plus")
     z = F.abs(w - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)

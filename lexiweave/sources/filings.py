@@ -170,14 +170,6 @@ def read_review_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("multiLine", True).option("escape", '"').csv(path)
 
 
-def write_csv(frames: list[DataFrame], path: str) -> None:
-    """Frames with different columns as one table, columns in the order first seen."""
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
-
-
 def plain_document(paragraphs: DataFrame) -> DataFrame:
     """The paragraphs of each document in order, a blank line between them."""
     rows = paragraphs.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("paragraph_id", "text"))).alias("ps"))

@@ -7,7 +7,7 @@ import json
 import pytest
 
 from lexiweave.operators.providers import EchoProvider, ask
-from lexiweave.sources import filings
+from lexiweave.sources import filings, sinks
 from lexiweave.streaming.incremental import run_pending
 
 
@@ -55,7 +55,7 @@ def test_review_csv(spark, tmp_path):
 
 def test_csv_union_of_columns(spark, tmp_path):
     a, b = spark.createDataFrame([(1, "x")], "i int, a string"), spark.createDataFrame([(2, "y")], "i int, b string")
-    filings.write_csv([a, b], str(tmp_path / "out"))
+    sinks.write_csv([a, b], str(tmp_path / "out"))
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).columns == ["i", "a", "b"]
 
 
