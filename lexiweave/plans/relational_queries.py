@@ -9,7 +9,9 @@ from ..operators import coverage as j
 from ..operators import sampling as w
 from ..operators import statistics as k
 from ..operators import terms as tm
+from ..operators import validation as val
 from ..sources.contracts import relation, with_clause
+from .use_sql import USES
 
 P, PT, PG = with_clause("paragraphs"), with_clause("translations"), with_clause("translations", "glossary")
 E = with_clause("evaluations")
@@ -53,6 +55,23 @@ def uses(spark, folder):
     return tm.classify_uses(rows).drop("text", "is_definition")
 
 
+def document_terms(spark, folder):
+    """Every document has the whole glossary."""
+    return paragraphs(spark, folder).select("document_id").distinct().crossJoin(F.broadcast(relation(spark, folder, "glossary").select("term_id", "source_term")))  # ten terms
+
+
+def validation_tree(spark, folder):
+    flat = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";").alias(c)
+    return val.tree(uses(spark, folder), document_terms(spark, folder)).select("document_id", "term_count", "occurrence_count", *val.LEVELS, *[flat(c) for c in val.COUNTED])
+
+
+def stale_documents(spark, folder):
+    """Documents against results stored before some of their paragraphs were changed."""
+    p, t = paragraphs(spark, folder), document_terms(spark, folder)
+    before = p.withColumn("text", F.when(F.col("paragraph_id") % 20 == 7, F.lit("before")).otherwise(F.col("text"))).filter(F.col("document_id").cast("int") % 3 > 0)
+    return val.freshness(val.source_signatures(p, t), val.source_signatures(before, t))
+
+
 def glossary_uses(spark, folder):
     return uses(spark, folder).filter("control_eligibility <> 'NONE'")
 
@@ -138,8 +157,13 @@ QUERIES = {
     "t07_number_terms": (lambda s, f: numbered(s, f).select("document_id", "key", "term_id", "occurrences"), f"{P}, {NUM} SELECT document_id, key, term_id, occurrences FROM numbered"),
     "t08_document_statistics": (lambda s, f: tm.document_statistics(paragraphs(s, f), numbered(s, f)), f"{P}, {NUM} SELECT * FROM (SELECT document_id, count(*) AS paragraph_count, CAST(sum(length(text)) AS BIGINT) AS character_count FROM paragraphs GROUP BY 1) JOIN (SELECT document_id, count(*) AS term_count, CAST(sum(occurrences) AS BIGINT) AS occurrence_count FROM numbered GROUP BY 1) USING (document_id)"),
     "t09_containing_longer": (lambda s, f: tm.containing_longer(tm.candidate_occurrences(paragraphs(s, f), memory(s, f).drop("term_id"))), f"{PG}, spots AS (SELECT document_id, paragraph_id, source_term, unnest(generate_series(0, length(text) - length(source_term))) AS i, text FROM paragraphs JOIN glossary ON contains(lower(text), lower(source_term))), c AS (SELECT document_id, paragraph_id, source_term, CAST(i AS INT) AS char_start, CAST(i + length(source_term) AS INT) AS char_end FROM spots WHERE lower(substr(text, CAST(i AS INT) + 1, length(source_term))) = lower(source_term) AND NOT regexp_matches(substr(text, CAST(i AS INT), CAST(least(i, 1) AS INT)), '[A-Za-z0-9]') AND NOT regexp_matches(substr(text, CAST(i AS INT) + length(source_term) + 1, 1), '[A-Za-z0-9]')) SELECT a.document_id, a.paragraph_id, a.source_term, a.char_start, a.char_end, arg_max(b.source_term, (b.char_end - b.char_start, b.source_term)) AS container FROM c a JOIN c b ON a.document_id = b.document_id AND a.paragraph_id = b.paragraph_id AND b.char_start <= a.char_start AND b.char_end >= a.char_end AND b.char_end - b.char_start > a.char_end - a.char_start GROUP BY ALL"),
-    "t18_classify_uses": (uses, None),
-    "t19_validation_counts": (lambda s, f: uses(s, f).groupBy("document_id", "control_eligibility", "usage_status", "reason").agg(F.count("*").alias("n")), None),
+    "t18_classify_uses": (uses, f"{USES} SELECT * FROM uses"),
+    "t19_validation_counts": (lambda s, f: uses(s, f).groupBy("document_id", "control_eligibility", "usage_status", "reason").agg(F.count("*").alias("n")), f"{USES} SELECT document_id, control_eligibility, usage_status, reason, count(*) AS n FROM uses GROUP BY ALL"),
+    "t19_validation_tree": (validation_tree, f"""{USES}, lv AS (SELECT NULL AS document_id, u.* EXCLUDE (document_id) FROM uses u UNION ALL SELECT document_id, u.* EXCLUDE (document_id) FROM uses u), d AS (SELECT DISTINCT document_id, CAST(10 AS BIGINT) AS term_count FROM paragraphs UNION ALL SELECT NULL, 10 * count(DISTINCT document_id) FROM paragraphs),
+      g AS (SELECT document_id, count(*) AS occurrence_count, count(*) FILTER (control_eligibility = 'HARD') AS hard_occurrences, count(*) FILTER (control_eligibility = 'SOFT') AS soft_occurrences, count(*) FILTER (control_eligibility = 'NONE') AS excluded_occurrences FROM lv GROUP BY 1),
+      {', '.join(f"{n} AS (SELECT document_id, string_agg(v || '=' || n, ';' ORDER BY v) AS {n} FROM (SELECT document_id, {c} AS v, count(*) AS n FROM lv WHERE {c} IS NOT NULL GROUP BY ALL) GROUP BY 1)" for n, c in val.COUNTED.items())}
+      SELECT d.document_id, term_count, coalesce(occurrence_count, 0) AS occurrence_count, coalesce(hard_occurrences, 0) AS hard_occurrences, coalesce(soft_occurrences, 0) AS soft_occurrences, coalesce(excluded_occurrences, 0) AS excluded_occurrences, {', '.join(f"coalesce({n}, '') AS {n}" for n in val.COUNTED)} FROM d LEFT JOIN g ON g.document_id IS NOT DISTINCT FROM d.document_id {' '.join(f'LEFT JOIN {n} ON {n}.document_id IS NOT DISTINCT FROM d.document_id' for n in val.COUNTED)}"""),
+    "t19_stale_documents": (stale_documents, f"{P} SELECT document_id, CASE WHEN CAST(document_id AS INT) % 3 = 0 THEN 'new' WHEN bool_or(paragraph_id % 20 = 7) THEN 'stale' ELSE 'valid' END AS state FROM paragraphs GROUP BY 1"),
     "t20_occurrences_by_paragraph": (lambda s, f: occurrences(s, f).groupBy("document_id", "paragraph_id").agg(F.array_join(F.array_sort(F.collect_list("term_id")), ",").alias("terms")), f"{PG}, {FOUND} SELECT document_id, paragraph_id, string_agg(term_id, ',' ORDER BY term_id) AS terms FROM found GROUP BY ALL"),
     "j01_pair_occurrences": (lambda s, f: j.pair(occurrences(s, f), relation(s, f, "translations")), f"{PG}, {FOUND} SELECT concat_ws('::', document_id, term_id, occurrence_index, paragraph_id, char_start) AS occurrence_id, found.*, coalesce(translation, '') AS target_paragraph, CASE WHEN coalesce(translation, '') = '' THEN 'No translated paragraph found for this paragraph_id.' END AS notes FROM found LEFT JOIN translations USING (document_id, paragraph_id)"),
     "j02_document_match": (lambda s, f: j.document_match(paragraphs(s, f), relation(s, f, "translations").filter("document_id <> '7'")), f"{PT} SELECT DISTINCT document_id, document_id <> '7' AS matched FROM paragraphs"),

@@ -16,6 +16,7 @@ from ..sources.contracts import relation, with_clause
 from ..sources.tables import table
 from .consistency_queries import NV
 from .relational_queries import FOUND, NUM, P, PG, PT, SIGN_P, numbered, occurrences, paragraphs, uses
+from .use_sql import USES
 from .text_queries import flat
 
 R, G, E = with_clause("reviews"), with_clause("glossary"), with_clause("evaluations")
@@ -158,7 +159,7 @@ QUERIES = {
     "a13_apply_repairs": (repaired, f"{R} SELECT document_id || '-' || occurrence AS occurrence_id, CASE WHEN occurrence % 7 IN (0, 4, 5) THEN '新' WHEN occurrence % 7 = 6 THEN rendering END AS rendering, ['FOUND', 'OMITTED', 'IMPLICIT', 'AMBIGUOUS', 'TRANSLATION_ERROR', extraction_status, extraction_status][CAST(occurrence % 7 AS INT) + 1] AS extraction_status, ['REPAIRED_MINIMAL', 'REPAIR_OMITTED', 'REPAIR_IMPLICIT', 'REPAIR_AMBIGUOUS', 'REPAIR_UNTRANSLATED', 'REPAIR_FAILED_RETAINED', 'UNTRANSLATED'][CAST(occurrence % 7 AS INT) + 1] AS validation_status, occurrence % 7 <> 5 AS include_in_consistency FROM reviews"),
     "c01_placeholder_names": (lambda s, f: table(s, f, "part").select("p_partkey", c.placeholder(F.when(F.col("p_partkey") % 5 == 0, F.col("p_name")).otherwise(F.concat(F.lit("T"), F.col("p_partkey").cast("string")))).alias("token")), "SELECT p_partkey, '【术语' || CASE WHEN p_partkey % 5 = 0 THEN CAST(CAST(('0x' || left(sha256(p_name), 8)) AS BIGINT) AS VARCHAR) ELSE CASE WHEN p_partkey < 1000 THEN lpad(CAST(p_partkey AS VARCHAR), 4, '0') ELSE CAST(p_partkey AS VARCHAR) END END || '】' AS token FROM part"),
     "c02_inject_placeholders": (lambda s, f: round_trip(s, f).select("document_id", "paragraph_id", "protected"), f"{PG}, {SPANS}, three AS (SELECT document_id, paragraph_id, list((char_start, char_end, placeholder) ORDER BY char_start) AS x FROM spans GROUP BY ALL) SELECT document_id, paragraph_id, CASE WHEN x IS NULL THEN text ELSE list_reduce(list_prepend(text, list_transform(list_reverse(x), lambda q: q[1] || '|' || q[2] || '|' || q[3])), lambda s, q: left(s, CAST(split_part(q, '|', 1) AS INT)) || split_part(q, '|', 3) || substr(s, CAST(split_part(q, '|', 2) AS INT) + 1)) END AS protected FROM paragraphs LEFT JOIN three USING (document_id, paragraph_id)"),
-    "c03_route_controls": (lambda s, f: c.route(uses(s, f)).groupBy("document_id", "control").agg(F.count("*").alias("n")), None),
+    "c03_route_controls": (lambda s, f: c.route(uses(s, f)).groupBy("document_id", "control").agg(F.count("*").alias("n")), f"{USES}, k AS (SELECT * FROM uses WHERE control_eligibility IN ('HARD', 'SOFT')) SELECT document_id, control_eligibility AS control, count(*) AS n FROM k a WHERE control_eligibility = 'HARD' OR NOT EXISTS (SELECT 1 FROM k h WHERE h.document_id = a.document_id AND h.paragraph_id = a.paragraph_id AND h.control_eligibility = 'HARD' AND h.char_start < a.char_end AND a.char_start < h.char_end) GROUP BY ALL"),
     "c07_restore_placeholders": (lambda s, f: round_trip(s, f).select("document_id", "paragraph_id", "restored", c.leftover(F.col("restored")).alias("leftover")), f"{PG}, {SPANS}, x AS (SELECT document_id, paragraph_id, list((char_start, char_end, canonical) ORDER BY char_start) AS x FROM spans GROUP BY ALL) SELECT document_id, paragraph_id, CASE WHEN x IS NULL THEN text ELSE list_reduce(list_prepend(text, list_transform(list_reverse(x), lambda q: q[1] || '|' || q[2] || '|' || q[3])), lambda s, q: left(s, CAST(split_part(q, '|', 1) AS INT)) || split_part(q, '|', 3) || substr(s, CAST(split_part(q, '|', 2) AS INT) + 1)) END AS restored, false AS leftover FROM paragraphs LEFT JOIN x USING (document_id, paragraph_id)"),
     "c09_approved_renderings": (lambda s, f: relation(s, f, "glossary").select("term_id", F.array_join(c.approved_renderings(F.col("canonical"), variants_of(None), F.array(F.lit("薪资"), F.lit(""))), "|").alias("approved")), f"{G} SELECT term_id, CASE WHEN canonical = '基本薪资' THEN '基本薪资|底薪|薪资' ELSE canonical || '|基本薪资|底薪|薪资' END AS approved FROM glossary"),
     "c10_glossary_compliance": (glossary_compliance, f"{PT} SELECT document_id, paragraph_id, CASE WHEN contains(translation, '基本薪资') THEN 'EXACT_CANONICAL' WHEN paragraph_id % 5 = 0 OR contains(translation, '薪资') THEN 'APPROVED_VARIANT' ELSE 'MISSING_REQUIRED_RENDERING' END AS status FROM translations"),
