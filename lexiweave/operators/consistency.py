@@ -18,9 +18,15 @@ def ratio(a: Column, b: Column) -> Column:
     return F.round(a / F.nullif(b, F.lit(0)), 6)
 
 
-def variants(reviews: DataFrame, normal=t.normalize_variant, keys: list[str] = GROUP) -> DataFrame:
-    """Counts of each normalised rendering of a group, ranked: most frequent first, then by spelling."""
-    counted = reviews.withColumn("variant", normal(F.col("rendering"))).filter("variant is not null").groupBy(*keys, "variant").agg(F.count("*").alias("n"))
+def spelled(reviews: DataFrame, normal=t.normalize_variant, keys: list[str] = GROUP, *more: str) -> DataFrame:
+    """keys, rendering, more, n, errors, variant: rows counted by their spelling first, so that only distinct spellings are normalised. Spellings that come to nothing are left out."""
+    raw = reviews.groupBy(*keys, "rendering", *more).agg(F.count("*").alias("n"), F.count_if(F.col("extraction_status") == "TRANSLATION_ERROR").alias("errors") if "extraction_status" in reviews.columns else F.lit(0).alias("errors"))
+    return raw.withColumn("variant", normal(F.col("rendering"))).filter("variant is not null")
+
+
+def variants(reviews: DataFrame, normal=t.normalize_variant, keys: list[str] = GROUP, *more: str) -> DataFrame:
+    """Counts of each normalised rendering of a group, ranked: most frequent first, then by spelling. more: errors, if they are wanted too."""
+    counted = spelled(reviews, normal, keys).groupBy(*keys, "variant").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in more])
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "variant"))
     return counted.withColumn("variant_id", F.concat(F.lit("V"), F.lpad((rank - 1).cast("string"), 3, "0")))
 
@@ -55,10 +61,10 @@ def aggregate(reviews: DataFrame, keys: list[str] = GROUP) -> DataFrame:
 
 def surface_histograms(reviews: DataFrame) -> DataFrame:
     """Each variant's surface forms, as text form=count sorted by form, and statuses alike."""
-    rows = reviews.withColumn("variant", t.normalize_variant(F.col("rendering"))).filter("variant is not null")
+    rows = spelled(reviews, t.normalize_variant, GROUP, "extraction_status")
 
     def histogram(column: str) -> DataFrame:
-        one = rows.groupBy(*GROUP, "variant", column).agg(F.count("*").alias("n"))
+        one = rows.groupBy(*GROUP, "variant", column).agg(F.sum("n").alias("n"))
         return one.groupBy(*GROUP, "variant").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", column, F.col("n").cast("string")))), ";").alias(f"{column}_counts"))
 
     return histogram("rendering").join(histogram("extraction_status"), [*GROUP, "variant"])
@@ -71,6 +77,46 @@ def first_contexts(reviews: DataFrame, limit: int = 3) -> DataFrame:
     return rows.withColumn("position", rank).filter(F.col("position") <= limit).select(*GROUP, "variant", "position", "occurrence")
 
 
+def unique_contexts(reviews: DataFrame, limit: int = 3, context: str = "target_paragraph", order: str = "occurrence") -> DataFrame:
+    """Of each variant the first texts that differ, at most limit of them, with their places among these. Equal texts are one before they are ranked."""
+    rows = reviews.groupBy(*GROUP, "rendering", context).agg(F.min(order).alias(order)).withColumn("variant", t.normalize_variant(F.col("rendering"))).filter(F.col("variant").isNotNull() & F.col(context).isNotNull() & (F.btrim(context) != ""))
+    one = rows.groupBy(*GROUP, "variant", context).agg(F.min(order).alias(order))
+    rank = F.row_number().over(Window.partitionBy(*GROUP, "variant").orderBy(order, context))
+    return one.withColumn("position", rank).filter(F.col("position") <= limit)
+
+
+def group_details(reviews: DataFrame, limit: int = 3, context: str = "target_paragraph") -> DataFrame:
+    """A row a group: counts by extraction status and by validation status as maps, its variants from the most frequent with count, share, surfaces and first different contexts, and its definitions' contexts.
+
+    reviews: the columns of aggregate(), occurrence, and, if they are there, validation_status, context and definition_context.
+    Only included rows make variants. Each map and list is folded from counted rows, none from single occurrences.
+    """
+    included = reviews.filter("not include_in_consistency <=> false")
+
+    def counts(column: str, name: str) -> DataFrame:
+        if column not in reviews.columns:
+            return reviews.select(*GROUP).distinct().withColumn(name, F.expr("cast(map() as map<string,bigint>)"))
+        one = reviews.groupBy(*GROUP, F.coalesce(column, F.lit("UNPROCESSED")).alias("k")).agg(F.count("*").alias("n"))
+        return one.groupBy(*GROUP).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias(name))
+
+    ranked = variants(included)
+    surfaces = spelled(included).groupBy(*GROUP, "variant").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "rendering"))), lambda x: x["rendering"]).alias("surfaces"))
+    rows = ranked.join(surfaces, [*GROUP, "variant"])
+    if context in reviews.columns:
+        seen = unique_contexts(included, limit, context).groupBy(*GROUP, "variant").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", context))), lambda x: x[context]).alias("contexts"))
+        rows = rows.join(seen, [*GROUP, "variant"], "left")
+    else:
+        rows = rows.withColumn("contexts", F.lit(None).cast("array<string>"))
+    total = F.sum("n").over(Window.partitionBy(*GROUP))
+    item = F.struct("variant_id", "variant", F.col("n").alias("count"), F.round(F.col("n") / F.col("_t"), 6).alias("share"), "surfaces", F.coalesce("contexts", F.expr("cast(array() as array<string>)")).alias("contexts"))
+    listed = rows.withColumn("_t", total).groupBy(*GROUP).agg(F.array_sort(F.collect_list(item)).alias("variants"))
+    out = counts("extraction_status", "status_counts").join(counts("validation_status", "validation_counts"), GROUP).join(listed, GROUP, "left")
+    if "definition_context" in reviews.columns:
+        first = reviews.filter("definition_context is not null").groupBy(*GROUP).agg(F.array_sort(F.collect_set("definition_context")).alias("definition_contexts"))
+        out = out.join(first, GROUP, "left")
+    return out
+
+
 def experiment_summary(groups: DataFrame) -> DataFrame:
     return groups.groupBy("experiment").agg(F.count("*").alias("group_count"), F.sum("raw_occurrences").alias("raw_occurrence_count"), F.sum("occurrences").alias("occurrence_count"), F.sum("excluded_occurrences").alias("excluded_occurrence_count"), F.count_if(F.col("variant_count") > 1).alias("multi_variant_group_count"), F.count_if(F.col("variant_count") == 0).alias("zero_explicit_group_count"))
 
@@ -87,10 +133,9 @@ def judged_metrics(reviews: DataFrame, judgments: DataFrame, keys: list[str] = G
     A variant without a judgment, or with an unknown label, counts as unresolved.
     """
     included = reviews.filter("not include_in_consistency <=> false")
-    ranked = variants(included, keys=keys)
-    errors = included.withColumn("variant", t.normalize_variant(F.col("rendering"))).filter("extraction_status = 'TRANSLATION_ERROR' and variant is not null").groupBy(*keys, "variant").agg(F.count("*").alias("errors"))
+    ranked = variants(included, t.normalize_variant, keys, "errors")
     label = F.when(F.col("label").isin(*LABELS), F.col("label")).otherwise("UNRESOLVED")
-    rows = ranked.join(judgments, [*keys, "variant_id"], "left").join(errors, [*keys, "variant"], "left").withColumn("label", label)
+    rows = ranked.join(judgments, [*keys, "variant_id"], "left").withColumn("label", label)
     of = lambda name: F.sum(F.when(F.col("label") == name, F.col("n")).otherwise(0))
     labels = rows.groupBy(*keys).agg(of("EXACT_CONSISTENT").alias("exact"), of("ACCEPTABLE_VARIANT").alias("acceptable"), of("LEGAL_INCONSISTENCY").alias("inconsistent"), of("UNRESOLVED").alias("unresolved"), F.sum(F.when(F.col("label") == "LEGAL_INCONSISTENCY", F.coalesce("errors", F.lit(0))).otherwise(0)).alias("errors_inside"))
     g = aggregate(reviews, keys).join(labels, keys, "left").fillna(0, ["exact", "acceptable", "inconsistent", "unresolved", "errors_inside"])

@@ -74,12 +74,40 @@ def judged(r, keys=c.GROUP):
 
 
 EXP = ["experiment", "document_id", "term_id"]
+#: Reviews with a context, a validation status and a definition.
+CONTEXT = "SELECT *, CASE WHEN occurrence % 11 = 0 THEN ' ' ELSE 'context ' || CAST(occurrence % 5 AS VARCHAR(5)) END AS target_paragraph, CASE WHEN occurrence % 3 = 0 THEN 'VALID' WHEN occurrence % 3 = 1 THEN 'REPAIRED' END AS validation_status, CASE WHEN occurrence % 40 = 1 THEN 'definition ' || CAST(occurrence % 2 AS VARCHAR(5)) || CAST(occurrence % 6 AS VARCHAR(5)) END AS definition_context FROM reviews"
+
+
+def with_contexts(spark, folder):
+    relation(spark, folder, "reviews").createOrReplaceTempView("lw_reviews")
+    return spark.sql(CONTEXT.replace("FROM reviews", "FROM lw_reviews"))
+
+
+def details(spark, folder):
+    """Maps and lists written out as text."""
+    d = c.group_details(with_contexts(spark, folder))
+    flat = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";")
+    one = lambda v: F.concat_ws("/", v["variant_id"], v["variant"], v["count"].cast("string"), F.array_join(v["surfaces"], "+"), F.array_join(v["contexts"], "+"))
+    share = F.get(F.transform("variants", lambda v: v["share"]), F.lit(0))
+    return d.select("document_id", "term_id", flat("status_counts").alias("status_counts"), flat("validation_counts").alias("validation_counts"), F.array_join(F.transform("variants", one), ";").alias("variants"), share.alias("dominant_share"), F.array_join("definition_contexts", ";").alias("definition_contexts"))
+
+
+XS = f"x AS (SELECT *, {NV} AS variant FROM ({CONTEXT}))"
+INC = "(SELECT * FROM x WHERE (include_in_consistency IS NULL OR include_in_consistency) AND variant IS NOT NULL)"
+UNIQUE = f"uq AS (SELECT *, row_number() OVER (PARTITION BY document_id, term_id, variant ORDER BY occurrence, target_paragraph) AS position FROM (SELECT document_id, term_id, variant, target_paragraph, min(occurrence) AS occurrence FROM {INC} WHERE trim(target_paragraph) <> '' GROUP BY ALL) QUALIFY position <= 3)"
+MAPS = ", ".join(f"{n} AS (SELECT document_id, term_id, string_agg(k || '=' || n, ';' ORDER BY k) AS {n} FROM (SELECT document_id, term_id, coalesce({c_}, 'UNPROCESSED') AS k, count(*) AS n FROM x GROUP BY ALL) GROUP BY ALL)" for c_, n in (("extraction_status", "status_counts"), ("validation_status", "validation_counts")))
 QUERIES = {
     "g01_formal_metrics": (on(lambda r: c.formal_metrics(c.variants(r, t.normalize_rendering))), f"{R}, var AS ({sql_variants('reviews', NR)}) {sql_formal('var')}"),
     "g02_aggregate_renderings": (on(c.aggregate), f"{R}, {sql_groups()} SELECT * FROM groups"),
     "g03_ranked_variants": (on(lambda r: c.variants(r)), f"{R} {sql_variants('reviews')}"),
     "g04_surface_histograms": (on(c.surface_histograms), f"{R}, x AS (SELECT *, {NV} AS variant FROM reviews), a AS (SELECT document_id, term_id, variant, rendering || '=' || count(*) AS s FROM x WHERE variant IS NOT NULL GROUP BY document_id, term_id, variant, rendering), b AS (SELECT document_id, term_id, variant, extraction_status || '=' || count(*) AS s FROM x WHERE variant IS NOT NULL GROUP BY document_id, term_id, variant, extraction_status) SELECT document_id, term_id, variant, rendering_counts, extraction_status_counts FROM (SELECT document_id, term_id, variant, string_agg(s, ';' ORDER BY s) AS rendering_counts FROM a GROUP BY ALL) JOIN (SELECT document_id, term_id, variant, string_agg(s, ';' ORDER BY s) AS extraction_status_counts FROM b GROUP BY ALL) USING (document_id, term_id, variant)"),
     "g05_first_contexts": (on(c.first_contexts), f"{R}, x AS (SELECT document_id, term_id, {NV} AS variant, occurrence FROM reviews), y AS (SELECT *, row_number() OVER (PARTITION BY document_id, term_id, variant ORDER BY occurrence) AS position FROM x WHERE variant IS NOT NULL) SELECT document_id, term_id, variant, CAST(position AS INT) AS position, occurrence FROM y WHERE position <= 3"),
+    "g02_group_details": (details, f"""{R}, {XS}, {UNIQUE}, {MAPS}, sf AS (SELECT document_id, term_id, variant, string_agg(rendering, '+' ORDER BY n DESC, rendering) AS surfaces FROM (SELECT document_id, term_id, variant, rendering, count(*) AS n FROM {INC} GROUP BY ALL) GROUP BY ALL), cx AS (SELECT document_id, term_id, variant, string_agg(target_paragraph, '+' ORDER BY position) AS contexts FROM uq GROUP BY ALL),
+      va AS (SELECT *, 'V' || lpad(CAST(row_number() OVER (PARTITION BY document_id, term_id ORDER BY n DESC, variant) - 1 AS VARCHAR), 3, '0') AS variant_id, sum(n) OVER (PARTITION BY document_id, term_id) AS total FROM (SELECT document_id, term_id, variant, count(*) AS n FROM {INC} GROUP BY ALL)),
+      ls AS (SELECT document_id, term_id, string_agg(variant_id || '/' || variant || '/' || n || '/' || surfaces || '/' || coalesce(contexts, ''), ';' ORDER BY variant_id) AS variants, round(max(n) / any_value(total), 6) AS dominant_share FROM va JOIN sf USING (document_id, term_id, variant) LEFT JOIN cx USING (document_id, term_id, variant) GROUP BY ALL),
+      df AS (SELECT document_id, term_id, string_agg(DISTINCT definition_context, ';' ORDER BY definition_context) AS definition_contexts FROM x WHERE definition_context IS NOT NULL GROUP BY ALL)
+      SELECT document_id, term_id, status_counts, validation_counts, variants, dominant_share, definition_contexts FROM status_counts JOIN validation_counts USING (document_id, term_id) LEFT JOIN ls USING (document_id, term_id) LEFT JOIN df USING (document_id, term_id)"""),
+    "g05_unique_contexts": (lambda s, f: c.unique_contexts(with_contexts(s, f).filter("not include_in_consistency <=> false")).select("document_id", "term_id", "variant", "position", "target_paragraph", "occurrence"), f"{R}, {XS}, {UNIQUE} SELECT document_id, term_id, variant, CAST(position AS INT) AS position, target_paragraph, occurrence FROM uq"),
     "g06_experiment_summary": (on(lambda r: c.experiment_summary(c.aggregate(r, EXP))), f"{R}, {sql_groups('experiment, document_id, term_id')} SELECT experiment, count(*) AS group_count, CAST(sum(raw_occurrences) AS BIGINT) AS raw_occurrence_count, CAST(sum(occurrences) AS BIGINT) AS occurrence_count, CAST(sum(excluded_occurrences) AS BIGINT) AS excluded_occurrence_count, count(*) FILTER (variant_count > 1) AS multi_variant_group_count, count(*) FILTER (variant_count = 0) AS zero_explicit_group_count FROM groups GROUP BY experiment"),
     "g07_aggregate_by_experiment": (on(lambda r: c.aggregate(r, EXP)), f"{R}, {sql_groups('experiment, document_id, term_id')} SELECT * FROM groups"),
     "g08_judged_metrics": (on(judged), f"{R}, {JUDGED} SELECT * FROM judged"),
