@@ -1,7 +1,8 @@
 """Licence notices by conditional compression.
 
-Candidate blocks (sentences of a line, and whole lines, with a word of licensing in them, and runs of neighbouring
-sentences and lines around one that could be a template's wording) are compressed alone and with each template as a zstandard raw dictionary. Templates are ranked by the share of the size that the dictionary saves;
+Candidate blocks (sentences of a line, and whole lines, with a word of licensing in them, runs of neighbouring sentences
+and lines around one that could be a template's wording, and stretches of words, wherever lines and sentences end, that share
+enough pairs of neighbouring words with a template) are compressed alone and with each template as a zstandard raw dictionary. Templates are ranked by the share of the size that the dictionary saves;
 the winner is confirmed by the exact differences of its wording: words missing, added, or changed.
 """
 
@@ -22,6 +23,7 @@ TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     "Apache-2.0-short": "Licensed under the Apache License, Version 2.0.",
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
+    "MIT-full": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "MIT-short": "Released under the MIT License.",
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
@@ -36,22 +38,36 @@ TEMPLATES = {
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0-long": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0-long": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-4.0-long": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-ND-4.0-long": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-SA-4.0-long": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-NC-ND-4.0-long": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "CC-BY-4.0-view": "This work is licensed under the Creative Commons Attribution 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by/4.0/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA.",
+    "CC-BY-SA-4.0-view": "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by-sa/4.0/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA.",
     "CC0-1.0": "This work is dedicated to the public domain under CC0 1.0 Universal.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "all-rights-reserved": "All rights reserved.",
 }
 CUES = ("licen", "copyright", "permission", "redistribut", "public domain", "unencumbered", "creative commons", "spdx", "cc by", "cc-by", "cc0", "all rights reserved")
-WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
+#: Words with points and hyphens in them; a line may end after a hyphen.
+WORD = re.compile(r"[^\W_]+(?:(?:\.|-(?:[ \t]*\n[\s#*/;%>]*)?)[^\W_]+)*")
+HYPHEN = re.compile(r"(?<=\w)-[ \t]*\n[\s#*/;%>]*(?=\w)")
 #: A winner must save this share of the block's size, and have at most this share of the longer wording different.
 MIN_SAVED, MAX_DIFFERENT = 0.3, 0.25
+TRIED = 6  # templates at least, from the best saving on, whose wording is compared
 BREAK = re.compile(r"\s*\n[\s#*/;%>-]*")  # a line's end, and what marks the next one as a comment
 
 
+def words_of(text: str) -> list[str]:
+    return [HYPHEN.sub("-", w) if "\n" in w else w for w in WORD.findall(text.lower())]
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str]):
         import zstandard as z
 
-        self.words = {k: WORD.findall(t.lower()) for k, t in templates.items()}
+        self.words = {k: words_of(t) for k, t in templates.items()}
         # A confirmed block lacks at most a third of its template's words, so of any larger part of them it holds one.
         bare = [w for k, w in self.words.items() if not any(c in templates[k].lower() for c in CUES)]
         self.cues = (*CUES, *dict.fromkeys(v for w in bare for v in sorted(w, key=len, reverse=True)[: len(w) // 3 + 1]))
@@ -60,6 +76,10 @@ class Scanner:
         for k, w in self.words.items():
             for v, n in Counter(w).items():
                 self.having.setdefault(v, []).append((k, n))
+        self.pairs: dict[tuple[str, str], list[tuple[str, int]]] = {}
+        for k, w in self.words.items():
+            for t, pair in enumerate(zip(w, w[1:])):
+                self.pairs.setdefault(pair, []).append((k, t))
         self.plain = z.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
         self.given = {k: z.ZstdCompressor(level=3, dict_data=z.ZstdCompressionDict(t.lower().encode(), dict_type=z.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False) for k, t in templates.items()}
 
@@ -82,7 +102,47 @@ class Scanner:
                 out += [(s, e) for s, e in spans if text[s:e].strip()]
             units += [(s, e) for s, e in zip(cuts, cuts[1:]) if text[s:e].strip()]
             at = end + 1
-        return list(dict.fromkeys(out + self.runs(text, units)))
+        return list(dict.fromkeys(out + self.runs(text, units) + self.stretches(text)))
+
+    def stretches(self, text: str) -> list[tuple[int, int]]:
+        """Stretches of words near a template's wording, cut to it.
+
+        A confirmed stretch differs in at most a quarter of the longer wording, and a difference takes at most two pairs
+        of neighbouring words away, so at least half a template's pairs, less one, lie within four thirds of its length.
+        """
+        spans = [m.span() for m in WORD.finditer(text)]
+        words = [HYPHEN.sub("-", text[s:e].lower()) for s, e in spans]
+        hits: dict[str, list[tuple[int, int]]] = {}
+        for i, pair in enumerate(zip(words, words[1:])):
+            for k, t in self.pairs.get(pair, ()):
+                hits.setdefault(k, []).append((i, t))
+        out = []
+        for k, found in hits.items():
+            own = self.words[k]
+            need, most = max(1, -(-len(own) // 2) - 1), int(len(own) / (1 - MAX_DIFFERENT)) + 1
+            b = 0
+            for a, (i, t) in enumerate(found):
+                b = max(b, a)
+                while b + 1 < len(found) and found[b + 1][0] - i < most:
+                    b += 1
+                if b - a + 1 < need or a and found[a - 1] == (i - 1, t - 1):  # the hit before starts the same stretch
+                    continue
+                first, last = max(0, i - t), min(len(words), found[b][0] + len(own) - found[b][1])
+                last = min(last, first + 2 * most)
+                cut = self.trimmed(own, words[first:last])
+                if cut:
+                    out.append((spans[first + cut[0]][0], spans[first + cut[1] - 1][1]))
+        return list(dict.fromkeys(out))
+
+    @staticmethod
+    def trimmed(own: list[str], words: list[str]) -> tuple[int, int] | None:
+        """The part of words that stands for a template: without words added before its first and after its last."""
+        ops = SequenceMatcher(None, own, words, autojunk=False).get_opcodes()
+        same = [o for o in ops if o[0] == "equal"]
+        if not same:
+            return None
+        (_, a0, _, b0, _), (_, _, a1, _, b1) = same[0], same[-1]
+        return max(0, b0 - a0), min(len(words), b1 + len(own) - a1)
 
     def runs(self, text: str, units: list[tuple[int, int]]) -> list[tuple[int, int]]:
         """Runs of two units or more around one with a cue whose words, in whatever order, are near enough to a template's."""
@@ -91,7 +151,7 @@ class Scanner:
 
         def of(i: int) -> list[str]:
             if i not in words:
-                words[i] = WORD.findall(text[slice(*units[i])].lower())
+                words[i] = words_of(text[slice(*units[i])])
             return words[i]
 
         starts: dict[int, int] = {}  # of a start: the first unit with a cue from there on
@@ -119,12 +179,13 @@ class Scanner:
 
     def match(self, block: str) -> dict:
         """The best template of a block with its saving, the runner-up, and the differences in wording."""
-        block = BREAK.sub(" ", block)
+        block = BREAK.sub(" ", HYPHEN.sub("-", block))
         data = block.strip().lower().encode()
         alone = len(self.plain.compress(data))
-        words = WORD.findall(block.lower())
+        words = words_of(block)
         ranked = sorted(((1 - len(c.compress(data)) / alone, -abs(len(self.words[k]) - len(words)), k) for k, c in self.given.items()), reverse=True)
-        close = [r for r in ranked if r[0] >= ranked[0][0] - 0.05]  # savings of short blocks are a few bytes apart: exact wording decides
+        # Savings of short blocks are a few bytes apart, and a long template may hold a short one's words: exact wording decides.
+        close = [r for i, r in enumerate(ranked) if r[0] >= ranked[0][0] - 0.05 or i < TRIED and r[0] >= MIN_SAVED]
 
         def differences(k: str) -> tuple[int, list[str], list[str]]:
             ops = SequenceMatcher(None, self.words[k], words, autojunk=False).get_opcodes()
@@ -133,7 +194,7 @@ class Scanner:
             return len(missing) + len(added), missing, added
 
         found = [(differences(k), saved, k) for saved, _, k in close]
-        (n, missing, added), saved, name = min(found, key=lambda f: (f[0][0], -f[1], f[2]))
+        (n, missing, added), saved, name = min(found, key=lambda f: (f[0][0], -f[1], f[2]))  # of equal ones the first by name
         longest = max(len(self.words[name]), len(words), 1)
         other = next((k for _, _, k in ranked if k != name), None)
         return {"license": name, "saved": round(saved, 6), "second": other, "missing": missing, "added": added, "confirmed": saved >= MIN_SAVED and n <= MAX_DIFFERENT * longest}

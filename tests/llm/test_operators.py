@@ -167,6 +167,72 @@ def test_bad_hosts_are_blocked(spark):
     assert {(r.host, r.verdict) for r in got} == {("bad.net", "block"), ("good.net", "allow")}
 
 
+def reputation_by_hand(rows, tail=0.05, limit=0.5):
+    """The three levels written out: (host, n, bad) to (rate, blocked)."""
+    from math import lgamma
+
+    def strength(level):
+        groups = [(n, k, m) for n, k, m in level]
+        scatter, sampling, weight = sum(n * (k / n - m) ** 2 for n, k, m in groups), sum(m * (1 - m) for _, _, m in groups), sum(n * m * (1 - m) for n, _, m in groups)
+        if len(groups) < 2 or weight - sampling <= 0:
+            return 10.0
+        return 1 / min(max((scatter - sampling) / (weight - sampling), 1e-3), 0.5) - 1
+
+    def quantile(a, b):
+        grid = np.linspace(0, 1, 400_001)[1:-1]
+        density = np.exp((a - 1) * np.log(grid) + (b - 1) * np.log1p(-grid) - (lgamma(a) + lgamma(b) - lgamma(a + b)))
+        return grid[np.searchsorted(np.cumsum(density) / density.sum(), tail)]
+
+    hosts, domains, suffixes = {}, collections.defaultdict(lambda: [0, 0]), collections.defaultdict(lambda: [0, 0])
+    for host, n, bad in rows:
+        suffix, domain = host.split(".")[-1], ".".join(host.split(".")[-2:])
+        hosts[host] = (n, bad, suffix, domain)
+        for level, name in ((domains, domain), (suffixes, suffix)):
+            level[name][0] += n
+            level[name][1] += bad
+    overall = (sum(b for _, b in suffixes.values()) + 0.5) / (sum(n for n, _ in suffixes.values()) + 1)
+    s = strength([(n, b, overall) for n, b in suffixes.values()])
+    suffix_mean = {k: (b + s * overall) / (n + s) for k, (n, b) in suffixes.items()}
+    s = strength([(n, b, suffix_mean[k.split(".")[-1]]) for k, (n, b) in domains.items()])
+    domain_mean = {k: (b + s * suffix_mean[k.split(".")[-1]]) / (n + s) for k, (n, b) in domains.items()}
+    s = strength([(n, b, domain_mean[d]) for n, b, _, d in hosts.values()])
+    out = {}
+    for h, (n, b, _, d) in hosts.items():
+        a, c = b + s * domain_mean[d], n - b + s * (1 - domain_mean[d])
+        out[h] = (n, b, a / (a + c), quantile(a, c))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_reputation_against_hand(spark, seed):
+    """Random hosts on three levels: one with a third of all pages, many with a single page, domains of one host, equal counts."""
+    rng = random.Random(seed)
+    rows = [("www.huge.com", 300, 20 + 100 * seed)]
+    for i in range(40):
+        n = rng.choice([1, 1, 1, 2, 5, 30])
+        rows.append((f"h{i}.d{i % 13}.{rng.choice(['com', 'net', 'org'])}", n, rng.choice([0, n, rng.randrange(n + 1)])))
+    pages = [(h, k < bad) for h, n, bad in rows for k in range(n)]
+    p = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(pages)], "page_id long, host string")
+    o = spark.createDataFrame([(i, int(b)) for i, (_, b) in enumerate(pages)] + [(10**6, 1)], "page_id long, bad int")
+    got = {r.host: r for r in url_filter.reputation(p.repartition(7), o).collect()}
+    want = reputation_by_hand(rows)
+    assert set(got) == set(want)
+    for h, (n, bad, rate, bound) in want.items():
+        r = got[h]
+        assert (r.n, r.bad) == (n, bad) and abs(r.rate - rate) < 1e-9 and abs(r.bound - bound) < 2e-3  # the sum on a grid is coarse at the ends
+        assert r.blocked == (r.bound > url_filter.LIMIT) and (abs(bound - url_filter.LIMIT) < 3e-3 or r.blocked == (bound > url_filter.LIMIT))
+
+
+def test_urls_on_odd_rows(spark):
+    """Repeated rows, null ids, clashing columns: each row once, outcomes counted once a page and host."""
+    rows = [(1, "http://a.net/x"), (1, "http://a.net/x"), (None, "http://a.net/y"), (None, None), (2, "http://b.net/" + "z" * 100000), (3, "http://a.net/x")]
+    pages = spark.createDataFrame([(*r, "h", 0.5, True, 1, "r") for r in rows], "page_id long, url string, host string, rate double, blocked boolean, n int, rule string")
+    outcomes = spark.createDataFrame([(1, 1), (3, 0), (None, 1)], "page_id long, bad int")
+    got = url_filter.judge(pages, outcomes).collect()
+    assert len(got) == 6 and sum(r.page_id is None for r in got) == 2
+    assert {r.host for r in got} == {"a.net", "", "b.net"} and len({r.host_rate for r in got if r.host == "a.net"}) == 1 and all(r.host_rate is None for r in got if r.host != "a.net")
+
+
 def test_beta_quantile():
     a, b = np.array([1.0, 1.0, 3.0, 0.5]), np.array([1.0, 4.0, 1.0, 0.5])
     want = [0.05, 1 - 0.95**0.25, 0.05 ** (1 / 3), np.sin(np.pi * 0.05 / 2) ** 2]
@@ -201,6 +267,61 @@ def test_wrapped_licenses():
     assert [f["confirmed"] for f in bare.scan("x y\nAs long as you retain this notice\nyou can do whatever you want with this stuff\nz")] == [True]
 
 
+def test_verdicts_do_not_hang_on_line_breaks():
+    import textwrap
+
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    share_alike = "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by-sa/4.0/."
+    cases = [("MIT-full", license_scan.TEMPLATES["MIT-full"]), ("CC-BY-SA-4.0-long", share_alike), ("CC-BY-SA-4.0-view", license_scan.TEMPLATES["CC-BY-SA-4.0-view"]), ("CC-BY-NC-SA-4.0-long", license_scan.TEMPLATES["CC-BY-NC-SA-4.0-long"])]
+    for name, notice in cases:
+        for text in (notice, "\n".join(textwrap.wrap(notice, 76)), "\n".join("# " + x for x in textwrap.wrap(notice, 40)), "words before it and " + notice.rstrip(".") + " and words after it, all in one sentence"):
+            got = [f["license"] for f in scanner.scan(text) if f["confirmed"]]
+            assert name in got, (name, text[:200], scanner.scan(text))
+    grant = license_scan.TEMPLATES["MIT"].rstrip(".") + ", and to permit persons to whom the Software is furnished to do so"
+    one, wrapped = ([(f["license"], f["confirmed"]) for f in scanner.scan(x)] for x in (grant, "\n".join(textwrap.wrap(grant, 76))))
+    assert ("MIT", True) in one and ("MIT", True) in wrapped
+
+
+def test_licenses_against_all_windows():
+    """Edited notices among other words: whenever some window of words is near enough to a template, one that overlaps it is confirmed."""
+    import difflib
+
+    names = ["MIT-short", "GPL-3.0", "CC-BY-4.0-long", "Unlicense", "BSD-3-Clause"]
+    scanner = license_scan.Scanner({k: license_scan.TEMPLATES[k] for k in names})
+    rng = random.Random(6)
+    found = 0
+    for case in range(60):
+        words = license_scan.TEMPLATES[names[case % len(names)]].split()
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randrange(2)] = rng.choices(["other", "the", "words"], k=rng.randrange(2))
+        filler = lambda: rng.choices(["lorem", "ipsum", "under", "the", "work.", "license;", "of\n"], k=rng.randrange(9))
+        text = " ".join([*filler(), *words, *filler()])
+        all_words = license_scan.WORD.findall(text.lower())
+        near = False
+        for own in scanner.words.values():
+            for i in range(len(all_words)):
+                for j in range(i + 1, min(len(all_words), i + int(len(own) / 0.75) + 1) + 1):
+                    ops = difflib.SequenceMatcher(None, own, all_words[i:j], autojunk=False).get_opcodes()
+                    n = sum((o[2] - o[1]) + (o[4] - o[3]) for o in ops if o[0] != "equal")
+                    near |= n <= 0.25 * max(len(own), j - i)
+        got = any(f["confirmed"] for f in scanner.scan(text)) if scanner.has_cue(text) else False
+        assert got or not near, text
+        found += got
+    assert found >= 30
+
+
+def test_found_licenses_on_odd_rows(spark):
+    """Nulls, repeats, ties between templates and clashing columns around a notice that is there."""
+    notice = "Released under the MIT License."
+    rows = [(1, notice, 5), (1, notice, 5), (None, notice, 5), (2, None, 5), (3, "", 5), (4, notice + "\n" + notice, 5), (5, "x " * 40000 + notice, 5)]
+    got = license_scan.scan(spark.createDataFrame([(*r, "s", 1, "l") for r in rows], "doc_id long, text string, block int, license string, start int, saved string"))
+    by = collections.Counter((r.doc_id, r.license, r.confirmed) for r in got.collect())
+    assert by == {(1, "MIT-short", True): 2, (None, "MIT-short", True): 1, (4, "MIT-short", True): 2, (5, "MIT-short", True): 1}
+    tie = license_scan.Scanner({"b": notice, "a": notice})
+    assert [f["license"] for f in tie.scan(notice)] == ["a"]  # of equal templates the first by name
+
+
 def counts(t):
     w = re.findall("[^\x20\x09-\x0d]+", t or "")
     three = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
