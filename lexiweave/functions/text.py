@@ -54,6 +54,14 @@ def blank_line_blocks(c: Column, shortest: int = 8) -> Column:
     return F.filter(F.transform(F.split(c, "\\n\\s*\\n"), normalize_space), lambda x: F.length(x) >= shortest)
 
 
+def plain_blocks(c: Column, shortest: int = 8) -> Column:
+    """Blocks of a plain text once its HTML entities are resolved; of one that turns out to be HTML, its elements' texts."""
+    from .python_text import html_paragraphs_of, unescape
+
+    text = F.when(F.contains(c, F.lit("&")), unescape(c)).otherwise(c)
+    return F.when(looks_like_html(text), html_paragraphs_of(F.when(looks_like_html(text), c))).otherwise(blank_line_blocks(text, shortest))
+
+
 def line_blocks(c: Column, shortest: int = 8) -> Column:
     return F.filter(F.transform(F.split(c, "\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x85\\x{2028}\\x{2029}]"), strip), lambda x: F.length(x) >= shortest)
 

@@ -171,13 +171,10 @@ def settled(rows: DataFrame, policy: Policy) -> DataFrame:
     # A glossary run whose last answer fails keeps the answer before; a fallback does not.
     saved = (phase == "glossary") & last & stage.isNotNull() & F.col("kept_output").isNotNull()
     failed = ~masked & last & stage.isNotNull() & ~saved
-    strategy = (
-        F.when(phase == "plain", F.when(F.size("soft") > 0, "conditional_glossary").otherwise("uncontrolled")).when(phase == "glossary", "glossary").when(phase == "fallback", "glossary_fallback")
-        .when(a == 0, "placeholder_exact").when(F.lit(policy.repair == "llm_repair"), "placeholder_repaired").otherwise("placeholder_retry_exact")
-    )
+    strategy = c.strategy(phase != "plain", F.size("soft") > 0, phase, phase == "fallback", a, F.lit(policy.repair == "llm_repair"))
     to_fallback = masked & stage.isNotNull() & ((repeated & ~F.col("_grows")) | last)
     rows = rows.withColumns({
-        "_fallback": to_fallback, "_done": accepted | saved | failed, "status": F.when(failed, "failed").when(accepted | saved, F.when(phase == "fallback", F.when(F.col("_complies"), "glossary_fallback_verified").otherwise("glossary_fallback_noncompliant")).when(F.col("_complies") & ~saved, "verified").otherwise("noncompliant")),
+        "_fallback": to_fallback, "_done": accepted | saved | failed, "status": F.when(failed, "failed").when(accepted | saved, c.resolution_status(phase == "fallback", F.col("_complies") & ~saved)),
         "strategy": F.when(accepted | saved, strategy), "exact": F.when(accepted & ~masked, ~F.exists("_terms", lambda x: x != "EXACT")), "_legacy": legacy, "_repeated": repeated & masked & stage.isNotNull(), "_better": better,
     })
     return rows.select(

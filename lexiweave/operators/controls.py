@@ -86,6 +86,28 @@ def resolution(attempts: Column, fallback: Column, failed: Column) -> Column:
     return F.when(failed, "UNRESOLVED").when(fallback, "GLOSSARY_FALLBACK").when(attempts > 1, "REPAIRED").otherwise("FIRST_PASS")
 
 
+def strategy(hard: Column, soft: Column, mode: Column, fallback: Column, attempt: Column, repaired: Column) -> Column:
+    """How a paragraph came to its translation, one of seven ways. hard and soft: whether it has such terms; attempt from 0."""
+    return (
+        F.when(~hard, F.when(soft, "conditional_glossary").otherwise("uncontrolled")).when(mode == "glossary", "glossary").when(fallback, "glossary_fallback")
+        .when(attempt == 0, "placeholder_exact").when(repaired, "placeholder_repaired").otherwise("placeholder_retry_exact")
+    )
+
+
+def resolution_status(fallback: Column, complies: Column) -> Column:
+    return F.when(fallback, F.when(complies, "glossary_fallback_verified").otherwise("glossary_fallback_noncompliant")).otherwise(F.when(complies, "verified").otherwise("noncompliant"))
+
+
+def renderings(canonical: Column, allowed: Column, short: Column, risky: Column, with_risky: bool = True) -> Column:
+    """Every known rendering with its kind, in this order, each once for a kind, empty ones left out. allowed and risky: arrays of structs with rendering; short: of strings."""
+    made = lambda kind: lambda x: F.struct(F.btrim(x).alias("rendering"), F.lit(kind).alias("kind"))
+    texts = lambda a: F.transform(a, lambda v: v["rendering"])
+    none = F.expr("cast(array() as array<string>)")
+    parts = [F.transform(F.array(canonical), made("CANONICAL")), F.transform(F.coalesce(texts(allowed), none), made("ALLOWED_VARIANT")), F.transform(F.coalesce(short, none), made("SHORT_FORM"))]
+    parts += [F.transform(F.coalesce(texts(risky), none), made("RISKY_VARIANT"))] if with_risky else []
+    return F.filter(F.array_distinct(F.concat(*parts)), lambda r: F.coalesce(r["rendering"] != "", F.lit(False)))
+
+
 def rejection_signature(stage: Column, missing: Column, duplicated: Column, unknown: Column, issues: Column, verdict: Column, error: Column) -> Column:
     """A hash that two rejections share if the same stage found the same faults, whatever their order.
 

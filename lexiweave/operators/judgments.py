@@ -113,3 +113,69 @@ def validate_repairs(rows: DataFrame, answers: DataFrame) -> DataFrame:
         .when(needs & rendering.isNull(), "rendering is not in the paragraph")
     )
     return both.select("occurrence_id", F.when(problem.isNull(), rendering).alias("rendering"), "status", "confidence", "rationale", problem.alias("problem"))
+
+
+# What a rendering of another scope can do.
+RISKS = ("SCOPE_NARROWING", "SCOPE_BROADENING", "CATEGORY_SHIFT", "ROLE_CONFUSION", "UNTRANSLATED", "OTHER")
+EXTRACTED = "array<struct<occurrence_id:string,rendering:string,status:string,confidence:double,rationale:string>>"
+PLANNED = "array<struct<item_id:int,canonical_translation:string,legal_scope_summary:string,allowed_variants:array<struct<rendering:string,condition:string>>,risky_variants:array<struct<rendering:string,risk_type:string,reason:string>>,confidence:double,rationale:string>>"
+
+
+def _results(answer: Column, kind: str) -> Column:
+    """The rows of an answer: a JSON array, or an object with results."""
+    return F.coalesce(F.from_json(answer, f"struct<results:{kind}>")["results"], F.when(F.startswith(F.btrim(answer), F.lit("[")), F.from_json(answer, kind)))
+
+
+def extraction_answer(answer: Column, items: Column) -> Column:
+    """struct<problem, rows> of an answer to items (array of occurrence_id, target_paragraph): ids in the same order, known statuses, confidences from 0 to 1, renderings word for word.
+
+    The first row that is wrong names the problem; rows are null then.
+    """
+    rows = _results(answer, EXTRACTED)
+    ids = lambda a: F.transform(a, lambda x: x["occurrence_id"])
+    clean = F.transform(rows, lambda r: F.struct(r["occurrence_id"].alias("occurrence_id"), F.btrim(r["rendering"]).alias("rendering"), F.upper(r["status"]).alias("status"), r["confidence"].alias("confidence"), F.btrim(F.coalesce(r["rationale"], F.lit(""))).alias("rationale")))
+
+    def problem(pair: Column) -> Column:
+        r, item = pair["r"], pair["i"]
+        wrong = F.coalesce(extraction_problem(r["status"], F.nullif(r["rendering"], F.lit("")), item["target_paragraph"]), F.when(~F.coalesce(r["confidence"].between(0, 1), F.lit(False)), "confidence"))
+        return F.when(wrong.isNotNull(), F.concat(wrong, F.lit(": "), r["occurrence_id"]))
+
+    faults = F.filter(F.transform(F.zip_with(clean, items, lambda r, i: F.struct(r.alias("r"), i.alias("i"))), problem), lambda p: p.isNotNull())
+    why = F.when(rows.isNull(), "no results").when(~F.coalesce(ids(rows) == ids(items), F.lit(False)), "ids are not those asked for, in their order").otherwise(F.get(faults, F.lit(0)))
+    return F.struct(why.alias("problem"), F.when(why.isNull(), clean).alias("rows"))
+
+
+def planner_answer(answer: Column, size: Column) -> Column:
+    """struct<problem, rows> of an answer to items 0 to size - 1, in their order: each once, with a canonical rendering without Latin words, scope and rationale.
+
+    Variants lose what is empty, equal to the canonical rendering or there already; what is left needs a condition, or
+    a known risk and its reason. The first fault names the problem; rows are null then.
+    """
+    rows = F.sort_array(F.filter(_results(answer, PLANNED), lambda r: r["item_id"].isNotNull()))
+    ids = F.transform(rows, lambda r: r["item_id"])
+    text = lambda x: F.btrim(F.coalesce(x, F.lit("")))
+    latin = t.disallowed_latin
+
+    def tidy(r: Column) -> Column:
+        canonical = text(r["canonical_translation"])
+
+        def variants(array: Column, make) -> Column:
+            made = F.filter(F.transform(F.coalesce(array, F.slice(array, 1, 0)), make), lambda v: (v["rendering"] != "") & (v["rendering"] != canonical))
+            return F.filter(made, lambda v, i: ~F.exists(F.slice(made, F.lit(1), i), lambda o: o["rendering"] == v["rendering"]))
+
+        allowed = variants(r["allowed_variants"], lambda v: F.struct(text(v["rendering"]).alias("rendering"), text(v["condition"]).alias("condition")))
+        risky = variants(r["risky_variants"], lambda v: F.struct(text(v["rendering"]).alias("rendering"), F.upper(text(v["risk_type"])).alias("risk_type"), text(v["reason"]).alias("reason")))
+        return F.struct(r["item_id"].alias("item_id"), canonical.alias("canonical"), text(r["legal_scope_summary"]).alias("scope"), F.coalesce(allowed, F.expr("cast(array() as array<struct<rendering:string,condition:string>>)")).alias("allowed"), F.coalesce(risky, F.expr("cast(array() as array<struct<rendering:string,risk_type:string,reason:string>>)")).alias("risky"), r["confidence"].alias("confidence"), text(r["rationale"]).alias("rationale"))
+
+    def problem(r: Column) -> Column:
+        why = (
+            F.when(r["canonical"] == "", "canonical").when(latin(r["canonical"]), "Latin words").when((r["scope"] == "") | (r["rationale"] == ""), "scope or rationale").when(~F.coalesce(r["confidence"].between(0, 1), F.lit(False)), "confidence")
+            .when(F.exists(r["allowed"], lambda v: latin(v["rendering"])), "Latin words in a variant").when(F.exists(r["allowed"], lambda v: v["condition"] == ""), "a variant without a condition")
+            .when(F.exists(r["risky"], lambda v: ~v["risk_type"].isin(*RISKS)), "risk type").when(F.exists(r["risky"], lambda v: v["reason"] == ""), "a risk without a reason")
+        )
+        return F.when(why.isNotNull(), F.concat(why, F.lit(": "), r["item_id"].cast("string")))
+
+    clean = F.transform(rows, tidy)
+    wanted = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    why = F.when(rows.isNull(), "no results").when(~F.coalesce(ids == wanted, F.lit(False)), "ids").otherwise(F.get(F.filter(F.transform(clean, problem), lambda p: p.isNotNull()), F.lit(0)))
+    return F.struct(why.alias("problem"), F.when(why.isNull(), clean).alias("rows"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("text_queries", "consistency_queries", "evaluation_queries", "relational_queries", "review_queries", "judgment_queries", "answer_queries", "control_queries", "loop_queries", "batch_queries", "inference_queries", "source_queries", "request_queries")
+MODULES = ("text_queries", "consistency_queries", "evaluation_queries", "relational_queries", "review_queries", "judgment_queries", "answer_queries", "control_queries", "loop_queries", "batch_queries", "inference_queries", "source_queries", "request_queries", "audit_queries")
 FLAGSHIP = "g09_summary_metrics"
 
 
