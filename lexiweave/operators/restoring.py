@@ -42,9 +42,14 @@ STAGES = {
 }
 
 
+def quoted(text: Column) -> Column:
+    """A pattern that a text alone matches, whatever is in it."""
+    return F.regexp_replace(text, "([\\\\\\[\\](){}.*+?^$|])", "\\\\$1")
+
+
 def pieces(text: Column, token: Column) -> Column:
     """The text cut at every place of a token, itself left out."""
-    return F.split(text, F.concat(F.lit("\\Q"), token, F.lit("\\E")), -1)
+    return F.split(text, quoted(token), -1)
 
 
 def alias_rules(constraints: Column) -> Column:
@@ -52,7 +57,6 @@ def alias_rules(constraints: Column) -> Column:
 
     Each rule has a pattern whose groups are the text before, the match, the rendering with its title marks, and the text after.
     """
-    quoted = lambda x: F.concat(F.lit("\\Q"), x, F.lit("\\E"))
     whole = lambda *parts: F.concat(F.lit("(?sU)^(.*?)("), *[F.lit(p) if isinstance(p, str) else p for p in parts], F.lit(")(.*)$"))
     defined = F.transform(F.filter(constraints, lambda c: c["usage"] == "DEFINIENDUM"), lambda c: c["term_id"])
     titled = lambda r: F.startswith(r["rendering"], F.lit("《")) & F.endswith(r["rendering"], F.lit("》"))
