@@ -61,6 +61,7 @@ def alias_rules(constraints: Column) -> Column:
     defined = F.transform(F.filter(constraints, lambda c: c["usage"] == "DEFINIENDUM"), lambda c: c["term_id"])
     titled = lambda r: F.startswith(r["rendering"], F.lit("《")) & F.endswith(r["rendering"], F.lit("》"))
     name = lambda r: F.upper(F.when(r["kind"] == "canonical", "canonical").otherwise("allowed_variant"))
+    # What stands between a full form and its alias.
     gap, opened, closed = "\\s*", "\\s*[（(]\\s*" + ALIAS_WORD + "\\s*" + QUOTES + "\\s*", "\\s*" + QUOTES + "\\s*[）)]"
 
     def of(step: int, keep, forms) -> Column:

@@ -191,6 +191,7 @@ def classify_uses(occurrences: DataFrame) -> DataFrame:
 
 def external_modifier(text: Column, start: Column) -> Column:
     """Capitalised words right before a term, up to three, without those that open a sentence or determine; null if none."""
+    # Words that close a run of capitals.
     closed = ("The", "This", "That", "Any", "Each", "Every", "Such", "Other", "No", "A", "An", "All", "For", "If", "In", "As", "By")
     phrase = F.regexp_extract(F.right(F.left(text, start), F.lit(80)), "([A-Za-z][A-Za-z.\\-]*(?:\\s+[A-Za-z][A-Za-z.\\-]*){0,2})\\s*$", 1)
     words = F.reverse(F.split(t.collapse(phrase), " "))

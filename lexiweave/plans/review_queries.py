@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import python_text as pt
@@ -136,6 +137,7 @@ QUERIES = {
     "s02_quarter_url": (lambda s, f: table(s, f, "orders").select("o_orderkey", fl.quarter_index_url(F.year("o_orderdate"), (F.col("o_orderkey") % 6).cast("int")).alias("url")), "SELECT o_orderkey, CASE WHEN o_orderkey % 6 BETWEEN 1 AND 4 THEN 'https://www.sec.gov/Archives/edgar/full-index/' || year(o_orderdate) || '/QTR' || o_orderkey % 6 || '/master.idx' END AS url FROM orders"),
     "s03_filing_url": (lambda s, f: fl.parse_index(index_text(s, f)).select("accession", fl.filing_index_url(F.col("cik"), F.col("accession")).alias("url")), f"WITH {INDEX} SELECT accession, 'https://www.sec.gov/Archives/edgar/data/' || cik || '/' || replace(accession, '-', '') || '/' || accession || '-index.html' AS url FROM filings"),
     "s04_discover_exhibits": (lambda s, f: fl.discover_exhibits(exhibit_pages(s, f)), "WITH x AS (SELECT p_partkey % 50 AS id, '/f/' || p_partkey % 700 AS href, p_partkey, CAST(p_partkey AS VARCHAR) AS sequence, CASE WHEN p_partkey % 3 = 0 THEN p_name || ' supply agreement' ELSE p_name END AS description, 'doc' || p_partkey || '.htm' AS filename, CASE WHEN p_partkey % 5 = 0 THEN 'EX-10.1' ELSE 'EX-99' END AS exhibit_type FROM part WHERE p_partkey % 11 > 0 AND (p_partkey % 5 = 0 OR p_partkey % 3 = 0)) SELECT id, href, arg_max(sequence, p_partkey) AS sequence, arg_max(description, p_partkey) AS description, arg_max(filename, p_partkey) AS filename, arg_max(exhibit_type, p_partkey) AS exhibit_type FROM x GROUP BY id, href"),
+    "s04_exhibit_urls": (lambda s, f: fl.discover_exhibits(exhibit_pages(s, f).withColumn("base", F.concat(F.lit("https://example.test/a/"), F.col("id"), F.lit("/index.html"))).withColumn("html", F.expr("replace(replace(html, '/f/1', '../f/1'), '/f/2', '2')"))), "WITH x AS (SELECT p_partkey % 50 AS id, 'https://example.test/' || CASE WHEN starts_with(CAST(p_partkey % 700 AS VARCHAR), '1') THEN 'a/f/' || p_partkey % 700 WHEN starts_with(CAST(p_partkey % 700 AS VARCHAR), '2') THEN 'a/' || p_partkey % 50 || '/' || p_partkey % 700 ELSE 'f/' || p_partkey % 700 END AS url, p_partkey, CAST(p_partkey AS VARCHAR) AS sequence, CASE WHEN p_partkey % 3 = 0 THEN p_name || ' supply agreement' ELSE p_name END AS description, 'doc' || p_partkey || '.htm' AS filename, CASE WHEN p_partkey % 5 = 0 THEN 'EX-10.1' ELSE 'EX-99' END AS exhibit_type FROM part WHERE p_partkey % 11 > 0 AND (p_partkey % 5 = 0 OR p_partkey % 3 = 0)) SELECT id, url, arg_max(sequence, p_partkey) AS sequence, arg_max(description, p_partkey) AS description, arg_max(filename, p_partkey) AS filename, arg_max(exhibit_type, p_partkey) AS exhibit_type FROM x GROUP BY id, url"),
     "s07_sample_filings": (lambda s, f: fl.sample_filings(fl.parse_index(index_text(s, f)), ("10-K", "8-K"), 60, 9).select("path", "form"), f"WITH {INDEX} SELECT path, form FROM (SELECT path, any_value(form) AS form FROM filings WHERE form IN ('10-K', '8-K') GROUP BY path) ORDER BY sha256('9|' || path), path LIMIT 60"),
     "s11_synthesize_ids": (lambda s, f: fl.synthesize_ids(occurrences(s, f).withColumn("occurrence_id", F.when(F.col("paragraph_id") % 2 == 0, "own").otherwise(""))).select("document_id", "term_id", "paragraph_id", "occurrence_id"), f"{PG}, {FOUND} SELECT document_id, term_id, paragraph_id, CASE WHEN paragraph_id % 2 = 0 THEN 'own' ELSE concat_ws('::', document_id, term_id, occurrence_index, paragraph_id) END AS occurrence_id FROM found"),
     "s16_plain_document": (lambda s, f: fl.plain_document(paragraphs(s, f)), f"{P} SELECT document_id, string_agg(text, chr(10) || chr(10) ORDER BY paragraph_id) AS text FROM paragraphs GROUP BY 1"),
@@ -168,7 +170,7 @@ QUERIES = {
     "g16_control_statistics": (lambda s, f: relation(s, f, "translations").groupBy("document_id").agg(F.count("*").alias("paragraphs"), F.count_if(F.col("attempts") > 1).alias("retried"), F.count_if(F.col("paragraph_id") % 9 == 0).alias("fallbacks"), F.sum(F.col("attempts") - 1).alias("extra_attempts")), f"{PT} SELECT document_id, count(*) AS paragraphs, count(*) FILTER (attempts > 1) AS retried, count(*) FILTER (paragraph_id % 9 = 0) AS fallbacks, CAST(sum(attempts - 1) AS BIGINT) AS extra_attempts FROM translations GROUP BY 1"),
     "g18_document_metrics": (lambda s, f: cons.aggregate(relation(s, f, "reviews")).groupBy("document_id").agg(F.round(F.sum(F.col("dominant_translation_ratio").cast("decimal(18,6)")).cast("double") / F.count("dominant_translation_ratio"), 6).alias("mean_dtr"), cons.ratio(F.sum("omitted"), F.sum("occurrences")).alias("omission_rate")), f"{R}, i AS (SELECT *, {NV} AS v FROM reviews WHERE include_in_consistency IS NULL OR include_in_consistency), d AS (SELECT document_id, term_id, round(max(n) / sum(n), 6) AS dtr FROM (SELECT document_id, term_id, v, count(*) AS n FROM i WHERE v IS NOT NULL GROUP BY ALL) GROUP BY ALL) SELECT document_id, mean_dtr, omission_rate FROM (SELECT document_id, round(CAST(sum(CAST(dtr AS DECIMAL(18,6))) AS DOUBLE) / count(dtr), 6) AS mean_dtr FROM d GROUP BY 1) JOIN (SELECT document_id, round(count(*) FILTER (extraction_status = 'OMITTED') / count(*), 6) AS omission_rate FROM i GROUP BY 1) USING (document_id)"),
     "g19_reliability": (lambda s, f: relation(s, f, "translations").groupBy("document_id").agg(F.count("*").alias("total"), F.count_if(F.col("paragraph_id") % 9 == 0).alias("uncontrolled")).select("document_id", "total", F.greatest(F.lit(0), F.col("total") - F.col("uncontrolled")).alias("controlled"), F.round(F.try_divide("uncontrolled", "total"), 6).alias("uncontrolled_rate")), f"{PT} SELECT document_id, count(*) AS total, count(*) - count(*) FILTER (paragraph_id % 9 = 0) AS controlled, round(count(*) FILTER (paragraph_id % 9 = 0) / count(*), 6) AS uncontrolled_rate FROM translations GROUP BY 1"),
-    "g21_variant_evidence": (lambda s, f: relation(s, f, "reviews").withColumn("v", t.normalize_variant(F.col("rendering"))).filter("v is not null").groupBy("term_id", "v").agg(F.count("*").alias("n"), F.count_distinct("experiment").alias("experiments")).withColumn("place", F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("term_id").orderBy(F.desc("n"), "v"))).filter("place <= 2"), f"{R}, x AS (SELECT term_id, {NV} AS v, count(*) AS n, count(DISTINCT experiment) AS experiments FROM reviews GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY term_id ORDER BY n DESC, v) AS INT) AS place FROM x WHERE v IS NOT NULL QUALIFY place <= 2"),
+    "g21_variant_evidence": (lambda s, f: relation(s, f, "reviews").withColumn("v", t.normalize_variant(F.col("rendering"))).filter("v is not null").groupBy("term_id", "v").agg(F.count("*").alias("n"), F.count_distinct("experiment").alias("experiments")).withColumn("place", F.row_number().over(Window.partitionBy("term_id").orderBy(F.desc("n"), "v"))).filter("place <= 2"), f"{R}, x AS (SELECT term_id, {NV} AS v, count(*) AS n, count(DISTINCT experiment) AS experiments FROM reviews GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY term_id ORDER BY n DESC, v) AS INT) AS place FROM x WHERE v IS NOT NULL QUALIFY place <= 2"),
     "g23_status_audit": (lambda s, f: relation(s, f, "reviews").groupBy("experiment", "extraction_status").agg(F.count("*").alias("n"), F.round(F.avg("extraction_confidence"), 6).alias("confidence")), f"{R} SELECT experiment, extraction_status, count(*) AS n, round(avg(extraction_confidence), 6) AS confidence FROM reviews GROUP BY ALL"),
     "g25_subset_wins": (lambda s, f: relation(s, f, "evaluations").filter("has_terms").groupBy("winner").agg(F.count("*").alias("n"), F.round(F.avg(F.col("controlled_quality") - F.col("baseline_quality")), 6).alias("delta")), f"{E} SELECT winner, count(*) AS n, round(avg(controlled_quality - baseline_quality), 6) AS delta FROM evaluations WHERE has_terms GROUP BY 1"),
     "j15_paired_documents": (lambda s, f: cons.aggregate(relation(s, f, "reviews"), ["experiment", "term_id"]).groupBy("term_id").pivot("experiment", ["large__placeholder", "small__glossary"]).agg(F.first("dominant_translation_ratio")).dropna(), f"{R}, i AS (SELECT *, {NV} AS v FROM reviews WHERE include_in_consistency IS NULL OR include_in_consistency), d AS (SELECT experiment, term_id, round(max(n) / sum(n), 6) AS dtr FROM (SELECT experiment, term_id, v, count(*) AS n FROM i WHERE v IS NOT NULL GROUP BY ALL) GROUP BY ALL) SELECT a.term_id, a.dtr AS large__placeholder, b.dtr AS small__glossary FROM d a JOIN d b ON a.term_id = b.term_id AND a.experiment LIKE 'large%' AND b.experiment LIKE 'small%'"),

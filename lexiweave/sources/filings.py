@@ -79,16 +79,35 @@ def exhibit_rows(page: str) -> list[dict]:
     return out
 
 
+def absolute(base: Column, link: Column) -> Column:
+    """A link as a browser on the page base would follow it."""
+    from urllib.parse import urljoin
+
+    @F.arrow_udf("string")
+    def joined(bases: pa.Array, links: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else urljoin(b or "", x) for b, x in zip(bases.to_pylist(), links.to_pylist())], pa.string())
+
+    return joined(base, link)
+
+
 def discover_exhibits(pages: DataFrame) -> DataFrame:
-    """Contract exhibits of filing pages (id, html): exhibit 10s and descriptions of agreements, each link once, its last row."""
+    """Contract exhibits of filing pages (id, html): exhibit 10s and descriptions of agreements, each link once, its last row.
+
+    With a column base, the page's address, links are made absolute (url) and told apart by that.
+    """
     kind = pa.list_(pa.struct([(c, pa.string()) for c in ("sequence", "description", "filename", "exhibit_type", "href")]))
 
     @F.arrow_udf("array<struct<sequence:string,description:string,filename:string,exhibit_type:string,href:string>>")
     def rows(html: pa.Array) -> pa.Array:
         return pa.array([exhibit_rows(h or "") for h in html.to_pylist()], kind)
 
-    r = pages.select("id", F.posexplode(rows(F.col("html"))).alias("place", "e")).select("id", "place", "e.*")
+    based = ["base"] if "base" in pages.columns else []
+    r = pages.select("id", *based, F.posexplode(rows(F.col("html"))).alias("place", "e")).select("id", *based, "place", "e.*")
     r = r.filter(~F.rlike("filename", F.lit(NO_DOCUMENTS)) & (F.upper("exhibit_type").startswith("EX-10") | F.rlike("description", F.lit(AGREEMENT))))
+    if based:
+        r = r.withColumn("url", absolute(F.col("base"), F.col("href")))
+        last = r.groupBy("id", "url").agg(F.max_by(F.struct("sequence", "description", "filename", "exhibit_type"), "place").alias("e"))
+        return last.select("id", "url", "e.*")
     last = r.groupBy("id", "href").agg(F.max_by(F.struct("sequence", "description", "filename", "exhibit_type"), "place").alias("e"))
     return last.select("id", "href", "e.*")
 

@@ -140,5 +140,5 @@ def test_renderings_with_pattern_characters(spark):
     odd = "a\\E(b)*[c]$"
     items = f"array(named_struct('placeholder', '【术语0001】', 'term_id', 'T1', 'canonical', x, 'usage', 'DEFINIENDUM', 'renderings', array(named_struct('rendering', x, 'kind', 'canonical'))))"
     rows = spark.createDataFrame([(odd, f"{odd}（【术语0001】）起")], "x string, text string").withColumn("c", F.expr(items))
-    got = rows.select(rs.collapse_aliases(F.col("text"), F.col("c")).alias("r"), F.size(rs.pieces(F.concat(F.col("x"), F.lit("-"), F.col("x")), F.col("x"))).alias("n")).first()
+    got = rows.select(restoring.collapse_aliases(F.col("text"), F.col("c")).alias("r"), F.size(restoring.pieces(F.concat(F.col("x"), F.lit("-"), F.col("x")), F.col("x"))).alias("n")).first()
     assert got.r.text == f"{odd}起" and [e.pattern for e in got.r.events] == ["CANONICAL_THEN_ALIAS"] and got.n == 3
