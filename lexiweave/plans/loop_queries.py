@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from ..operators import closed_loop as loop
 from ..operators import controls as c
-from ..sources.contracts import relation
+from ..operators.recovery import recover
 from ..sources.shared import shared_folder
+from ..sources.tables import table
 from .relational_queries import PG, paragraphs
 from .review_queries import SPANS, spans
 
@@ -86,7 +87,23 @@ LOOP = f"""{PG}, {SPANS}, cut AS (SELECT document_id, paragraph_id, list((char_s
     CASE WHEN x IS NOT NULL THEN requests WHEN kind = 8 THEN 4 WHEN kind IN (5, 6) THEN 2 ELSE 1 END AS requests, CASE WHEN x IS NULL THEN 0 ELSE verifier_calls END AS verifier_calls, CASE WHEN x IS NULL THEN 0 ELSE regenerations END AS regenerations,
     CASE WHEN kind = 6 THEN 1 ELSE 0 END AS escalations, x IS NOT NULL AND early_fallback AS early_fallback, CASE WHEN x IS NULL THEN '' ELSE rejections END AS rejections, CASE WHEN kind = 6 THEN 2048 ELSE 1024 END AS max_tokens FROM p JOIN kinds USING (kind))"""
 
+class Short:
+    """Answers pieces of up to 200 to 3,400 characters, as the paragraph's number says."""
+
+    def reply(self, requests: list[str], max_tokens: list[int]) -> list[tuple[str | None, str | None]]:
+        asked = [json.loads(r) for r in requests]
+        return [(None, "truncated") if len(r["source"]) > 200 + 800 * (r["paragraph_id"] % 5) else (r["source"], None) for r in asked]
+
+
+def recovered(spark, folder):
+    """Whole documents as paragraphs; what came of each, and how many characters its pieces have."""
+    rows = table(spark, folder, "documents").select(F.lit("d").alias("document_id"), F.col("doc_id").alias("paragraph_id"), "text")
+    done = recover(rows, Short(), shared_folder(spark, "recovery"), 9000)
+    return done.select("paragraph_id", "limit", "pieces", "attempts", F.length("translation").alias("characters"))
+
+
 QUERIES = {
+    "p22_recovered": (recovered, None),
     "c14_closed_loop": (closed_loop, f"{LOOP} SELECT * FROM done"),
     "c14_run_totals": (totals, f"""{LOOP}, d AS (SELECT document_id, count(*) AS n, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status IN ('glossary_fallback_noncompliant', 'noncompliant')) AS unresolved, sum(requests) AS requests FROM done GROUP BY 1),
       t AS (SELECT count(*) AS documents, count(*) FILTER (failed = 0) AS documents_complete, CAST(sum(n) AS BIGINT) AS paragraphs, CAST(sum(failed) AS BIGINT) AS failed_paragraphs, CAST(sum(unresolved) AS BIGINT) AS unresolved_paragraphs, CAST(sum(requests) AS BIGINT) AS requests FROM d)
