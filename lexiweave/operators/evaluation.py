@@ -82,21 +82,21 @@ SCHEMA = f"scores {_sides('double', SCORE_FIELDS)}, critical_errors {_sides('boo
 
 def validate_judgment(answer: Column) -> Column:
     """Why a judge's JSON answer is not usable; null if it is."""
-    j = F.from_json(answer, SCHEMA)
-    bad, unknown = F.lit(False), F.lit(False)
-    for side in "AB":
-        for field in SCORE_FIELDS.values():
-            bad = bad | ~F.coalesce(j["scores"][side][field].between(1, 5), F.lit(False))
-        for field in ERROR_FIELDS.values():
-            unknown = unknown | j["critical_errors"][side][field].isNull()
-    return (
-        F.when(j.isNull() | j["winner"].isNull() & j["confidence"].isNull(), "not JSON")
-        .when(bad, "score")
-        .when(unknown, "critical error")
-        .when(~F.coalesce(j["winner"].isin("A", "B", "TIE"), F.lit(False)), "winner")
-        .when(~F.coalesce(j["confidence"].between(0, 1), F.lit(False)), "confidence")
-        .when(F.coalesce(F.btrim(j["rationale"]), F.lit("")) == "", "rationale")
-    )
+
+    def problem(j: Column) -> Column:
+        score = F.array(*[j["scores"][side][field] for side in "AB" for field in SCORE_FIELDS.values()])
+        flag = F.array(*[j["critical_errors"][side][field] for side in "AB" for field in ERROR_FIELDS.values()])
+        return (
+            F.when(j.isNull() | j["winner"].isNull() & j["confidence"].isNull(), "not JSON")
+            .when(F.exists(score, lambda x: ~F.coalesce(x.between(1, 5), F.lit(False))), "score")
+            .when(F.exists(flag, lambda x: x.isNull()), "critical error")
+            .when(~F.coalesce(j["winner"].isin("A", "B", "TIE"), F.lit(False)), "winner")
+            .when(~F.coalesce(j["confidence"].between(0, 1), F.lit(False)), "confidence")
+            .when(F.coalesce(F.btrim(j["rationale"]), F.lit("")) == "", "rationale")
+        )
+
+    # The function's variable holds the parsed answer: as a plain expression it would be parsed again for every field.
+    return F.transform(F.array(F.from_json(answer, SCHEMA)), problem)[0]
 
 
 def error_cases(rows: DataFrame, limit: int = 20) -> DataFrame:

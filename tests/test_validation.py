@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from lexiweave.operators import evaluation
 from lexiweave.operators import validation as val
 
 USES = [("a", "HARD", "DEFINIENDUM", "R1", None), ("a", "NONE", "COMMON", "R2", "X"), ("a", "HARD", "DEFINIENDUM", "R1", "X"), ("b", "SOFT", "NESTED", "R3", "Y")]
@@ -34,3 +35,17 @@ def test_stale_results_fail(spark):
     with pytest.raises(Exception, match="another source: a"):
         val.to_validate(p, other, stored).collect()
     assert val.to_validate(p, other, stored, overwrite=True).count() == 4
+
+
+def test_a_judgment_is_parsed_once(spark):
+    side = lambda value, *fields: "{" + ",".join(f'"{f}":{value}' for f in fields) + "}"
+
+    def answer(score=3, flag="false", winner='"A"', confidence=1, rationale="because"):
+        scores, flags = side(score, *evaluation.SCORE_FIELDS.values()), side(flag, *evaluation.ERROR_FIELDS.values())
+        return f'{{"scores":{{"A":{scores},"B":{scores}}},"critical_errors":{{"A":{flags},"B":{flags}}},"winner":{winner},"confidence":{confidence},"rationale":"{rationale}"}}'
+
+    cases = [(answer(), None), (None, "not JSON"), ("A wins", "not JSON"), ("{}", "not JSON"), ('{"winner":"A"}', "score"), (answer(score=5.5), "score"), (answer(score="null"), "score"), (answer(flag="null"), "critical error"),
+             (answer(winner='"C"'), "winner"), (answer(winner="null"), "winner"), (answer(confidence=1.01), "confidence"), (answer(confidence="null"), "confidence"), (answer(rationale=" "), "rationale")]
+    rows = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(cases)], "id int, answer string").select("id", evaluation.validate_judgment(F.col("answer")).alias("problem"))
+    assert {r.id: r.problem for r in rows.collect()} == {i: want for i, (_, want) in enumerate(cases)}
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
