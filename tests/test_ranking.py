@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
@@ -55,3 +56,17 @@ def test_plans_are_bounded(spark):
         assert "WindowGroupLimit" in plan(df)
     assert "SinglePartition" not in plan(ranking.running(rows, ["paragraph_id"])).split("BroadcastExchange")[0]
     assert statistics.wilcoxon(rows.select((F.col("paragraph_id") - 400).alias("diff"))).first().n == 999
+
+
+def test_wilcoxon_of_millions(spark):
+    """The cube of the number of pairs is past a long from 1.7 million on."""
+    n = 2_100_000
+    rows = spark.range(n).select((F.col("id") % 7 - 3.25).alias("diff"))
+    before, w, ties = 0, 0.0, 0
+    for d in sorted(abs(i - 3.25) for i in range(7)):
+        t = n // 7
+        w += (before + (t + 1) / 2) * t * any(i - 3.25 == d for i in range(7))
+        before, ties = before + t, ties + t**3 - t
+    z = abs(w - n * (n + 1) / 4) / math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)
+    got = statistics.wilcoxon(rows).first()
+    assert got.n == n and got.w_plus == w and got.z == pytest.approx(z, abs=1e-5)
