@@ -7,11 +7,12 @@ import re
 import tempfile
 import time
 import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import batch_rows as batch_rows
+
 #: ASCII white space, the class [\x20\x09-\x0D]; bytes.split() cuts at exactly these.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -23,20 +24,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, "1000")
 
 
-@contextmanager
-def batch_rows(spark: SparkSession, n: int, size: str | None = None):
-    """Arrow batches of n rows, and of a size in bytes, for what is run inside: where a row carries a whole text and more."""
-    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(n), "spark.sql.execution.arrow.maxBytesPerBatch": size}
-    before = {key: spark.conf.get(key, None) for key, value in wanted.items() if value}
-    for key in before:
-        spark.conf.set(key, wanted[key])
-    try:
-        yield
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -50,3 +50,20 @@ def test_recovery(spark):
     assert got == {i: plain(t, CAPS[i % len(CAPS)], [9000, 6000, 4000, 2500, 1500, 900, 500, 250]) for i, t in enumerate(texts)}
     assert any(v[0] is None for v in got.values()) and max(v[3] for v in got.values()) > 3
     assert recovery.recover(rows.filter("false"), Short(), shared_folder(spark, "recovery")).count() == 0
+
+
+class Small:
+    """Fails where it is asked for more than a few megabytes at once."""
+
+    def reply(self, requests, max_tokens):
+        assert sum(map(len, requests)) < 6 << 20 and len(requests) <= 200
+        return [(json.loads(r)["source"], None) for r in requests]
+
+
+def test_batches_are_bounded(spark):
+    """A task's texts are not in a worker all at once, and no row has the pieces of every cut."""
+    folder = shared_folder(spark, "recovery")
+    rows = spark.range(0, 600, 1, 1).selectExpr("'d' as document_id", "cast(id as int) as paragraph_id", "repeat('word ', 6000) as text")
+    got = recovery.recover(rows, Small(), folder, 9000)
+    assert {(r.paragraph_id, r.pieces, r.n) for r in got.selectExpr("paragraph_id", "pieces", "length(replace(translation, '\n', ' ')) as n").collect()} == {(i, 4, 30_000) for i in range(600)}
+    assert spark.read.parquet(f"{folder}/try-0").schema["whole"].dataType.simpleString() == "struct<text:string,limits:array<int>>"
