@@ -37,7 +37,7 @@ SEEDS = tuple(0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64) for i in range(6))
 SLICE, BLOCK = 1 << 20, 300_000
 #: Shingles on either side of an anchor that a passage with it may hold.
 SIDE = WIDTH - 1
-#: Runs of a signature compared pair by pair, and held by one task.
+#: Runs of a signature laid out together with others', and held by one task. Results do not hang on them.
 FEW, MANY = 24, 20_000
 
 
@@ -328,7 +328,7 @@ class Laid:
 
     def __init__(self, rows: list[tuple]):
         place, begin = (np.array([r[k] for r in rows], np.int64) for k in (2, 3))
-        self.node = np.array([r[1] for r in rows], np.int64)
+        self.sig, self.node = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
         self.at = (place & 0xFFFFFFFF) - SIDE
         self.first, self.last = SIDE - (place >> 32 & 63), SIDE - (place >> 38 & 63)
         self.left = begin - self.at
@@ -379,123 +379,127 @@ def similar(laid: Laid, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return good
 
 
-def _spans(laid: Laid, row: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, ...]:
-    """node, first and last good start of rows (each row once)."""
-    rows, back = np.unique(row, return_inverse=True)
-    low, high = np.full(len(rows), SPAN), np.full(len(rows), -1)
-    np.minimum.at(low, back, good.argmax(axis=1))
-    np.maximum.at(high, back, good.shape[1] - 1 - good[:, ::-1].argmax(axis=1))
-    return laid.node[rows], laid.at[rows] + low, laid.at[rows] + high
-
-
 def _emit(node: np.ndarray, other: np.ndarray, s: np.ndarray, e: np.ndarray) -> Iterator[pa.RecordBatch]:
     yield from _table(_FOUND, node, node, other, s.astype(np.int32), e.astype(np.int32))
 
 
-def compare_few(laid: Laid, group: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of equal group pair by pair; rows are sorted by group. A forest of the links, and a span for each row with one."""
-    first = np.searchsorted(group, group)
-    before = np.arange(len(group)) - first
-    q = np.repeat(np.arange(len(group)), before)
-    p = np.arange(len(q)) - np.repeat(np.cumsum(before) - before, before) + first[q]
-    apart = laid.node[p] != laid.node[q]
-    p, q = p[apart], q[apart]
-    found: list[tuple[np.ndarray, ...]] = []
-    for i in range(0, len(p), 10_000):
-        a, b = p[i : i + 10_000], q[i : i + 10_000]
-        good = similar(laid, a, b)
-        hit = np.flatnonzero(good.any(axis=1))
-        found.append((a[hit], b[hit], good[hit]))
-    if not any(len(f[0]) for f in found):
-        return
-    a, b, good = (np.concatenate(v) for v in zip(*found))
-    u, v = forest(laid.node[a], laid.node[b])
-    yield from _emit(u, v, np.full(len(u), 1), np.zeros(len(u)))  # empty spans: links only
-    n, s, e = _spans(laid, np.r_[a, b], np.concatenate([good, good]))
-    yield from _emit(n, n, s, e)
-
-
-def common_keys(laid: Laid) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(key, row, start): hashes of the COMMON shingles that are left of each passage without a gap, all gaps by turns.
-
-    Two passages that share a key have COMMON shingles in common; those that differ by one word share one.
+#: What is left out of a passage's WIDTH shingles (before, after, and a gap inside) so that COMMON are left, by the length of what is left of the gap.
+EDGES = [(n, WIDTH - COMMON - n) for n in range(WIDTH - COMMON + 1)]
+INNER = [(n, WIDTH - COMMON - gap - n, gap) for gap in GAPS for n in range(WIDTH - COMMON - gap + 1)]
+
+
+def met(laid: Laid) -> np.ndarray:
+    """For each row and start whether COMMON shingles of the passage stand elsewhere in the rows of its signature: else it shares no key with them."""
+    col = np.arange(SPAN)
+    there = (col >= laid.left[:, None]) & (col < laid.right[:, None])
+    x = _mix(laid.x.astype(np.uint64) + _mix(laid.sig.view(np.uint64), 23)[:, None], 29)[there]
+    order = np.argsort(x)
+    same = np.diff(x[order]) == 0
+    twice = np.zeros(len(x), bool)
+    twice[order] = np.r_[False, same] | np.r_[same, False]
+    total = np.zeros((len(there), SPAN + 1), np.int32)
+    total[:, 1:][there] = twice
+    np.cumsum(total, axis=1, out=total)
+    return total[:, WIDTH:] - total[:, :-WIDTH] >= COMMON
+
+
+def common_keys(laid: Laid, wanted: np.ndarray | bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(key, row, column): hashes of COMMON shingles of each passage of a run, whatever their order, by turns of what is left out.
+
+    Passages that share a key have COMMON shingles in common, and those that have so many share one: a word changed inside
+    costs each 5 in a row; a word put in or left out, or two parts that changed places, 4 in one of them; the rest is at the ends. Only
+    passages that repeat shingles of their own may have their common ones elsewhere.
     """
-    up, down = RUNS.powers(SPAN + 1)
-    sums = RUNS.sums(laid.x.astype(np.uint64) + np.uint64(1))
+    sums = np.zeros((len(laid.x), SPAN + 1), np.uint64)
+    np.cumsum(_mix(laid.x.astype(np.uint64), 17), axis=1, out=sums[:, 1:])
     start = np.arange(SPAN - WIDTH + 1)
-    row, col = np.nonzero((start >= laid.first[:, None]) & (start <= laid.last[:, None]))
-    for before in range(COMMON + 1):
+    inside = (start >= laid.left[:, None]) & (start + WIDTH <= laid.right[:, None])
+    row, col = np.nonzero(inside & wanted & (start >= laid.first[:, None]) & (start <= laid.last[:, None]))
+    to = [sums[row, col + k] for k in range(WIDTH + 1)]
+    sig = _mix(laid.sig.view(np.uint64), 19)[row]
+    turn = lambda keys: (_mix(np.concatenate(keys), 13), np.concatenate([row] * len(keys)), np.concatenate([col] * len(keys)))
+    yield turn([to[WIDTH - after] - to[before] + sig for before, after in EDGES])
+    for n in range(1, COMMON // 2 + 1):
         keys = []
-        for gap in GAPS:
-            a, b = col + before, col + before + gap
-            c = b + COMMON - before
-            keys.append((sums[row, a] - sums[row, col]) * down[col] + (sums[row, c] - sums[row, b]) * down[b] * up[before])
-        yield _mix(np.concatenate(keys), 13), np.concatenate([row] * len(GAPS)), np.concatenate([col] * len(GAPS))
+        for left in (n, COMMON - n):  # parts that changed places
+            keys += [to[WIDTH - after] - to[before + left + gap] + to[before + left] - to[before] + sig for before, after, gap in INNER]
+        yield turn(keys)
+
+
+def _shared(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows sorted by key and node: where each row's key begins; whether the key has several nodes."""
+    head = np.r_[True, key[1:] != key[:-1]]
+    at = np.flatnonzero(head)
+    of = np.cumsum(head) - 1
+    last = np.r_[at[1:], len(key)] - 1
+    return at[of], (node[at] != node[last])[of]
 
 
-def compare_many(laid: Laid) -> Iterator[pa.RecordBatch]:
-    """Rows of one group by their common keys: each to the first with the key."""
-    low, high = np.full(len(laid.node), SPAN), np.full(len(laid.node), -1)
+def compare(laid: Laid) -> Iterator[pa.RecordBatch]:
+    """Runs of any number of signatures by their common keys: each to the first with the key, and the passages that share one."""
+    hit = np.zeros((len(laid.node), SPAN - WIDTH + 1), bool)
     links = []
-    for key, row, col in common_keys(laid):
-        order = np.lexsort((laid.node[row], key))
+    for key, row, col in common_keys(laid, met(laid)):
+        order = np.argsort(key)
+        new = np.diff(key[order]) != 0
+        order = order[np.r_[True, ~new] & np.r_[False, ~new] | np.r_[~new, False]] if len(order) > 1 else order[:0]  # keys met twice
+        if not len(order):
+            continue
+        order = order[np.lexsort((laid.node[row[order]], key[order]))]
         key, row, col = key[order], row[order], col[order]
-        head = np.r_[True, key[1:] != key[:-1]]
-        at = np.flatnonzero(head)
-        of = np.cumsum(head) - 1
-        last = np.r_[at[1:], len(key)] - 1
-        hit = (laid.node[row[at]] != laid.node[row[last]])[of]  # two texts at least
-        np.minimum.at(low, row[hit], col[hit])
-        np.maximum.at(high, row[hit], col[hit])
-        a, b = laid.node[row[hit]], laid.node[row[at[of[hit]]]]
+        first, several = _shared(key, laid.node[row])
+        hit[row[several], col[several]] = True
+        a, b = laid.node[row[several]], laid.node[row[first[several]]]
         if (a != b).any():
             links.append(forest(a[a != b], b[a != b]))
     if links:
         u, v = forest(*(np.concatenate(x) for x in zip(*links)))
-        yield from _emit(u, v, np.full(len(u), 1), np.zeros(len(u)))
-        k = np.flatnonzero(high >= 0)
-        yield from _emit(laid.node[k], laid.node[k], laid.at[k] + low[k], laid.at[k] + high[k])
+        yield from _emit(u, v, np.full(len(u), 1), np.zeros(len(u)))  # empty spans: links only
+        edge = np.diff(hit.astype(np.int8), axis=1, prepend=0, append=0)
+        (row, low), (_, end) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+        yield from _emit(laid.node[row], laid.node[row], laid.at[row] + low, laid.at[row] + end - 1)
 
 
 def keys_out(laid: Laid) -> Iterator[pa.RecordBatch]:
-    """Common keys of runs that are too many for a task (key, node, start in other, KEY), equal ones of these rows once, the rest as links."""
+    """compare(), and the keys that runs elsewhere may share, for runs that are too many for a task: key, node, start in other, KEY."""
+    yield from compare(laid)
     for key, row, col in common_keys(laid):
-        order = np.lexsort((laid.node[row], key))
+        order = np.lexsort((col, laid.node[row], key))
         key, node, at = key[order], laid.node[row[order]], (laid.at[row] + col)[order]
-        head, (n, o, s, e) = _star(key, node, at, at)
-        yield from _emit(n, o, s, e)
-        yield from _table(_FOUND, key[head].view(np.int64), node[head], at[head], np.full(int(head.sum()), KEY, np.int32), np.zeros(int(head.sum()), np.int32))
+        first, several = _shared(key, node)
+        sent = ~several | (first == np.arange(len(key)))  # of a key that is told already, one row
+        n = int(sent.sum())
+        yield from _table(_FOUND, key[sent].view(np.int64), node[sent], at[sent], np.full(n, KEY, np.int32), np.zeros(n, np.int32))
 
 
 def _compare(few: int, many: int):
+    """few and many bound what is compared at once: runs of a signature that share an array with others', and that one task holds. No result hangs on them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Runs sorted by signature: the links of each."""
-        sig, over, pairs = None, False, 0
+        sig, over = None, False
         held: list[tuple] = []  # of the signature that is not yet complete
         small: list[tuple] = []  # complete signatures with few runs
 
         def flush() -> Iterator[pa.RecordBatch]:
             if small:
-                s = np.array([r[0] for r in small], np.int64)
-                yield from compare_few(Laid(small), np.cumsum(np.r_[False, s[1:] != s[:-1]]))
+                yield from compare(Laid(small))
                 small.clear()
 
         def close() -> Iterator[pa.RecordBatch]:
             if over and held:
                 yield from keys_out(Laid(held))
             elif len(held) > few:
-                yield from compare_many(Laid(held))
+                yield from compare(Laid(held))
             elif len(held) > 1:
                 small.extend(held)
 
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns)):
                 if r[0] != sig:
-                    pairs += len(held) ** 2 // 2
                     yield from close()
-                    if pairs > 10_000:
+                    if len(small) > 2000:
                         yield from flush()
-                        pairs = 0
                     held, sig, over = [], r[0], False
                 held.append(r)
                 if len(held) > (2000 if over else many):
@@ -509,7 +513,7 @@ def _compare(few: int, many: int):
 
 
 def _join_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, start) sorted by key and node: each to the first of its key."""
+    """Rows (key, node, start) sorted by key and node: each to the first of its key, and that one to the last; nothing where a key has one node."""
     carry = None
     for batch in batches:
         rows = tuple(c.to_numpy() for c in batch.columns)
@@ -517,10 +521,14 @@ def _join_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         if carry is not None:
             rows = tuple(np.r_[c, v] for c, v in zip(carry, rows))
-        head, (n, o, s, e) = _star(rows[0], rows[1], rows[2], rows[2])
-        yield from _table(_LINKS, n, o, s.astype(np.int32), e.astype(np.int32))
-        end = np.flatnonzero(head)[-1]
-        carry = tuple(v[end : end + 1] for v in rows)
+        key, node, at = rows
+        first, several = _shared(key, node)
+        begin = np.unique(first)
+        last = (np.r_[begin[1:], len(key)] - 1)[np.searchsorted(begin, first)]
+        other = np.where(node == node[first], node[last], node[first])
+        yield from _table(_LINKS, node[several], other[several], at[several].astype(np.int32), at[several].astype(np.int32))
+        # Of a key that may go on: its first row, or all of them while they are of one text.
+        carry = tuple(v[first[-1] : first[-1] + 1 if several[-1] else None] for v in rows)
 
 
 def passage_links(rows: DataFrame, few: int = FEW, many: int = MANY) -> DataFrame:

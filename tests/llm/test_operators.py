@@ -716,3 +716,48 @@ def test_simhash(spark, odd, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
     kept = simhash.deduplicate(odd)
     assert kept.columns == odd.columns and kept.count() == len({r.component_id for r in out})
+
+
+def test_passages_do_not_hang_on_the_number_of_runs(spark):
+    """The same classes and spans whether a signature's runs share an array, have one of their own, or go through a shuffle."""
+    rng = random.Random(11)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    base, texts = some(58), []
+    for i in range(40):
+        part = list(base)
+        for _ in range(1 + i % 3):
+            at = rng.randrange(len(part))
+            part[at : at + rng.randrange(2)] = some(rng.randrange(2))
+        texts.append(" ".join([*some(20), *part, *some(20), *(part if i % 9 == 0 else [])]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [sorted((r.doc_id, r.class_id, r.n_repeat_words, tuple(r.spans or [])) for r in passage_dedup.passages(docs, few=few, many=many).collect()) for few, many in ((24, 20_000), (1, 20_000), (1, 4))]
+    assert got[0] == got[1] == got[2] and any(n for _, _, n, _ in got[0])
+
+
+def test_keys_are_shared_by_all_similar_passages():
+    """A key in common if and only if 41 of 46 shingles are, against sets: words changed, put in, left out, parts that changed places."""
+    rng, width, side = np.random.default_rng(7), passage_dedup.WIDTH, passage_dedup.SIDE
+    word = lambda n: [f"w{v}" for v in rng.integers(0, 10**6, n)]
+    found = 0
+    for trial in range(150):
+        p, cut, kind = word(58), int(rng.integers(0, 54)), trial % 6
+        gap, put = [(1, 1), (0, 1), (1, 0), (0, 2), (2, 2), (0, 0)][kind]
+        q = [*p[:cut], *word(put), *p[cut + gap :]]
+        if kind == 5:
+            cut = 25 + trial % 9
+            q = [*p[cut:50], *p[:cut], *word(8)]
+        windows = []
+        for node, words in ((0, p), (1, q)):
+            x = passage_dedup.shingles([" ".join([*words, *word(2 * side)]).encode()])[0].astype(np.uint32)[: 2 * side + 1] & np.uint32(0xFFFFFF)
+            windows.append((x, (5, node, side | side << 32 | (side - 9) << 38, 0, x.view(np.uint8).reshape(-1, 4)[:, :3].tobytes())))
+        laid = passage_dedup.Laid([w[1] for w in windows])
+        keys = [{}, {}]
+        for t, (key, row, col) in enumerate(passage_dedup.common_keys(laid)):
+            for k, r, c in zip(key.tolist(), row.tolist(), col.tolist()):
+                keys[r].setdefault(c, set()).add((t, k))
+        for c in keys[0]:
+            for d in keys[1]:
+                common = len(set(windows[0][0][c : c + width].tolist()) & set(windows[1][0][d : d + width].tolist()))
+                assert bool(keys[0][c] & keys[1][d]) == (common >= passage_dedup.COMMON), (trial, c, d, common)
+                found += common >= passage_dedup.COMMON
+    assert found > 100
