@@ -19,6 +19,11 @@ DETERMINERS = ("any", "each", "every", "such", "other", "the", "a", "an", "this"
 TRUE_WORDS, FALSE_WORDS = ("true", "1", "yes", "y", "include"), ("false", "0", "no", "n", "exclude", "")
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, "(?U)^\\s+|\\s+$", "")
 

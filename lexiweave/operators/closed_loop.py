@@ -18,7 +18,7 @@ from ..functions import text as t
 from . import controls as c
 from . import restoring as rs
 from .coverage import pending
-from .providers import ChatProvider, converse
+from .providers import ChatProvider, answered
 
 KEY = ("document_id", "paragraph_id")
 # The most tokens a request may ask for, and the least it grows by.
@@ -79,8 +79,11 @@ def request(policy: Policy) -> Column:
 
 def inventory(output: Column, constraints: Column, settled: Column) -> Column:
     """Tokens that are missing (but for settled ones), that came more than once (how often), and that are not asked for (how often)."""
-    seen = F.regexp_extract_all(output, F.lit(c.TOKEN), F.lit(0))
-    want = F.array_distinct(F.transform(constraints, lambda x: x["placeholder"]))
+    both = F.struct(F.regexp_extract_all(output, F.lit(c.TOKEN), F.lit(0)).alias("seen"), F.array_distinct(F.transform(constraints, lambda x: x["placeholder"])).alias("want"))
+    return t.let(both, lambda x: _faults(x["seen"], x["want"], settled))
+
+
+def _faults(seen: Column, want: Column, settled: Column) -> Column:
     counts = lambda names: F.map_from_entries(F.transform(names, lambda n: F.struct(n, F.size(F.filter(seen, lambda s: s == n)))))
     twice = F.filter(want, lambda w: F.size(F.filter(seen, lambda s: s == w)) > 1)
     return F.struct(
@@ -100,7 +103,7 @@ def errors(issues: Column) -> Column:
 
 def checked(rows: DataFrame, policy: Policy, masked_rows: bool = True) -> DataFrame:
     """Answers with output, translation, the facts of each check, and the stage at which one fails (null: none so far)."""
-    clean = t.clean_translation(F.col("answer"))
+    rows, clean = rows.withColumn("answer", t.clean_translation(F.col("answer"))), F.col("answer")
     rows = rows.withColumn("error", F.when(F.col("error").isNotNull(), F.col("error")).when(clean == "", "empty translation")).withColumn("output", F.when(F.col("error").isNull(), clean))
     if not masked_rows:  # a plan without the checks of tokens
         none = {"found": "struct<missing:array<string>,duplicated:map<string,int>,unknown:map<string,int>>", "beside": ISSUES, "after": ISSUES, "score": "int"}
@@ -137,8 +140,8 @@ def verified(rows: DataFrame, provider: ChatProvider, policy: Policy) -> DataFra
     rows = rows.drop("answer", "request").withColumn("_due", to_verify(policy)).withColumn("verdict", c.semantic_verdict(F.lit(None).cast("string"))).withColumn("_limit", F.col("max_tokens")).withColumnRenamed("error", "_error")
     rows = rows.withColumn("max_tokens", F.least(F.greatest("max_tokens", F.lit(1600)), F.lit(2400)))
     for _ in range(policy.verifier_retries):
-        rows = converse(rows.withColumn("request", F.when(F.col("_due") & F.col("verdict").isNull(), ask)), provider)
-        rows = rows.withColumn("verdict", F.coalesce("verdict", c.semantic_verdict(F.col("answer")))).drop("answer", "error", "request")
+        rows = rows.withColumn("_got", answered(provider, F.when(F.col("_due") & F.col("verdict").isNull(), ask), F.col("max_tokens")))
+        rows = rows.withColumn("verdict", F.coalesce("verdict", c.semantic_verdict(F.col("_got.answer")))).drop("_got")
     rows = rows.withColumn("max_tokens", F.col("_limit")).withColumnRenamed("_error", "error").drop("_limit")
     none = F.col("_due") & F.col("verdict").isNull()
     stage = F.when(F.col("stage").isNotNull(), F.col("stage")).when(none, "request_or_processing").when(F.col("_due") & ~F.col("verdict.passed"), "semantic")
@@ -208,10 +211,10 @@ def translate(paragraphs: DataFrame, provider: ChatProvider, folder: str, policy
         asked, after = f"{folder}/round-{i:02d}/answers", f"{folder}/round-{i:02d}/state"
         if not exists(spark, after):
             if not exists(spark, asked):
-                converse(rows.withColumn("request", request(policy)), provider).write.mode("overwrite").parquet(asked)
+                rows.withColumn("_got", answered(provider, request(policy), F.col("max_tokens"))).select(*rows.columns, "_got.answer", "_got.error").write.mode("overwrite").parquet(asked)
             # A paragraph leaves its tokens for the glossary after `retries` rounds at the latest.
             masked = policy.mode == "placeholder" and i < policy.retries
-            gates = checked(spark.read.parquet(asked).drop("request"), policy, masked)
+            gates = checked(spark.read.parquet(asked), policy, masked)
             if policy.verifier == "never" or not masked:
                 gates = gates.withColumn("verdict", c.semantic_verdict(F.lit(None).cast("string")))
             else:

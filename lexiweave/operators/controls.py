@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as t
+
 # Words that mark a rendering as informal, and the form of a token.
 INFORMAL = "(?i)非正式|口语|内部沟通|内部文件|informal|oral"
 TOKEN = "【术语[0-9]+(?:_[0-9]+)?】"
@@ -46,15 +48,15 @@ def number_placeholders(spans: DataFrame) -> DataFrame:
     return spans.withColumn("_n", n).withColumn("placeholder", F.when(F.col("_n") == 1, base).otherwise(numbered)).drop("_n")
 
 
-def inject(paragraphs: DataFrame, spans: DataFrame) -> DataFrame:
-    """Paragraphs with tokens for the spans, put together from the gaps between them in one pass."""
-    item = F.struct("char_start", "char_end", "placeholder", "canonical")
+def inject(paragraphs: DataFrame, spans: DataFrame, carry: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
+    """Paragraphs with tokens for the spans, put together from the gaps between them in one pass; carry and keep name further columns of spans (in constraints) and of paragraphs."""
+    item = F.struct("char_start", "char_end", "placeholder", "canonical", *carry)
     grouped = spans.groupBy("document_id", "paragraph_id").agg(F.array_sort(F.collect_list(item)).alias("constraints"))
     rows = paragraphs.join(grouped, ["document_id", "paragraph_id"], "left")
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     step = lambda a, x: F.struct(F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, x["char_start"] - a["at"]), x["placeholder"]).alias("out"), x["char_end"].alias("at"))
     done = F.aggregate("constraints", start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    return rows.select("document_id", "paragraph_id", F.coalesce(done, "text").alias("protected"), "constraints")
+    return rows.select("document_id", "paragraph_id", F.coalesce(done, "text").alias("protected"), "constraints", *keep)
 
 
 def restore(protected: Column, constraints: Column) -> Column:
@@ -148,15 +150,22 @@ def semantic_verdict(answer: Column) -> Column:
 
     A judgment left out is FAIL and a fault left out is set; null, false, zero and empty values are not set, all others are.
     """
-    found = F.try_parse_json(answer)
-    part = lambda f, kind: F.try_variant_get(found, f"$.{f}", kind)
-    raw = lambda f: F.to_json(F.struct(part(f, "variant").alias("v")))
     empty = '^\\{"v":(null|false|""|\\[\\]|\\{\\}|-?0(\\.0+)?([eE][-+]?[0-9]+)?)\\}$'
-    grade = lambda f: F.when(part(f, "variant").isNull(), "FAIL").otherwise(F.upper(F.coalesce(part(f, "string"), F.lit("NONE"))))
-    is_set = lambda f: part(f, "variant").isNull() | ~F.rlike(raw(f), F.lit(empty))
-    passed = (grade("adequacy") == "PASS") & (grade("term_semantics") == "PASS")
-    for f in FLAGS:
-        passed = passed & ~is_set(f)
-    terms = F.coalesce(part("problematic_terms", "array<string>"), F.expr("cast(array() as array<string>)"))
-    fields = F.struct(*[grade(f).alias(f) for f in ("adequacy", "term_semantics")], *[is_set(f).alias(f) for f in FLAGS], terms.alias("problematic_terms"), F.coalesce(part("rationale", "string"), F.lit("")).alias("rationale"), passed.alias("passed"))
-    return F.when(F.coalesce(F.startswith(F.schema_of_variant(found), F.lit("OBJECT")), F.lit(False)), fields)
+    grades = ("adequacy", "term_semantics")
+
+    def read(found: Column) -> Column:
+        part = lambda f, kind: F.try_variant_get(found, f"$.{f}", kind)
+        raw = lambda f: F.to_json(F.struct(part(f, "variant").alias("v")))
+        grade = lambda f: F.when(part(f, "variant").isNull(), "FAIL").otherwise(F.upper(F.coalesce(part(f, "string"), F.lit("NONE"))))
+        is_set = lambda f: part(f, "variant").isNull() | ~F.rlike(raw(f), F.lit(empty))
+        terms = F.coalesce(part("problematic_terms", "array<string>"), F.expr("cast(array() as array<string>)"))
+        fields = F.struct(*[grade(f).alias(f) for f in grades], *[is_set(f).alias(f) for f in FLAGS], terms.alias("problematic_terms"), F.coalesce(part("rationale", "string"), F.lit("")).alias("rationale"))
+        return F.when(F.coalesce(F.startswith(F.schema_of_variant(found), F.lit("OBJECT")), F.lit(False)), fields)
+
+    def judged(v: Column) -> Column:
+        passed = (v["adequacy"] == "PASS") & (v["term_semantics"] == "PASS")
+        for f in FLAGS:
+            passed = passed & ~v[f]
+        return F.when(v.isNotNull(), F.struct(*[v[f].alias(f) for f in (*grades, *FLAGS, "problematic_terms", "rationale")], passed.alias("passed")))
+
+    return F.when(answer.isNotNull(), t.let(t.let(F.try_parse_json(answer), read), judged))

@@ -6,7 +6,8 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 
@@ -55,3 +56,17 @@ def converse(requests: DataFrame, provider: ChatProvider, request: str = "reques
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([a for a, _ in pairs], pa.string()), pa.array([e for _, e in pairs], pa.string())], [*names, "answer", "error"])
 
     return requests.mapInArrow(run, StructType([*requests.schema.fields, StructField("answer", StringType()), StructField("error", StringType())]))
+
+
+def answered(provider: ChatProvider, request: Column, max_tokens: Column) -> Column:
+    """A struct of answer and error for a request (null: not asked). Only these two columns reach the workers, whatever else a row
+    carries. Not to be computed twice, so give it a column of its own, and write the result before using it twice."""
+
+    def run(requests: pa.Array, limits: pa.Array) -> pa.Array:
+        texts, most = requests.to_pylist(), limits.to_pylist()
+        at = [i for i, x in enumerate(texts) if x is not None]
+        got = dict(zip(at, provider.reply([texts[i] for i in at], [most[i] for i in at]))) if at else {}
+        pairs = [got.get(i, (None, None)) for i in range(len(texts))]
+        return pa.StructArray.from_arrays([pa.array([a for a, _ in pairs], pa.string()), pa.array([e for _, e in pairs], pa.string())], ["answer", "error"])
+
+    return F.arrow_udf(run, "answer string, error string").asNondeterministic()(request, max_tokens)

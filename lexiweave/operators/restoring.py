@@ -76,7 +76,7 @@ def alias_rules(constraints: Column) -> Column:
 
             return F.flatten(F.transform(known, pair))
 
-        wanted = F.filter(constraints, lambda c: F.array_contains(defined, c["term_id"])) if step == 1 else constraints
+        wanted = F.filter(constraints, lambda c: F.array_contains(defined, c["term_id"])) if step < 3 else constraints  # the second follows an event of the first
         return F.flatten(F.transform(wanted, rules))
 
     every = lambda r: F.lit(True)
@@ -115,12 +115,14 @@ def context_issues(text: Column, constraints: Column, window: int = CONTEXT) ->
     Comparison is without spaces and punctuation. Null text or constraints: null.
     """
 
-    def of(c: Column) -> Column:
-        cut = pieces(text, c["placeholder"])
-        left, right = F.right(F.element_at(cut, 1), F.lit(window)), F.left(F.element_at(cut, -1), F.lit(window))
-        a, b = t.compact(left), t.compact(right)
+    def sides(c: Column) -> Column:
+        ends = lambda cut: F.struct(F.size(cut).alias("n"), F.right(F.element_at(cut, 1), F.lit(window)).alias("left"), F.left(F.element_at(cut, -1), F.lit(window)).alias("right"))
+        return t.let(pieces(text, c["placeholder"]), ends)
+
+    def of(c: Column, at: Column) -> Column:
+        left, right, a, b = (at[n] for n in ("left", "right", "a", "b"))
         around = F.concat(left, c["placeholder"], right)
-        beside = lambda r: F.when(t.compact(r["rendering"]) == "", None).when(F.endswith(a, t.compact(r["rendering"])), "LEFT").when(F.startswith(b, t.compact(r["rendering"])), "RIGHT")
+        side = lambda x: F.when(x == "", None).when(F.endswith(a, x), "LEFT").when(F.startswith(b, x), "RIGHT")
 
         def issue(name: str, r: Column | None, side: Column) -> Column:
             none = F.lit(None).cast("string")
@@ -129,12 +131,17 @@ def context_issues(text: Column, constraints: Column, window: int = CONTEXT) ->
                 (none if r is None else r["rendering"]).alias("rendering"), (none if r is None else r["kind"]).alias("rendering_kind"), side.alias("side"), around.alias("local_context"),
             )
 
-        wrapped = F.slice(F.filter(F.transform(c["renderings"], lambda r: issue("PLACEHOLDER_WRAPPER_CONTAMINATION", r, beside(r))), lambda i: i["side"].isNotNull()), 1, 1)
+        beside = F.transform(c["renderings"], lambda r: F.struct(r.alias("r"), t.let(t.compact(r["rendering"]), side).alias("side")))
+        wrapped = F.transform(F.slice(F.filter(beside, lambda x: x["side"].isNotNull()), 1, 1), lambda x: issue("PLACEHOLDER_WRAPPER_CONTAMINATION", x["r"], x["side"]))
         titled = F.rlike(c["canonical"], F.lit("(?s)^《.*》$")) & F.rlike(left, F.lit("(?U)《\\s*$")) & F.rlike(right, F.lit("(?U)^\\s*》"))
         marks = F.filter(F.array(issue("REDUNDANT_TITLE_MARK_WRAPPER", None, F.lit(None).cast("string"))), lambda _: F.coalesce(titled, F.lit(False)))
-        return F.when(F.size(cut) == 2, F.concat(wrapped, marks)).otherwise(F.slice(wrapped, 1, 0))
+        return F.concat(wrapped, marks)
 
-    return F.flatten(F.transform(constraints, of))
+    # A token that is not there exactly once is left out before anything else is looked at.
+    placed = F.filter(F.transform(constraints, lambda c: F.struct(c.alias("c"), sides(c).alias("at"))), lambda p: p["at"]["n"] == 2)
+    bare = F.transform(placed, lambda p: F.struct(p["c"].alias("c"), F.struct(p["at"]["left"].alias("left"), p["at"]["right"].alias("right"), t.compact(p["at"]["left"]).alias("a"), t.compact(p["at"]["right"]).alias("b")).alias("at")))
+    found = F.flatten(F.transform(bare, lambda p: of(p["c"], p["at"])))
+    return F.when(text.isNotNull(), found)
 
 
 def restore_with_spans(text: Column, constraints: Column, strict: bool = False) -> Column:
@@ -146,8 +153,13 @@ def restore_with_spans(text: Column, constraints: Column, strict: bool = False)
     found = F.concat(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.array(F.lit("")))
     # A token without a constraint gives null and stays as it is.
     hit = lambda tok: F.try_element_at(F.filter(constraints, lambda c: c["placeholder"] == tok), F.lit(-1))
-    parts = F.zip_with(F.split(text, TOKEN, -1), found, lambda gap, tok: F.struct(gap.alias("gap"), tok.alias("token"), F.coalesce(hit(tok)["canonical"], tok).alias("value"), hit(tok).alias("c")))
-    out = F.array_join(F.flatten(F.transform(parts, lambda p: F.array(p["gap"], p["value"]))), "")
+    part = lambda gap, tok: t.let(hit(tok), lambda c: F.struct(gap.alias("gap"), tok.alias("token"), F.coalesce(c["canonical"], tok).alias("value"), c.alias("c")))
+    joined = lambda parts: F.struct(parts.alias("parts"), F.array_join(F.flatten(F.transform(parts, lambda p: F.array(p["gap"], p["value"]))), "").alias("out"))
+    made = t.let(F.zip_with(F.split(text, TOKEN, -1), found, part), joined)
+    return t.let(made, lambda m: _restored(m["parts"], m["out"], constraints, strict))
+
+
+def _restored(parts: Column, out: Column, constraints: Column, strict: bool) -> Column:
     none = F.expr("cast(array() as array<struct<placeholder:string,term_id:string,canonical:string,start:int,end:int>>)")
     start = lambda acc, p: acc["at"] + F.length(p["gap"])
     span = lambda acc, p: F.struct(p["token"].alias("placeholder"), p["c"]["term_id"].alias("term_id"), p["value"].alias("canonical"), start(acc, p).alias("start"), (start(acc, p) + F.length(p["value"])).alias("end"))
@@ -181,15 +193,18 @@ def restored_issues(text: Column, spans: Column, renderings: Column, window: int
     def places(s: Column) -> Column:
         """Where the canonical rendering of a span stands, overlaps left out: from the lengths of the pieces between."""
         size = F.length(s["canonical"])
-        lengths = F.transform(F.slice(pieces(text, s["canonical"]), 1, F.greatest(F.lit(0), F.size(pieces(text, s["canonical"])) - 1)), F.length)
+        lengths = t.let(pieces(text, s["canonical"]), lambda cut: F.transform(F.slice(cut, 1, F.greatest(F.lit(0), F.size(cut) - 1)), F.length))
         last = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0))
         step = lambda acc, n: F.concat(acc, F.array(F.struct((last(acc) + n).alias("start"), (last(acc) + n + size).alias("end"))))
         return F.aggregate(lengths, F.expr("cast(array() as array<struct<start:int,end:int>>)"), step)
 
     def of(s: Column) -> Column:
+        same = F.filter(spans, lambda o: (o["term_id"] == s["term_id"]) & (o["canonical"] == s["canonical"]))
+        return t.let(same, lambda x: around_span(s, x))
+
+    def around_span(s: Column, same: Column) -> Column:
         none = F.lit(None).cast("string")
         issue = lambda name, local, rendering=none, severity="ERROR": F.struct(F.lit(severity).alias("severity"), F.lit(name).alias("issue_type"), s["term_id"].alias("term_id"), s["placeholder"].alias("placeholder"), rendering.alias("rendering"), local.alias("local_context"))
-        same = F.filter(spans, lambda o: (o["term_id"] == s["term_id"]) & (o["canonical"] == s["canonical"]))
         left, right = between(text, s["start"] - window, s["start"]), between(text, s["end"], s["end"] + window)
         a, b, here = t.compact(left), t.compact(right), between(text, s["start"] - window, s["end"] + window)
         extra = F.filter(places(s), lambda p: ~F.exists(same, lambda o: (p["start"] < o["end"]) & (o["start"] < p["end"])))

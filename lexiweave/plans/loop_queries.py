@@ -45,13 +45,11 @@ class Script:
 
 def work(spark, folder):
     """Paragraphs with their tokens and the rules for these."""
-    s = spans(spark, folder)
-    known = F.array(F.struct(F.col("canonical").alias("rendering"), F.lit("canonical").alias("kind")))
-    item = F.struct("placeholder", "term_id", "source_term", "canonical", F.array("canonical").alias("approved"), F.lit("USE").alias("usage"), known.alias("renderings"))
-    rules = s.groupBy("document_id", "paragraph_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("char_start", item.alias("x")))), lambda v: v["x"]).alias("constraints"))
-    p = paragraphs(spark, folder)
+    known = lambda v: F.array(F.struct(v["canonical"].alias("rendering"), F.lit("canonical").alias("kind")))
+    item = lambda v: F.struct(*[v[n].alias(n) for n in ("placeholder", "term_id", "source_term", "canonical")], F.array(v["canonical"]).alias("approved"), F.lit("USE").alias("usage"), known(v).alias("renderings"))
+    rows = c.inject(paragraphs(spark, folder), spans(spark, folder), ("term_id", "source_term"), ("text",))
     soft = F.when(F.col("paragraph_id") % 2 == 0, F.array(F.lit("hint"))).otherwise(loop.empty("string"))
-    return c.inject(p, s).select("document_id", "paragraph_id", "protected").join(p, ["document_id", "paragraph_id"]).join(rules, ["document_id", "paragraph_id"], "left").withColumn("soft", soft)
+    return rows.select("document_id", "paragraph_id", "protected", "text", F.transform("constraints", item).alias("constraints"), soft.alias("soft"))
 
 
 def translated(spark, folder):

@@ -80,10 +80,16 @@ def rel(name, f, *more):
     return lambda spark, folder: f(relation(spark, folder, name), *[relation(spark, folder, m) for m in more])
 
 
-def occurrences(spark, folder):
-    """Every place of every glossary term, overlaps resolved; occurrence_index counts a term's places in a document."""
+def places(spark, folder):
+    """Every place of every glossary term, overlaps resolved. Paragraphs are dealt out first: a table of few files holds many, and what follows is by paragraph."""
     m = memory(spark, folder)
-    rows = tm.longest_first(tm.candidate_occurrences(paragraphs(spark, folder), m.drop("term_id"))).join(m.select("key", "term_id"), "key")
+    dealt = paragraphs(spark, folder).repartition("document_id", "paragraph_id")
+    return tm.longest_first(tm.candidate_occurrences(dealt, m.drop("term_id"))).join(m.select("key", "term_id"), "key").select("document_id", "paragraph_id", "term_id", "source_term", "char_start")
+
+
+def occurrences(spark, folder):
+    """places(), and occurrence_index, which counts a term's places in a document."""
+    rows = places(spark, folder)
     place = F.row_number().over(Window.partitionBy("document_id", "term_id").orderBy("paragraph_id", "char_start")) - 1
     return rows.select("document_id", "paragraph_id", "term_id", "source_term", place.alias("occurrence_index"), "char_start")
 

@@ -16,7 +16,7 @@ from ..sources import filings as fl
 from ..sources.contracts import relation, with_clause
 from ..sources.tables import table
 from .consistency_queries import NV
-from .relational_queries import FOUND, NUM, P, PG, PT, SIGN_P, numbered, occurrences, paragraphs, uses
+from .relational_queries import FOUND, NUM, P, PG, PT, SIGN_P, numbered, occurrences, paragraphs, places, uses
 from .use_sql import USES
 from .text_queries import flat
 
@@ -74,7 +74,7 @@ def repaired(spark, folder):
 
 def spans(spark, folder):
     """Glossary terms' places with numbered tokens."""
-    o = occurrences(spark, folder).join(relation(spark, folder, "glossary").select("term_id", "canonical"), "term_id")
+    o = places(spark, folder).join(relation(spark, folder, "glossary").select("term_id", "canonical"), "term_id")
     return c.number_placeholders(o.withColumn("char_end", F.col("char_start") + F.length("source_term")))
 
 

@@ -12,6 +12,9 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from lexiweave.operators import closed_loop as loop
+from lexiweave.operators import controls as c
+from lexiweave.operators import restoring as rs
+from lexiweave.operators.providers import answered
 from lexiweave.plans.loop_queries import FAIL, PASS, Script, work
 from lexiweave.sources.shared import shared_folder
 
@@ -192,3 +195,26 @@ def test_two_tokens_of_a_term_side_by_side_fail_after_restoring(spark):
 def test_work_has_every_paragraph(spark):
     rows = work(spark, SMALL)
     assert rows.count() == spark.read.parquet(f"{SMALL}/customer.parquet").count()
+
+
+def plan(df):
+    return df._jdf.queryExecution().analyzed().toString()
+
+
+def test_costly_values_are_computed_once_a_row(spark):
+    """What a round looks at a row's answer with: one parse, one cut a token, one search; workers get the request alone; paragraphs are dealt out before their terms are searched."""
+    rows = spark.createDataFrame(paragraphs(), SCHEMA).withColumn("answer", F.lit(PASS))
+    assert plan(rows.select(c.semantic_verdict(F.col("answer")).alias("v"))).count("parse_json(") == 1
+    assert plan(rows.select(rs.context_issues(F.col("protected"), F.col("constraints")).alias("v"))).count("split(") == 1
+    assert plan(rows.select(rs.restore_with_spans(F.col("protected"), F.col("constraints")).alias("v"))).count("regexp_extract_all(") == 1
+    assert plan(rows.select(loop.inventory(F.col("protected"), F.col("constraints"), F.col("soft")).alias("v"))).count("regexp_extract_all(") == 1
+    asked = loop.opening(rows, POLICIES["retry"]).select("*", answered(Script(), loop.request(POLICIES["retry"]), F.col("max_tokens")).alias("got"))
+    assert "MapInArrow" not in asked._jdf.queryExecution().executedPlan().toString()
+    made = plan(work(spark, SMALL))
+    assert "RepartitionByExpression [document_id" in made and "windowspecdefinition(document_id" in made and not re.search(r"windowspecdefinition\(document_id#\d+, term_id", made)
+
+
+def test_each_request_is_asked_once(spark, tmp_path):
+    log = tmp_path / "asked"
+    done = loop.translate(spark.createDataFrame(paragraphs(), SCHEMA), Counting(log, None), shared_folder(spark, "loop"), POLICIES["bare"])
+    assert done.agg(F.sum("requests")).first()[0] == len(log.read_text())
