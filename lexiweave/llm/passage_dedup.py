@@ -10,7 +10,8 @@ similarity 0.8 at least one with a chance of 95 % for each place they are laid s
 Runs of equal signature and equal content are linked to the first of them, inside a block of texts before the shuffle and again
 after it. What is left of a signature are runs of different content; they are laid side by side at their minima and compared
 on the shingles themselves: few of them pair by pair, many of them by the 41 shingles that two similar passages
-of 46 have in common (a word changed, put in or left out spoils 4 or 5 in a row), each group of equal ones linked to its first. A
+of 46 have in common (a word changed, put in or left out spoils 4 or 5 in a row), each group of equal ones linked to its first;
+keys with a shingle that stands nowhere else in the signature, or that would tell nothing new, are not made. A
 signature with more runs than a task should hold sends these keys through a shuffle of their own. So a group of any size is
 linked in linear time, and no link hangs on which text happens to be first.
 """
@@ -389,7 +390,7 @@ INNER = [(n, WIDTH - COMMON - gap - n, gap) for gap in GAPS for n in range(WIDTH
 
 
 def met(laid: Laid) -> np.ndarray:
-    """For each row and start whether COMMON shingles of the passage stand elsewhere in the rows of its signature: else it shares no key with them."""
+    """For each row the sums, from the left, of the shingles that stand elsewhere too in the rows of its signature: only these can be in a key that two rows share."""
     col = np.arange(SPAN)
     there = (col >= laid.left[:, None]) & (col < laid.right[:, None])
     x = _mix(laid.x.astype(np.uint64) + _mix(laid.sig.view(np.uint64), 23)[:, None], 29)[there]
@@ -399,31 +400,69 @@ def met(laid: Laid) -> np.ndarray:
     twice[order] = np.r_[False, same] | np.r_[same, False]
     total = np.zeros((len(there), SPAN + 1), np.int32)
     total[:, 1:][there] = twice
-    np.cumsum(total, axis=1, out=total)
-    return total[:, WIDTH:] - total[:, :-WIDTH] >= COMMON
+    return np.cumsum(total, axis=1, out=total)
 
 
-def common_keys(laid: Laid, wanted: np.ndarray | bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+class Told:
+    """What a comparison has found so far: passages that have a similar one, and rows whose signature's nodes are all linked to one another."""
+
+    def __init__(self, laid: Laid):
+        self.node, (_, self.group) = laid.node, np.unique(laid.sig, return_inverse=True)
+        self.order = np.argsort(self.group, kind="stable")
+        self.begin = np.flatnonzero(np.diff(self.group[self.order], prepend=-1))
+        self.hit, self.linked = np.zeros((len(laid.node), SPAN - WIDTH + 1), bool), np.zeros(len(self.begin), bool)
+        self.links: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Links, and which signatures are linked with them."""
+        self.links = [forest(*(np.concatenate(x) for x in zip(*self.links, (a, b))))]
+        u, v = self.links[0]
+        at = np.minimum(np.searchsorted(u, self.node), len(u) - 1)
+        root = np.where(u[at] == self.node, v[at], self.node)[self.order]
+        self.linked = np.minimum.reduceat(root, self.begin) == np.maximum.reduceat(root, self.begin)
+
+    def open(self, row: np.ndarray, col: np.ndarray, able: np.ndarray) -> np.ndarray:
+        """Passages (row, col) with which something may be found yet, if those in able have a key now: nothing where all of these are told and linked."""
+        wanting = np.bincount(self.group[row[able & ~self.hit[row, col]]], minlength=len(self.begin)) > 0
+        return (wanting | ~self.linked)[self.group[row]]
+
+
+def common_keys(laid: Laid, total: np.ndarray | None = None, told: Told | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(key, row, column): hashes of COMMON shingles of each passage of a run, whatever their order, by turns of what is left out.
 
     Passages that share a key have COMMON shingles in common, and those that have so many share one: a word changed inside
     costs each 5 in a row; a word put in or left out, or two parts that changed places, 4 in one of them; the rest is at the ends. Only
-    passages that repeat shingles of their own may have their common ones elsewhere.
+    passages that repeat shingles of their own may have their common ones elsewhere. With total (see met) and told, keys that cannot
+    be shared with another row, and those that would tell nothing new, are left out.
     """
     sums = np.zeros((len(laid.x), SPAN + 1), np.uint64)
     np.cumsum(_mix(laid.x.astype(np.uint64), 17), axis=1, out=sums[:, 1:])
     start = np.arange(SPAN - WIDTH + 1)
     inside = (start >= laid.left[:, None]) & (start + WIDTH <= laid.right[:, None])
-    row, col = np.nonzero(inside & wanted & (start >= laid.first[:, None]) & (start <= laid.last[:, None]))
+    inside &= (start >= laid.first[:, None]) & (start <= laid.last[:, None])
+    if total is not None:
+        inside &= total[:, WIDTH:] - total[:, :-WIDTH] >= COMMON
+    row, col = np.nonzero(inside)
     to = [sums[row, col + k] for k in range(WIDTH + 1)]
+    of = None if total is None else [total[row, col + k] for k in range(WIDTH + 1)]
     sig = _mix(laid.sig.view(np.uint64), 19)[row]
-    turn = lambda keys: (_mix(np.concatenate(keys), 13), np.concatenate([row] * len(keys)), np.concatenate([col] * len(keys)))
-    yield turn([to[WIDTH - after] - to[before] + sig for before, after in EDGES])
+
+    def turn(parts: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of the stretches from a to b and from c to d."""
+        if of is None:
+            use = [np.arange(len(row))] * len(parts)
+        else:
+            able = [of[b] - of[a] + of[d] - of[c] == COMMON for a, b, c, d in parts]
+            still = told.open(row, col, np.logical_or.reduce(able)) if told else True
+            use = [np.flatnonzero(x & still) for x in able]
+        keys = [to[b][k] - to[a][k] + to[d][k] - to[c][k] + sig[k] for k, (a, b, c, d) in zip(use, parts)]
+        k = np.concatenate(use)
+        return _mix(np.concatenate(keys), 13), row[k], col[k]
+
+    yield turn([(before, WIDTH - after, 0, 0) for before, after in EDGES])
     for n in range(1, COMMON // 2 + 1):
-        keys = []
-        for left in (n, COMMON - n):  # parts that changed places
-            keys += [to[WIDTH - after] - to[before + left + gap] + to[before + left] - to[before] + sig for before, after, gap in INNER]
-        yield turn(keys)
+        # both lengths of the first part, as parts may have changed places
+        yield turn([(before, before + left, before + left + gap, WIDTH - after) for left in (n, COMMON - n) for before, after, gap in INNER])
 
 
 def _shared(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -437,25 +476,27 @@ def _shared(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def compare(laid: Laid) -> Iterator[pa.RecordBatch]:
     """Runs of any number of signatures by their common keys: each to the first with the key, and the passages that share one."""
-    hit = np.zeros((len(laid.node), SPAN - WIDTH + 1), bool)
-    links = []
-    for key, row, col in common_keys(laid, met(laid)):
+    told = Told(laid)
+    for key, row, col in common_keys(laid, met(laid), told):
         order = np.argsort(key)
-        new = np.diff(key[order]) != 0
-        order = order[np.r_[True, ~new] & np.r_[False, ~new] | np.r_[~new, False]] if len(order) > 1 else order[:0]  # keys met twice
+        sorted_ = key[order]
+        same = sorted_[1:] == sorted_[:-1]
+        twice = np.append(same, False)
+        twice[1:] |= same
+        order = order[twice[: len(order)]]  # keys met twice
         if not len(order):
             continue
         order = order[np.lexsort((laid.node[row[order]], key[order]))]
         key, row, col = key[order], row[order], col[order]
         first, several = _shared(key, laid.node[row])
-        hit[row[several], col[several]] = True
+        told.hit[row[several], col[several]] = True
         a, b = laid.node[row[several]], laid.node[row[first[several]]]
         if (a != b).any():
-            links.append(forest(a[a != b], b[a != b]))
-    if links:
-        u, v = forest(*(np.concatenate(x) for x in zip(*links)))
+            told.add(a[a != b], b[a != b])
+    if told.links:
+        u, v = told.links[0]
         yield from _emit(u, v, np.full(len(u), 1), np.zeros(len(u)))  # empty spans: links only
-        edge = np.diff(hit.astype(np.int8), axis=1, prepend=0, append=0)
+        edge = np.diff(told.hit.astype(np.int8), axis=1, prepend=0, append=0)
         (row, low), (_, end) = np.nonzero(edge == 1), np.nonzero(edge == -1)
         yield from _emit(laid.node[row], laid.node[row], laid.at[row] + low, laid.at[row] + end - 1)
 

@@ -761,3 +761,45 @@ def test_keys_are_shared_by_all_similar_passages():
                 assert bool(keys[0][c] & keys[1][d]) == (common >= passage_dedup.COMMON), (trial, c, d, common)
                 found += common >= passage_dedup.COMMON
     assert found > 100
+
+
+def test_comparison_leaves_out_only_idle_keys():
+    """A comparison tells the same passages and links as all keys would, and makes a small part of them."""
+    rng, side = np.random.default_rng(9), passage_dedup.SIDE
+    word = lambda n: [f"w{v}" for v in rng.integers(0, 10**6, n)]
+    rows, node = [], 0
+    for group in range(40):
+        base = word(2 * side + 5)
+        for member in range(2 + group % 5 * (group % 3)):
+            part = list(base)
+            for _ in range(int(rng.integers(0, 3))):
+                at = int(rng.integers(20, 120))
+                part[at : at + int(rng.integers(0, 2))] = word(int(rng.integers(0, 2)))
+            x = passage_dedup.shingles([" ".join([*part, *word(2)]).encode()])[0].astype(np.uint32)[: 2 * side + 1] & np.uint32(0xFFFFFF)
+            rows.append((group, node, side | side << 32, 0, x.view(np.uint8).reshape(-1, 4)[:, :3].tobytes()))
+            node += member != 3  # two runs of one text
+        node += group % 4 > 0  # a text that is in two signatures
+    laid = passage_dedup.Laid(rows)
+    hit, links = set(), []
+    for key, row, col in passage_dedup.common_keys(laid):
+        at = collections.defaultdict(list)
+        for k, r, c in zip(key.tolist(), row.tolist(), col.tolist()):
+            at[k].append((r, c))
+        for places in at.values():
+            if len(nodes := {int(laid.node[r]) for r, _ in places}) > 1:
+                hit |= set(places)
+                links += [(min(nodes), n) for n in nodes if n != min(nodes)]
+    told = set()
+    joined = []
+    for b in passage_dedup.compare(laid):
+        for _, a, o, s, e in zip(*(c.to_pylist() for c in b.columns)):
+            told |= {(a, p) for p in range(s, e + 1)}
+            joined += [(a, o)] * (a != o)
+    assert told == {(int(laid.node[r]), c) for r, c in hit} and len(told) > 500
+    roots = lambda pairs: sorted(zip(*(v.tolist() for v in passage_dedup.forest(*map(np.array, zip(*pairs))))))
+    assert roots(joined) == roots(links)
+    every = sum(len(key) for key, _, _ in passage_dedup.common_keys(laid))
+    total = passage_dedup.met(laid)
+    assert sum(len(key) for key, _, _ in passage_dedup.common_keys(laid, total, passage_dedup.Told(laid))) < every / 1.2
+    passages = [(r, c) for _, row, col in passage_dedup.common_keys(laid, total) for r, c in zip(row.tolist(), col.tolist())]
+    assert hit <= set(passages)
